@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, url_filter
+from . import bpe, mixing, simhash, url_filter
 from .common import table, word_count
 
 #: The contract's rules; the globs are the default policy for other hosts.
@@ -28,6 +28,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", word_count(F.col("text")).alias("size"), F.array("source").alias("sources"))
     mixed = mixing.mix_sources(docs, "doc_id", "size", "sources")
@@ -42,4 +47,4 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op7_url_filter, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op7_url_filter, op8_bpe)}
