@@ -92,3 +92,75 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x81DADEF4BC2DD44D)
     return x ^ (x >> np.uint64(33))
+
+
+#: A random odd 64-bit value for each byte, and the base of the rolling hashes with its inverse.
+BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if len(_powers[0]) < n:
+        size = max(n, SLICE_BYTES + (1 << 16))
+        for i, x in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            table = np.full(size, x, np.uint64)
+            table[0] = 1
+            _powers[i] = np.cumprod(table)
+    return _powers[0], _powers[1]
+
+
+class Rolling:
+    """64-bit hashes of any ranges of a symbol array (uint64), by prefix sums."""
+
+    def __init__(self, symbols: np.ndarray):
+        power, self.inverse = _power_table(len(symbols) + 1)
+        self.sums = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(symbols * power[: len(symbols)], out=self.sums[1:])
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        length = (end - start).astype(np.uint64)
+        return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + length * np.uint64(0xD6E8FEB86659FD93))
+
+    def every(self, k: int) -> np.ndarray:
+        """Hashes of all ranges of length k."""
+        n = len(self.sums) - k
+        return mix64((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
+
+
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Words:
+    """The words of a slice of texts: where they are, in which text, and their 64-bit hashes."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.buffer = b"\n".join(t or b"" for t in texts) + b"\n"
+        self.data = np.frombuffer(self.buffer, np.uint8)
+        sizes = np.array([len(t or b"") for t in texts], np.int64)
+        self.begins = np.cumsum(sizes + 1) - sizes - 1
+        self.stops = self.begins + sizes
+        inside = ~WHITE[self.data]
+        edge = np.diff(inside.astype(np.int8), prepend=0)
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.first = np.searchsorted(self.start, self.begins)  # first word of each text
+        self.count = np.searchsorted(self.start, self.stops) - self.first
+        self.text_of = np.repeat(np.arange(len(texts)), self.count)
+        self.inside = inside
+        self._rolling: Rolling | None = None
+
+    @property
+    def rolling(self) -> Rolling:
+        if self._rolling is None:
+            self._rolling = Rolling(BYTE_VALUE[self.data])
+        return self._rolling
+
+    def hashes(self) -> np.ndarray:
+        return self.rolling.ranges(self.start, self.end)
+
+    def sums(self, flags: np.ndarray) -> np.ndarray:
+        """Number of flagged bytes in each text."""
+        total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
+        return total[self.stops] - total[self.begins]

@@ -59,4 +59,32 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op7_url_filter": OP7_URL_FILTER}
+OP4_CHAT = r"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n,
+         '[' || coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') || chr(2) AS mark,
+         '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS line
+  FROM turns),
+prefixes AS (
+  SELECT conv_id, place, n, string_agg(mark, '') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM placed),
+whole AS (SELECT so_far, min(conv_id) AS conv_id, count(*) AS n_equal FROM prefixes WHERE place = n GROUP BY so_far),
+kept AS (SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.place < p.n AND p.so_far = w.so_far))
+SELECT p.conv_id, count(*) AS n_turns, k.n_equal, string_agg(p.line, '' ORDER BY p.place) AS rendered
+FROM placed p JOIN kept k ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY p.conv_id, k.n_equal
+"""
+
+OP6_TOP_K = r"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+ORACLES = {"op2_mixing": OP2_MIXING, "op4_chat": OP4_CHAT, "op6_top_k": OP6_TOP_K, "op7_url_filter": OP7_URL_FILTER}

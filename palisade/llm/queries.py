@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, simhash, url_filter
+from . import bpe, byte_repeats, chat, langid, metric_tree, mixing, quality, simhash, url_filter, word_repeats
 from .common import table, word_count
 
 #: The contract's rules; the globs are the default policy for other hosts.
@@ -39,6 +39,28 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    known = docs.where((fold != 0) & F.col("lang").isNotNull()).select("text", "lang")
+    return langid.identify(docs.select("doc_id", "text", held_out.alias("held_out")), known, keep=("doc_id", "held_out"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_snapshots(table(spark, sf_dir, "conversations"))
+
+
+def op5_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_repeats.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return metric_tree.top_inner_products(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_GLOBS)
 
@@ -47,4 +69,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op7_url_filter, op8_bpe)}
+def op9_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_repeats.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_langid, op4_chat, op5_word_repeats, op6_top_k, op7_url_filter, op8_bpe, op9_byte_repeats, op10_quality)}
