@@ -57,8 +57,18 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Texts go to Python in Arrow batches of at most this size, whatever their lengths.
+ARROW_BATCH = "8m"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the package sent to its executors and bounded Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -161,4 +161,4 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(np.where(sure, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(run, f"{kinds}, lang_pred string, score double")

@@ -10,8 +10,9 @@ stored as 00, 01, 11, so that this distance is the bit count of an exclusive or.
 
 Grid range join: with radius r the vector is cut into three blocks; two vectors
 within distance r agree within r // 3 in one block at least.  Every fingerprint
-has a home cell per block (its coordinates there) and visits the cells above
-it within r // 3; of two neighbours one visits the other's home.  Cells meet in
+has a home cell per block (its coordinates there) and visits the cells within
+r // 3 that go up in the first coordinate that differs; of two neighbours one
+visits the other's home.  Cells meet in
 Spark partitions sorted by cell; pairs of a cell are tested first by Manhattan
 distance, then exactly.  No cell gives all its pairs: from each partition come
 only the edges of a spanning forest.  There are at most 3^11 cells a block; one
@@ -27,7 +28,6 @@ words; equal rows get equal results; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,7 @@ SEED = 42
 #: Two-bit segments 0-31 dealt to three blocks.
 BLOCKS = (range(0, 11), range(11, 22), range(22, 32))
 SHINGLES_AT_ONCE = 1 << 15
+ROWS_AT_ONCE = 1 << 18
 PAIRS_AT_ONCE = 1 << 21
 #: In cells with more rows, neighbours are searched one at a time among those not yet reached.
 SMALL_CELL = 192
@@ -83,44 +84,66 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def embedding(fp: Column) -> Column:
-    """Ones per two-bit segment, as 00, 01 or 11 in the segment's place."""
-    even = F.lit(0x5555555555555555)
-    above = F.shiftrightunsigned(fp, 1)
-    some, both = fp.bitwiseOR(above).bitwiseAND(even), fp.bitwiseAND(above).bitwiseAND(even)
-    return some.bitwiseOR(F.shiftleft(both, 1))
+def _moves(segments: int, reach: int) -> list[list[tuple[int, int]]]:
+    """Changes (segment, step) of Manhattan length 1 to ``reach``, the first step upwards.
 
+    Of two cells that differ by such a change one has to go up first, so exactly one visits the other.
+    """
+    found: list[list[tuple[int, int]]] = []
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+    def extend(move: list[tuple[int, int]], at: int, left: int) -> None:
+        if move:
+            found.append(move)
+        for s in range(at, segments):
+            for step in (1, 2, -1, -2):
+                if abs(step) <= left and (move or step > 0):
+                    extend([*move, (s, step)], s + 1, left - abs(step))
 
+    extend([], 0, reach)
+    return found
 
-def _cells(emb: Column, reach: int) -> Column:
-    """Array of (cell, probe): home cells and those up to ``reach`` steps above in a block."""
-    found = []
+
+#: Codes of the counts 0, 1, 2 and the count of each code.
+CODE = np.array([0, 1, 3], np.int64)
+COUNT = np.array([0, 1, -1, 2], np.int64)
+
+
+def visited_cells(fp: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(cells, fingerprints, probe): home cells in each block, then visits up to ``reach`` steps away."""
+    emb = _thermometer(fp.view(np.uint64)).view(np.int64)
     for k, block in enumerate(BLOCKS):
-        width = 2 * len(block)
-        home = F.shiftrightunsigned(emb, 2 * block.start).bitwiseAND(F.lit((1 << width) - 1))
-        tag = k << 22
-        found.append(F.struct((home + tag).alias("cell"), F.lit(False).alias("probe")))
-        for size in range(1, reach + 1):
-            for steps in combinations_with_replacement(range(len(block)), size):
-                cell = home
-                for s in set(steps):
-                    have = F.shiftright(home, 2 * s).bitwiseAND(F.lit(3))
-                    times = steps.count(s)
-                    if times == 1:
-                        up = F.when(have == 0, 1).when(have == 1, 2)
-                    else:
-                        up = F.when(have == 0, 3) if times == 2 else F.lit(None).cast("int")
-                    cell = cell + up.cast("long") * F.lit(1 << 2 * s)
-                found.append(F.struct((cell + tag).alias("cell"), F.lit(True).alias("probe")))
-    return F.array(*found)
+        home = (emb >> 2 * block.start) & ((1 << 2 * len(block)) - 1)
+        counts = COUNT[(home[:, None] >> (2 * np.arange(len(block)))) & 3]
+        yield home + (k << 22), fp, False
+        for move in _moves(len(block), reach):
+            cell, fits = home.copy(), np.ones(len(fp), bool)
+            for s, step in move:
+                now = counts[:, s] + step
+                fits &= (now >= 0) & (now <= 2)
+                cell += (CODE[np.clip(now, 0, 2)] - CODE[counts[:, s]]) << 2 * s
+            yield cell[fits] + (k << 22), fp[fits], True
+
+
+def _cell_rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["cell", "fp", "probe"])
 
 
 def grid_cells(reps: DataFrame, radius: int, cell_rows: int) -> DataFrame:
     """(group, probe, fp): who meets in which cell; large cells are split by pairs of salts."""
-    cells = reps.select("fp", F.explode(_cells(embedding(F.col("fp")), radius // 3)).alias("c")).select("fp", "c.*").where("cell is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for cell, fp, probe in visited_cells(batch.column("fp").to_numpy(), radius // 3):
+                held.append((cell, fp, np.full(len(cell), probe)))
+                size += len(cell)
+                if size > ROWS_AT_ONCE:
+                    yield _cell_rows(held)
+                    held, size = [], 0
+            if held:
+                yield _cell_rows(held)
+
+    cells = reps.select("fp").mapInArrow(run, "cell long, fp long, probe boolean")
     large = cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts"))
     # At most 3 * 3^11 cells exist, whatever the input.
     dealt = cells.join(F.broadcast(large), "cell", "left")
