@@ -30,8 +30,9 @@ from .common import mix64, text_slices
 
 UNKNOWN = "und"
 BLANK = 32
-#: Texts are bundled in groups with at most so many (text, n-gram) cells.
+#: Texts are bundled in groups with at most so many (text, n-gram) cells, with so many n-gram vectors at a time.
 CELLS = 4 << 20
+GRAMS_AT_ONCE = 2048
 
 _letters: list[np.ndarray] = []
 
@@ -88,7 +89,7 @@ class Grams:
         self.back, self.of = back, of[last][whole]
         self.texts = len(texts)
 
-    def bundles(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def bundles(self, n: int, dim: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
         """(first text, bundled vectors of the next texts), a group at a time."""
         width = max(1, len(self.grams))
         rows = max(1, CELLS // width)
@@ -96,8 +97,12 @@ class Grams:
             to = min(self.texts, at + rows)
             lo, hi = np.searchsorted(self.of, [at, to])
             cells = (self.of[lo:hi] - at) * width + self.back[lo:hi]
-            counts = np.bincount(cells, minlength=(to - at) * width).reshape(to - at, width)
-            yield at, counts.astype(np.float32) @ vectors if len(self.grams) else np.zeros((to - at, vectors.shape[1]), np.float32)
+            counts = np.bincount(cells, minlength=(to - at) * width).astype(np.float32).reshape(to - at, width)
+            total = np.zeros((to - at, dim), np.float32)
+            for g in range(0, len(self.grams), GRAMS_AT_ONCE):
+                part = slice(g, g + GRAMS_AT_ONCE)
+                total += counts[:, part] @ gram_vectors(self.grams[part], n, dim, seed).astype(np.float32)
+            yield at, total
 
 
 def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int, n: int, seed: int, max_languages: int) -> dict[str, np.ndarray]:
@@ -114,8 +119,9 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
                         continue
                     counts = np.bincount(found.back, minlength=len(found.grams)).astype(np.float64)
                     total = np.zeros(dim)
-                    for at in range(0, len(counts), 1 << 14):
-                        total += counts[at : at + (1 << 14)] @ gram_vectors(found.grams[at : at + (1 << 14)], n, dim, seed)
+                    for g in range(0, len(counts), GRAMS_AT_ONCE):
+                        part_of = slice(g, g + GRAMS_AT_ONCE)
+                        total += counts[part_of] @ gram_vectors(found.grams[part_of], n, dim, seed)
                     sums[lang] = sums.get(lang, 0) + total.astype(np.int64)
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(total)], names=["lang", "d", "x"])
@@ -149,9 +155,8 @@ def identify(
         for batch in batches:
             for part in text_slices(batch, text_col):
                 found = Grams(part.column(text_col).to_pylist(), n)
-                vectors = gram_vectors(found.grams, n, dim, seed).astype(np.float32)
                 best, score = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
-                for at, bundle in found.bundles(vectors) if names else ():
+                for at, bundle in found.bundles(n, dim, seed) if names else ():
                     cosine = (bundle @ unit.T) / np.maximum(np.linalg.norm(bundle, axis=1), 1e-9)[:, None]
                     best[at : at + len(bundle)] = cosine.argmax(axis=1)
                     score[at : at + len(bundle)] = np.clip(cosine.max(axis=1), 0, 1)
