@@ -18,7 +18,7 @@ from ..cluster import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are worked on in slices of about this many bytes, so that numpy's temporaries stay small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

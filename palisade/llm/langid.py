@@ -31,8 +31,9 @@ from .common import mix64, text_slices
 UNKNOWN = "und"
 BLANK = 32
 #: Texts are bundled in groups with at most so many (text, n-gram) cells, with so many n-gram vectors at a time.
-CELLS = 4 << 20
+CELLS = 2 << 20
 GRAMS_AT_ONCE = 2048
+SLICE = 512 << 10
 
 _letters: list[np.ndarray] = []
 
@@ -111,7 +112,7 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            for part in text_slices(batch, text_col, SLICE):
                 langs, texts = part.column(lang_col).to_pylist(), part.column(text_col).to_pylist()
                 for lang in set(langs):
                     found = Grams([t for t, x in zip(texts, langs, strict=True) if x == lang], n)
@@ -153,7 +154,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text_col):
+            for part in text_slices(batch, text_col, SLICE):
                 found = Grams(part.column(text_col).to_pylist(), n)
                 best, score = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
                 for at, bundle in found.bundles(n, dim, seed) if names else ():
