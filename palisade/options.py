@@ -1,0 +1,80 @@
+"""Options of the pipeline: presets, layered settings, tenant overlays and differences."""
+
+from __future__ import annotations
+
+import json
+from copy import deepcopy
+from dataclasses import dataclass, replace
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class PipelineOptions:
+    window_seconds: int = 60
+    dedup_ttl: int = 600
+    idempotency_ttl: int = 300
+    max_actions_per_second: int = 100
+    max_events_per_window: int = 100
+    max_line_length: int = 1_048_576
+    skip_empty_lines: bool = True
+    enable_ml: bool = True
+    anomaly_threshold: float = 0.7
+    rule_set: str = "v1"
+
+    def __post_init__(self) -> None:
+        if min(self.window_seconds, self.dedup_ttl, self.max_line_length) <= 0:
+            raise ValueError("windows, TTLs and lengths must be positive")
+
+    @classmethod
+    def preset(cls, mode: str) -> PipelineOptions:
+        """fast: no model, 30 s window; balanced: the defaults; accurate: model, 120 s window."""
+        presets = {"fast": {"enable_ml": False, "window_seconds": 30}, "balanced": {}, "accurate": {"enable_ml": True, "window_seconds": 120}}
+        return replace(cls(), **presets[mode])
+
+
+def merged(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:
+    """Recursive merge; neither argument is changed."""
+    out = deepcopy(base)
+    for k, v in over.items():
+        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else deepcopy(v)
+    return out
+
+
+def get_setting(settings: dict[str, Any], path: str, default: Any = None) -> Any:
+    for part in path.split("."):
+        if not isinstance(settings, dict) or part not in settings:
+            return default
+        settings = settings[part]
+    return settings
+
+
+def with_setting(settings: dict[str, Any], path: str, value: Any) -> dict[str, Any]:
+    for part in reversed(path.split(".")):
+        value = {part: value}
+    return merged(settings, value)
+
+
+def tenant_settings(settings: dict[str, Any], tenant: str) -> dict[str, Any]:
+    """Settings with the tenant's overlay (key ``tenants``) on top."""
+    return merged({k: v for k, v in settings.items() if k != "tenants"}, get_setting(settings, "tenants", {}).get(tenant, {}))
+
+
+def settings_table(spark: SparkSession, settings: dict[str, Any]) -> DataFrame:
+    """Settings as (key, value): dotted leaf names and JSON values."""
+
+    def leaves(x: Any, name: str) -> list[tuple[str, str]]:
+        if isinstance(x, dict) and x:
+            return [leaf for k, v in x.items() for leaf in leaves(v, f"{name}.{k}" if name else k)]
+        return [(name, json.dumps(x, sort_keys=True))]
+
+    return spark.createDataFrame(leaves(settings, ""), "key string, value string")
+
+
+def settings_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key, change (added, removed or modified), old_value, new_value of two (key, value) tables."""
+    a, b = old.select("key", F.col("value").alias("old_value")), new.select("key", F.col("value").alias("new_value"))
+    change = F.when(F.col("old_value").isNull(), "added").when(F.col("new_value").isNull(), "removed").otherwise("modified")
+    return a.join(b, "key", "full_outer").where(~F.col("old_value").eqNullSafe(F.col("new_value"))).select("key", change.alias("change"), "old_value", "new_value")
