@@ -37,11 +37,10 @@ def leading_edge_stream(events: DataFrame, ttl_seconds: int, key: str = "fingerp
             return
         last = state.get[0] if state.exists else None
         kept = []
-        for part in parts:
-            for t in part["us"].sort_values().tolist():
-                if last is None or t - last >= ttl_seconds * 1_000_000:
-                    kept.append(t)
-                    last = t
+        for t in sorted(t for part in parts for t in part["us"].tolist()):  # a key's rows of one trigger
+            if last is None or t - last >= ttl_seconds * 1_000_000:
+                kept.append(t)
+                last = t
         if last is not None:
             state.update((last,))
             state.setTimeoutTimestamp(max(last // 1000 + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
