@@ -12,8 +12,8 @@ of about ``tree_rows``.  Each group becomes one M-tree: pages of at most
 distance to its parent.  The trees are written to the shared folder.
 
 Search: queries are packed into blocks.  First a block visits the trees of its
-nearest pivot, which gives each query a bound; then it visits the trees of the
-other pivots whose ball may hold something as good.  In a tree, nodes are taken
+nearest pivot, which gives each query a bound; then blocks of any queries visit
+the trees of the other pivots whose ball may hold something as good.  In a tree, nodes are taken
 best first, and entries ruled out by |d(q, parent) - d(entry, parent)| and
 their radius are never computed.  Bounds have slack for rounding; scores are
 exact integers.
@@ -214,24 +214,26 @@ def top_inner_products(
     first = staged(best(met.repartition(F.xxhash64("tree", "queries")).select("tree", "queries").mapInArrow(search, FOUND)).drop("rank"), "first")
 
     bound = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-    bounded = near.join(bound, near["id"] == bound["query_id"], "left").select("id", "v", F.col("bound").alias("least"), "pivot")
+    lots = max(1, -(-near.count() // block_rows))
+    bounded = near.join(bound, near["id"] == bound["query_id"], "left").select("id", "v", F.col("bound").alias("least"), F.col("pivot").alias("home"))
+    lot = bounded.groupBy(F.pmod(F.xxhash64("id"), F.lit(lots)).alias("lot")).agg(F.collect_list(F.struct("id", "v", "least", "home")).alias("queries")).drop("lot")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, pivots_, kept = batch.column("queries").to_pylist(), [], []
-            for home, block in zip(batch.column("pivot").to_pylist(), blocks, strict=True):
+            pivots_, kept = [], []
+            for block in batch.column("queries").to_pylist():
                 q = np.hstack([matrix([x["v"] for x in block], dim), np.zeros((len(block), 1))])
                 norms = (q * q).sum(axis=1)
                 d = np.sqrt(np.maximum(norms[:, None] - 2 * q @ centers.T + (centers**2).sum(axis=1), 0))
                 reach = np.array([np.inf if x["least"] is None else np.sqrt(max(m + largest - 2.0 * x["least"], 0)) for x, m in zip(block, norms, strict=True)])
                 may = d - radius <= (reach + 1e-6 * (1 + np.sqrt(norms + largest)))[:, None]
+                may[np.arange(len(block)), [x["home"] for x in block]] = False
                 for j in np.flatnonzero(may.any(axis=0) & (radius >= 0)):
-                    if j != home:
-                        pivots_.append(int(j))
-                        kept.append([x for x, m in zip(block, may[:, j], strict=True) if m])
+                    pivots_.append(int(j))
+                    kept.append([x for x, m in zip(block, may[:, j], strict=True) if m])
             yield pa.RecordBatch.from_arrays([pa.array(pivots_, pa.int32()), pa.array(kept, batch.schema.field("queries").type)], names=["pivot", "queries"])
 
-    sent = _blocks(bounded, "pivot", block_rows).mapInArrow(others, "pivot int, queries array<struct<id:long,v:array<long>,least:long>>")
+    sent = lot.mapInArrow(others, "pivot int, queries array<struct<id:long,v:array<long>,least:long,home:int>>")
     met = trees.join(sent, "pivot").repartition(F.xxhash64("tree", "queries")).select("tree", "queries")
     found = best(first.union(met.mapInArrow(search, FOUND)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias(id_col), "score")
