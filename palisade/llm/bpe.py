@@ -17,7 +17,8 @@ the leftmost).
 
 Edge cases: a null text encodes like an empty one (no ids); long pieces take
 time linear in their length and are not cached; repeated rows are encoded each.
-The caches hold at most ``CACHE`` entries per task.
+The piece cache has two generations of at most ``cache`` entries: a full young
+one becomes the old one, so frequent pieces stay; pairs are kept up to ``PAIRS``.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ from .common import text_slices
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
-CACHE = 50_000
+CACHE = 200_000
+PAIRS = 200_000
 LONG_PIECE = 256
 
 
@@ -50,7 +52,7 @@ def byte_alphabet() -> dict[str, int]:
 class PrefixBpe:
     """Encoder and decoder of one byte-level BPE tokenizer file."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, cache: int = CACHE):
         import ahocorasick
         import regex
 
@@ -91,8 +93,10 @@ class PrefixBpe:
         self.matches.make_automaton()
         self.pieces = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else lambda text: [text]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.most = cache
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         left, right = self.right[a], self.left[b]
@@ -122,11 +126,12 @@ class PrefixBpe:
                     before = last[start]
                     if before < 0:
                         continue
-                    fits = pairs.get((before, token))
+                    pair = before << 32 | token
+                    fits = pairs.get(pair)
                     if fits is None:
-                        if len(pairs) >= CACHE:
+                        if len(pairs) >= PAIRS:
                             pairs.clear()
-                        fits = pairs[before, token] = self.compatible(before, token)
+                        fits = pairs[pair] = self.compatible(before, token)
                     if not fits:
                         continue
                 last[end] = token
@@ -136,36 +141,42 @@ class PrefixBpe:
             end -= length[last[end]]
         return array.array("I", ids[::-1]).tobytes()
 
+    def cached(self, piece: str) -> bytes:
+        """Ids of a piece that is not in the young cache, or has come into it just now."""
+        ids = self.cache.get(piece) or self.old.get(piece) or self.piece(piece)
+        if len(piece) <= LONG_PIECE:
+            if len(self.cache) >= self.most:
+                self.cache, self.old = {}, self.cache
+            self.cache[piece] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         out = []
         for part in self.cut(text):
             if part in self.added:
                 out.append(array.array("I", [self.added[part]]).tobytes())
                 continue
-            cache = self.cache
-            for p in self.pieces(part):
-                ids = cache.get(p)
-                if ids is None:
-                    ids = self.piece(p)
-                    if len(p) <= LONG_PIECE:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[p] = ids
-                out.append(ids)
+            pieces = self.pieces(part)
+            found = list(map(self.cache.get, pieces))
+            if None in found:
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        found[i] = self.cached(pieces[i])
+            out += found
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[str, PrefixBpe] = {}
+_loaded: dict[tuple[str, int], PrefixBpe] = {}
 
 
-def tokenizer(file: str) -> PrefixBpe:
+def tokenizer(file: str, cache: int = CACHE) -> PrefixBpe:
     """The tokenizer of a file, made once for each Python worker."""
-    if file not in _loaded:
-        _loaded[file] = PrefixBpe(file)
-    return _loaded[file]
+    if (file, cache) not in _loaded:
+        _loaded[file, cache] = PrefixBpe(file, cache)
+    return _loaded[file, cache]
 
 
 def _mapped(docs: DataFrame, columns: list[str], text_col: str, schema: str, work) -> DataFrame:
@@ -201,12 +212,12 @@ def decode(encoded: DataFrame, file: str, id_col: str = "doc_id", ids_col: str =
     return _mapped(encoded, [id_col, ids_col], ids_col, f"`{id_col}` {kind}, text string", work)
 
 
-def round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256: encodes, then decodes the ids, in one pass."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = tokenizer(file)
+        bpe = tokenizer(file, cache)
         counts, ids_sha, text_sha = [], [], []
         for text in part.column(text_col).to_pylist():
             ids = bpe.encode(text) if text else b""
