@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded, sanitized, stripped
+from ..operators.windows import settled
 from ..options import PipelineOptions
 
 
@@ -13,7 +14,8 @@ def clean_lines(lines: DataFrame, options: PipelineOptions = PipelineOptions())
     """``value`` decoded and sanitised; too long and blank lines go.  The same for batches and streams."""
     raw = F.col("value").cast("binary")
     kept = lines.where(F.octet_length(raw) + 1 <= options.max_line_length).withColumn("value", sanitized(decoded(raw)))
-    return kept.where(stripped(F.col("value")) != "") if options.skip_empty_lines else kept
+    # Settled: else the parsers' many columns would each carry the cleaning, and planning would never end.
+    return settled(kept.where(stripped(F.col("value")) != "") if options.skip_empty_lines else kept)
 
 
 def read_lines(spark: SparkSession, path: str, options: PipelineOptions = PipelineOptions()) -> DataFrame:
