@@ -71,22 +71,14 @@ class PrefixBpe:
         for t, i in self.added.items():
             self.raw[i] = t.encode()
         self.rank: dict[tuple[int, int], int] = {}
-        parts: dict[int, tuple[int, int, int]] = {}
+        self.parts: dict[int, tuple[int, int, int]] = {}
         for r, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             pair = names[a], names[b]
             self.rank[pair] = r
-            parts.setdefault(names[a + b], (*pair, r))
-        never = len(self.rank)
+            self.parts.setdefault(names[a + b], (*pair, r))
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
-        for spines, side in ((self.left, 0), (self.right, 1)):
-            for token in self.text:
-                spine, top = [(token, never)], token
-                while top in parts:
-                    spine.append((parts[top][side], parts[top][2]))
-                    top = parts[top][side]
-                spines[token] = spine[::-1]  # (token at the border, rank of the merge that ends it)
         self.matches = ahocorasick.Automaton()
         for i, t in self.text.items():
             self.matches.add_word(t, i)
@@ -98,8 +90,21 @@ class PrefixBpe:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """(token at the border, rank of the merge that ends it), for the left (0) or right (1) border."""
+        found = [(token, len(self.rank))]
+        top = token
+        while top in self.parts:
+            found.append((self.parts[top][side], self.parts[top][2]))
+            top = self.parts[top][side]
+        return found[::-1]
+
     def compatible(self, a: int, b: int) -> bool:
-        left, right = self.right[a], self.left[b]
+        left, right = self.right.get(a), self.left.get(b)
+        if left is None:
+            left = self.right[a] = self.spine(a, 1)
+        if right is None:
+            right = self.left[b] = self.spine(b, 0)
         i = j = 0
         while True:
             (x, x_ends), (y, y_ends) = left[i], right[j]
