@@ -12,7 +12,7 @@ import xxhash
 from conftest import same_as_oracle
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, byte_repeats, chat, langid, metric_tree, mixing, quality, simhash, url_filter, word_repeats
+from palisade.llm import bpe, byte_repeats, chat, langid, metric_tree, mixing, near_copies, quality, simhash, url_filter, word_repeats
 from palisade.llm.oracles import ORACLES
 from palisade.llm.queries import QUERIES, tokenizer_file
 
@@ -153,6 +153,58 @@ def test_grid_join_finds_all_links(spark, radius, cell_rows):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def similar(texts, k=5):
+    """Components of ids whose texts have shingle sets of Jaccard similarity 0.8 or more."""
+    sets = {}
+    for i, t in texts.items():
+        words = re.findall(WORD, (t or "").encode().lower())
+        sets[i] = {tuple(words[j : j + k]) for j in range(max(1, len(words) - k + 1))} if words else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+def edited(docs=12, copies=12, seed=11):
+    """Texts and copies with more and more words changed, around similarity 0.8; short, empty and null texts."""
+    rng = random.Random(seed)
+    out = ["", None, " \t", "one", "One", "one two", "one two three four", "one two three four five"]
+    for _ in range(docs):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 60, 150, 400]))]
+        for c in range(copies):
+            new = list(words)
+            for _ in range(c * len(words) // 200 + c % 3):
+                new[rng.randrange(len(new))] = f"v{rng.randrange(3000)}"
+            out.append(" ".join(new))
+    return dict(enumerate(out))
+
+
+@pytest.mark.parametrize(("small", "rounds"), [(64, 6), (2, 6), (1, 0)])
+def test_near_copies_by_exact_similarity(spark, small, rounds):
+    texts = edited()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, small=small, rounds=rounds).collect()}
+    assert got == similar(texts)
+
+
+def test_pipeline_drops_copies_from_similarity_080(spark):
+    import corpus_pipeline as cp
+
+    texts = {i: t for i, t in edited(seed=12).items() if t and t.strip()}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = similar(texts)
+    assert {r.doc_id for r in cp.drop_near_copies(spark, df, "").collect()} == {i for i in want if want[i] == i}
+
+
 def test_large_cells_are_linked_one_by_one(spark, monkeypatch):
     fp = np.unique(np.random.default_rng(0).integers(0, 2**12, 900).astype(np.uint64))
     small, large = simhash.Forest(), simhash.Forest()
