@@ -205,6 +205,19 @@ def test_pipeline_drops_copies_from_similarity_080(spark):
     assert {r.doc_id for r in cp.drop_near_copies(spark, df, "").collect()} == {i for i in want if want[i] == i}
 
 
+def test_pipeline_keeps_texts_of_null_and_shared_ids(spark):
+    import corpus_pipeline as cp
+
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(None, "a"), (None, "a"), (None, "b"), (None, "e"), (7, "c"), (7, "d"), (8, "c"), (9, "e")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    near = cp.drop_near_copies(spark, spark.createDataFrame([(i, text(c), "en", "s", 0) for i, c in rows], schema), "").collect()
+    assert Counter((r.doc_id, r.text[0]) for r in near) == Counter([(None, "a"), (None, "b"), (7, "c"), (7, "d"), (9, "e")])
+    mixed = cp.mix(spark, spark.createDataFrame([tuple(r) for r in near], schema), "").collect()
+    times = Counter((r.doc_id, r.text[0]) for r in mixed)
+    assert set(times) == {(r.doc_id, r.text[0]) for r in near} and max(times.values()) <= 2
+
+
 def test_large_cells_are_linked_one_by_one(spark, monkeypatch):
     fp = np.unique(np.random.default_rng(0).integers(0, 2**12, 900).astype(np.uint64))
     small, large = simhash.Forest(), simhash.Forest()
