@@ -32,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTE_VALUE
-from .repeats import Settings, range_arrays, repeated_ranges, unpack, with_ranges
+from .repeats import Settings, Spelling, range_arrays, repeated_ranges, unpack, with_ranges
 
 
-def byte_symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_VALUE[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+def byte_symbols(texts: list[bytes]) -> Spelling:
+    joined = b"".join(texts)
+    return Spelling(BYTE_VALUE[np.frombuffer(joined, np.uint8)], np.array([len(t) for t in texts], np.int64), joined, None)
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, seed: int = 24, group_rows: int = 1 << 15) -> DataFrame:

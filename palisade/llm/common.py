@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -104,39 +105,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-#: A random odd 64-bit value for each byte, and the base of the rolling hashes with its inverse.
-BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A random 64-bit value for each byte.
+BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Rolling hashes are polynomials modulo the prime 2^31 - 1, with two bases.
+PRIME = np.uint64((1 << 31) - 1)
+BITS31 = np.uint64(31)
+BASES = (1_284_865_837, 1_812_433_253)
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        for i, x in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            table = np.full(size, x, np.uint64)
-            table[0] = 1
-            _powers[i] = np.cumprod(table)
-    return _powers[0], _powers[1]
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2^62."""
+    x = (x & PRIME) + (x >> BITS31)
+    x = (x & PRIME) + (x >> BITS31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    """At least n powers of a base."""
+    table = _powers.get(base, np.ones(1, np.uint64))
+    while len(table) < n:
+        table = np.concatenate([table, reduced(table * np.uint64(pow(base, len(table), int(PRIME))))])
+    _powers[base] = table
+    return table
 
 
 class Rolling:
-    """64-bit hashes of any ranges of a symbol array (uint64), by prefix sums."""
+    """62-bit hashes of any ranges of a symbol array (uint64), by prefix sums.
+
+    Two polynomials modulo a prime, so no family of strings collides by its
+    form, as it does modulo a power of two.  Hashes only group and order; what
+    is equal is settled by digests or by content.
+    """
 
     def __init__(self, symbols: np.ndarray):
-        power, self.inverse = _power_table(len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * power[: len(symbols)], out=self.sums[1:])
+        n = len(symbols)
+        self.sums, self.inverse = [], []
+        for base, part in zip(BASES, (symbols & PRIME, (symbols >> BITS31) & PRIME), strict=True):
+            sums = np.zeros(n + 1, np.uint64)
+            product = part * _power_table(base, n + 1)[:n]
+            np.cumsum((product & PRIME) + (product >> BITS31), out=sums[1:])
+            self.sums.append(sums)
+            self.inverse.append(_power_table(pow(base, -1, int(PRIME)), n + 1))
+
+    def _joined(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return mix64((one << BITS31) | two)
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        length = (end - start).astype(np.uint64)
-        return mix64((self.sums[end] - self.sums[start]) * self.inverse[start] + length * np.uint64(0xD6E8FEB86659FD93))
+        one, two = (reduced(reduced(s[end] - s[start]) * i[start]) for s, i in zip(self.sums, self.inverse, strict=True))
+        return mix64(self._joined(one, two) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def every(self, k: int) -> np.ndarray:
         """Hashes of all ranges of length k."""
-        n = len(self.sums) - k
-        return mix64((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
+        n = len(self.sums[0]) - k
+        return self._joined(*(reduced(reduced(s[k:] - s[:n]) * i[:n]) for s, i in zip(self.sums, self.inverse, strict=True)))
+
+
+def digests(pieces: Iterable[bytes], count: int) -> np.ndarray:
+    """128-bit BLAKE2b digests of byte strings, two 64-bit words each: what they are told apart by."""
+    joined = b"".join([blake2b(x, digest_size=16).digest() for x in pieces])
+    return np.frombuffer(joined, np.uint64).reshape(count, 2)
 
 
 WHITE = np.zeros(256, bool)
@@ -170,6 +198,16 @@ class Words:
     def hashes(self) -> np.ndarray:
         return self.rolling.ranges(self.start, self.end)
 
+    def spelled(self) -> tuple[bytes, np.ndarray]:
+        """All words joined by one space, and where each begins (one past the end last)."""
+        begins = np.concatenate([[0], np.cumsum(self.end - self.start + 1)])
+        return b" ".join(self.buffer.split()) + b" ", begins
+
+    def codes(self) -> tuple[np.ndarray, int]:
+        """A number for each word, the same for equal words only, and how many there are."""
+        found = pa.array(self.buffer.split(), pa.binary()).dictionary_encode()
+        return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(found.dictionary)
+
     def sums(self, flags: np.ndarray) -> np.ndarray:
         """Number of flagged bytes in each text."""
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])

@@ -183,15 +183,17 @@ def base_features(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     wordy = np.searchsorted(w.start, line_end) > np.searchsorted(w.start, line_start)
     line_start, line_end = line_start[wordy], line_end[wordy]
     text = np.searchsorted(w.begins, line_start, side="right") - 1
-    mark = lambda h, t: mix64(h + t.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    _, first = np.unique(mark(w.rolling.ranges(line_start, line_end), text), return_index=True)
+    lines = pa.array([w.buffer[a:b] for a, b in zip(line_start.tolist(), line_end.tolist(), strict=True)], pa.binary()).dictionary_encode()
+    line = lines.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    _, first = np.unique(text * max(1, len(lines.dictionary)) + line, return_index=True)
     out["n_dup_lines"] = np.bincount(text, minlength=len(texts)) - np.bincount(text[first], minlength=len(texts))
-    h = w.hashes()
+    h, kinds = w.codes()
     n = max(0, len(h) - 2)
-    inside = w.text_of[:n] == w.text_of[2:]
-    window = mark(mix64(mix64(h[:n] + np.uint64(1)) + h[1 : n + 1]) * np.uint64(3) + h[2:], w.text_of[:n])[inside] if n else np.zeros(0, np.uint64)
-    _, back, times = np.unique(window, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(inside)[times[back] > 1] if n else np.zeros(0, np.int64)
+    at = np.flatnonzero(w.text_of[:n] == w.text_of[2:]) if n else np.zeros(0, np.int64)
+    _, pair = np.unique(h[at] * kinds + h[at + 1], return_inverse=True)
+    _, triple = np.unique(pair * kinds + h[at + 2], return_inverse=True)
+    _, back, times = np.unique(triple * len(texts) + w.text_of[at], return_inverse=True, return_counts=True)
+    at = at[times[back] > 1]
     repeated = np.zeros(len(h), bool)
     for k in range(3):
         repeated[at + k] = True

@@ -6,8 +6,8 @@ without a row for each window:
 
 1. Cover.  In every window the seed (k-gram) with the smallest hash is marked, so
    equal windows mark the same place.  Consecutive windows with the same mark
-   form a *bundle*: seed, place of the seed, number of windows and a hash of all
-   symbols that they cover.  This is the sampled set of positions; unlike fixed
+   form a *bundle*: seed, place of the seed, number of windows and a digest of all
+   that they spell.  This is the sampled set of positions; unlike fixed
    residues it depends on content only, which keeps it at about 2 / (length - k)
    of all positions.
 2. Names.  Bundles are sorted by seed, then by content (equal contents are
@@ -19,6 +19,10 @@ without a row for each window:
    follows an earlier equal one is removed.  Seeds with more than
    ``group_rows`` different bundles go through a Spark aggregation instead.
 
+Rolling hashes only choose marks and bring rows together.  What counts as equal
+is told by 128-bit BLAKE2b digests of what the texts spell, and for windows of
+bytes that are fetched, by the bytes.
+
 "Earlier" is a smaller document id, or with ``within`` also a smaller start in
 the same document.  Equal bundles of the same slice of texts are merged before
 the shuffle, so a passage that very many documents share is sent once for each
@@ -36,20 +40,36 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, SLICE_BYTES, Rolling, mix64, staged, text_slices, utf8_list
+from .common import BYTE_VALUE, SLICE_BYTES, Rolling, digests, drop_staged, mix64, staged, text_slices, utf8_list
 
 NULL_ID = (1 << 63) - 1
 U = np.uint64
 
 
+@dataclass(frozen=True)
+class Spelling:
+    """Texts of a slice as symbols (uint64), the number of them in each text, and what they spell."""
+
+    symbols: np.ndarray
+    sizes: np.ndarray
+    buffer: bytes
+    #: Where each symbol begins in the buffer, one past the end last; None if symbols are the bytes.
+    begins: np.ndarray | None
+
+    def pieces(self, start: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+        if self.begins is not None:
+            start, end = self.begins[start], self.begins[end]
+        buffer = self.buffer
+        return (buffer[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True))
+
+
 @dataclass(frozen=True)
 class Settings:
     length: int
     seed: int
     within: bool
-    #: Texts of a slice to (symbols as uint64, symbols of each text).
-    symbols: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
-    #: Symbols are single bytes: bundles are fetched as they are, else as one hash for each window.
+    spell: Callable[[list[bytes]], Spelling]
+    #: Symbols are single bytes: bundles are fetched as they are, else as one digest for each window.
     bytewise: bool
     group_rows: int = 1 << 15
 
@@ -67,11 +87,12 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[:m], prefix[width - 1 : width - 1 + m])
 
 
-def bundles(symbols: np.ndarray, sizes: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
-    """(text, start, place of the seed, windows, seed hash, content hash) of all bundles of some texts.
+def bundles(spelling: Spelling, s: Settings) -> tuple[np.ndarray, ...]:
+    """(text, start, place of the seed, windows, seed hash, two words of a content digest) of all bundles.
 
     Works on any number of symbols in pieces of bounded size.
     """
+    symbols, sizes = spelling.symbols, spelling.sizes
     ends = np.cumsum(sizes)
     found = []
     piece = SLICE_BYTES
@@ -91,22 +112,31 @@ def bundles(symbols: np.ndarray, sizes: np.ndarray, s: Settings) -> tuple[np.nda
         # a bundle ends before the next head, or before the next window that crosses into another text
         stops = np.append(np.flatnonzero(head | ~inside), len(marks))
         windows = stops[np.searchsorted(stops, heads, side="right")] - heads
-        content = rolling.ranges(heads, heads + windows + s.length - 1)
+        content = digests(spelling.pieces(heads + at, heads + at + windows + s.length - 1), len(heads))
         off = marks[heads] - heads
-        content = mix64(content + (off << 20 | windows).astype(np.uint64) * U(0x9E3779B97F4A7C15))
         t = np.searchsorted(ends, heads + at, side="right")
-        found.append((t, heads + at - (ends - sizes)[t], off, windows, hashes[marks[heads]], content))
+        found.append((t, heads + at - (ends - sizes)[t], off, windows, hashes[marks[heads]], content[:, 0] ^ mix64(off.astype(np.uint64)), content[:, 1].copy()))
     if not found:
-        return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        return (*(np.zeros(0, np.int64) for _ in range(4)), *(np.zeros(0, np.uint64) for _ in range(3)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def later(group: np.ndarray, doc: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (group, doc, start): which are later than their group's first, and group heads."""
-    heads = np.ones(len(group), bool)
-    heads[1:] = group[1:] != group[:-1]
-    first = np.flatnonzero(heads)[np.cumsum(heads) - 1]
-    return ((doc > doc[first]) | (within & (doc == doc[first]) & (start > start[first]))), heads
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Rows that differ from the one before in any column."""
+    heads = np.ones(len(columns[0]), bool)
+    heads[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+    return heads
+
+
+def firsts(heads: np.ndarray) -> np.ndarray:
+    """For each row the first row of its group."""
+    return np.flatnonzero(heads)[np.cumsum(heads) - 1]
+
+
+def later(heads: np.ndarray, doc: np.ndarray, start: np.ndarray, within: bool) -> np.ndarray:
+    """For rows sorted by group, doc and start: which are later than their group's first."""
+    first = firsts(heads)
+    return (doc > doc[first]) | (within & (doc == doc[first]) & (start > start[first]))
 
 
 def merged_ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,20 +157,20 @@ def merged_ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return doc[new], start[new], reach[last]
 
 
-MARK = "kind byte, h long, c long, doc long, start long, off int, windows int"
+MARK = "kind byte, h long, c long, d long, doc long, start long, off int, windows int"
 #: Kinds of rows: a bundle to be compared, a range to be removed.
 BUNDLE, RANGE = 0, 1
 
 
-def _rows(kind: int, h: np.ndarray, c: np.ndarray, doc: np.ndarray, start: np.ndarray, off: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(start), pa.array(off.astype(np.int32)), pa.array(windows.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "h", "c", "doc", "start", "off", "windows"])
+def _rows(kind: int, h: np.ndarray, c: np.ndarray, d: np.ndarray, doc: np.ndarray, start: np.ndarray, off: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(h), kind, np.int8), *(x.view(np.int64) for x in (h, c, d)), doc, start, off.astype(np.int32), windows.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "h", "c", "d", "doc", "start", "off", "windows"])
 
 
 def _range_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Ranges as rows: ``c`` holds the end."""
     none = np.zeros(len(doc), np.int64)
-    return _rows(RANGE, none, end, doc, start, none, none)
+    return _rows(RANGE, none, end, none, doc, start, none, none)
 
 
 def cover(docs: DataFrame, s: Settings) -> DataFrame:
@@ -151,15 +181,14 @@ def cover(docs: DataFrame, s: Settings) -> DataFrame:
             for part in text_slices(batch, "text"):
                 texts = [t or b"" for t in utf8_list(part.column("text"))]
                 ids = part.column("doc").to_numpy()
-                symbols, sizes = s.symbols(texts)
-                text, start, off, windows, h, c = bundles(symbols, sizes, s)
+                text, start, off, windows, h, c, d = bundles(s.spell(texts), s)
                 doc = ids[text]
-                order = np.lexsort((start, doc, c, h))
-                doc, start, off, windows, h, c = (x[order] for x in (doc, start, off, windows, h, c))
-                gone, _ = later(mix64(h) ^ c, doc, start, s.within)
+                order = np.lexsort((start, doc, d, c, h))
+                doc, start, off, windows, h, c, d = (x[order] for x in (doc, start, off, windows, h, c, d))
+                gone = later(changes(h, c, d), doc, start, s.within)
                 yield _range_rows(*merged_ranges(doc[gone], start[gone], (start + windows + s.length - 1)[gone]))
                 stay = ~gone
-                yield _rows(BUNDLE, *(x[stay] for x in (h, c, doc, start, off, windows)))
+                yield _rows(BUNDLE, *(x[stay] for x in (h, c, d, doc, start, off, windows)))
 
     return docs.mapInArrow(run, MARK)
 
@@ -173,18 +202,18 @@ def name(marks: DataFrame, s: Settings) -> DataFrame:
             columns = [x.to_numpy() for x in batch.columns]
             ready = columns[0] == RANGE
             if ready.any():
-                yield _range_rows(*merged_ranges(columns[3][ready], columns[4][ready], columns[2][ready]))
+                yield _range_rows(*merged_ranges(columns[4][ready], columns[5][ready], columns[2][ready]))
             rows = [x[~ready] for x in columns[1:]]
             live = np.ones(len(rows[0]), bool)
             if carry is not None:
                 live = np.concatenate([carry[-1], live])
                 rows = [np.concatenate([a, b]) for a, b in zip(carry[:-1], rows, strict=True)]
-            h, c, doc, start, off, windows = rows
+            h, c, d, doc, start, off, windows = rows
             if not len(h):
                 continue
-            new_seed = np.concatenate([[True], h[1:] != h[:-1]])
-            new_run = new_seed | np.concatenate([[True], c[1:] != c[:-1]])
-            gone, _ = later(np.cumsum(new_run), doc, start, s.within)
+            new_seed = changes(h)
+            new_run = changes(h, c, d)
+            gone = later(new_run, doc, start, s.within)
             seed_of = np.cumsum(new_seed) - 1
             runs = np.bincount(seed_of[new_run])
             emit = gone & live
@@ -204,13 +233,13 @@ def name(marks: DataFrame, s: Settings) -> DataFrame:
             carry = [*(x[wait] for x in rows), alive]
 
     spread = F.when(F.col("kind") == BUNDLE, F.col("h")).otherwise(F.xxhash64("doc", "start"))
-    return marks.repartition(spread).sortWithinPartitions("kind", "h", "c", "doc", "start").mapInArrow(run, MARK)
+    return marks.repartition(spread).sortWithinPartitions("kind", "h", "c", "d", "doc", "start").mapInArrow(run, MARK)
 
 
 FOUND = "kind byte, doc long, start long, end long, w long, v long"
 
 
-def _found(kind: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray, w: np.ndarray | None = None, v: np.ndarray | None = None) -> pa.RecordBatch:
+def _found(kind: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray, v: np.ndarray | None = None, w: np.ndarray | None = None) -> pa.RecordBatch:
     none = np.zeros(len(doc), np.int64)
     columns = [pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(start), pa.array(end), pa.array(none if w is None else w.view(np.int64)), pa.array(none if v is None else v.view(np.int64))]
     return pa.RecordBatch.from_arrays(columns, names=["kind", "doc", "start", "end", "w", "v"])
@@ -236,59 +265,81 @@ def unpack(packed: list[bytes | None]) -> list[bytes | None]:
     return [None if p is None else tool.decompress(p) for p in packed]
 
 
+def same_bytes(data: bytes, at: np.ndarray, first: np.ndarray, length: int) -> bool:
+    """Whether all windows (by their places ``at``) equal the first of their group, byte by byte."""
+    array, step = np.frombuffer(data, np.uint8), np.arange(length)
+    rest = np.flatnonzero(first != np.arange(len(at)))
+    for k in range(0, len(rest), 1 << 14):
+        mine = rest[k : k + (1 << 14)]
+        if (array[at[mine][:, None] + step] != array[at[first[mine]][:, None] + step]).any():
+            return False
+    return True
+
+
 def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> DataFrame:
     """FOUND rows: ranges of repeated windows, or (kind 1) single windows of very large seeds."""
-    wanted = open_bundles.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "off", "windows")).alias("wanted"))  # bounded by the text
+    wanted = open_bundles.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "windows")).alias("wanted"))  # bounded by the text
     met = packed_text(docs).join(wanted, "doc").select("doc", "packed", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lists = batch.column("doc").to_numpy(), batch.column("wanted")
             bounds = lists.offsets.to_numpy()
-            h, start, off, windows = (x.to_numpy().astype(np.int64) for x in lists.values.flatten())
+            h, start, windows = (x.to_numpy().astype(np.int64) for x in lists.values.flatten())
             size = windows + s.length - 1
             fits, payload = np.zeros(len(h), bool), []
             for row, text in enumerate(unpack(batch.column("packed").to_pylist())):
                 mine = slice(bounds[row], bounds[row + 1])
-                data = text or b"" if s.bytewise else s.symbols([text or b""])[0]
-                if not s.bytewise:
-                    every = Rolling(data).every(s.length) if len(data) >= s.length else data[:0]
+                spelling = s.spell([text or b""])
                 for i, (a, n) in enumerate(zip(start[mine].tolist(), size[mine].tolist(), strict=True), bounds[row]):
-                    if a + n <= len(data):  # else a repeated id with another text
+                    if a + n <= len(spelling.symbols):  # else a repeated id with another text
                         fits[i] = True
-                        payload.append(data[a : a + n] if s.bytewise else every[a : a + n - s.length + 1].tobytes())
+                        if s.bytewise:
+                            payload.append(spelling.buffer[a : a + n])
+                        else:
+                            each = np.arange(a, a + n - s.length + 1)
+                            payload.append(digests(spelling.pieces(each, each + s.length), len(each)).tobytes())
             doc = np.repeat(ids, np.diff(bounds))
-            columns = [pa.array(h[fits]), pa.array(doc[fits]), pa.array(start[fits]), pa.array(off[fits].astype(np.int32)), pa.array(payload, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "start", "off", "payload"])
+            columns = [pa.array(h[fits]), pa.array(doc[fits]), pa.array(start[fits]), pa.array(payload, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "start", "payload"])
 
-    fetched = met.mapInArrow(fetch, "h long, doc long, start long, off int, payload binary")
+    fetched = met.mapInArrow(fetch, "h long, doc long, start long, payload binary")
 
-    def windows_of(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-        """doc, start, and two hashes, of seed with its place and of content, for every window."""
+    def windows_of(parts: list[pa.RecordBatch], digest: bool) -> tuple[np.ndarray, ...]:
+        """doc, start and a 128-bit key (or for bytes without ``digest``: a hash, place in the bytes, and the bytes) of all windows."""
         t = pa.Table.from_batches(parts)
         payload = t.column("payload").to_pylist()
         size = np.array([len(x) for x in payload], np.int64)
-        if s.bytewise:
-            begin, n = np.cumsum(size) - size, size - s.length + 1
-            values = Rolling(BYTE_VALUE[np.frombuffer(b"".join(payload), np.uint8)]).every(s.length)
-        else:
-            n = size // 8
-            begin = np.cumsum(n) - n
-            values = np.frombuffer(b"".join(payload), np.uint64)
+        n = size - s.length + 1 if s.bytewise else size // 16
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        h, off = t.column("h").to_numpy().view(np.uint64), t.column("off").to_numpy().astype(np.int64)
-        key = mix64(h[row] + (off[row] - k).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-        return t.column("doc").to_numpy()[row], t.column("start").to_numpy()[row] + k, key, values[begin[row] + k]
+        doc, start = t.column("doc").to_numpy()[row], t.column("start").to_numpy()[row] + k
+        joined = b"".join(payload)
+        if not s.bytewise:
+            words = np.frombuffer(joined, np.uint64).reshape(-1, 2)
+            return doc, start, words[:, 0].copy(), words[:, 1].copy(), b""
+        at = (np.cumsum(size) - size)[row] + k
+        if digest:
+            words = digests((joined[a : a + s.length] for a in at.tolist()), len(at))
+            return doc, start, words[:, 0].copy(), words[:, 1].copy(), b""
+        return doc, start, Rolling(BYTE_VALUE[np.frombuffer(joined, np.uint8)]).every(s.length)[at], at.view(np.uint64), joined
+
+    def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        doc, start, v, w, joined = windows_of(parts, False)
+        order = np.lexsort((start, doc, v) if joined else (start, doc, w, v))
+        doc, start, v, w = (x[order] for x in (doc, start, v, w))
+        heads = changes(v) if joined else changes(v, w)
+        if joined and not same_bytes(joined, w.view(np.int64), firsts(heads), s.length):  # hashes met
+            exact = pa.array([joined[a : a + s.length] for a in w.tolist()], pa.binary()).dictionary_encode().indices.to_numpy()
+            order = np.lexsort((start, doc, exact))
+            doc, start, heads = doc[order], start[order], changes(exact[order])
+        gone = later(heads, doc, start, s.within)
+        return _found(0, *merged_ranges(doc[gone], start[gone], start[gone] + s.length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            doc, start, key, value = windows_of(parts)
-            both = mix64(key) ^ value
-            order = np.lexsort((start, doc, both))
-            doc, start = doc[order], start[order]
-            gone, _ = later(both[order], doc, start, s.within)
-            return _found(0, *merged_ranges(doc[gone], start[gone], start[gone] + s.length))
+        def single(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            doc, start, v, w, _ = windows_of(parts, True)
+            return _found(1, doc, start, start + s.length, v, w)
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -300,8 +351,7 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
                 if large is not None:  # a seed with very many bundles goes on
                     to = int(np.searchsorted(h, large, side="right"))
                     if to > at:
-                        doc, start, key, value = windows_of([batch.slice(at, to - at)])
-                        yield _found(1, doc, start, start + s.length, key, value)
+                        yield single([batch.slice(at, to - at)])
                     large, at = (large if to == len(h) else None), to
                     continue
                 cut = int(np.searchsorted(h, h[-1]))  # rows of the last seed may go on
@@ -315,8 +365,7 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
                 size += len(h) - at
                 at = len(h)
                 if size > s.group_rows:
-                    doc, start, key, value = windows_of(held)
-                    yield _found(1, doc, start, start + s.length, key, value)
+                    yield single(held)
                     held, size, large = [], 0, int(h[-1])
         if held:
             yield closed(held)
