@@ -57,8 +57,7 @@ def op5_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return metric_tree.top_inner_products(rows, rows.where(F.col("vec_id") % 100 == 0))
+    return metric_tree.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

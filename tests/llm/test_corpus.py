@@ -272,12 +272,20 @@ def test_chat(spark):
 def test_top_k(spark, tree_rows, page, pivots):
     rng = np.random.default_rng(5)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(600)]
-    vectors += [(600 + i, vectors[0][1]) for i in range(30)] + [(700, None), (701, [1.0, float("nan")] * 4), (702, [None] * 8), (703, [float("inf")] * 8), (704, [])]
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    got = metric_tree.top_inner_products(df, df.where("vec_id % 50 = 0"), tree_rows=tree_rows, page=page, pivots=pivots, block_rows=4).collect()
-    ints = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors[:630]}
-    want = {(q, r + 1, i, s) for q in ints if q % 50 == 0 for r, (s, i) in enumerate((-s, i) for s, i in sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q)[:10])}
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want
+    vectors += [(600 + i, vectors[0][1]) for i in range(30)] + [(100, vectors[100][1]), (100, vectors[7][1]), (101, [20000.0] + [0.0] * 7), (None, vectors[0][1])]
+    vectors += [(800, [1e9, 3.0] + [0.0] * 6), (801, [-1e9] + [0.0] * 7), (850, [20000.0] * 8), (704, []), (750, [0.0] * 8)]
+    usable = len(vectors)
+    vectors += [(700, None), (701, [1.0, float("nan")] * 4), (702, [None] * 8), (703, [float("inf")] * 8)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in vectors], "vec_id long, embedding array<float>, id string, row int")
+    got = metric_tree.top_inner_products(df, F.col("vec_id") % 50 == 0, tree_rows=tree_rows, page=page, pivots=pivots, share_rows=4).collect()
+    ints = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v] + [0] * (8 - len(v))) for i, v in vectors[:usable]]
+    clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+    want = Counter()
+    for n, (q, v) in enumerate(ints):
+        if q is not None and q % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i is None, i or 0) for m, (i, w) in enumerate(ints) if m != n)
+            want.update((q, r + 1, None if none else i, clip(-s)) for r, (s, none, i) in enumerate(scored[:10]))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
 
 
 def test_globs():
@@ -336,7 +344,7 @@ def test_empty_tables(empty, spark):
     assert langid.identify(empty, empty).count() == quality.judge_quality(empty).count() == bpe.round_trip(empty, tokenizer_file()).count() == 0
     assert mixing.mix_sources(empty.select("doc_id", F.lit(1).alias("size"), F.array("source").alias("sources")), "doc_id", "size", "sources").count() == 0
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert metric_tree.top_inner_products(vectors, vectors).count() == 0
+    assert metric_tree.top_inner_products(vectors, F.lit(True)).count() == 0
     assert chat.collapse_snapshots(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), []).count() == 0
 
