@@ -8,26 +8,30 @@ is mapped to its number of ones.  The Manhattan distance of two such vectors
 never exceeds the Hamming distance of the fingerprints.  The counts 0, 1, 2 are
 stored as 00, 01, 11, so that this distance is the bit count of an exclusive or.
 
-Grid range join: with radius r the vector is cut into three blocks; two vectors
-within distance r agree within r // 3 in one block at least.  Every fingerprint
-has a home cell per block (its coordinates there) and visits the cells within
-r // 3 that go up in the first coordinate that differs; of two neighbours one
-visits the other's home.  Cells meet in
-Spark partitions sorted by cell; pairs of a cell are tested first by Manhattan
+Grid range join: with radius r the 32 counts are dealt to b blocks, b > r; two
+vectors within distance r agree in b - r blocks at least.  Every choice of b - r
+blocks is a grid, whose cells are the counts in them, and every fingerprint is in
+one cell of each grid.  The number of blocks follows from the number of distinct
+fingerprints, so that a cell of evenly spread ones holds ``cell_goal`` at most,
+however many there are; it decides what is tested, not what is found.  Cells meet
+in Spark partitions sorted by cell; pairs of a cell are tested first by Manhattan
 distance, then exactly.  No cell gives all its pairs: from each partition come
-only the edges of a spanning forest.  There are at most 3^11 cells a block; one
-with more than ``cell_rows`` rows is dealt to several groups by pairs of salts.
+only the edges of a spanning forest.  A cell with more than ``cell_rows`` rows is
+dealt to several groups by pairs of salts.
 
 Components come from ``connected_components`` over distinct fingerprints.
 
 Edge cases: texts that are null or without a word have fingerprint zero and are
 linked like others; texts shorter than a shingle have one shingle of all their
-words; equal rows get equal results; an empty table gives an empty result.
+words; a very long text is hashed in parts; equal rows get equal results; a null
+id keeps its row, and is a component's name only where all its ids are null;
+other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_slices, utf8_list
+from .common import mix64, staged, text_slices, utf8_list
 from .components import connected_components
 
 SEED = 42
-#: Two-bit segments 0-31 dealt to three blocks.
-BLOCKS = (range(0, 11), range(11, 22), range(22, 32))
+SEGMENTS = 32
 SHINGLES_AT_ONCE = 1 << 15
-ROWS_AT_ONCE = 1 << 18
+FINGERPRINTS_AT_ONCE = 1 << 14
 PAIRS_AT_ONCE = 1 << 21
 #: In cells with more rows, neighbours are searched one at a time among those not yet reached.
 SMALL_CELL = 192
@@ -84,74 +87,40 @@ def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _moves(segments: int, reach: int) -> list[list[tuple[int, int]]]:
-    """Changes (segment, step) of Manhattan length 1 to ``reach``, the first step upwards.
+def grids(radius: int, distinct: int, cell_goal: int = 32) -> np.ndarray:
+    """A mask of the segments of each grid, for so many distinct fingerprints."""
+    for blocks in range(radius + 2, min(SEGMENTS, radius + 8) + 1):
+        if distinct <= cell_goal * 2.0 ** (1.5 * SEGMENTS * (blocks - radius) / blocks):
+            break
+    parts = np.array_split(np.arange(SEGMENTS), blocks)
+    masks = [sum(3 << 2 * int(s) for part in chosen for s in part) for chosen in combinations(parts, blocks - radius)]
+    return np.array(masks, np.uint64)
 
-    Of two cells that differ by such a change one has to go up first, so exactly one visits the other.
-    """
-    found: list[list[tuple[int, int]]] = []
 
-    def extend(move: list[tuple[int, int]], at: int, left: int) -> None:
-        if move:
-            found.append(move)
-        for s in range(at, segments):
-            for step in (1, 2, -1, -2):
-                if abs(step) <= left and (move or step > 0):
-                    extend([*move, (s, step)], s + 1, left - abs(step))
-
-    extend([], 0, reach)
-    return found
-
-
-#: Codes of the counts 0, 1, 2 and the count of each code.
-CODE = np.array([0, 1, 3], np.int64)
-COUNT = np.array([0, 1, -1, 2], np.int64)
-
-
-def visited_cells(fp: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(cells, fingerprints, probe): home cells in each block, then visits up to ``reach`` steps away."""
-    emb = _thermometer(fp.view(np.uint64)).view(np.int64)
-    for k, block in enumerate(BLOCKS):
-        home = (emb >> 2 * block.start) & ((1 << 2 * len(block)) - 1)
-        counts = COUNT[(home[:, None] >> (2 * np.arange(len(block)))) & 3]
-        yield home + (k << 22), fp, False
-        for move in _moves(len(block), reach):
-            cell, fits = home.copy(), np.ones(len(fp), bool)
-            for s, step in move:
-                now = counts[:, s] + step
-                fits &= (now >= 0) & (now <= 2)
-                cell += (CODE[np.clip(now, 0, 2)] - CODE[counts[:, s]]) << 2 * s
-            yield cell[fits] + (k << 22), fp[fits], True
-
-
-def _cell_rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["cell", "fp", "probe"])
-
-
-def grid_cells(reps: DataFrame, radius: int, cell_rows: int) -> DataFrame:
-    """(group, probe, fp): who meets in which cell; large cells are split by pairs of salts."""
+def grid_cells(reps: DataFrame, radius: int, cell_rows: int, distinct: int) -> DataFrame:
+    """(group, fp): who meets in which cell; large cells are split by pairs of salts."""
+    masks = grids(radius, distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for cell, fp, probe in visited_cells(batch.column("fp").to_numpy(), radius // 3):
-                held.append((cell, fp, np.full(len(cell), probe)))
-                size += len(cell)
-                if size > ROWS_AT_ONCE:
-                    yield _cell_rows(held)
-                    held, size = [], 0
-            if held:
-                yield _cell_rows(held)
-
-    cells = reps.select("fp").mapInArrow(run, "cell long, fp long, probe boolean")
+            fps = batch.column("fp").to_numpy()
+            for at in range(0, len(fps), FINGERPRINTS_AT_ONCE):
+                fp = fps[at : at + FINGERPRINTS_AT_ONCE]
+                emb = _thermometer(fp.view(np.uint64))
+                cells = [mix64((emb & mask) ^ mix64(np.uint64([k + 1]))) for k, mask in enumerate(masks)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.tile(fp, len(masks)))], names=["cell", "fp"])
+
+    cells = reps.select("fp").mapInArrow(run, "cell long, fp long")
+    if distinct <= cell_rows:  # then no cell can hold more
+        return cells.withColumnRenamed("cell", "group")
     large = cells.groupBy("cell").count().where(F.col("count") > cell_rows).select("cell", F.ceil(F.col("count") / cell_rows).cast("int").alias("salts"))
-    # At most 3 * 3^11 cells exist, whatever the input.
-    dealt = cells.join(F.broadcast(large), "cell", "left")
+    # At most one row for each cell_rows rows of cells; AQE broadcasts it only while it is small.
+    dealt = cells.join(large, "cell", "left")
     salt = F.pmod(F.xxhash64("fp"), F.coalesce("salts", F.lit(1))).cast("int")
     partners = F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)
-    pairs = F.transform(partners, lambda p: F.least(p, F.col("salt")).cast("long") * (1 << 18) + F.greatest(p, F.col("salt")))
-    dealt = dealt.withColumn("salt", salt).select("fp", "probe", "cell", F.explode(pairs).alias("pair"))
-    return dealt.select((F.col("pair") * (1 << 24) + F.col("cell")).alias("group"), "probe", "fp")
+    pairs = F.transform(partners, lambda p: F.least(p, F.col("salt")).cast("long") * (1 << 31) + F.greatest(p, F.col("salt")))
+    dealt = dealt.withColumn("salt", salt).select("fp", "cell", F.explode(pairs).alias("pair"))
+    return dealt.select(F.xxhash64("cell", "pair").alias("group"), "fp")  # groups that share a hash only test more pairs
 
 
 def _thermometer(fp: np.ndarray) -> np.ndarray:
@@ -208,15 +177,14 @@ def _link_large(fp: np.ndarray, radius: int, forest: Forest) -> None:
                 todo.extend(got)
 
 
-def _link_small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) -> None:
-    """All cells of few rows at once: each home row with the rows after it in its cell."""
-    homes = np.flatnonzero(~probe)
-    after = np.searchsorted(group, group[homes], side="right") - homes - 1
+def _link_small(group: np.ndarray, fp: np.ndarray, radius: int, forest: Forest) -> None:
+    """All cells of few rows at once: each row with the rows after it in its cell."""
+    after = np.searchsorted(group, group, side="right") - np.arange(len(group)) - 1
     total = np.concatenate([[0], np.cumsum(after)])
     at = 0
-    while at < len(homes):
+    while at < len(group):
         to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS_AT_ONCE, side="right")) - 1)
-        left = np.repeat(homes[at:to], after[at:to])
+        left = np.repeat(np.arange(at, to), after[at:to])
         right = left + 1 + np.arange(len(left)) - np.repeat(total[at:to] - total[at], after[at:to])
         a, b = fp[left], fp[right]
         hit = _close(a, b, radius)
@@ -230,13 +198,13 @@ def _link_small(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: in
 def link_cells(cells: DataFrame, radius: int) -> DataFrame:
     """Edges (a, b) of a spanning forest of the links found in each partition."""
 
-    def work(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, forest: Forest) -> None:
+    def work(group: np.ndarray, fp: np.ndarray, forest: Forest) -> None:
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(np.append(starts, len(group)))
         for s, n in zip(starts[sizes > SMALL_CELL], sizes[sizes > SMALL_CELL], strict=True):
             _link_large(fp[s : s + n], radius, forest)
         small = np.repeat(sizes <= SMALL_CELL, sizes)
-        _link_small(group[small], probe[small], fp[small], radius, forest)
+        _link_small(group[small], fp[small], radius, forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -244,7 +212,7 @@ def link_cells(cells: DataFrame, radius: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = (batch.column("group").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64))
+            new = (batch.column("group").to_numpy(), batch.column("fp").to_numpy().view(np.uint64))
             if new[0][0] == new[0][-1]:  # perhaps the middle of a cell
                 if held and held[-1][0][-1] != new[0][0]:
                     work(*map(np.concatenate, zip(*held, strict=True)), forest)
@@ -259,7 +227,7 @@ def link_cells(cells: DataFrame, radius: int) -> DataFrame:
             work(*map(np.concatenate, zip(*held, strict=True)), forest)
         yield forest.edges()
 
-    return cells.repartition("group").sortWithinPartitions("group", "probe").mapInArrow(run, "a long, b long")
+    return cells.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -273,7 +241,7 @@ def near_duplicates(
     """id, fp, component_id (smallest id reachable over links of at most ``radius`` bits)."""
     rows = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = staged(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
-    edges = link_cells(grid_cells(reps, radius, cell_rows), radius)
+    edges = link_cells(grid_cells(reps, radius, cell_rows, reps.count()), radius)
     roots = connected_components(edges)
     rooted = reps.join(roots.select(F.col("id").alias("fp"), "component"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))

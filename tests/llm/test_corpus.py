@@ -129,8 +129,8 @@ def test_simhash_documents(docs):
     assert {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in got} == {i: (brute_fingerprint(t, 4), want[i]) for i, t in texts.items()}
 
 
-@pytest.mark.parametrize(("radius", "cell_rows"), [(4, 20_000), (4, 3), (8, 20_000), (8, 5)])
-def test_grid_join_finds_all_links(spark, radius, cell_rows):
+@pytest.mark.parametrize(("radius", "cell_rows", "distinct"), [(4, 20_000, 100), (4, 3, 10**7), (4, 20_000, 10**9), (8, 5, 1000)])
+def test_grid_join_finds_all_links(spark, radius, cell_rows, distinct):
     rng = random.Random(radius)
     fps = {rng.getrandbits(64) for _ in range(40)} | {0, 2**64 - 1}
     for f in sorted(fps):
@@ -142,7 +142,7 @@ def test_grid_join_finds_all_links(spark, radius, cell_rows):
     want = components(dict(enumerate(fps)), radius)
     reps = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     parent = simhash.Forest()
-    for r in simhash.link_cells(simhash.grid_cells(reps, radius, cell_rows), radius).collect():
+    for r in simhash.link_cells(simhash.grid_cells(reps, radius, cell_rows, distinct), radius).collect():
         parent.link(r.a, r.b)
     got = {}
     for i, f in enumerate(fps):
