@@ -129,6 +129,11 @@ def _thermometer(fp: np.ndarray) -> np.ndarray:
     return ((fp | above) & even) | ((fp & above & even) << np.uint64(1))
 
 
+def segment_counts(fp: np.ndarray) -> np.ndarray:
+    """The embedding: for every two bits 00, 01 or 11, as 0, 1 or 2 of them are ones."""
+    return _thermometer(fp)
+
+
 def _close(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Indices of pairs within ``radius``: Manhattan bound first, then exactly."""
     maybe = np.flatnonzero(np.bitwise_count(_thermometer(a) ^ _thermometer(b)) <= radius)

@@ -188,12 +188,50 @@ def edited(docs=12, copies=12, seed=11):
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize(("small", "rounds"), [(64, 6), (2, 6), (1, 0)])
-def test_near_copies_by_exact_similarity(spark, small, rounds):
+@pytest.mark.parametrize("rounds", [2, 0])
+@pytest.mark.parametrize("dense", [near_copies.DENSE, 0])
+def test_near_copies_by_exact_similarity(spark, rounds, dense, monkeypatch):
+    """No wrong link, and nearly all right ones: all in groups where links support each other."""
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    monkeypatch.setattr(near_copies, "SMALL_CELL", 64 if dense else 1)
     texts = edited()
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, small=small, rounds=rounds).collect()}
-    assert got == similar(texts)
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()], "doc_id long, text string, id int, set_id string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(df, rounds=rounds).collect()}
+    want = similar(texts)
+    assert set(got) == set(want) and all(want[i] == want[c] for i, c in got.items())
+    assert len(set(got.values())) <= len(set(want.values())) + 1
+
+
+def test_recall_of_candidates_by_similarity(spark):
+    """Share of pairs that the grids find, by Jaccard similarity."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 200, 500]))]
+        for c in (0, 1, 2, 3, 4):
+            new = list(words)
+            for _ in range(c * len(words) // 110):
+                new[rng.randrange(len(new))] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(new).encode())
+    hashes, at = near_copies.shingle_sets(texts, 5)
+    sets = [set(hashes[at[i] : at[i + 1]].tolist()) for i in range(len(texts))]
+    fp = near_copies.fingerprints(hashes, at).view(np.int64)
+    columns = ["id", "n", *(f"f{k}" for k in range(near_copies.WORDS))]
+    reps = spark.createDataFrame([(i, len(sets[i]), *map(int, f)) for i, f in enumerate(fp)], ", ".join(f"{c} long" for c in columns))
+    met = near_copies.candidate_pairs(near_copies.cell_rows(reps, near_copies.grids(len(texts)))).where("b is not null").select("a", "b").distinct()
+    found = {(r.a, r.b) for r in met.collect()}
+    bands = {80: [0, 0], 85: [0, 0], 90: [0, 0]}
+    for g in range(0, len(texts), 5):
+        for i in range(g, g + 5):
+            for j in range(i + 1, g + 5):
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if 0.8 <= s < 1:
+                    band = bands[80 if s < 0.85 else 85 if s < 0.9 else 90]
+                    band[0] += (i, j) in found
+                    band[1] += 1
+    print(bands)
+    assert all(n >= 30 for _, n in bands.values())
+    assert bands[80][0] >= 0.95 * bands[80][1] and bands[85][0] >= 0.98 * bands[85][1] and bands[90][0] >= 0.99 * bands[90][1]
 
 
 def test_pipeline_drops_copies_from_similarity_080(spark):
@@ -376,7 +414,7 @@ def test_pipeline(spark, docs, tmp_path):
     texts = dict(distinct_texts(docs))
     lettered = {i: t for i, t in texts.items() if t and any(c.isalpha() for c in t)}
     assert {r.doc_id for r in counts["language_id"].collect()} == set(lettered)
-    groups = components({i: brute_fingerprint(t, 5) for i, t in lettered.items()}, 8)
+    groups = similar(lettered)
     kept = {i for i in groups if groups[i] == i}
     assert {r.doc_id for r in counts["near_dedup"].collect()} == kept
     seqs = sorted((i, tuple(lettered[i].encode().split())) for i in kept)
