@@ -122,11 +122,14 @@ def reduced(x: np.ndarray) -> np.ndarray:
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    """At least n powers of a base."""
-    table = _powers.get(base, np.ones(1, np.uint64))
-    while len(table) < n:
-        table = np.concatenate([table, reduced(table * np.uint64(pow(base, len(table), int(PRIME))))])
-    _powers[base] = table
+    """At least n powers of a base, in 32 bits."""
+    table = _powers.get(base, np.ones(1, np.uint32))
+    if len(table) < n:
+        size = max(n, SLICE_BYTES + (1 << 16))
+        while len(table) < size:
+            more = table[: size - len(table)].astype(np.uint64) * np.uint64(pow(base, len(table), int(PRIME)))
+            table = np.concatenate([table, reduced(more).astype(np.uint32)])
+        _powers[base] = table
     return table
 
 
