@@ -1,7 +1,7 @@
 """Suppression, deduplication and correlation over keyed windows of event time.
 
 Two correlations: ``correlate`` looks at the raw severities of earlier events
-(range windows, any scale); ``correlate_exact`` feeds boosted severities back
+(frames of the newest rows, any scale); ``correlate_exact`` feeds boosted severities back
 and appends each event to its best key only (an ordered fold for each tenant,
 so tenants are isolated from each other).
 """
@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detect import level_name, level_number
-from .windows import blocked, ordered_fold, own_rows, sliding
+from .windows import blocked, ordered_fold, own_rows
 
 RULE_CATEGORIES = ("sqli", "xss", "command_injection", "path_traversal", "ssrf", "log4shell", "ml_anomaly", "behavioral_anomaly")
 
@@ -55,47 +56,86 @@ def correlation_keys() -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{n}:"), c)) for n, c in named)))
 
 
-def correlate(events: DataFrame, ts_us: str, window_seconds: int = 60) -> DataFrame:
-    """Adds window_hits, window_types, correlated, reasons, final_severity, correlation_id, best_key.
+def _window_facts(history: Column, level: Column, mask: Column) -> Column:
+    """What a window shows: prior events, the highest level, categories (bits), and prior events by level."""
+    start = F.struct(level.alias("top"), mask.alias("mask"), *(F.lit(0).alias(n) for n in ("low", "high", "critical")))
 
-    A window holds the events of a key in the last ``window_seconds`` (far end
-    included) before the event.  Of an event's keys the one with the most hits
-    wins; on ties a later one only if it correlates.
+    def step(held: Column, x: Column) -> Column:
+        count = lambda name, n: (held[name] + (x["level"] == n).cast("int")).alias(name)
+        return F.struct(
+            F.greatest(held["top"], x["level"]).alias("top"),
+            held["mask"].bitwiseOR(x["mask"]).alias("mask"),
+            count("low", 1),
+            count("high", 3),
+            count("critical", 4),
+        )
+
+    return F.aggregate(history, start, step)
+
+
+def correlate(events: DataFrame, ts_us: str, window_seconds: int = 60, most: int = 100) -> DataFrame:
+    """Adds window_hits, window_types, correlated, correlation_reasons, final_severity, correlation_id, best_key.
+
+    A window holds the ``most`` newest events of a key before the event (in order
+    of time and id), as far as they lie in the last ``window_seconds`` (far end
+    included).  Of an event's keys the one with the most hits wins; on ties a
+    later one only if it correlates.
     """
     width = window_seconds * 1_000_000
     base = events.withColumn("_level", level_number(F.col("detected_severity"))).withColumn("_keys", correlation_keys())
-    slim = base.select("event_id", F.col(ts_us).alias("_ts"), "_level", F.col("threat_types").alias("_types"), F.posexplode("_keys").alias("_k", "_key"))
-    w = sliding(["_key"], "_ts", width, strict=False)
-    hits = F.count("*").over(w) - 1
-    indicator = {c: F.max(F.array_contains("_types", c)).over(w) for c in RULE_CATEGORIES}
-    counts = {f"_n{i}": F.sum((F.col("_level") == i).cast("int")).over(w) for i in (1, 3, 4)}
-    seen = own_rows(
-        blocked(slim, "_ts", width).select(
-            "event_id", "_k", "_key", "_own", "_block", "_level", hits.alias("_prior"), F.max("_level").over(w).alias("_max"),
-            F.array_compact(F.array(*(F.when(v, F.lit(c)) for c, v in indicator.items()))).alias("_union"), *(v.alias(n) for n, v in counts.items()),
-        )
-    )
-    prior_low, prior_high, prior_critical = (F.col(f"_n{i}") - (F.col("_level") == i).cast("int") for i in (1, 3, 4))
+    bits = [F.when(F.array_contains("threat_types", c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(RULE_CATEGORIES)]
+    mask = reduce(lambda x, y: x + y, bits)
+    slim = base.select("event_id", F.col(ts_us).alias("_ts"), "_level", mask.alias("_mask"), F.posexplode("_keys").alias("_k", "_key"))
+    newest = Window.partitionBy("_key", "_block").orderBy("_ts", "event_id").rowsBetween(-most, -1)
+    held = F.collect_list(F.struct(F.col("_ts").alias("ts"), F.col("_level").alias("level"), F.col("_mask").alias("mask"))).over(newest)
+    seen = own_rows(blocked(slim, "_ts", width).withColumn("_held", held))
+    seen = seen.withColumn("_held", F.filter("_held", lambda x: x["ts"] >= F.col("_ts") - width))
+    seen = seen.select("event_id", "_k", "_key", "_level", F.size("_held").alias("_prior"), _window_facts(F.col("_held"), F.col("_level"), F.col("_mask")).alias("_w"))
+    w = lambda name: F.col(f"_w.{name}")
+    high_now = (F.col("_level") >= 3).cast("int")
     reasons = F.array_compact(
         F.array(
-            F.when(F.size("_union") >= 2, F.lit("multiple threat types")),
+            F.when(F.bit_count(w("mask")) >= 2, F.lit("multiple threat types")),
             F.when(F.col("_prior") >= 5, F.lit("high frequency")),
-            F.when(F.col("_n3") + F.col("_n4") >= 2, F.lit("multiple high severity events")),
-            F.when((F.col("_prior") >= 3) & (((prior_low > 0) & (prior_high > 0)) | (prior_critical > 0)), F.lit("severity escalation")),
+            F.when(w("high") + w("critical") + high_now >= 2, F.lit("multiple high severity events")),
+            F.when((F.col("_prior") >= 3) & (((w("low") > 0) & (w("high") > 0)) | (w("critical") > 0)), F.lit("severity escalation")),
         )
     )
     each = seen.withColumn("_reasons", reasons).withColumn("_go", F.size("_reasons") > 0)
     # Best key: most hits, then the last that correlates, then the first.
     rank = F.struct(F.col("_prior"), F.col("_go").cast("int"), F.when(F.col("_go"), F.col("_k")).otherwise(-F.col("_k")))
-    best = each.groupBy("event_id").agg(F.max_by(F.struct("_key", "_prior", "_union", "_go", "_max", "_reasons"), rank).alias("_best"))
+    picked = F.struct("_key", "_prior", w("mask").alias("_mask"), "_go", w("top").alias("_top"), "_reasons")
+    best = each.groupBy("event_id").agg(F.max_by(picked, rank).alias("_best"))
     joined = base.join(best, "event_id", "left")
     b = lambda name: F.col(f"_best.{name}")
     go = F.coalesce(b("_go"), F.lit(False))
-    final = F.least(F.coalesce(b("_max"), F.col("_level")) + go.cast("int"), F.lit(4))
+    final = F.least(F.coalesce(b("_top"), F.col("_level")) + go.cast("int"), F.lit(4))
+    types = F.array_compact(F.array(*(F.when(b("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(RULE_CATEGORIES))))
+    single = F.concat(F.lit("single_"), F.substring(F.col("event_id").cast("string"), 1, 8))
     return joined.select(
-        *events.columns, F.coalesce(b("_prior") + 1, F.lit(1)).alias("window_hits"), F.coalesce(b("_union"), F.col("threat_types")).alias("window_types"), go.alias("correlated"), F.coalesce(b("_reasons"), F.array().cast("array<string>")).alias("correlation_reasons"),
-        level_name(final).alias("final_severity"), F.when(go, F.concat(F.lit("corr_"), F.substring(F.md5(b("_key")), 1, 12))).otherwise(F.concat(F.lit("single_"), F.substring(F.col("event_id").cast("string"), 1, 8))).alias("correlation_id"), b("_key").alias("best_key"),
-    )
+        *events.columns,
+        F.coalesce(b("_prior") + 1, F.lit(1)).alias("window_hits"),
+        F.when(b("_key").isNull(), F.col("threat_types")).otherwise(types).alias("window_types"),
+        go.alias("correlated"),
+        F.coalesce(b("_reasons"), F.array().cast("array<string>")).alias("correlation_reasons"),
+        level_name(final).alias("final_severity"),
+        F.when(go, F.concat(F.lit("corr_"), F.substring(F.md5(b("_key")), 1, 12))).otherwise(single).alias("correlation_id"),
+        b("_key").alias("best_key"),
+    )
+
+
+def uncorrelated(events: DataFrame) -> DataFrame:
+    """The columns of ``correlate`` for events that have no place in time: each stands alone."""
+    return events.select(
+        *events.columns,
+        F.lit(1).alias("window_hits"),
+        F.col("threat_types").alias("window_types"),
+        F.lit(False).alias("correlated"),
+        F.array().cast("array<string>").alias("correlation_reasons"),
+        F.col("detected_severity").alias("final_severity"),
+        F.concat(F.lit("single_"), F.substring(F.col("event_id").cast("string"), 1, 8)).alias("correlation_id"),
+        F.lit(None).cast("string").alias("best_key"),
+    )
 
 
 EXACT = "exact struct<window_hits:int,window_types:array<string>,correlated:boolean,final_severity:string,best_key:string,correlation_id:string>"
@@ -109,6 +149,8 @@ def correlate_exact(events: DataFrame, ts_us: str, window_seconds: int = 60, mos
 
     def step(state: dict, values: tuple) -> dict:
         event_id, ts, severity, types, keys = values
+        if not len(keys):
+            return {"window_hits": 1, "window_types": list(types), "correlated": False, "final_severity": severity, "best_key": None, "correlation_id": "single_" + str(event_id)[:8]}
         best = None
         for key in keys:
             held = state.get(key, deque(maxlen=most))
@@ -128,7 +170,7 @@ def correlate_exact(events: DataFrame, ts_us: str, window_seconds: int = 60, mos
         mark = "corr_" + hashlib.md5(key.encode()).hexdigest()[:12] if go else "single_" + str(event_id)[:8]
         return {"window_hits": prior + 1, "window_types": union, "correlated": bool(go), "final_severity": names[final], "best_key": key, "correlation_id": mark}
 
-    keyed = events.withColumn("_keys", correlation_keys()).where(F.size("_keys") > 0)
+    keyed = events.withColumn("_keys", correlation_keys())
     return ordered_fold(keyed, ["tenant"], [ts_us, "event_id"], ["event_id", ts_us, "detected_severity", "threat_types", "_keys"], EXACT, dict, step).drop("_keys")
 
 

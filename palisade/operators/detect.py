@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import warnings
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LEVELS, RULES, RULES_CORRECTED
@@ -13,12 +16,34 @@ from .windows import settled
 
 Rule = tuple[str, str, str]
 
+#: Words of which a text that a rule hits has one at least (lower case), by the rule's place; none: the pattern decides alone.
+HINTS: tuple[tuple[str, ...], ...] = (
+    ("union", "select", "insert", "delete", "update"),
+    ("table",),
+    ("information_schema", "union", "="),
+    ("waitfor", "pg_sleep", "benchmark", "dbms_pipe"),
+    ("union", "select", "insert", "delete", "update", "drop", "alter"),
+    ("<script", "javascript:", "onerror", "onload", "alert"),
+    ("<iframe", "<object", "<embed", "document.", "window."),
+    ("script", "="),
+    ("document.", "window.", "alert", "prompt", "confirm"),
+    ("expression", "eval", "fromcharcode"),
+    (),
+    ("/bin/", "/usr/", "cmd.exe", "powershell"),
+    ("||", "&&", ";", "`", "$(", "-l", "-e"),
+    ("/bin/", "cmd.exe", "powershell.exe", "wscript.exe"),
+    ("..", "/etc/", "windows"),
+    ("://",),
+    ("localhost", "127.0.0.1", "192.168.", "10.", "172."),
+    ("${",),
+)
+
 
 def rule_set(name: str = "v1", extra: Sequence[Rule] = ()) -> list[Rule]:
     """Rules by category order: v1 as published, v2 with the slipped patterns corrected; ``extra`` ones lead their category."""
     rules = [RULES_CORRECTED.get(i, r) if name == "v2" else r for i, r in enumerate(RULES)]
     order = list(dict.fromkeys(r[0] for r in RULES))
-    return sorted([*(r for r in extra if r[0] in order), *rules], key=lambda r: order.index(r[0]))
+    return sorted([*usable_rules([r for r in extra if r[0] in order]), *rules], key=lambda r: order.index(r[0]))
 
 
 def level_number(level: Column) -> Column:
@@ -38,12 +63,45 @@ def detection_text() -> Column:
     return F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (F.col("message"), F.col("http_path"), pairs, F.col("cloud_action"))))
 
 
+def usable_rules(rules: Sequence[Rule]) -> list[Rule]:
+    """The rules whose pattern compiles; others are left out with a warning."""
+    kept = []
+    for rule in rules:
+        try:
+            re.compile(rule[2])
+        except re.error as e:
+            warnings.warn(f"rule pattern left out: {rule[2]!r} ({e})", stacklevel=2)
+        else:
+            kept.append(rule)
+    return kept
+
+
 def rule_matches(text: Column, rules: Sequence[Rule]) -> Column:
-    """Array of (rule, category, severity, level) of the rules that hit, in rule order: one pass, no join."""
-    hits = [F.when(text.rlike(p), F.struct(F.lit(i + 1).alias("rule"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(LEVELS[s]).alias("level"))) for i, (c, s, p) in enumerate(rules)]
+    """Array of (rule, category, severity, level) of the rules that hit, in rule order: one pass, no join.
+
+    A built-in pattern runs only on texts that have one of the words that it needs.
+    """
+    low = F.lower(text)
+    needs = {r[2]: HINTS[i] for i, r in enumerate(RULES)} | {r[2]: HINTS[i] for i, r in RULES_CORRECTED.items()}
+
+    def hit(pattern: str) -> Column:
+        words = needs.get(pattern, ())
+        found = text.rlike(pattern)
+        return reduce(lambda x, y: x | y, (low.contains(w) for w in words)) & found if words else found
+
+    hits = [
+        F.when(hit(p), F.struct(F.lit(i + 1).alias("rule"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(LEVELS[s]).alias("level")))
+        for i, (c, s, p) in enumerate(rules)
+    ]
     return F.array_compact(F.array(*hits))
 
 
+def rules_per_category(spark: SparkSession, rules: Sequence[Rule] | None = None) -> DataFrame:
+    """category, rules: how many rules there are of each."""
+    rows = [(c, p) for c, _, p in rules or rule_set()]
+    return spark.createDataFrame(rows, "category string, pattern string").groupBy("category").agg(F.count("*").alias("rules"))
+
+
 def detect(events: DataFrame, rules: Sequence[Rule] | None = None, anomaly_threshold: float = 0.7) -> DataFrame:
     """Adds threat_types, matched_rules, severity of the detection, confidence, reason and excerpt.
 

@@ -49,21 +49,21 @@ def parse_lines(lines: DataFrame, strict_formats: bool = False) -> DataFrame:
     fmt = line_format(v)
     if strict_formats:
         fmt = F.when((fmt == "cloud_audit") & v.rlike(r"^\S+\s+(INFO|WARN|WARNING|ERROR|DEBUG|CRITICAL)\s"), "container").when((fmt == "cloud_audit") & v.rlike(r"(?i)^\S+\s+\S+\s+\S+\s+(SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER)\s"), "database_audit").otherwise(fmt)
-    df = lines.withColumn("format", fmt)
-    f = F.col("format")
+    df = lines.withColumn("_format", fmt)
+    f = F.col("_format")
     web = f.isin("nginx_combined", "apache_common")
     # One array of groups for each line, made by the pattern of its format only.
     part = lambda pattern, i: F.regexp_extract(v, pattern, i)
     df = df.withColumn(
-        "g",
+        "_groups",
         F.when(f == "nginx_combined", F.array(*(part(NGINX, i) for i in range(1, 9))))
         .when(f == "apache_common", F.array(*(part(APACHE, i) for i in range(1, 7))))
         .when(f == "cloud_audit", F.array(*(part(CLOUD, i) for i in range(1, 7))))
         .when(f == "container", F.array(*(part(CONTAINER, i) for i in range(1, 6))))
         .when(f == "database_audit", F.array(*(part(DATABASE, i) for i in range(1, 6)))),
-    ).withColumn("j", F.when(f == "json", F.from_json(v, JSON_FIELDS)))
-    g = lambda i: F.try_element_at("g", F.lit(i))
-    j = lambda name: F.col(f"j.`{name}`")
+    ).withColumn("_json", F.when(f == "json", F.from_json(v, JSON_FIELDS)))
+    g = lambda i: F.try_element_at("_groups", F.lit(i))
+    j = lambda name: F.col(f"_json.`{name}`")
     words = F.split(g(4), " ")
     target = F.try_element_at(words, F.lit(2))
     is_ = lambda *names: f.isin(*names)
@@ -98,9 +98,9 @@ def parse_lines(lines: DataFrame, strict_formats: bool = False) -> DataFrame:
     source = F.col("source") if "source" in lines.columns else F.lit("")
     number = F.col("line_number").cast("string") if "line_number" in lines.columns else F.lit("")
     event_id = [F.sha2(F.concat_ws("|", source, number, v), 256).alias("event_id")] if "event_id" not in lines.columns else []
-    kept = [c for c in lines.columns if c not in columns]
+    kept = [c for c in lines.columns if c not in columns and c != "format"]
     tenant_given = {"tenant": F.coalesce(F.col("tenant"), columns["tenant"])} if "tenant" in lines.columns else {}
-    parsed = df.select(*kept, "format", *event_id, *((columns | tenant_given)[n].alias(n) for n in columns))
+    parsed = df.select(*kept, f.alias("format"), *event_id, *((columns | tenant_given)[n].alias(n) for n in columns))
     return parsed
 
 

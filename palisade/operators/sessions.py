@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import blocked, own_rows, sliding
+from .windows import sliding_totals
 
 
 def session_key() -> Column:
@@ -19,16 +19,19 @@ def session_features(events: DataFrame, key: str, ts_us: str, dims: dict[str, st
     Rows without a key or time have null features.
     """
     width = seconds * 1_000_000
-    known = events.where(F.col(key).isNotNull() & F.col(ts_us).isNotNull()).withColumn("_error", error.cast("long")).withColumn("_length", length)
-    w = sliding([key], ts_us, width, strict=True)
-    sets = {name: F.size(F.collect_set(col).over(w)).cast("long") for name, col in dims.items()}
-    span = (F.max(ts_us).over(w) - F.min(ts_us).over(w)) / 1_000_000
-    count = F.count("*").over(w)
-    out = blocked(known, ts_us, width).select(
-        *known.columns, "_block", "_own", count.alias("event_count"), *(c.alias(n) for n, c in sets.items()), F.coalesce(F.sum("_error").over(w), F.lit(0)).alias("error_count"),
-        F.avg("_length").over(w).alias("avg_length"), span.alias("time_span"), F.when(span > 0, count / span).otherwise(0.0).alias("requests_per_second"),
-    )
-    found = own_rows(out).drop("_error", "_length")
+    known = events.where(F.col(key).isNotNull() & F.col(ts_us).isNotNull())
+    sums = {"_errors": error.cast("long"), "_lengths": length, "_measured": length.isNotNull().cast("long")}
+    totals = sliding_totals(known, key, ts_us, width, sums, dims)
+    span = (F.col(ts_us) - F.col("first_us")) / 1_000_000
+    found = totals.select(
+        *events.columns,
+        "event_count",
+        *dims,
+        F.col("_errors").cast("long").alias("error_count"),
+        F.try_divide("_lengths", "_measured").alias("avg_length"),
+        span.alias("time_span"),
+        F.when(span > 0, F.col("event_count") / span).otherwise(0.0).alias("requests_per_second"),
+    )
     missing = events.where(F.col(key).isNull() | F.col(ts_us).isNull())
     return found.unionByName(missing, allowMissingColumns=True)
 

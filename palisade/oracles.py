@@ -98,9 +98,11 @@ threat AS (SELECT *, CASE detected_severity WHEN 'critical' THEN 4 WHEN 'high' T
   list_filter([CASE WHEN source_ip IS NOT NULL THEN 'ip:' || source_ip END, 'tenant:' || tenant, CASE WHEN nullif(remote_user, '-') IS NOT NULL THEN 'user:' || remote_user END,
     CASE WHEN coalesce(user_agent, '') <> '' THEN 'ua:' || substr(md5(user_agent), 1, 8) END], lambda x: x IS NOT NULL) AS keys FROM detected WHERE len(types) > 0),
 keyed AS (SELECT event_id, ts_us, level_no, types, unnest(keys) AS key, generate_subscripts(keys, 1) - 1 AS k FROM threat),
-windowed AS (SELECT event_id, key, k, level_no, count(*) OVER w - 1 AS prior, max(level_no) OVER w AS top, list_distinct(flatten(list(types) OVER w)) AS u,
-  sum((level_no = 1)::INT) OVER w - (level_no = 1)::INT AS p1, sum((level_no = 3)::INT) OVER w - (level_no = 3)::INT AS p3, sum((level_no = 4)::INT) OVER w - (level_no = 4)::INT AS p4,
-  sum((level_no >= 3)::INT) OVER w AS n34 FROM keyed WINDOW w AS (PARTITION BY key ORDER BY ts_us RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW)),
+newest AS (SELECT event_id, key, k, level_no, types, ts_us, coalesce(list({{'t': ts_us, 'l': level_no, 'c': types}}) OVER (PARTITION BY key ORDER BY ts_us, event_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), []) AS h FROM keyed),
+held AS (SELECT *, list_filter(h, lambda x: x.t >= ts_us - {DAY}) AS p FROM newest),
+windowed AS (SELECT event_id, key, k, level_no, len(p) AS prior, greatest(level_no, coalesce(list_max(list_transform(p, lambda x: x.l)), 0)) AS top, list_distinct(list_concat(types, flatten(list_transform(p, lambda x: x.c)))) AS u,
+  len(list_filter(p, lambda x: x.l = 1)) AS p1, len(list_filter(p, lambda x: x.l = 3)) AS p3, len(list_filter(p, lambda x: x.l = 4)) AS p4,
+  len(list_filter(p, lambda x: x.l >= 3)) + (level_no >= 3)::INT AS n34 FROM held),
 judged AS (SELECT *, (len(u) >= 2 OR prior >= 5 OR n34 >= 2 OR (prior >= 3 AND ((p1 > 0 AND p3 > 0) OR p4 > 0))) AS go FROM windowed),
 best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY prior DESC, go DESC, CASE WHEN go THEN k ELSE -k END DESC) AS r FROM judged),
 correlated AS (SELECT t.*, prior + 1 AS window_hits, {types_of('u')} AS wtypes, go, least(top + go::INT, 4) AS final_no, {NAMES.format(x='least(top + go::INT, 4)')} AS final_severity, key AS best_key,

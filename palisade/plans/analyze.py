@@ -13,7 +13,7 @@ from ..operators.detect import detect, rule_set, threats
 from ..operators.ml import TextModel
 from ..operators.normalize import normalize_events
 from ..operators.parse import for_tenant, parse_lines, with_decoded_query
-from ..operators.windows import micros
+from ..operators.windows import micros, settled
 from ..options import PipelineOptions
 
 
@@ -35,12 +35,15 @@ def detections(lines: DataFrame, options: PipelineOptions = PipelineOptions(), t
 
 def analyze(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tenant: str | None = None, model: TextModel | None = None, suppressions: DataFrame | None = None) -> Analysis:
     """Threats with a time are suppressed, deduplicated, correlated and answered; those without pass uncorrelated."""
-    detected = detections(lines, options, tenant, model)
-    found = threats(detected).where("ts_us is not null")
+    detected = detections(settled(lines), options, tenant, model)
+    found = threats(detected)
+    timed, untimed = found.where("ts_us is not null"), found.where("ts_us is null")
     if suppressions is not None:
-        found = co.suppress(found, suppressions, "ts_us")
-    unique = co.leading_edge(found.withColumn("fingerprint", co.fingerprint()), "fingerprint", "ts_us", "event_id", options.dedup_ttl).where("kept").drop("kept")
-    correlated = co.correlate(unique, "ts_us", options.window_seconds)
+        timed = co.suppress(timed, suppressions, "ts_us")
+    marked = timed.withColumn("fingerprint", co.fingerprint())
+    unique = co.leading_edge(marked, "fingerprint", "ts_us", "event_id", options.dedup_ttl).where("kept").drop("kept")
+    correlated = co.correlate(unique, "ts_us", options.window_seconds, options.max_events_per_window)
+    correlated = correlated.unionByName(co.uncorrelated(untimed.withColumn("fingerprint", co.fingerprint())))
     planned = re_.idempotent_actions(re_.plan_actions(correlated, "ts_us"), options.idempotency_ttl)
     tied = planned.withColumn("_tenant", F.coalesce(F.col("target.tenant"), F.lit("")))
     limited = re_.rate_limited(tied, ["_tenant"], "ts_us", "action_id", options.max_actions_per_second).where("admitted").drop("_tenant", "admitted")
