@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +23,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(file))
         _sent.add(context.applicationId)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores is dealt to all cores; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import ship
+from .cluster import ship, spread
 from .functions.masking import masked
 from .functions.net import http_method, http_path, location, normal_ip, query_pairs, severity_level, user_agent
 from .functions.text import decoded, deobfuscated, without_evasion
@@ -20,7 +20,7 @@ from .operators.ml import TextModel, isolation_scores, training_samples, with_fe
 from .operators.normalize import normalize_events
 from .operators.parse import for_tenant, parse_lines, with_decoded_query
 from .operators.sessions import session_features, with_history
-from .operators.windows import micros
+from .operators.windows import micros, settled
 from .options import settings_diff, settings_table
 from .plans.analyze import analyze
 from .sources.ingest import clean_lines
@@ -33,7 +33,7 @@ DAY = 86_400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,8 @@ def top_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _toxic_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = texts.select("doc_id", F.array_distinct(F.transform(rule_matches(F.col("text"), rule_set()), lambda m: m["category"])).alias("types")).where(F.size("types") > 0)
+    categories = F.array_distinct(F.transform(rule_matches(F.col("text"), rule_set()), lambda m: m["category"]))
+    hits = settled(texts.select("doc_id", categories.alias("types"))).where(F.size("types") > 0)
     wanted = F.when(F.col("toxic") == 1, F.array(F.lit("command_injection"), F.lit("sqli"))).otherwise(F.array(F.lit("ssrf"), F.lit("command_injection")))
     return table(spark, sf_dir, "labels").select("doc_id", wanted.alias("types")), hits
 
