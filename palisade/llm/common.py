@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from ..cluster import ship, spread
 
 #: A word: a run of anything but ASCII white space.  ``bytes.split()`` cuts the same words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,7 +69,7 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -4,30 +4,34 @@ Base features are counted on whole texts: words, code points in words, symbols,
 repeated lines and words in repeated three-word windows.
 
 Perplexity: an interpolated Kneser-Ney model with modified discounts (three for
-each order) over characters, one model for each language group.  Characters are
-folded to 64 classes, so a model has at most 64^4 entries however large the
-corpus is.  Tasks count n-grams, Spark adds the counts, derives continuation
-counts, counts of counts, discounts and back-off weights; the result is stored
-in sorted hash arrays (one of keys, one of values for each order) that tasks
-search.  Models are sent out in passes over languages that fit ``model_mb``
-together.
-
-Bands: of all documents of a language group, the median of log perplexity and
-the median distance from it are exact (histograms of thousandths); documents
-further than ``low_width`` such distances below or ``high_width`` above it are
-rejected.  For texts of fewer than ``full_chars`` characters, whose mean is less
-certain, the band is wider by the square root of the ratio.
+each order) over code points in lower case, runs of white space being one blank;
+one model for each language and one for all languages together.  Nothing is
+folded, so that models grow with the corpus.  Tasks count n-grams, Spark adds the
+counts, derives continuation counts, counts of counts, discounts and back-off
+weights; the result is stored in sorted arrays (one of keys, one of values for
+each order) that tasks search.  Models are sent out in passes of at most
+``model_mb``.  The model of a language that is larger is cut by the last letter
+but one, which all look-ups of an n-gram share, so that every pass adds its part.
+
+Bands: of all documents of a language, the median of log perplexity and the
+median distance from it are exact (histograms of thousandths); the distance is
+drawn to that of all documents as if ``prior_docs`` documents had it, so that rare
+languages have a sound band.  Documents further than ``low_width`` such distances
+below their language's median are rejected, and those further than ``high_width``
+above it both for their own language and for all languages together: a text in
+several languages is unusual for one of them only, garbled text for all.  For
+texts of fewer than ``full_chars`` characters, whose mean is less certain, the
+band is wider by the square root of the ratio, at most ``most_wider`` times.
 
 Edge cases: a null text has no words; documents that fail a base rule are never
-kept; a text without characters has no perplexity and fails the base rules; languages with fewer than
-``min_docs`` documents (null included) share the group ``other``; repeated rows
-are judged and counted each; other columns are not looked at; an empty table
-gives an empty result.
+kept; a text without characters has no perplexity and fails the base rules; a null
+language is one of its own; null and repeated ids keep their rows, each judged and
+counted; a very long text has to fit a task; other columns are not looked at; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,33 +43,25 @@ from .common import Words, mix64, staged, text_slices, utf8_list
 
 #: The symbols of the base rules.
 SYMBOLS = b"#*$%&|<>"
-ORDER, BITS = 4, 6
-REST = "other"
+ORDER, BITS = 3, 21
+#: The group of all languages together, and of a null language.
+ALL, NO_LANGUAGE = "*", "-"
+
+ENTRY_BYTES = 16
 
 _classes: list[np.ndarray] = []
 
 
-def character_classes() -> np.ndarray:
-    """Class (0-63) of each code point: 0 blank, 1-26 a-z, 27-54 other letters, then digits and marks."""
+def lower_points() -> np.ndarray:
+    """Each code point in lower case; 0 for white space."""
     if not _classes:
-        points = np.arange(0x110000, dtype=np.uint64)
-        table = np.full(0x110000, 62, np.uint64)  # other characters
+        table = np.arange(0x110000, dtype=np.uint32)
         for cp in range(0x110000):
             c = chr(cp)
             if c.isspace():
                 table[cp] = 0
-            elif "a" <= (low := c.lower()[0]) <= "z":
-                table[cp] = ord(low) - 96
-            elif c.isalpha():
-                table[cp] = 27 + int(mix64(points[ord(low) : ord(low) + 1])[0] % np.uint64(28))
-            elif c.isnumeric():
-                table[cp] = 55
-        for k, marks in enumerate((".", ",;:", "!?", "'\"()[]{}-", SYMBOLS.decode())):
-            for c in marks:
-                table[ord(c)] = 56 + k
-        for c in string.punctuation:
-            if table[ord(c)] == 62:
-                table[ord(c)] = 61
+            elif c.isupper():
+                table[cp] = ord(c.lower()[0])
         _classes.append(table)
     return _classes[0]
 
@@ -74,7 +70,7 @@ def char_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Packed ORDER-grams of a slice of texts (blank before each, blank runs as one) and the text of each."""
     lead = " " * (ORDER - 1)
     joined = "".join(lead + (t or "") for t in texts)
-    points = character_classes()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)]
+    points = lower_points()[np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)].astype(np.uint64)
     sizes = np.array([len(t or "") + ORDER - 1 for t in texts], np.int64)
     of = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -113,7 +109,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array([group] * len(keys)), pa.array(keys), pa.array(counts)], names=["grp", "g", "c"])
 
-    return docs.mapInArrow(run, "grp string, g long, c long").groupBy("grp", "g").agg(F.sum("c").alias("c"))
+    each = staged(docs.mapInArrow(run, "grp string, g long, c long").groupBy("grp", "g").agg(F.sum("c").alias("c")), "languages")
+    return each.union(each.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(ALL), "g", "c"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -146,31 +143,46 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
 
 class CharModel:
-    """Sorted arrays of one language group: for each order n-grams with values and contexts with back-off weights."""
+    """Sorted arrays of one language, or of one part of it: for each order n-grams with values and contexts with back-off weights."""
 
-    def __init__(self, n: np.ndarray, g: np.ndarray, value: np.ndarray, backoff: np.ndarray):
-        self.values, self.backoffs = [], []
+    def __init__(self, n: np.ndarray, g: np.ndarray, value: np.ndarray, backoff: np.ndarray, part: int = 0, parts: int = 1):
+        self.values, self.backoffs, self.part, self.parts = [], [], part, parts
         for order in range(1, ORDER + 1):
             for x, table in ((value, self.values), (backoff, self.backoffs)):
                 at = np.flatnonzero((n == order) & ~np.isnan(x))
                 at = at[np.argsort(g[at], kind="stable")]
-                table.append((g[at].astype(np.int32), x[at].astype(np.float32)))
+                table.append((g[at], x[at].astype(np.float32)))
+        self.floor = 1 / (len(self.values[0][0]) + 1)  # an even share for characters never seen
 
     @staticmethod
     def look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, absent: float) -> np.ndarray:
         sorted_keys, x = table
         if not len(sorted_keys):
             return np.full(len(keys), absent)
-        at = np.minimum(np.searchsorted(sorted_keys, keys.astype(np.int32)), len(sorted_keys) - 1)
+        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
         return np.where(sorted_keys[at] == keys, x[at], absent).astype(np.float64)
 
     def surprise(self, grams: np.ndarray) -> np.ndarray:
-        """-ln p of the last character of each ORDER-gram."""
-        p = np.full(len(grams), 1 / (1 << BITS))
+        """-ln p of the last character of each ORDER-gram; 0 for those of another part."""
+        p = np.full(len(grams), self.floor)
         for order in range(1, ORDER + 1):
             keys = grams & ((1 << BITS * order) - 1)
             p = self.look_up(self.values[order - 1], keys, 0.0) + self.look_up(self.backoffs[order - 1], keys >> BITS, 1.0) * p
-        return -np.log(np.maximum(p, 1e-300))
+        mine = self.parts == 1 or part_of(grams >> BITS, self.parts) == self.part
+        return np.where(mine, -np.log(np.maximum(p, 1e-300)), 0.0)
+
+
+def part_of(context: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a model that a context belongs to, by its last letter."""
+    return (context & ((1 << BITS) - 1)) % parts
+
+
+def model_part(model: DataFrame, group: str, part: int, parts: int) -> CharModel:
+    """Arrays of one part of a language's model; orders of one letter are in every part."""
+    last = F.when(F.col("value").isNotNull(), F.shiftright("g", BITS)).otherwise(F.col("g"))
+    mine = (F.col("n") == 1) | (F.pmod(last.bitwiseAND(F.lit((1 << BITS) - 1)), F.lit(parts)) == part)
+    t = model.where((F.col("grp") == group) & mine).select("n", "g", "value", "backoff").toArrow()  # at most model_mb
+    return CharModel(*(t.column(c).to_numpy() for c in ("n", "g")), *(t.column(c).cast(pa.float64()).to_numpy() for c in ("value", "backoff")), part, parts)
 
 
 def base_features(texts: list[bytes | None]) -> dict[str, np.ndarray]:
@@ -201,12 +213,15 @@ def base_features(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     return {k: x.astype(np.int64) for k, x in out.items()}
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, lang_col: str, min_docs: int) -> tuple[DataFrame, list[str]]:
-    """id, text and grp; the names of the groups."""
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(REST))
-    common = [r.lang for r in docs.groupBy(lang.alias("lang")).count().where(F.col("count") >= min_docs).select("lang").collect()]
-    group = F.when(lang.isin(common), lang).otherwise(REST) if common else F.lit(REST)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), group.alias("grp")), sorted({*common, REST})
+def bands(judged: DataFrame, column: str, prior_docs: int) -> DataFrame:
+    """lang_group, middle and spread of a column of thousandths, exact over all documents."""
+    hist = judged.where(F.col(column).isNotNull()).groupBy("lang_group", F.col(column).alias("x")).agg(F.count("*").alias("times"))
+    middle = hist.groupBy("lang_group").agg(F.percentile("x", F.lit(0.5), F.col("times")).alias("middle"), F.sum("times").alias("docs"))
+    off = hist.join(middle, "lang_group").withColumn("off", F.abs(F.col("x") - F.col("middle")))
+    own = off.groupBy("lang_group", "middle", "docs").agg(F.percentile("off", F.lit(0.5), F.col("times")).alias("own"))
+    usual = off.agg(F.percentile("off", F.lit(0.5), F.col("times")).alias("usual"))
+    spread = (F.col("docs") * F.col("own") + prior_docs * F.col("usual")) / (F.col("docs") + prior_docs)
+    return own.crossJoin(F.broadcast(usual)).select("lang_group", F.col("middle").alias(f"{column}_middle"), F.greatest(spread, F.lit(5.0)).alias(f"{column}_spread"))  # usual is one row
 
 
 def judge_quality(
@@ -217,70 +232,79 @@ def judge_quality(
     min_words: int = 50,
     most_repeated: int = 50,
     low_width: float = 6.0,
-    high_width: float = 60.0,
+    high_width: float = 12.0,
     full_chars: int = 2000,
-    min_docs: int = 100,
+    most_wider: float = 2.0,
+    prior_docs: int = 100,
     model_mb: int = 256,
 ) -> DataFrame:
-    """id, base features, base_failed, lang_group, log_ppl (thousandths), low, high (the band), kept."""
+    """id, base features, base_failed, lang_group, log_ppl and all_ppl (thousandths), low, high, all_high (the bands), kept."""
     spark = docs.sparkSession
-    rows, groups = _grouped(docs, id_col, text_col, lang_col, min_docs)
-    model = staged(kneser_ney(gram_counts(rows.select("grp", "text"))), "model")
-    sizes = {r.grp: r["count"] for r in model.groupBy("grp").count().collect()}
-    passes: list[list[str]] = [[]]
-    for g in groups:  # a group's model has at most 2 * (64 + ... + 64^4) entries of 8 bytes
-        if passes[-1] and sum(sizes.get(x, 0) for x in [*passes[-1], g]) * 8 > model_mb << 20:
-            passes.append([])
-        passes[-1].append(g)
+    group = F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), group.alias("lang_group"))
+    model = staged(kneser_ney(gram_counts(rows.select(F.col("lang_group").alias("grp"), "text"))), "model")
+    sizes = {r.grp: r["count"] for r in model.groupBy("grp").count().collect()}  # a row for each language
+    most = (model_mb << 20) // ENTRY_BYTES  # entries of a pass
+    passes: list[list[tuple[str, int, int]]] = [[]]
+    room = most
+    for g, n in sorted(sizes.items()):
+        parts = -(-n // most)
+        for part in range(parts):
+            if room < n // parts and passes[-1]:
+                passes.append([])
+                room = most
+            passes[-1].append((g, part, parts))
+            room -= n // parts
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    sums = ["own", "every", "grams"]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, lang_group string, " + ", ".join(f"{n} long" for n in names) + ", log_ppl long"
+    schema = f"id {kind}, text string, lang_group string, " + ", ".join(f"{n} long" for n in names) + ", own double, every double, grams long"
 
-    def scored(members: list[str]) -> DataFrame:
-        tables = {}
-        for g in members:
-            t = model.where(F.col("grp") == g).select("n", "g", "value", "backoff").toArrow()
-            columns = [t.column(c).to_numpy() for c in ("n", "g")] + [t.column(c).cast(pa.float64()).to_numpy() for c in ("value", "backoff")]
-            tables[g] = CharModel(*columns)
-        sent = spark.sparkContext.broadcast(tables)
+    def scored(now: DataFrame, members: list[tuple[str, int, int]], first: bool, last: bool) -> DataFrame:
+        sent = spark.sparkContext.broadcast({g: model_part(model, g, part, parts) for g, part, parts in members})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = sent.value
             for batch in batches:
-                for part in text_slices(batch, "text"):
-                    found = base_features(utf8_list(part.column("text")))
-                    texts, grps = part.column("text").to_pylist(), np.array(part.column("grp").to_pylist())
-                    ppl = np.full(part.num_rows, np.nan)
-                    for g in np.unique(grps):
-                        mine = np.flatnonzero(grps == g)
-                        grams, of = char_grams([texts[i] for i in mine])
-                        each, back = np.unique(grams, return_inverse=True)
-                        total = np.bincount(of, weights=sent.value[g].surprise(each)[back], minlength=len(mine))
-                        count = np.bincount(of, minlength=len(mine))
-                        ppl[mine] = np.where(count > 0, total / np.maximum(count, 1), np.nan)
-                    milli = pa.array(np.rint(np.nan_to_num(ppl) * 1000).astype(np.int64), mask=np.isnan(ppl))
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grp"), *[pa.array(found[n]) for n in names], milli], names=["id", "lang_group", *names, "log_ppl"])
-
-        mine = rows if len(passes) == 1 else rows.where(F.col("grp").isin(members))
-        return mine.mapInArrow(run, schema)
-
-    judged = scored(passes[0])
-    for members in passes[1:]:
-        judged = judged.union(scored(members))
-    judged = staged(judged, "scored")
-    hist = judged.where("log_ppl is not null").groupBy("lang_group", "log_ppl").agg(F.count("*").alias("times"))
-    middle = hist.groupBy("lang_group").agg(F.percentile("log_ppl", F.lit(0.5), F.col("times")).alias("middle"))
-    off = hist.join(middle, "lang_group").withColumn("off", F.abs(F.col("log_ppl") - F.col("middle")))
-    spread = off.groupBy("lang_group", "middle").agg(F.greatest(F.percentile("off", F.lit(0.5), F.col("times")), F.lit(5.0)).alias("spread"))
-    wider = F.greatest(F.lit(1.0), F.sqrt(full_chars / F.greatest(F.col("word_chars"), F.lit(1))))
-    low = F.col("middle") - low_width * F.col("spread") * wider
-    high = F.col("middle") + high_width * F.col("spread") * wider
+                for piece in text_slices(batch, "text"):
+                    column = {n: piece.column(n) for n in piece.schema.names}
+                    rows_ = piece.num_rows
+                    if first:
+                        column |= {n: pa.array(x) for n, x in base_features(utf8_list(column["text"])).items()}
+                        column |= {"own": pa.array(np.zeros(rows_)), "every": pa.array(np.zeros(rows_)), "grams": pa.array(np.zeros(rows_, np.int64))}
+                    texts, groups = column["text"].to_pylist(), column["lang_group"].to_pylist()
+                    grams, of = char_grams(texts)
+                    each, back = np.unique(grams, return_inverse=True)
+                    own, every = (column[n].to_numpy().copy() for n in sums[:2])
+                    if ALL in tables:
+                        every += np.bincount(of, weights=tables[ALL].surprise(each)[back], minlength=rows_)
+                    for g in set(groups) & set(tables):
+                        mine = np.array([x == g for x in groups])[of]
+                        used, to = np.unique(back[mine], return_inverse=True)
+                        own += np.bincount(of[mine], weights=tables[g].surprise(each[used])[to], minlength=rows_)
+                    column |= {"own": pa.array(own), "every": pa.array(every), "grams": pa.array(np.bincount(of, minlength=rows_))}
+                    if last:
+                        column["text"] = pa.nulls(rows_, pa.string())
+                    yield pa.RecordBatch.from_arrays([column[n] for n in ("id", "text", "lang_group", *names, *sums)], names=["id", "text", "lang_group", *names, *sums])
+
+        return now.mapInArrow(run, schema)
+
+    judged = rows
+    for k, members in enumerate(passes):
+        judged = staged(scored(judged, members, not k, k == len(passes) - 1), "scored")
+    milli = lambda x: F.when(F.col("grams") > 0, F.round(F.col(x) / F.col("grams") * 1000).cast("long"))
+    judged = judged.withColumns({"log_ppl": milli("own"), "all_ppl": milli("every")})
+    for column in ("log_ppl", "all_ppl"):
+        judged = judged.join(F.broadcast(bands(judged, column, prior_docs)), "lang_group", "left")  # a row for each language
+    wider = F.least(F.greatest(F.lit(1.0), F.sqrt(full_chars / F.greatest(F.col("word_chars"), F.lit(1)))), F.lit(most_wider))
+    limit = lambda column, width: F.col(f"{column}_middle") + width * F.col(f"{column}_spread") * wider
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    inside = F.coalesce((F.col("log_ppl") >= F.col("low")) & (F.col("log_ppl") <= F.col("high")), F.lit(False))
+    above = (F.col("log_ppl") > F.col("high")) & (F.col("all_ppl") > F.col("all_high"))
     return (
-        judged.join(F.broadcast(spread), "lang_group", "left")  # a row for each language group
-        .withColumn("low", low)
-        .withColumn("high", high)
+        judged.withColumn("low", limit("log_ppl", -low_width))
+        .withColumn("high", limit("log_ppl", high_width))
+        .withColumn("all_high", limit("all_ppl", high_width))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & inside)
-        .select(F.col("id").alias(id_col), *names, "base_failed", "kept", "lang_group", "log_ppl", "low", "high")
+        .withColumn("kept", ~failed & F.coalesce((F.col("log_ppl") >= F.col("low")) & ~above, F.lit(False)))
+        .select(F.col("id").alias(id_col), *names, "base_failed", "kept", "lang_group", "log_ppl", "all_ppl", "low", "high", "all_high")
     )

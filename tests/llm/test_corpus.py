@@ -348,7 +348,7 @@ def test_bpe(spark, docs):
 
 
 def test_quality(spark, docs):
-    got = {r.doc_id: r for r in quality.judge_quality(docs, min_docs=5).collect()}
+    got = {r.doc_id: r for r in quality.judge_quality(docs).collect()}
     for i, t in distinct_texts(docs):
         words = re.findall(WORD.decode(), t or "")
         windows = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -359,21 +359,58 @@ def test_quality(spark, docs):
         assert r.base_failed == (len(words) < 50 or 100 * len(again) > 50 * len(words)) and not (r.base_failed and r.kept)
 
 
-def test_quality_rejects_odd_texts(spark):
+@pytest.mark.parametrize("model_mb", [256, 0])
+def test_quality_rejects_odd_texts(spark, model_mb, monkeypatch):
+    """Gibberish, long and short, goes; usual texts stay, also those in two languages; models in parts give the same."""
     rng = random.Random(2)
-    usual = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", "dog", "ran", "far"]) + rng.choice("aeiou") for _ in range(200)) for _ in range(200)]
-    odd = " ".join("".join(rng.choice("qxzjkvwpbg0123456789") for _ in range(6)) for _ in range(200))
-    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*usual, odd])], "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in quality.judge_quality(df, high_width=20.0).collect()}
-    assert not got[200].kept and all(got[i].kept for i in range(200) if not got[i].base_failed)
-
-
-def test_kneser_ney_sums_to_one(spark):
-    df = spark.createDataFrame([("g", "the cat sat on the mat and the dog ran off with it again")], "grp string, text string")
-    t = quality.kneser_ney(quality.gram_counts(df)).toPandas()
-    model = quality.CharModel(*(t[c].to_numpy() for c in ("n", "g", "value", "backoff")))
-    for context in (0, 20 << 12 | 8 << 6 | 5, 123456):
-        assert abs(np.exp(-model.surprise((context << 6 | np.arange(64)).astype(np.int64))).sum() - 1) < 1e-4
+    words = {"en": ["the", "cat", "sat", "on", "mat", "dog", "ran", "far"], "ru": ["кот", "сидел", "дома", "пёс", "бежал", "далеко"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) + rng.choice({"en": "aeiou", "ru": "аеиоу"}[lang]) for _ in range(n))
+    usual = [(text(x, 200), x) for x in ("en", "ru") for _ in range(150)]
+    mixed = [(text("en", 60) + " " + text("ru", 60), "en")]
+    odd = [(" ".join("".join(rng.choice("qxzjkvwpbg0123456789") for _ in range(6)) for _ in range(n)), "en") for n in (60, 200)]
+    df = spark.createDataFrame([(i, t, x, "e") for i, (t, x) in enumerate([*usual, *mixed, *odd])], "doc_id long, text string, lang string, grams string")
+    if not model_mb:
+        monkeypatch.setattr(quality, "ENTRY_BYTES", 1 << 12)
+        real = quality.judge_quality(df).select("doc_id", "log_ppl", "all_ppl").collect()
+    got = {r.doc_id: r for r in quality.judge_quality(df, **({} if model_mb else {"model_mb": 1})).collect()}
+    if not model_mb:
+        assert sorted((r.doc_id, r.log_ppl, r.all_ppl) for r in real) == sorted((r.doc_id, r.log_ppl, r.all_ppl) for r in got.values())
+    assert not got[301].kept and not got[302].kept and all(got[i].kept for i in range(301) if not got[i].base_failed)
+
+
+def test_kneser_ney_by_brute_force(spark):
+    """Perplexities of a small corpus against the formulas written out."""
+    texts = ["the cat sat on the mat", "the dog ran", "a cat and a dog", "mat on mat"]
+    model = quality.kneser_ney(quality.gram_counts(spark.createDataFrame([("g", t) for t in texts], "grp string, text string")))
+    chars = lambda t: [0, 0, *(0 if c == " " else ord(c) for c in t)]
+    counts = [None, Counter(), Counter(), Counter()]
+    for t in texts:
+        c = chars(t)
+        counts[3].update(tuple(c[i : i + 3]) for i in range(len(c) - 2))
+    for n in (2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut = {}
+    for n in (1, 2, 3):
+        few = [sum(v == i for v in counts[n].values()) for i in range(5)]
+        y = few[1] / (few[1] + 2 * few[2]) if few[1] + few[2] else 0
+        cut[n] = [0] + [max(0.05, min(i, i - (i + 1) * y * few[i + 1] / few[i])) if all(few[1:]) else i / 2 for i in (1, 2, 3)]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(counts[1]) + 1)
+        n = len(gram)
+        after = {g: v for g, v in counts[n].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(gram[1:])
+        total = sum(after.values())
+        return max(0, after.get(gram, 0) - (cut[n][min(3, after[gram])] if gram in after else 0)) / total + sum(cut[n][min(3, v)] for v in after.values()) / total * p(gram[1:])
+
+    arrays = quality.model_part(model, "g", 0, 1)
+    asked = [(0, 0, 116), (116, 104, 101), (99, 97, 116), (122, 122, 122), (111, 110, 0), (97, 116, 113)]
+    packed = np.array([a << 42 | b << 21 | c for a, b, c in asked], np.int64)
+    assert np.allclose(arrays.surprise(packed), [-np.log(p(g)) for g in asked], rtol=1e-5)
+    split = sum(quality.model_part(model, "g", k, 3).surprise(packed) for k in range(3))
+    assert np.allclose(split, arrays.surprise(packed), rtol=1e-5)
 
 
 def test_empty_tables(empty, spark):
