@@ -232,7 +232,7 @@ def judge_quality(
     min_words: int = 50,
     most_repeated: int = 50,
     low_width: float = 6.0,
-    high_width: float = 12.0,
+    high_width: float = 15.0,
     full_chars: int = 2000,
     most_wider: float = 2.0,
     prior_docs: int = 100,
