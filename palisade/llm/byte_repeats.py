@@ -40,7 +40,7 @@ def byte_symbols(texts: list[bytes]) -> Spelling:
     return Spelling(BYTE_VALUE[np.frombuffer(joined, np.uint8)], np.array([len(t) for t in texts], np.int64), joined, None)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, seed: int = 24, group_rows: int = 1 << 15) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, seed: int = 24, group_rows: int = 1 << 13) -> DataFrame:
     """id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (binary: the other bytes).
 
     A byte goes if a window over it also starts earlier: in a document with a

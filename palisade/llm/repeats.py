@@ -36,14 +36,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, SLICE_BYTES, Rolling, digests, drop_staged, mix64, staged, text_slices, utf8_list
+from .common import BYTE_VALUE, Rolling, digests, mix64, staged, text_slices, utf8_list
 
-NULL_ID = (1 << 63) - 1
 U = np.uint64
+#: Symbols that are hashed, and bytes of fetched bundles that are compared, at once (more for one seed).
+SYMBOLS_AT_ONCE, PAYLOAD_AT_ONCE = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -95,7 +97,7 @@ def bundles(spelling: Spelling, s: Settings) -> tuple[np.ndarray, ...]:
     symbols, sizes = spelling.symbols, spelling.sizes
     ends = np.cumsum(sizes)
     found = []
-    piece = SLICE_BYTES
+    piece = SYMBOLS_AT_ONCE
     for at in range(0, max(len(symbols) - s.length + 1, 0), piece):
         part = symbols[at : at + piece + s.length - 1]
         rolling = Rolling(part)
@@ -324,7 +326,20 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
             return doc, start, words[:, 0].copy(), words[:, 1].copy(), b""
         return doc, start, Rolling(BYTE_VALUE[np.frombuffer(joined, np.uint8)]).every(s.length)[at], at.view(np.uint64), joined
 
-    def closed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def closed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Repeated windows of whole seeds, some seeds at a time."""
+        t = pa.Table.from_batches(parts).combine_chunks()
+        ends = np.cumsum(pc.binary_length(t.column("payload")).to_numpy())
+        heads = np.append(np.flatnonzero(changes(t.column("h").to_numpy())), t.num_rows)
+        at = 0
+        while at < t.num_rows:
+            before = ends[at - 1] if at else 0
+            fit = heads[: np.searchsorted(heads, np.searchsorted(ends, before + PAYLOAD_AT_ONCE, side="right"), side="right")]
+            to = int(fit[-1]) if len(fit) and fit[-1] > at else int(heads[np.searchsorted(heads, at, side="right")])
+            yield compared(t.slice(at, to - at).to_batches())
+            at = to
+
+    def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         doc, start, v, w, joined = windows_of(parts, False)
         order = np.lexsort((start, doc, v) if joined else (start, doc, w, v))
         doc, start, v, w = (x[order] for x in (doc, start, v, w))
@@ -356,10 +371,10 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
                     continue
                 cut = int(np.searchsorted(h, h[-1]))  # rows of the last seed may go on
                 if cut > at:
-                    yield closed([*held, batch.slice(at, cut - at)])
+                    yield from closed([*held, batch.slice(at, cut - at)])
                     held, size, at = [], 0, cut
                 elif held and held[-1].column("h")[0].as_py() != h[at]:
-                    yield closed(held)
+                    yield from closed(held)
                     held, size = [], 0
                 held.append(batch.slice(at))
                 size += len(h) - at
@@ -368,7 +383,7 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
                     yield single(held)
                     held, size, large = [], 0, int(h[-1])
         if held:
-            yield closed(held)
+            yield from closed(held)
 
     return fetched.repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND)
 
