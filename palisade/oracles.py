@@ -202,4 +202,10 @@ ORACLES = {
     "evasion_free": rf"""WITH {LINES}, a AS (SELECT event_id, lower('A/* x */ &#x3C;B  ' || value) AS v FROM lines), b AS (SELECT event_id, regexp_replace(regexp_replace(v, '(?s)/\*.*?\*/', '', 'g'), '(?m)--.*$', '', 'g') AS v FROM a)
       SELECT event_id, trim(regexp_replace(replace(v, '&#x3c;', '<'), '\s+', ' ', 'g')) AS value FROM b""",
     "cleaned_lines": f"WITH {LINES} SELECT event_id, md5(value) AS value_md5 FROM lines WHERE event_id % 9 <> 0",
+    "gbk_decode": f"WITH {LINES} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '你好' ELSE '' END || value AS value FROM lines",
+    "rate_limited": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      r AS (SELECT event_id, user_id, n, true AS admitted, t AS last, NULL::BIGINT AS before FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.n, x.ok, CASE WHEN x.ok THEN e.t ELSE r.last END, CASE WHEN x.ok THEN r.last ELSE r.before END
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1, LATERAL (SELECT r.before IS NULL OR e.t - r.before > {DAY} AS ok) x)
+      SELECT event_id, admitted FROM r""",
 }

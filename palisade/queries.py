@@ -180,8 +180,9 @@ def idempotent_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _keyed_events(spark, sf_dir).select("event_id", "ts_us").withColumn("scope", F.lit("all"))
-    return rs.rate_limited(e, ["scope"], "ts_us", "event_id", most=2, seconds=3600).select("event_id", "admitted")
+    """At most two events of a user in a day."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", micros("ts").alias("ts_us"))
+    return rs.rate_limited(e, ["user_id"], "ts_us", "event_id", most=2, seconds=DAY).select("event_id", "admitted")
 
 
 def executed_actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,48 @@ def test_options():
     assert PipelineOptions.preset("fast").window_seconds == 30
     with pytest.raises(ValueError):
         PipelineOptions(window_seconds=0)
+
+
+def test_custom_masks_hide_what_they_find(spark):
+    from palisade.functions.masking import masked
+
+    df = spark.createDataFrame([("call 555-1234 car AB-123",)], "t string")
+    r = masked(df, "t", {"phone": r"\b\d{3}-\d{4}\b", "plate": r"\b[A-Z]{2}-\d{3}\b"}).first()
+    assert r.masked_fields == ["phone", "plate"] and "1234 " not in r.t.replace("****1234", "") and "AB-123" not in r.t
+
+
+def test_parser_keeps_columns_with_clashing_names(spark):
+    from palisade.operators.parse import parse_lines
+
+    df = spark.createDataFrame([('{"message": "hi"}', "a", "b", "c")], "value string, g string, j string, format string")
+    r = parse_lines(df).first()
+    assert (r.g, r.j, r.format, r.message) == ("a", "b", "json", "hi")
+
+
+def test_untimed_threats_reach_the_result(spark):
+    from palisade.plans.analyze import analyze
+    from palisade.sources.ingest import single_text
+
+    rows = analyze(single_text(spark, "1' union select 1")).correlated.select("final_severity", "correlated", "window_hits").collect()
+    assert [tuple(r) for r in rows] == [("high", False, 1)]
+
+
+def test_correlation_window_holds_the_newest_hundred(spark):
+    from pyspark.sql import functions as F
+
+    from palisade.operators import correlate as co
+
+    none = [F.lit(None).cast("string").alias(c) for c in ("tenant", "session_id", "remote_user", "http_user_agent")]
+    e = spark.range(400).select(F.col("id").alias("event_id"), F.lit("h").alias("source_ip"), *none, F.lit("low").alias("detected_severity"), F.array(F.lit("xss")).alias("threat_types"), (F.col("id") * 1000).alias("ts_us"))
+    got = {r.event_id: r.window_hits for r in co.correlate(e, "ts_us", 60).select("event_id", "window_hits").collect()}
+    assert got == {i: min(i, 100) + 1 for i in range(400)}
+
+
+def test_rules_per_category_and_bad_patterns(spark):
+    import pytest
+
+    from palisade.operators.detect import rule_set, rules_per_category
+
+    with pytest.warns(UserWarning):
+        rules = rule_set("v1", [("xss", "low", "(unclosed"), ("xss", "low", "fine")])
+    assert {r.category: r.rules for r in rules_per_category(spark, rules).collect()}["xss"] == 6
