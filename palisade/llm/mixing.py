@@ -8,7 +8,8 @@
    its source's size and the excess is shared again by weight.
 3. Min-cost flow: a pattern offers its size once for each repetition, at the
    rising price of a convex cost (1, 3, 5, ...); sources take up to their
-   target.  Successive shortest paths fill the quotas as cheaply as possible.
+   target.  Blocking flows fill the quotas, one repetition after the other, which
+   is the cheapest way.
 4. Seeded selection: within a pattern documents are ordered by the MD5 of seed
    and id.  All get the pattern's full repetitions; in that order, documents
    get one more until the rest of the flow is used up, to the nearest document.
@@ -23,7 +24,6 @@ result.  Columns of the input other than id, size and sources don't matter.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
@@ -61,57 +61,72 @@ def share_targets(sizes: dict[str, int], total: int, weights: Sequence[float], s
 def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], most: int) -> dict[tuple[str, ...], int]:
     """Min-cost flow of pattern sizes, each usable ``most`` times, to source quotas.
 
-    Returns the flow out of each pattern.  Dijkstra with potentials on the
-    residual graph; patterns and sources that share nothing are separate graphs.
+    Returns the flow out of each pattern.  Only repetitions cost, and each more
+    than the one before for all patterns alike, so the cheapest flow is a largest
+    flow with every size used once, then grown with sizes used twice, and so on:
+    no augmenting path takes back what a pattern gives.  Each is found by blocking
+    flows over paths of the same length.
     """
-    edges: dict[object, list[int]] = defaultdict(list)
-    to: list[object] = []
+    names, sources = sorted(patterns), sorted(quotas)
+    number = {s: len(names) + 2 + k for k, s in enumerate(sources)}
+    start, end = 0, 1
+    out: list[list[int]] = [[] for _ in range(len(names) + len(sources) + 2)]
+    to: list[int] = []
     room: list[int] = []
-    cost: list[int] = []
 
-    def arc(a: object, b: object, capacity: int, price: int) -> None:
-        for x, y, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            edges[x].append(len(to))
+    def arc(a: int, b: int, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            out[x].append(len(to))
             to.append(y)
             room.append(c)
-            cost.append(p)
+        return len(to) - 2
 
-    first: dict[tuple[str, ...], int] = {}
-    for p, size in sorted(patterns.items()):
-        first[p] = len(to)
-        for r in range(most):
-            arc("from", ("p", p), size, 2 * r + 1)
+    gates = [arc(start, k + 2, 0) for k in range(len(names))]
+    for k, p in enumerate(names):
         for s in p:
-            arc(("p", p), ("s", s), most * size, 0)
-    for s, quota in sorted(quotas.items()):
-        arc(("s", s), "to", quota, 0)
-    potential: dict[object, int] = defaultdict(int)
-    while True:
-        far, back, queue, tick = {"from": 0}, {}, [(0, 0, "from")], 0
-        done = set()
-        while queue:
-            d, _, x = heapq.heappop(queue)
-            if x in done:
-                continue
-            done.add(x)
-            for e in edges[x]:
-                y = to[e]
-                if room[e] and y not in done and (z := d + cost[e] + potential[x] - potential[y]) < far.get(y, float("inf")):
-                    far[y], back[y], tick = z, e, tick + 1
-                    heapq.heappush(queue, (z, tick, y))
-        if "to" not in far:
-            break
-        for x in edges:
-            potential[x] += min(far.get(x, far["to"]), far["to"])
-        path, x = [], "to"
-        while x != "from":
-            path.append(back[x])
-            x = to[back[x] ^ 1]
-        least = min(room[e] for e in path)
-        for e in path:
-            room[e] -= least
-            room[e ^ 1] += least
-    return {p: sum(room[k + 2 * r + 1] for r in range(most)) for p, k in first.items()}
+            arc(k + 2, number[s], most * patterns[p])
+    for s in sources:
+        arc(number[s], end, quotas[s])
+
+    def levels() -> list[int]:
+        far = [-1] * len(out)
+        far[start], queue = 0, [start]
+        for x in queue:
+            for e in out[x]:
+                if room[e] and far[to[e]] < 0:
+                    far[to[e]] = far[x] + 1
+                    queue.append(to[e])
+        return far
+
+    for _ in range(most):
+        for k, p in enumerate(names):
+            room[gates[k]] += patterns[p]
+        while (far := levels())[end] >= 0:
+            at = [0] * len(out)
+            path: list[int] = []
+            x = start
+            while True:
+                if x == end:
+                    least = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= least
+                        room[e ^ 1] += least
+                    full = next(i for i, e in enumerate(path) if not room[e])
+                    x = to[path[full] ^ 1]
+                    del path[full:]
+                elif at[x] < len(out[x]):
+                    e = out[x][at[x]]
+                    if room[e] and far[to[e]] == far[x] + 1:
+                        path.append(e)
+                        x = to[e]
+                    else:
+                        at[x] += 1
+                elif path:  # a dead end
+                    x = to[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
+    return {p: room[gates[k] ^ 1] for k, p in enumerate(names)}
 
 
 def mix_sources(
@@ -124,7 +139,7 @@ def mix_sources(
     max_repeats: int = 2,
     seed: str = "mix",
     buckets: int = 4096,
-    max_patterns: int = 20_000,
+    max_patterns: int = 200_000,
 ) -> DataFrame:
     """One row per document: id, size, sources (array), source_size, target, repeats, taken.
 

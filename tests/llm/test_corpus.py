@@ -282,6 +282,22 @@ def test_flow_prefers_few_repeats():
     assert sum(flow.values()) == 30 and flow[("a",)] == flow[("b",)] == flow[("a", "b")] == 10
 
 
+def test_flow_is_largest_and_cheapest():
+    """Against all flows of small networks."""
+    from itertools import product
+
+    rng = random.Random(6)
+    for _ in range(60):
+        patterns = {p: rng.randint(0, 3) for p in rng.sample([("a",), ("b",), ("a", "b")], rng.randint(1, 3))}
+        quotas, most = {s: rng.randint(0, 6) for s in "ab"}, rng.randint(1, 2)
+        price = lambda used, size: sum(2 * r + 1 for r in range(most) for _ in range(max(0, min(size, used - r * size))))
+        ways = [[(x, y) for x in range(most * n + 1) for y in range(most * n + 1 - x) if (not x or "a" in p) and (not y or "b" in p)] for p, n in patterns.items()]
+        fits = [w for w in product(*ways) if sum(x for x, _ in w) <= quotas["a"] and sum(y for _, y in w) <= quotas["b"]]
+        want = min((-sum(map(sum, w)), sum(price(sum(x), n) for x, n in zip(w, patterns.values(), strict=True))) for w in fits)
+        flow = mixing.route(patterns, quotas, most)
+        assert want == (-sum(flow.values()), sum(price(flow[p], n) for p, n in patterns.items()))
+
+
 def test_langid(docs, spark):
     rows = [(i, t, "de" if i % 2 else "en") for i, t in enumerate(["the cat and the dog ", "der hund und die katze "] * 40)]
     known = spark.createDataFrame(rows, "doc_id long, text string, lang string")
