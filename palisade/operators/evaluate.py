@@ -27,6 +27,11 @@ def confusion(df: DataFrame, actual: Column, predicted: Column) -> DataFrame:
     return c.select("tp", "fp", "fn", "tn", weighted(p1, p0).alias("precision"), weighted(r1, r0).alias("recall"), weighted(f1(p1, r1), f1(p0, r0)).alias("f1"), r1.alias("detection_rate"), div(fp, neg).alias("false_positive_rate"))
 
 
+def severe_confusion(df: DataFrame, level: str, actual: Column, predicted: Column) -> DataFrame:
+    """confusion of the rows whose expected level is high or critical."""
+    return confusion(df.where(F.col(level).isin("high", "critical")), actual, predicted)
+
+
 def grade(scores: DataFrame) -> DataFrame:
     """total and grade from f1 (40), throughput (30), latency_ms (20) and memory_mb (10) against their targets."""
     part = lambda x, most: F.least(x, F.lit(1.0)) * most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TRAINING
 from ..functions.text import feature_names, text_features
+from .evaluate import confusion
 
 
 def with_features(df: DataFrame, text_col: str, raw: bool = False) -> DataFrame:
@@ -66,6 +68,41 @@ class TextModel:
         return cls({n: scale[n] for n in feature_names()}, PipelineModel.load(f"{path}/model"))
 
 
+def training_report(scored: DataFrame, label_col: str = "label") -> DataFrame:
+    """One row: samples, accuracy and support-weighted precision, recall and F1 of ``ml_score`` above one half."""
+    c = confusion(scored, F.col(label_col) == 1, F.col("ml_score") > 0.5)
+    samples = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    accuracy = F.coalesce(F.try_divide((F.col("tp") + F.col("tn")).cast("double"), samples), F.lit(0.0))
+    return c.select(samples.alias("samples"), accuracy.alias("accuracy"), "precision", "recall", "f1")
+
+
+def cross_validated(samples: DataFrame, folds: int = 5, text_col: str = "text", label_col: str = "label", seed: int = 42) -> DataFrame:
+    """fold and training_report of a model fitted on the other folds; folds are dealt by a hash of the text.
+
+    A fold whose other folds hold a single label, or that is empty, is left out.
+    """
+    spark = samples.sparkSession
+    dealt = samples.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.pmod(F.xxhash64(text_col, F.lit(seed)), F.lit(folds)).alias("fold"))
+    reports = []
+    for fold in range(folds):  # a fit for each fold
+        rest, mine = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
+        if rest.agg(F.count_distinct("label")).first()[0] > 1:
+            report = training_report(TextModel.fit(rest).score(mine, "text")).where("samples > 0")
+            reports.append(report.select(F.lit(fold).alias("fold"), "*"))
+    none = spark.createDataFrame([], "fold int, samples long, accuracy double, precision double, recall double, f1 double")
+    return reduce(DataFrame.unionByName, reports, none)
+
+
+def refitted(labelled: DataFrame, batch: DataFrame, path: str) -> TextModel:
+    """For foreachBatch: adds the batch's (text, label) to the table at ``path`` and fits on base samples and table.
+
+    A batch that comes again adds nothing new: the table is read without repeated rows.
+    """
+    batch.select("text", "label").write.mode("append").parquet(path)
+    seen = batch.sparkSession.read.schema("text string, label int").parquet(path)
+    return TextModel.fit(labelled.select("text", "label").union(seen).distinct())
+
+
 def tfidf_pipeline(text_col: str = "text", vocabulary: int = 1000) -> Pipeline:
     """TF-IDF of 1- to 3-grams without English stop words."""
     token = RegexTokenizer(inputCol=text_col, outputCol="tokens", pattern=r"\W+")
@@ -123,3 +160,52 @@ def isolation_scores(df: DataFrame, columns: list[str], order: str, sample: int
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", anomaly_score double"
     return df.mapInPandas(run, schema)
+
+
+def session_anomalies(df: DataFrame, key: str, ts_us: str, order: str, columns: list[str], seconds: int = 3600, history: int = 1000, least: int = 10, piece: int = 20_000, trees: int = 50, per_tree: int = 64, seed: int = 42) -> DataFrame:
+    """Adds anomaly_score: how far a row is from its key's own history, by an isolation forest of the key.
+
+    Time is cut into blocks of ``seconds``.  A row's history are the newest
+    ``history`` rows of its key in the block before, or where those are fewer than
+    ``least``, in its own block.  Below ``least`` rows, or with a null key, time or
+    column, the score is 0.  Otherwise it is 2 ** (-depth / usual depth) - 1/2 as
+    an absolute value (0 to 1/2), that is the distance from the forest's neutral
+    score.  A key's block is dealt to tasks in pieces of about ``piece`` rows,
+    each with the same history, so a hot key is many groups.
+    """
+    block = F.floor(F.col(ts_us) / (seconds * 1_000_000))
+    usable = F.col(key).isNotNull() & F.col(ts_us).isNotNull()
+    for c in columns:
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = df.withColumn("_block", F.when(usable, block))
+    known = rows.where("_block is not null").select(F.col(key).alias("_key"), F.col("_block").alias("_block"), F.col(ts_us).alias("_at"), F.col(order).cast("string").alias("_id"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)))
+    newest = Window.partitionBy("_key", "_block").orderBy(F.desc("_at"), F.desc("_id"))
+    # the rank filter becomes a group limit before the shuffle, so a hot block sends `history` rows for each task
+    recent = known.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= history).groupBy("_key", "_block").agg(F.collect_list(F.array(*(f"_x{i}" for i in range(len(columns))))).alias("_past"))
+    sizes = known.groupBy("_key", "_block").agg(F.ceil(F.count("*") / piece).alias("_pieces"))
+    own = sizes.join(recent.withColumnRenamed("_past", "_own"), ["_key", "_block"])
+    before = recent.select("_key", (F.col("_block") + 1).alias("_block"), F.col("_past").alias("_before"))
+    enough = F.size(F.coalesce("_before", F.array().cast("array<array<double>>"))) >= least
+    past = own.join(before, ["_key", "_block"], "left").select("_key", "_block", "_pieces", F.when(enough, F.col("_before")).otherwise(F.col("_own")).alias("_past"))
+    # (key, block, piece) is the unit of work: its history comes once, its rows beside it
+    dealt = past.select("_key", "_block", F.explode(F.sequence(F.lit(0), (F.col("_pieces") - 1).cast("int"))).alias("_piece"), "_past")
+    counts = past.select("_key", "_block", "_pieces")
+    placed = rows.where("_block is not null").withColumn("_key", F.col(key)).join(counts, ["_key", "_block"]).withColumn("_piece", F.pmod(F.xxhash64(order, ts_us), F.col("_pieces")).cast("int")).drop("_pieces")
+    names = [f.name for f in df.schema]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", anomaly_score double"
+
+    def run(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        score = np.zeros(len(part))
+        x = np.array(held["_past"].iloc[0].tolist(), float) if len(held) else np.zeros((0, len(columns)))
+        if len(part) and len(x) >= least:
+            rng = np.random.default_rng(seed)
+            size = min(per_tree, len(x))
+            depth = int(np.ceil(np.log2(max(size, 2))))
+            points = part[columns].to_numpy(float)
+            mean = sum(_depths(_grow(x[rng.choice(len(x), size, replace=False)], rng, depth), points) for _ in range(trees)) / trees
+            score = np.abs(2 ** (-mean / max(_average_path(size), 1e-9)) - 0.5)
+        return part[names].assign(anomaly_score=score)
+
+    group = ["_key", "_block", "_piece"]
+    scored = placed.groupBy(*group).cogroup(dealt.groupBy(*group)).applyInPandas(run, schema)
+    return scored.unionByName(rows.where("_block is null").drop("_block").withColumn("anomaly_score", F.lit(0.0)))

@@ -202,6 +202,9 @@ ORACLES = {
     "evasion_free": rf"""WITH {LINES}, a AS (SELECT event_id, lower('A/* x */ &#x3C;B  ' || value) AS v FROM lines), b AS (SELECT event_id, regexp_replace(regexp_replace(v, '(?s)/\*.*?\*/', '', 'g'), '(?m)--.*$', '', 'g') AS v FROM a)
       SELECT event_id, trim(regexp_replace(replace(v, '&#x3c;', '<'), '\s+', ' ', 'g')) AS value FROM b""",
     "cleaned_lines": f"WITH {LINES} SELECT event_id, md5(value) AS value_md5 FROM lines WHERE event_id % 9 <> 0",
+    "category_rules": f"SELECT c AS category, count(*) AS rules FROM (SELECT unnest({CATEGORIES}) AS c) GROUP BY c",
+    "refused_texts": r"""SELECT CASE WHEN length(coalesce(text, '')) > 600 THEN 'too long' WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty'
+        WHEN regexp_matches(regexp_replace(text, ' ', '', 'g'), '[\p{C}\p{Z}]') THEN 'unprintable' END AS refused, count(*) AS n FROM documents GROUP BY 1""",
     "gbk_decode": f"WITH {LINES} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '你好' ELSE '' END || value AS value FROM lines",
     "rate_limited": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
       r AS (SELECT event_id, user_id, n, true AS admitted, t AS last, NULL::BIGINT AS before FROM e WHERE n = 1

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import correlate as co
 from ..operators import respond as re_
 from ..operators.detect import detect, rule_set, threats
-from ..operators.ml import TextModel
+from ..operators.ml import TextModel, session_anomalies
 from ..operators.normalize import normalize_events
 from ..operators.parse import for_tenant, parse_lines, with_decoded_query
+from ..operators.sessions import session_features, session_key
 from ..operators.windows import micros, settled
 from ..options import PipelineOptions
 
@@ -25,11 +26,25 @@ class Analysis:
     actions: DataFrame
 
 
+#: What a session's history is judged by.
+SESSION_COLUMNS = ["event_count", "unique_ips", "unique_paths", "error_count", "requests_per_second", "avg_length"]
+
+
+def with_anomalies(events: DataFrame, seconds: int = 60, history_seconds: int = 3600) -> DataFrame:
+    """Adds anomaly_score: the event's session of the last ``seconds`` against the history of its key (see session_anomalies)."""
+    keyed = events.withColumns({"_session": session_key(), "_ts": micros("ts")})
+    error = F.coalesce(F.substring(F.col("http_status").cast("string"), 1, 1).isin("4", "5"), F.lit(False))
+    found = session_features(keyed, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, error, F.length("message"), seconds)
+    return session_anomalies(found, "_session", "_ts", "event_id", SESSION_COLUMNS, history_seconds).select(*events.columns, "anomaly_score")
+
+
 def detections(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tenant: str | None = None, model: TextModel | None = None) -> DataFrame:
-    """The stateless part: parse, normalise, detect.  The same for batches and streams."""
+    """Parse, normalise, detect.  Stateless, so the same for batches and streams, unless ``options.sessions``: then batches only."""
     events = normalize_events(with_decoded_query(for_tenant(parse_lines(lines), tenant)))
     if model is not None and options.enable_ml:
         events = model.score(events, "message")
+    if options.sessions:
+        events = with_anomalies(settled(events), options.window_seconds)
     return detect(events, rule_set(options.rule_set), options.anomaly_threshold).withColumn("ts_us", micros("ts"))
 
 

@@ -15,15 +15,15 @@ from .functions.text import decoded, deobfuscated, without_evasion
 from .operators import correlate as co
 from .operators import evaluate as ev
 from .operators import respond as rs
-from .operators.detect import detect, rule_matches, rule_set, rule_statistics, threats
-from .operators.ml import TextModel, isolation_scores, training_samples, with_features
+from .operators.detect import detect, rule_matches, rule_set, rule_statistics, rules_per_category, threats
+from .operators.ml import TextModel, cross_validated, isolation_scores, session_anomalies, training_report, training_samples, with_features
 from .operators.normalize import normalize_events
 from .operators.parse import for_tenant, parse_lines, with_decoded_query
 from .operators.sessions import session_features, with_history
 from .operators.windows import micros, settled
 from .options import settings_diff, settings_table
 from .plans.analyze import analyze
-from .sources.ingest import clean_lines
+from .sources.ingest import acceptable, clean_lines
 from .sources.sinks import ACTIONS, SIGNALS, action_rows, read_json, signal_rows, write_json
 from .sources.synth import log_lines
 
@@ -260,6 +260,33 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation_scores(session_statistics(spark, sf_dir), features, "event_id").select("event_id", "anomaly_score")
 
 
+def session_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a day against the history of their user in the 30 days before."""
+    e = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("ts_us"), "user_id")
+    features = ["event_count", "unique_types", "error_count", "requests_per_second"]
+    seen = e.join(session_statistics(spark, sf_dir), "event_id")
+    return session_anomalies(seen, "user_id", "ts_us", "event_id", features, 30 * DAY).select("event_id", "user_id", "anomaly_score")
+
+
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in samples, judged by the model that they train."""
+    samples = training_samples(spark)
+    return training_report(TextModel.fit(samples).score(samples, "text"))
+
+
+def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_validated(training_samples(spark))
+
+
+def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_per_category(spark)
+
+
+def refused_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a service with limits would refuse, by reason."""
+    return acceptable(table(spark, sf_dir, "documents").select("text"), "text", 600).groupBy("refused").agg(F.count("*").alias("n"))
+
+
 def deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("event_id", deobfuscated(F.regexp_extract("value", r"(\S+)$", 1)).alias("token"))
 
@@ -307,5 +334,6 @@ _QUERIES = (
     rule_summary, parse_formats, parse_web, parse_json, parse_tokens, url_parts, mask_pii, severity_and_agent, rule_hits, detect_threats, tenant_threats, session_statistics, session_history, fingerprints,
     ttl_dedup, suppressed_events, correlate_stateless, correlate_feedback, active_correlations, correlation_totals, plan_actions, idempotent_actions, rate_limited, executed_actions, action_totals, top_actions,
     label_semi, label_anti, confusion_metrics, grades, run_metrics, latency_percentiles, config_diff, ml_features, lr_score, isolation_forest, deobfuscate, gbk_decode, cleaned_lines, evasion_free, analyze_signals,
+    session_anomaly, training_metrics, cross_validation, category_rules, refused_texts,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _QUERIES}

@@ -40,3 +40,14 @@ def stream_lines(spark: SparkSession, path: str, options: PipelineOptions = Pipe
 def single_text(spark: SparkSession, text: str, tenant: str = "default") -> DataFrame:
     """One line, as an API would hand it in."""
     return spark.createDataFrame([(text, tenant)], "value string, tenant string")
+
+
+def acceptable(texts: DataFrame, column: str = "value", longest: int = 10_000) -> DataFrame:
+    """Adds ``refused``: why a service would not take the text (too long, empty, unprintable), else null.
+
+    A null text is empty; printable is anything but controls, surrogates, unassigned and separators other than the blank.
+    """
+    text = F.coalesce(F.col(column), F.lit(""))
+    odd = text.rlike(r"[\p{C}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]")
+    reason = F.when(F.length(text) > longest, "too long").when(stripped(text) == "", "empty").when(odd, "unprintable")
+    return texts.withColumn("refused", reason)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,27 @@ SIGNALS = (
 )
 ACTIONS = "action_id string, ts string, correlation_id string, kind string, target struct<ip:string,ttl_sec:int>, status string, reason string, idempotent_key string"
 
+METRICS = (
+    "throughput_lps double, duration_seconds double, total_lines long, parsed_lines long, threat_events long, actions_taken long, error_count long, rule_hits long, "
+    "correlation_stats map<string,double>, action_stats map<string,double>, start_time string, end_time string"
+)
+
+
+def metric_rows(metrics: DataFrame, correlations: DataFrame, actions: DataFrame, started: datetime, ended: datetime) -> DataFrame:
+    """The record of a run from its one-row tables: run_metrics, correlation_statistics and action_statistics."""
+
+    def as_map(df: DataFrame, name: str) -> DataFrame:
+        pairs = [x for c, kind in df.dtypes if kind in ("bigint", "int", "double") for x in (F.lit(c), F.col(c).cast("double"))]
+        return df.select(F.create_map(*pairs).alias(name), F.lit(1).alias("_"))
+
+    seconds = (ended - started).total_seconds()
+    times = {"start_time": F.lit(started.isoformat()), "end_time": F.lit(ended.isoformat()), "duration_seconds": F.lit(seconds), "_": F.lit(1)}
+    rate = F.round(F.coalesce(F.try_divide(F.col("total_lines"), F.lit(seconds)), F.lit(0.0)), 2)
+    extra = {c: F.col(c) if c in metrics.columns else F.lit(0).cast("long") for c in ("parsed_lines", "error_count")}
+    row = metrics.withColumns(times | extra | {"throughput_lps": rate})
+    joined = row.join(as_map(correlations, "correlation_stats"), "_").join(as_map(actions, "action_stats"), "_")
+    return joined.select(*(f.split()[0] for f in METRICS.split(", ")))
+
 
 def signal_rows(correlated: DataFrame, window_seconds: int = 60) -> DataFrame:
     """The signal record of correlated events (with kinds of the actions planned, if there)."""

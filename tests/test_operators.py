@@ -157,3 +157,87 @@ def test_rules_per_category_and_bad_patterns(spark):
     with pytest.warns(UserWarning):
         rules = rule_set("v1", [("xss", "low", "(unclosed"), ("xss", "low", "fine")])
     assert {r.category: r.rules for r in rules_per_category(spark, rules).collect()}["xss"] == 6
+
+
+def test_settings_file(spark, tmp_path):
+    from palisade.options import configured_rules, load_settings, reloaded, save_settings, setting_errors
+
+    assert load_settings(tmp_path / "none.json") == PipelineOptions().settings() and setting_errors(PipelineOptions().settings()) == []
+    settings = with_setting(PipelineOptions(window_seconds=30).settings(), "tenants.t.correlator.window_seconds", 90)
+    for name in ("s.json", "s.yml"):
+        save_settings(settings, tmp_path / "new" / name)
+        assert load_settings(tmp_path / "new" / name) == settings
+    assert PipelineOptions.from_settings(settings) == PipelineOptions(window_seconds=30) and PipelineOptions.from_settings(settings, "t").window_seconds == 90
+    assert PipelineOptions.from_settings({}) == PipelineOptions()
+    _, diff = reloaded(spark, PipelineOptions().settings(), tmp_path / "new" / "s.json")
+    assert {(r.key, r.change) for r in diff.collect()} == {("correlator.window_seconds", "modified"), ("tenants.t.correlator.window_seconds", "added"), ("output", "removed")} - ({("output", "removed")} if "output" in settings else set())
+    bad = {"system": {"max_line_length": "x"}, "output": {"signals_file": 3}, "rules": {"xss": [{"severity": "low"}], "sqli": "x"}}
+    assert len(setting_errors(bad)) == 4 + 4
+    assert configured_rules({"rules": {"xss": [{"pattern": "a", "severity": "low"}, {"pattern": "b", "enabled": False}]}}) == [("xss", "low", "a")]
+    (tmp_path / "list.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        load_settings(tmp_path / "list.json")
+
+
+def test_training_report_and_folds(spark):
+    from palisade.operators.ml import cross_validated, refitted, training_report
+
+    scored = spark.createDataFrame([(1, 0.9), (1, 0.2), (0, 0.1), (0, 0.8)], "label int, ml_score double")
+    assert tuple(training_report(scored).first()) == (4, 0.5, 0.5, 0.5, 0.5)
+    folds = cross_validated(training_samples(spark), 3).collect()
+    assert sum(r.samples for r in folds) == training_samples(spark).count() and len({r.fold for r in folds}) == len(folds)
+    assert cross_validated(training_samples(spark).limit(0)).count() == 0
+
+
+def test_refit_keeps_what_batches_brought(spark, tmp_path):
+    from palisade.operators.ml import refitted
+
+    base = training_samples(spark)
+    batch = spark.createDataFrame([("zzz=1 or 2=2", 1), ("good morning", 0)], "text string, label int")
+    scores = [{r.text: r.ml_score for r in m.score(batch, "text").collect()} for m in (TextModel.fit(base), refitted(base, batch, str(tmp_path / "seen")), refitted(base, batch, str(tmp_path / "seen")))]
+    assert scores[1]["good morning"] < scores[0]["good morning"] and scores[1]["zzz=1 or 2=2"] > 0.5
+    assert all(abs(scores[1][t] - scores[2][t]) < 1e-6 for t in scores[1])  # the batch came again
+
+
+def test_session_anomalies(spark):
+    from palisade.operators.ml import session_anomalies
+
+    rng = random.Random(2)
+    rows = [(i, "a", i * 1_000_000, rng.random(), 1.0) for i in range(200)] + [(900, "a", 200_000_000, 80.0, 40.0), (901, "b", 5, 1.0, 1.0), (902, None, 5, 1.0, 1.0), (903, "a", None, 1.0, 1.0), (904, "a", 7, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, k string, us long, x double, y double")
+    whole = {r.id: r.anomaly_score for r in session_anomalies(df, "k", "us", "id", ["x", "y"], 1000).collect()}
+    assert len(whole) == len(rows) and {whole[i] for i in (901, 902, 903, 904)} == {0.0}
+    assert whole[900] > max(whole[i] for i in range(200)) and all(0 <= v <= 0.5 for v in whole.values())
+    pieces = {r.id: r.anomaly_score for r in session_anomalies(df, "k", "us", "id", ["x", "y"], 1000, piece=30).collect()}
+    assert pieces == whole  # a hot key's pieces share its history
+    assert session_anomalies(df.limit(0), "k", "us", "id", ["x", "y"]).count() == 0
+
+
+def test_sessions_reach_detection(spark):
+    from palisade.plans.analyze import detections
+    from palisade.sources.ingest import single_text
+
+    r = detections(single_text(spark, "1' union select 1"), PipelineOptions(sessions=True)).first()
+    assert r.anomaly_score == 0.0 and r.threat_types == ["sqli"]
+
+
+def test_limits_of_a_service(spark):
+    from palisade.sources.ingest import acceptable
+
+    df = spark.createDataFrame([("fine text",), ("",), (None,), ("  ",), ("a\tb",), ("a\u2028b",), ("a\u00a0b",), ("x" * 11,), ("\u4f60\u597d",)], "value string")
+    assert [r.refused for r in acceptable(df, longest=10).collect()] == [None, "empty", "empty", "empty", "unprintable", "unprintable", "unprintable", "too long", None]
+
+
+def test_metrics_record(spark, tmp_path):
+    from datetime import datetime
+
+    from palisade.operators.evaluate import severe_confusion
+    from palisade.sources.sinks import METRICS, metric_rows, read_json, write_json
+
+    m = spark.createDataFrame([(10, 4, 5, 3)], "total_lines long, threat_events long, rule_hits long, actions_taken long")
+    c, a = spark.createDataFrame([(4, 0.5)], "total_events long, correlation_rate double"), spark.createDataFrame([(3,)], "executed long")
+    write_json(metric_rows(m, c, a, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 4)), str(tmp_path / "m"))
+    r = read_json(spark, str(tmp_path / "m"), METRICS).first()
+    assert (r.throughput_lps, r.duration_seconds, r.total_lines, r.parsed_lines, r.correlation_stats, r.action_stats) == (2.5, 4.0, 10, 0, {"total_events": 4.0, "correlation_rate": 0.5}, {"executed": 3.0})
+    df = spark.createDataFrame([("high", True), ("critical", False), ("low", True)], "level string, hit boolean")
+    assert severe_confusion(df, "level", F.lit(True), F.col("hit")).select("tp", "fn").first() == (1, 1)
