@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import difference_cover
 from .common import BYTE_VALUE
 from .repeats import Settings, Spelling, range_arrays, repeated_ranges, unpack, with_ranges
 
@@ -40,15 +41,19 @@ def byte_symbols(texts: list[bytes]) -> Spelling:
     return Spelling(BYTE_VALUE[np.frombuffer(joined, np.uint8)], np.array([len(t) for t in texts], np.int64), joined, None)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, seed: int = 24, group_rows: int = 1 << 13) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 100, seed: int = 24, group_rows: int = 1 << 13, method: str = "sampled") -> DataFrame:
     """id, n_bytes, n_removed, spans (maximal removed byte ranges), kept (binary: the other bytes).
 
     A byte goes if a window over it also starts earlier: in a document with a
-    smaller id, or in the same document before.
+    smaller id, or in the same document before.  ``method`` is "sampled" (see
+    ``repeats``) or "difference_cover" (all suffixes, see there): the same results.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    settings = Settings(window, seed, True, byte_symbols, True, group_rows)
-    ranges = repeated_ranges(rows.where("doc is not null"), settings)
+    known = rows.where("doc is not null")
+    if method == "difference_cover":
+        ranges = difference_cover.repeated_ranges(known, window)
+    else:
+        ranges = repeated_ranges(known, Settings(window, seed, True, byte_symbols, True, group_rows))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
