@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
+def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder (with ``by``, a folder for each value) and read it back.
 
     This cuts the lineage: what is read later survives lost executors and is
     never computed twice.
     """
     path = f"{shared_folder(df.sparkSession)}/palisade-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,7 +55,7 @@ def drop_staged(df: DataFrame) -> None:
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsc.hadoopConfiguration()
     for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
+        path = jvm.org.apache.hadoop.fs.Path(re.sub(r"(/palisade-[0-9a-f]{32})/.*", r"\1", name))
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -87,4 +87,48 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_row ORDER BY score DESC,
 FROM scored QUALIFY rank <= 10
 """
 
-ORACLES = {"op2_mixing": OP2_MIXING, "op4_chat": OP4_CHAT, "op6_top_k": OP6_TOP_K, "op7_url_filter": OP7_URL_FILTER}
+OP11_HARD_NEGATIVES = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.row AS anchor_row, a.vec_id AS anchor_id, c.row, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM vectors a JOIN vectors c ON a.row <> c.row WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_row, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST))::INTEGER AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor_row = n.anchor_row AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
+def clustering(clusters: int = 40, rounds: int = 5) -> str:
+    """Each round is a table of its own: all distances, the nearest, the new centroids."""
+    steps = [
+        """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {clusters})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT k.row, k.vec_id, k.v, c.cluster, (list_inner_product(k.v, k.v) - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v))::BIGINT AS distance
+  FROM kept k, c{i} c QUALIFY row_number() OVER (PARTITION BY k.row ORDER BY distance, c.cluster) = 1)""")
+        if i < rounds:
+            steps.append(f"""sums{i} AS (
+  SELECT cluster, place, floor(sum(x) / count(*)) AS x FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM near{i}) GROUP BY ALL)""")
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT cluster, list(x ORDER BY place) AS v FROM sums{i} GROUP BY cluster) m USING (cluster))""")
+    last = f"""SELECT n.vec_id, n.cluster::INTEGER AS cluster, n.distance, (sum(n.distance) OVER (PARTITION BY n.cluster))::BIGINT AS cluster_inertia, (sum(n.distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM near{rounds} n JOIN c{rounds} c USING (cluster)"""
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
+ORACLES = {"op2_mixing": OP2_MIXING, "op4_chat": OP4_CHAT, "op6_top_k": OP6_TOP_K, "op7_url_filter": OP7_URL_FILTER, "op11_hard_negatives": OP11_HARD_NEGATIVES, "op12_centroids": clustering()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_repeats, chat, langid, metric_tree, mixing, quality, simhash, url_filter, word_repeats
+from . import bpe, byte_repeats, centroids, chat, hard_negatives, langid, metric_tree, mixing, quality, simhash, url_filter, word_repeats
 from .common import table, word_count
 
 #: The contract's rules; the globs are the default policy for other hosts.
@@ -77,4 +77,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_langid, op4_chat, op5_word_repeats, op6_top_k, op7_url_filter, op8_bpe, op9_byte_repeats, op10_quality)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an id is divisible by 7 the label is wrong on purpose."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_langid, op4_chat, op5_word_repeats, op6_top_k, op7_url_filter, op8_bpe, op9_byte_repeats, op10_quality, op11_hard_negatives, op12_centroids)}
