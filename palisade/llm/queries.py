@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_repeats, centroids, chat, hard_negatives, langid, metric_tree, mixing, quality, simhash, url_filter, word_repeats
+from . import bpe, byte_repeats, centroids, chat, hard_negatives, langid, metric_tree, mixing, pii, quality, simhash, url_filter, word_repeats
 from .common import table, word_count
 
 #: The contract's rules; the globs are the default policy for other hosts.
@@ -87,4 +87,9 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_langid, op4_chat, op5_word_repeats, op6_top_k, op7_url_filter, op8_bpe, op9_byte_repeats, op10_quality, op11_hard_negatives, op12_centroids)}
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_langid, op4_chat, op5_word_repeats, op6_top_k, op7_url_filter, op8_bpe, op9_byte_repeats, op10_quality, op11_hard_negatives, op12_centroids, op13_personal_data)}
