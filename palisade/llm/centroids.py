@@ -164,8 +164,8 @@ def squared_distances(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((p - x) ** 2).sum(axis=1) for x in c], axis=1)
 
 
-def _floats(centroids: list[list[int]]) -> np.ndarray:
-    return np.array(centroids, float).reshape(len(centroids), -1)
+def _floats(centroids: list[list[int]], dim: int) -> np.ndarray:
+    return np.array(centroids, float).reshape(len(centroids), dim)
 
 
 def _trees(parts: Iterator[pa.RecordBatch], leaf: int, tree_rows: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -193,9 +193,9 @@ def _grown(parts: Iterator[pa.RecordBatch], dim: int, leaf: int) -> Iterator[Bal
             yield BallTree.of(row, dim, leaf)
 
 
-def _sums(parts: Iterator[pa.RecordBatch], centroids: list[list[int]], leaf: int) -> Iterator[pa.RecordBatch]:
-    centers = _floats(centroids)
-    k, dim = centers.shape
+def _sums(parts: Iterator[pa.RecordBatch], centroids: list[list[int]], dim: int, leaf: int) -> Iterator[pa.RecordBatch]:
+    centers = _floats(centroids, dim)
+    k = len(centers)
     counts, sums = np.zeros(k, np.int64), np.zeros((k, dim), object)
     for tree in _grown(parts, dim, leaf):
         for level, node, found in tree.filtered(centers):
@@ -215,9 +215,9 @@ def _sums(parts: Iterator[pa.RecordBatch], centroids: list[list[int]], leaf: int
     yield pa.RecordBatch.from_arrays([*map(pa.array, fields), *(pa.array(x, pa.int64()) for x in limbs)], names)
 
 
-def _assigned(parts: Iterator[pa.RecordBatch], centroids: list[list[int]], leaf: int) -> Iterator[pa.RecordBatch]:
-    centers = _floats(centroids)
-    for tree in _grown(parts, centers.shape[1], leaf):
+def _assigned(parts: Iterator[pa.RecordBatch], centroids: list[list[int]], dim: int, leaf: int) -> Iterator[pa.RecordBatch]:
+    centers = _floats(centroids, dim)
+    for tree in _grown(parts, dim, leaf):
         clusters = tree.clusters(centers)
         far = np.zeros(len(clusters), np.int64)
         for c in np.unique(clusters):
@@ -234,9 +234,9 @@ def first_centroids(vectors: DataFrame, clusters: int, seed: str) -> list[list[i
     return [[int(x) for x in r.v] for r in first.collect()]  # `clusters` rows
 
 
-def moved(trees: DataFrame, centroids: list[list[int]], leaf: int) -> list[list[int]]:
+def moved(trees: DataFrame, centroids: list[list[int]], dim: int, leaf: int) -> list[list[int]]:
     """One round: the centroids of what is nearest to each, componentwise floor(sum / count)."""
-    partial = trees.mapInArrow(lambda parts: _sums(parts, centroids, leaf), PARTIAL)
+    partial = trees.mapInArrow(lambda parts: _sums(parts, centroids, dim, leaf), PARTIAL)
     limbs = [F.sum(F.col(f"limb{i}").cast("decimal(38,0)")).alias(f"limb{i}") for i in range(LIMBS)]
     out = [list(c) for c in centroids]
     for r in partial.groupBy("cluster", "place").agg(F.sum("n").alias("n"), *limbs).collect():  # clusters times components rows
@@ -267,8 +267,8 @@ def cluster_vectors(
     schema = pa.schema([("ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("points", "radii", "counts", "sums"))])
     trees = staged(vectors.mapInArrow(lambda parts: _trees(parts, leaf, tree_rows, schema), TREES), "trees")
     for _ in range(rounds if centroids else 0):
-        centroids = moved(trees, centroids, leaf)
-    found = staged(trees.mapInArrow(lambda parts: _assigned(parts, centroids, leaf), ASSIGNED), "assigned")
+        centroids = moved(trees, centroids, dim, leaf)
+    found = staged(trees.mapInArrow(lambda parts: _assigned(parts, centroids, dim, leaf), ASSIGNED), "assigned")
     drop_staged(trees)
     summed = F.sum(F.col("distance").cast("decimal(38,0)"))
     inertia = {r.cluster: int(r.s) for r in found.groupBy("cluster").agg(summed.alias("s")).collect()}  # `clusters` rows
