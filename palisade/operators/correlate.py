@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detect import level_name, level_number
-from .windows import blocked, ordered_fold, own_rows
+from .windows import blocked, ordered_fold, own_rows, settled
 
 RULE_CATEGORIES = ("sqli", "xss", "command_injection", "path_traversal", "ssrf", "log4shell", "ml_anomaly", "behavioral_anomaly")
 
@@ -83,44 +83,65 @@ def correlate(events: DataFrame, ts_us: str, window_seconds: int = 60, most: int
     """
     width = window_seconds * 1_000_000
     base = events.withColumn("_level", level_number(F.col("detected_severity"))).withColumn("_keys", correlation_keys())
-    bits = [F.when(F.array_contains("threat_types", c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(RULE_CATEGORIES)]
-    mask = reduce(lambda x, y: x + y, bits)
-    slim = base.select("event_id", F.col(ts_us).alias("_ts"), "_level", mask.alias("_mask"), F.posexplode("_keys").alias("_k", "_key"))
+    slim = base.select("event_id", F.col(ts_us).alias("_ts"), "_level", category_mask("threat_types").alias("_mask"), F.posexplode("_keys").alias("_k", "_key"))
     newest = Window.partitionBy("_key", "_block").orderBy("_ts", "event_id").rowsBetween(-most, -1)
     held = F.collect_list(F.struct(F.col("_ts").alias("ts"), F.col("_level").alias("level"), F.col("_mask").alias("mask"))).over(newest)
     seen = own_rows(blocked(slim, "_ts", width).withColumn("_held", held))
     seen = seen.withColumn("_held", F.filter("_held", lambda x: x["ts"] >= F.col("_ts") - width))
-    seen = seen.select("event_id", "_k", "_key", "_level", F.size("_held").alias("_prior"), _window_facts(F.col("_held"), F.col("_level"), F.col("_mask")).alias("_w"))
-    w = lambda name: F.col(f"_w.{name}")
-    high_now = (F.col("_level") >= 3).cast("int")
-    reasons = F.array_compact(
+    seen = seen.withColumn("_w", _window_facts(F.col("_held"), F.col("_level"), F.col("_mask")))
+    facts = [F.col("_k").alias("k"), F.col("_key").alias("key"), F.col("_level").alias("level"), F.size("_held").alias("prior"), *(F.col(f"_w.{n}").alias(n) for n in ("top", "mask", "low", "high", "critical"))]
+    keys = seen.select("event_id", F.struct(*facts).alias("fact")).groupBy("event_id").agg(F.collect_list("fact").alias("_facts"))  # five at most
+    return concluded(base.drop("_level", "_keys").join(keys, "event_id", "left"), "_facts", events.columns)
+
+
+def category_mask(types: str) -> Column:
+    """Categories as bits."""
+    bits = [F.when(F.array_contains(types, c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(RULE_CATEGORIES)]
+    return reduce(lambda x, y: x + y, bits)
+
+
+def _reasons(x: Column) -> Column:
+    """Why the window of a key correlates."""
+    high_now = (x["level"] >= 3).cast("int")
+    return F.array_compact(
         F.array(
-            F.when(F.bit_count(w("mask")) >= 2, F.lit("multiple threat types")),
-            F.when(F.col("_prior") >= 5, F.lit("high frequency")),
-            F.when(w("high") + w("critical") + high_now >= 2, F.lit("multiple high severity events")),
-            F.when((F.col("_prior") >= 3) & (((w("low") > 0) & (w("high") > 0)) | (w("critical") > 0)), F.lit("severity escalation")),
+            F.when(F.bit_count(x["mask"]) >= 2, F.lit("multiple threat types")),
+            F.when(x["prior"] >= 5, F.lit("high frequency")),
+            F.when(x["high"] + x["critical"] + high_now >= 2, F.lit("multiple high severity events")),
+            F.when((x["prior"] >= 3) & (((x["low"] > 0) & (x["high"] > 0)) | (x["critical"] > 0)), F.lit("severity escalation")),
         )
     )
-    each = seen.withColumn("_reasons", reasons).withColumn("_go", F.size("_reasons") > 0)
-    # Best key: most hits, then the last that correlates, then the first.
-    rank = F.struct(F.col("_prior"), F.col("_go").cast("int"), F.when(F.col("_go"), F.col("_k")).otherwise(-F.col("_k")))
-    picked = F.struct("_key", "_prior", w("mask").alias("_mask"), "_go", w("top").alias("_top"), "_reasons")
-    best = each.groupBy("event_id").agg(F.max_by(picked, rank).alias("_best"))
-    joined = base.join(best, "event_id", "left")
+
+
+def concluded(events: DataFrame, facts: str, columns: list[str]) -> DataFrame:
+    """What the windows of an event's keys (array of structs k, key, level, prior, top, mask, low, high, critical) say of it.
+
+    Of the keys the one with the most hits wins, then the last that correlates, then the first.
+    """
+
+    def ranked(x: Column) -> Column:
+        go = F.size(_reasons(x)) > 0
+        return F.struct(x["prior"].alias("prior"), go.cast("int").alias("go"), F.when(go, x["k"]).otherwise(-x["k"]).alias("k"), x.alias("x"))
+
+    alone = F.coalesce(F.size(facts), F.lit(0)) <= 0
+    known = F.filter(facts, lambda x: ~x["key"].startswith("event:"))
+    best = events.withColumn("_best", F.when(~alone, F.array_max(F.transform(known, ranked))["x"]))
+    judged = settled(best).withColumn("_why", F.when(F.col("_best").isNotNull(), _reasons(F.col("_best"))))
     b = lambda name: F.col(f"_best.{name}")
-    go = F.coalesce(b("_go"), F.lit(False))
-    final = F.least(F.coalesce(b("_top"), F.col("_level")) + go.cast("int"), F.lit(4))
-    types = F.array_compact(F.array(*(F.when(b("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(RULE_CATEGORIES))))
+    go = F.coalesce(F.size("_why") > 0, F.lit(False))
+    level = level_number(F.col("detected_severity"))
+    final = F.least(F.coalesce(b("top"), level) + go.cast("int"), F.lit(4))
+    types = F.array_compact(F.array(*(F.when(b("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(c)) for i, c in enumerate(RULE_CATEGORIES))))
     single = F.concat(F.lit("single_"), F.substring(F.col("event_id").cast("string"), 1, 8))
-    return joined.select(
-        *events.columns,
-        F.coalesce(b("_prior") + 1, F.lit(1)).alias("window_hits"),
-        F.when(b("_key").isNull(), F.col("threat_types")).otherwise(types).alias("window_types"),
+    return judged.select(
+        *columns,
+        F.coalesce(b("prior") + 1, F.lit(1)).alias("window_hits"),
+        F.when(b("key").isNull(), F.col("threat_types")).otherwise(types).alias("window_types"),
         go.alias("correlated"),
-        F.coalesce(b("_reasons"), F.array().cast("array<string>")).alias("correlation_reasons"),
+        F.coalesce("_why", F.array().cast("array<string>")).alias("correlation_reasons"),
         level_name(final).alias("final_severity"),
-        F.when(go, F.concat(F.lit("corr_"), F.substring(F.md5(b("_key")), 1, 12))).otherwise(single).alias("correlation_id"),
-        b("_key").alias("best_key"),
+        F.when(go, F.concat(F.lit("corr_"), F.substring(F.md5(b("key")), 1, 12))).otherwise(single).alias("correlation_id"),
+        b("key").alias("best_key"),
     )
 
 

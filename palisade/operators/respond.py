@@ -25,8 +25,8 @@ def idempotency_key(kind: Column, target: Column, hashed: bool = False) -> Colum
     return F.concat_ws("|", kind, part("ip", target["ip"]), part("token", target["token"]), part("session", target["session_id"]), part("user", target["user"]), part("tenant", target["tenant"]))
 
 
-def plan_actions(correlated: DataFrame, ts_us: str) -> DataFrame:
-    """A row for each planned action, in order (position): event_id, ts, correlation_id, kind, target, reason, idempotency_key."""
+def plan_actions(correlated: DataFrame, ts_us: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each planned action, in order (position): event_id, ts_us, correlation_id, kind, target, reason, idempotent_key, action_id (and ``keep``)."""
     severity, types = F.col("final_severity"), F.col("window_types")
     ip, tenant, user = F.col("source_ip"), F.col("tenant"), F.nullif("remote_user", F.lit(""))
     listed = F.array_join(types, ", ")
@@ -45,7 +45,8 @@ def plan_actions(correlated: DataFrame, ts_us: str) -> DataFrame:
             action((F.col("window_hits") > 3) & (F.size(types) > 1) & has_ip, "block_ip", _target(ip=ip, ttl_sec=F.lit(7200)), F.concat(F.lit("Multiple threat types detected: "), listed)),
         )
     )
-    rows = correlated.select("event_id", F.col(ts_us).alias("ts_us"), "correlation_id", F.posexplode(planned).alias("position", "a")).select("event_id", "ts_us", "correlation_id", "position", "a.*")
+    rows = correlated.select(*keep, "event_id", F.col(ts_us).alias("ts_us"), "correlation_id", F.posexplode(planned).alias("position", "a"))
+    rows = rows.select(*keep, "event_id", "ts_us", "correlation_id", "position", "a.*")
     return rows.withColumn("idempotent_key", idempotency_key(F.col("kind"), F.col("target"))).withColumn("action_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), F.col("position").cast("string")), 256))
 
 

@@ -175,6 +175,7 @@ ORACLES = {
       SELECT e.event_id, e.fingerprint, e.ts_us FROM kept k JOIN keyed_events e USING (fingerprint, ts_us)""",
     "suppressed_events": f"WITH {NORMAL} SELECT tenant, count(*) AS n FROM normal WHERE coalesce(source_ip, '') <> '203.0.7.1' AND tenant <> 'acme' GROUP BY tenant",
     "correlate_stateless": f"WITH {CORRELATED} SELECT event_id, window_hits, array_to_string(list_sort(wtypes), ',') AS window_types, go AS correlated, final_severity, best_key, correlation_id FROM correlated",
+    "stream_correlation": f"WITH {CORRELATED} SELECT event_id, window_hits, array_to_string(list_sort(wtypes), ',') AS window_types, go AS correlated, final_severity, best_key, correlation_id FROM correlated",
     "active_correlations": f"WITH {CORRELATED} SELECT best_key, count(*) AS event_count, max(ts_us) AS latest_us, array_to_string(list_sort(list_distinct(flatten(list(types)))), ',') AS types, {NAMES.format(x='max(final_no)')} AS max_severity FROM correlated GROUP BY best_key",
     "correlation_totals": f"WITH {CORRELATED} SELECT count(*) AS total_events, count(*) FILTER (WHERE go) AS correlated_events, round(count(*) FILTER (WHERE go) / count(*), 6) AS correlation_rate FROM correlated",
     "plan_actions": f"WITH {ACTIONS} SELECT event_id, position, kind, ttl_sec, idempotent_key, correlation_id FROM planned",

@@ -318,6 +318,43 @@ def analyze_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, f"{folder}/signals", SIGNALS).select("event_id", "severity", "correlation_id").join(actions, "correlation_id", "left")
 
 
+def replayed(spark: SparkSession, table_rows: DataFrame, ts: str, triggers: int = 3) -> tuple[str, DataFrame]:
+    """A folder below the scratch folder and a stream of a table in order of time: one file folder a trigger, and a last row far in the future.
+
+    The last row (``ts`` in 2200) only moves the watermark past all others.
+    """
+    folder = _scratch(spark)
+    bounds = table_rows.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
+    step = F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lit(bounds.a).cast("timestamp"))) * triggers / F.lit(max(1, int((bounds.b - bounds.a).total_seconds() * 1e6) + 1)))
+    for i in range(triggers):  # in order: a stream of files takes the oldest first
+        table_rows.where(step == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    last = table_rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.lit("2200-01-01").cast(dict(table_rows.dtypes)[ts]))
+    last.write.mode("append").parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(table_rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def stream_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threats of the events, streamed in several triggers through the stateful correlation; signals and metrics go to idempotent sinks and are read back."""
+    from .sources.sinks import BATCH_METRICS, batch_metrics, batch_writer, read_batches
+    from .streaming import stateful, stream
+
+    stateful.use_rocksdb(spark)
+    columns = ["event_id", "ts", "ts_us", "source_ip", "tenant", "session_id", "remote_user", "http_user_agent", "threat_types", "detected_severity"]
+    found = threats(detected_events(spark, sf_dir)).select(*columns)
+    folder, events = replayed(spark, found, "ts")
+    correlated = stateful.correlate(events.withWatermark("ts", "1 hour"), DAY)
+    own = correlated.where("ts < timestamp '2200-01-01'")
+    rows = "event_id long, window_hits int, window_types string, correlated boolean, final_severity string, best_key string, correlation_id string"
+    names = [c.split()[0] for c in rows.split(", ")]
+    signals = lambda df: df.withColumn("window_types", F.array_join(F.array_sort("window_types"), ",")).select(*names)
+    stream.start(own, batch_writer(folder, {"signals": signals, "metrics": batch_metrics}), f"{folder}/checkpoint").awaitTermination()
+    whole = read_batches(spark, folder, "metrics", BATCH_METRICS).agg(F.sum("signals").alias("n")).first().n or 0
+    out = read_batches(spark, folder, "signals", rows)
+    if whole != out.count():
+        raise RuntimeError("metrics and signals of the stream differ")
+    return out.select(*names)
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (a local master, in tests), a temporary one."""
     import uuid
@@ -333,7 +370,7 @@ def _scratch(spark: SparkSession) -> str:
 _QUERIES = (
     rule_summary, parse_formats, parse_web, parse_json, parse_tokens, url_parts, mask_pii, severity_and_agent, rule_hits, detect_threats, tenant_threats, session_statistics, session_history, fingerprints,
     ttl_dedup, suppressed_events, correlate_stateless, correlate_feedback, active_correlations, correlation_totals, plan_actions, idempotent_actions, rate_limited, executed_actions, action_totals, top_actions,
-    label_semi, label_anti, confusion_metrics, grades, run_metrics, latency_percentiles, config_diff, ml_features, lr_score, isolation_forest, deobfuscate, gbk_decode, cleaned_lines, evasion_free, analyze_signals,
+    label_semi, label_anti, confusion_metrics, grades, run_metrics, latency_percentiles, config_diff, ml_features, lr_score, isolation_forest, deobfuscate, gbk_decode, cleaned_lines, evasion_free, analyze_signals, stream_correlation,
     session_anomaly, training_metrics, cross_validation, category_rules, refused_texts,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _QUERIES}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +62,43 @@ def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the schema; blank and malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def batch_writer(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: JSON lines of each table (name: rows of a batch) below ``folder``, every batch once.
+
+    A batch has a folder of its own, named by its query and its number: both are
+    the same when Spark replays it after a failure.  A folder with Spark's success
+    mark is left alone; one that a failed attempt has left is overwritten.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        kept = batch.persist()
+        for name, rows in tables.items():
+            path = f"{folder}/{name}/query={query}/batch={number}"
+            if not _exists(spark, f"{path}/_SUCCESS"):
+                rows(kept).write.mode("overwrite").json(path)
+        kept.unpersist()
+
+    return write
+
+
+def read_batches(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """All rows that batch_writer has put into a table; what an unfinished batch has left is Spark's to hide."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("basePath", f"{folder}/{name}").json(f"{folder}/{name}")
+
+
+BATCH_METRICS = "signals long, correlated long, first_us long, last_us long"
+
+
+def batch_metrics(correlated: DataFrame) -> DataFrame:
+    """One row of a batch: how many signals, how many correlated, and from when to when."""
+    us = F.unix_micros("ts")
+    return correlated.agg(F.count("*").alias("signals"), F.count_if("correlated").alias("correlated"), F.min(us).alias("first_us"), F.max(us).alias("last_us"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.correlate import fingerprint
+from ..operators.correlate import fingerprint, suppress
 from ..operators.detect import threats
+from ..operators.respond import plan_actions
 from ..options import PipelineOptions
 from ..plans.analyze import detections
+from . import stateful
 
 
 def stream_threats(lines: DataFrame, options: PipelineOptions = PipelineOptions()) -> DataFrame:
@@ -20,6 +22,26 @@ def stream_threats(lines: DataFrame, options: PipelineOptions = PipelineOptions(
     return threats(detections(lines, options)).where("ts is not null").withColumn("fingerprint", fingerprint())
 
 
+def stream_signals(events: DataFrame, options: PipelineOptions = PipelineOptions(), suppressions: DataFrame | None = None, late_seconds: int = 60) -> DataFrame:
+    """Threat events (see stream_threats) suppressed, deduplicated and correlated, as ``analyze`` does for batches.
+
+    An event comes out when the watermark, ``late_seconds`` behind the newest event, has passed it.
+    """
+    timed = events.withColumn("ts_us", F.unix_micros("ts")) if "ts_us" not in events.columns else events
+    kept = timed if suppressions is None else suppress(timed, suppressions, "ts_us")
+    unique = stateful.leading_edge(kept.withWatermark("ts", f"{late_seconds} seconds"), "fingerprint", options.dedup_ttl)
+    return stateful.correlate(unique, options.window_seconds, options.max_events_per_window)
+
+
+def stream_actions(correlated: DataFrame, options: PipelineOptions = PipelineOptions()) -> DataFrame:
+    """Actions of a stream of correlated events (``ts`` with its watermark): planned, idempotent, and admitted or not by the tenant's rate limit."""
+    planned = plan_actions(correlated, "ts_us", keep=("ts",))
+    place = F.concat_ws("|", F.col("event_id").cast("string"), F.lpad(F.col("position").cast("string"), 3, "0"))
+    tied = planned.withColumn("_tie", place).withColumn("_tenant", F.coalesce(F.col("target.tenant"), F.lit("")))
+    once = stateful.leading_edge(tied, "idempotent_key", options.idempotency_ttl, tie="_tie", inclusive=True)
+    return stateful.rate_limited(once, "_tenant", "action_id", options.max_actions_per_second).drop("_tie", "_tenant")
+
+
 def unique_within_watermark(events: DataFrame, ttl_seconds: int, ts: str = "ts") -> DataFrame:
     """The first event of each fingerprint; state goes when the watermark has passed it by the TTL."""
     return events.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["fingerprint"])
