@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .detect import level_name, level_number
+from .folds import RUN_ROWS, first_passing
 from .windows import blocked, ordered_fold, own_rows, settled
 
 RULE_CATEGORIES = ("sqli", "xss", "command_injection", "path_traversal", "ssrf", "log4shell", "ml_anomaly", "behavioral_anomaly")
@@ -34,20 +35,13 @@ def suppress(events: DataFrame, suppressions: DataFrame, ts_us: str) -> DataFram
     return ip.join(by, (F.concat(F.lit("tenant:"), F.col("tenant")) == F.col("target")) & covered, "left_anti")
 
 
-def leading_edge(df: DataFrame, key: str, ts_us: str, tie: str, ttl_seconds: int, inclusive: bool = False) -> DataFrame:
+def leading_edge(df: DataFrame, key: str, ts_us: str, tie: str, ttl_seconds: int, inclusive: bool = False, run_rows: int = RUN_ROWS) -> DataFrame:
     """Adds ``kept``: no kept row of the key is younger than the TTL (with ``inclusive``, as old as it).
 
-    Dropped rows do not extend the TTL.
+    Dropped rows do not extend the TTL.  A key is as many tasks as it has pauses of
+    a TTL, and more where it has ``run_rows`` rows without one (see ``folds``).
     """
-    ttl = ttl_seconds * 1_000_000 + inclusive
-
-    def step(state: list, values: tuple) -> bool:
-        if state and values[0] - state[0] < ttl:
-            return False
-        state[:] = [values[0]]
-        return True
-
-    return ordered_fold(df, [key], [ts_us, tie], [ts_us], "kept boolean", list, step)
+    return first_passing(df, key, ts_us, tie, ttl_seconds * 1_000_000 + inclusive, run_rows)
 
 
 def correlation_keys() -> Column:

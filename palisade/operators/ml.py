@@ -11,12 +11,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TRAINING
 from ..functions.text import feature_names, text_features
 from .evaluate import confusion
+from .ranges import numbered
+from .windows import blocked
 
 
 def with_features(df: DataFrame, text_col: str, raw: bool = False) -> DataFrame:
@@ -162,50 +164,107 @@ def isolation_scores(df: DataFrame, columns: list[str], order: str, sample: int
     return df.mapInPandas(run, schema)
 
 
-def session_anomalies(df: DataFrame, key: str, ts_us: str, order: str, columns: list[str], seconds: int = 3600, history: int = 1000, least: int = 10, piece: int = 20_000, trees: int = 50, per_tree: int = 64, seed: int = 42) -> DataFrame:
-    """Adds anomaly_score: how far a row is from its key's own history, by an isolation forest of the key.
+def joined_depths(past: np.ndarray, points: np.ndarray, rng: np.random.Generator, trees: int, size: int, depth: int) -> np.ndarray:
+    """Mean depth of each point in ``trees`` isolation trees of ``size`` rows of the past, had each been grown with the point.
 
-    Time is cut into blocks of ``seconds``.  A row's history are the newest
-    ``history`` rows of its key in the block before, or where those are fewer than
-    ``least``, in its own block.  Below ``least`` rows, or with a null key, time or
-    column, the score is 0.  Otherwise it is 2 ** (-depth / usual depth) - 1/2 as
-    an absolute value (0 to 1/2), that is the distance from the forest's neutral
-    score.  A key's block is dealt to tasks in pieces of about ``piece`` rows,
-    each with the same history, so a hot key is many groups.
+    All trees grow together, a level at a time.  Outside the box of a node's rows a
+    cut may isolate the point there, with the share of the span that lies between;
+    what is expected adds up along the way.
+    """
+    width = past.shape[1]
+    rows = past[np.argsort(rng.random((trees, len(past))), axis=1)[:, :size]].reshape(-1, width)
+    tree = np.repeat(np.arange(trees), size)
+    node = np.zeros(len(rows), np.int64)
+    place = np.zeros((trees, len(points)), np.int64)
+    total, left_over, going = np.zeros(place.shape), np.ones(place.shape), np.ones(place.shape, bool)
+    usual = np.array([_average_path(n + 1) for n in range(size + 1)])
+    for level in range(depth + 1):
+        number = tree * (1 << level) + node
+        order = np.argsort(number, kind="stable")
+        starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        held = number[order][starts]
+        low, high, count = (np.zeros((trees << level, width)), np.zeros((trees << level, width)), np.zeros(trees << level, np.int64))
+        low[held], high[held] = np.minimum.reduceat(rows[order], starts, axis=0), np.maximum.reduceat(rows[order], starts, axis=0)
+        count[held] = np.diff(starts, append=len(order))
+        uneven = high > low
+        leaf = (count <= 1) | ~uneven.any(axis=1) | (level == depth)
+        at = np.arange(trees)[:, None] * (1 << level) + place
+        beyond = np.maximum(low[at] - points, 0) + np.maximum(points - high[at], 0)
+        span = beyond + (high[at] - low[at])
+        alone = (beyond / np.where(span > 0, span, 1)).sum(axis=2) / np.maximum((span > 0).sum(axis=2), 1)
+        total += np.where(going, left_over * alone * (level + 1), 0)
+        left_over = np.where(going, left_over * (1 - alone), left_over)
+        ends = going & leaf[at]
+        total += np.where(ends, left_over * (level + usual[count[at]]), 0)
+        going &= ~ends
+        feature = np.where(uneven, rng.random(uneven.shape), -1).argmax(axis=1)
+        each = np.arange(trees << level)
+        cut = low[each, feature] + rng.random(trees << level) * (high - low)[each, feature]
+        cut = np.where(cut < high[each, feature], cut, low[each, feature])  # neither side is empty
+        kept = ~leaf[number]
+        if not kept.any():
+            break
+        rows, tree, node, number = rows[kept], tree[kept], node[kept], number[kept]
+        node = 2 * node + (rows[np.arange(len(rows)), feature[number]] > cut[number])
+        beside = points[np.arange(len(points))[None, :], feature[at]] > cut[at]
+        place = np.where(going, 2 * place + beside, 0)
+    return total.mean(axis=0)
+
+
+def causal_scores(x: np.ndarray, offset: int, first: int, history: int, least: int, step: int, trees: int, per_tree: int, seed: int) -> np.ndarray:
+    """Scores of a key's rows from number ``first`` on; ``x`` has the rows from number ``offset`` on (numbers from 0).
+
+    A row is judged by the ``history`` rows before the last refit at or before it.
+    """
+    stop = offset + len(x)
+    close = [least << i for i in range(max(0, (step - 1) // least).bit_length())]  # while the history is short
+    marks = sorted({m for m in (*close, *range(step * (first // step), stop, step)) if least <= m < stop})
+    out = np.zeros(stop - first)
+    for mark, then in zip(marks, [*marks[1:], stop], strict=False):
+        rows = np.arange(max(mark, first), then)
+        past = x[max(0, mark - history - offset) : mark - offset]
+        if len(rows):
+            rng = np.random.default_rng([seed, mark])
+            size = min(per_tree, len(past))
+            depth = int(np.ceil(np.log2(max(size, 2))))
+            mean = joined_depths(past, x[rows - offset], rng, trees, size, depth)
+            out[rows - first] = np.abs(2 ** (-mean / max(_average_path(size), 1e-9)) - 0.5)
+    return out
+
+
+def session_anomalies(df: DataFrame, key: str, ts_us: str, order: str, columns: list[str], history: int = 1000, least: int = 10, step: int = 100, trees: int = 50, per_tree: int = 64, seed: int = 42, parts: int | None = None) -> DataFrame:
+    """Adds anomaly_score: how far a row is from what its key did before, by an isolation forest of the key.
+
+    A row is judged by rows before it only: the forest of the ``history`` rows up to
+    the last refit, which comes every ``step`` rows of the key (and after ``least``, twice and
+    four times as many, until the first ``step``), as if it had been grown with the row.  Later rows change no score.  Before ``least`` rows, or with a null
+    key, time or column, the score is 0.  Otherwise it is 2 ** (-depth / usual depth) -
+    1/2 as an absolute value (0 to 1/2), the distance from the forest's neutral score.
+
+    Rows are numbered within their key over sorted ranges; a block of ``history``
+    numbers, with the block before as its past, is one group: a hot key is many.
     """
-    block = F.floor(F.col(ts_us) / (seconds * 1_000_000))
     usable = F.col(key).isNotNull() & F.col(ts_us).isNotNull()
     for c in columns:
         usable = usable & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    rows = df.withColumn("_block", F.when(usable, block))
-    known = rows.where("_block is not null").select(F.col(key).alias("_key"), F.col("_block").alias("_block"), F.col(ts_us).alias("_at"), F.col(order).cast("string").alias("_id"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)))
-    newest = Window.partitionBy("_key", "_block").orderBy(F.desc("_at"), F.desc("_id"))
-    # the rank filter becomes a group limit before the shuffle, so a hot block sends `history` rows for each task
-    recent = known.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= history).groupBy("_key", "_block").agg(F.collect_list(F.array(*(f"_x{i}" for i in range(len(columns))))).alias("_past"))
-    sizes = known.groupBy("_key", "_block").agg(F.ceil(F.count("*") / piece).alias("_pieces"))
-    own = sizes.join(recent.withColumnRenamed("_past", "_own"), ["_key", "_block"])
-    before = recent.select("_key", (F.col("_block") + 1).alias("_block"), F.col("_past").alias("_before"))
-    enough = F.size(F.coalesce("_before", F.array().cast("array<array<double>>"))) >= least
-    past = own.join(before, ["_key", "_block"], "left").select("_key", "_block", "_pieces", F.when(enough, F.col("_before")).otherwise(F.col("_own")).alias("_past"))
-    # (key, block, piece) is the unit of work: its history comes once, its rows beside it
-    dealt = past.select("_key", "_block", F.explode(F.sequence(F.lit(0), (F.col("_pieces") - 1).cast("int"))).alias("_piece"), "_past")
-    counts = past.select("_key", "_block", "_pieces")
-    placed = rows.where("_block is not null").withColumn("_key", F.col(key)).join(counts, ["_key", "_block"]).withColumn("_piece", F.pmod(F.xxhash64(order, ts_us), F.col("_pieces")).cast("int")).drop("_pieces")
-    names = [f.name for f in df.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", anomaly_score double"
-
-    def run(part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        score = np.zeros(len(part))
-        x = np.array(held["_past"].iloc[0].tolist(), float) if len(held) else np.zeros((0, len(columns)))
-        if len(part) and len(x) >= least:
-            rng = np.random.default_rng(seed)
-            size = min(per_tree, len(x))
-            depth = int(np.ceil(np.log2(max(size, 2))))
-            points = part[columns].to_numpy(float)
-            mean = sum(_depths(_grow(x[rng.choice(len(x), size, replace=False)], rng, depth), points) for _ in range(trees)) / trees
-            score = np.abs(2 ** (-mean / max(_average_path(size), 1e-9)) - 0.5)
-        return part[names].assign(anomaly_score=score)
-
-    group = ["_key", "_block", "_piece"]
-    scored = placed.groupBy(*group).cogroup(dealt.groupBy(*group)).applyInPandas(run, schema)
-    return scored.unionByName(rows.where("_block is null").drop("_block").withColumn("anomaly_score", F.lit(0.0)))
+    marked = df.withColumn("_fine", usable)
+    rows = numbered(marked.where("_fine").drop("_fine"), [key], [ts_us, order], "_n", parts)
+    xs = [f"_x{i}" for i in range(len(columns))]
+    slim = rows.select(F.col(key).alias("_key"), (F.col("_n") - 1).alias("_p"), *(F.col(c).cast("double").alias(x) for x, c in zip(xs, columns, strict=True)))
+    kind = dict(slim.dtypes)["_key"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_p")
+        own = part["_own"].to_numpy(bool)
+        out = part.loc[own, ["_key", "_p"]]
+        if not len(out):
+            return out.assign(anomaly_score=0.0)
+        score = causal_scores(part[xs].to_numpy(float), int(part["_p"].iloc[0]), int(out["_p"].iloc[0]), history, least, step, trees, per_tree, seed)
+        return out.assign(anomaly_score=score)
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups are heavy for their bytes: not to be coalesced by size
+    scored = blocked(slim, "_p", history).repartition(tasks, "_key", "_block").groupBy("_key", "_block").applyInPandas(run, f"_key {kind}, _p long, anomaly_score double")
+    same = F.col("r._key").eqNullSafe(F.col("s._key")) & (F.col("r._p") == F.col("s._p"))
+    joined = rows.withColumns({"_key": F.col(key), "_p": F.col("_n") - 1}).alias("r").join(scored.alias("s"), same)
+    out = joined.select(*(F.col(f"r.`{c}`") for c in df.columns), "s.anomaly_score")
+    return out.unionByName(marked.where("not _fine").drop("_fine").withColumn("anomaly_score", F.lit(0.0)))

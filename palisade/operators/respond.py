@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .correlate import leading_edge
-from .windows import ordered_fold
+from .folds import RUN_ROWS, limited
 
 TARGET = "struct<ip:string,token:string,session_id:string,user:string,tenant:string,ttl_sec:int>"
 
@@ -56,19 +54,13 @@ def idempotent_actions(actions: DataFrame, ttl_seconds: int = 300) -> DataFrame:
     return leading_edge(ordered, "idempotent_key", "ts_us", "_tie", ttl_seconds, inclusive=True).where("kept").drop("kept", "_tie")
 
 
-def rate_limited(actions: DataFrame, keys: list[str], ts_us: str, tie: str, most: int = 100, seconds: float = 1.0) -> DataFrame:
-    """Adds ``admitted``: at most ``most`` admitted rows of a key in any ``seconds``; rejected rows don't count."""
-    width = int(seconds * 1_000_000)
-
-    def step(state: deque, values: tuple) -> bool:
-        while state and values[0] - state[0] > width:
-            state.popleft()
-        if len(state) >= most:
-            return False
-        state.append(values[0])
-        return True
+def rate_limited(actions: DataFrame, keys: list[str], ts_us: str, tie: str, most: int = 100, seconds: float = 1.0, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Adds ``admitted``: at most ``most`` admitted rows of a key in any ``seconds``; rejected rows don't count.
 
-    return ordered_fold(actions, keys, [ts_us, tie], [ts_us], "admitted boolean", deque, step)
+    A key is as many tasks as it has pauses of that length, and blocks of
+    ``run_rows`` rows where it has none (see ``folds``).
+    """
+    return limited(actions, keys, ts_us, tie, most, int(seconds * 1_000_000), run_rows)
 
 
 def execute(actions: DataFrame, fail_limited: bool = False) -> DataFrame:

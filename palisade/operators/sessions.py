@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import sliding_totals
+from .ranges import numbered
+from .windows import blocked, own_rows, sliding_totals
 
 
 def session_key() -> Column:
@@ -36,8 +37,16 @@ def session_features(events: DataFrame, key: str, ts_us: str, dims: dict[str, st
     return found.unionByName(missing, allowMissingColumns=True)
 
 
-def with_history(df: DataFrame, key: str, order: list[str], column: str, rows: int = 1000, least: int = 10) -> DataFrame:
-    """history_size (rows so far, at most ``rows``), history_mean, history_std of a column; null below ``least`` rows."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
+def with_history(df: DataFrame, key: str, order: list[str], column: str, rows: int = 1000, least: int = 10, parts: int | None = None) -> DataFrame:
+    """history_size (rows so far, at most ``rows``), history_mean, history_std of a column; null below ``least`` rows.
+
+    Rows are numbered within their key over sorted ranges and cut into blocks of
+    ``rows`` numbers; a frame needs its own block and the one before, so a hot key is
+    many groups of at most twice ``rows`` rows.  ``order`` should tell a key's rows apart.
+    """
+    blocks = blocked(numbered(df, [key], order, "_n", parts), "_n", rows)
+    w = Window.partitionBy(key, "_block").orderBy("_n").rangeBetween(-(rows - 1), 0)
     n = F.count("*").over(w)
-    return df.withColumn("history_size", n).withColumn("history_mean", F.when(n >= least, F.avg(column).over(w))).withColumn("history_std", F.when(n >= least, F.stddev_pop(column).over(w)))
+    enough = lambda x: F.when(n >= least, x.over(w))
+    found = blocks.withColumns({"history_size": n, "history_mean": enough(F.avg(column)), "history_std": enough(F.stddev_pop(column))})
+    return own_rows(found).drop("_n")

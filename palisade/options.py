@@ -24,7 +24,7 @@ class PipelineOptions:
     enable_ml: bool = True
     anomaly_threshold: float = 0.7
     rule_set: str = "v1"
-    sessions: bool = False
+    sessions: bool = True
 
     def __post_init__(self) -> None:
         if min(self.window_seconds, self.dedup_ttl, self.max_line_length) <= 0:

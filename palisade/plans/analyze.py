@@ -30,20 +30,20 @@ class Analysis:
 SESSION_COLUMNS = ["event_count", "unique_ips", "unique_paths", "error_count", "requests_per_second", "avg_length"]
 
 
-def with_anomalies(events: DataFrame, seconds: int = 60, history_seconds: int = 3600) -> DataFrame:
-    """Adds anomaly_score: the event's session of the last ``seconds`` against the history of its key (see session_anomalies)."""
+def with_anomalies(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """Adds anomaly_score: the event's session of the last ``seconds`` against what its key did before (see session_anomalies)."""
     keyed = events.withColumns({"_session": session_key(), "_ts": micros("ts")})
     error = F.coalesce(F.substring(F.col("http_status").cast("string"), 1, 1).isin("4", "5"), F.lit(False))
     found = session_features(keyed, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, error, F.length("message"), seconds)
-    return session_anomalies(found, "_session", "_ts", "event_id", SESSION_COLUMNS, history_seconds).select(*events.columns, "anomaly_score")
+    return session_anomalies(found, "_session", "_ts", "event_id", SESSION_COLUMNS).select(*events.columns, "anomaly_score")
 
 
 def detections(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tenant: str | None = None, model: TextModel | None = None) -> DataFrame:
-    """Parse, normalise, detect.  Stateless, so the same for batches and streams, unless ``options.sessions``: then batches only."""
+    """Parse, normalise, detect.  Stateless, so the same for batches and streams, but for ``options.sessions``, which batches only heed."""
     events = normalize_events(with_decoded_query(for_tenant(parse_lines(lines), tenant)))
     if model is not None and options.enable_ml:
         events = model.score(events, "message")
-    if options.sessions:
+    if options.sessions and not lines.isStreaming:
         events = with_anomalies(settled(events), options.window_seconds)
     return detect(events, rule_set(options.rule_set), options.anomaly_threshold).withColumn("ts_us", micros("ts"))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import ship, spread
+from .cluster import shared_folder, ship, spread
 from .functions.masking import masked
 from .functions.net import http_method, http_path, location, normal_ip, query_pairs, severity_level, user_agent
 from .functions.text import decoded, deobfuscated, without_evasion
@@ -261,11 +260,11 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a day against the history of their user in the 30 days before."""
+    """Sessions of a day against what their user did before."""
     e = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("ts_us"), "user_id")
     features = ["event_count", "unique_types", "error_count", "requests_per_second"]
     seen = e.join(session_statistics(spark, sf_dir), "event_id")
-    return session_anomalies(seen, "user_id", "ts_us", "event_id", features, 30 * DAY).select("event_id", "user_id", "anomaly_score")
+    return session_anomalies(seen, "user_id", "ts_us", "event_id", features).select("event_id", "user_id", "anomaly_score")
 
 
 def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,15 +355,10 @@ def stream_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (a local master, in tests), a temporary one."""
+    """A new folder below the one that driver and executors share."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/logs-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
 
 
 _QUERIES = (

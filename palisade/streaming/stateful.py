@@ -16,7 +16,7 @@ the memory, which deletes it.  The state store must be RocksDB's
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import correlate as co
 from ..operators.correlate import correlation_keys
 from ..operators.detect import level_number
+from ..operators.folds import Step, leading, limiting
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -112,7 +113,7 @@ class _Waiting(StatefulProcessor):
 class Admission(_Waiting):
     """Lets a row pass if ``step`` says so of the times that it keeps of the key; ``memory_us`` after the last the key is forgotten."""
 
-    def __init__(self, step: Callable[[list[int], int], bool], memory_us: int):
+    def __init__(self, step: Step, memory_us: int):
         self.step, self.memory = step, memory_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -133,32 +134,7 @@ class Admission(_Waiting):
         self.kept.clear()
 
 
-def leading(ttl_us: int) -> Callable[[list[int], int], bool]:
-    """The first of a key, then the first that is at least ``ttl_us`` after the last that passed."""
-
-    def step(times: list[int], us: int) -> bool:
-        if times and us - times[-1] < ttl_us:
-            return False
-        times[:] = [us]
-        return True
-
-    return step
-
-
-def limiting(most: int, width_us: int) -> Callable[[list[int], int], bool]:
-    """At most ``most`` that passed in the last ``width_us``, its far end included."""
-
-    def step(times: list[int], us: int) -> bool:
-        times[:] = [t for t in times if us - t <= width_us]
-        if len(times) >= most:
-            return False
-        times.append(us)
-        return True
-
-    return step
-
-
-def _admitted(df: DataFrame, key: Column, tie: str, step: Callable[[list[int], int], bool], memory_us: int) -> DataFrame:
+def _admitted(df: DataFrame, key: Column, tie: str, step: Step, memory_us: int) -> DataFrame:
     packed = _packed(df, key.cast("string").alias("_key"), F.unix_micros("ts").alias("us"), _tie(df, tie).alias("tie"))
     out = packed.groupBy("_key").transformWithState(Admission(step, memory_us), "ts timestamp, payload string, passed boolean", "Append", "EventTime", eventTimeColumnName="ts")
     return _unpacked(out, df.schema, "passed")

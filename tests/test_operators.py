@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,16 +201,25 @@ def test_refit_keeps_what_batches_brought(spark, tmp_path):
 
 
 def test_session_anomalies(spark):
-    from palisade.operators.ml import session_anomalies
+    from palisade.operators.ml import causal_scores, session_anomalies
 
     rng = random.Random(2)
     rows = [(i, "a", i * 1_000_000, rng.random(), 1.0) for i in range(200)] + [(900, "a", 200_000_000, 80.0, 40.0), (901, "b", 5, 1.0, 1.0), (902, None, 5, 1.0, 1.0), (903, "a", None, 1.0, 1.0), (904, "a", 7, None, 1.0)]
     df = spark.createDataFrame(rows, "id long, k string, us long, x double, y double")
-    whole = {r.id: r.anomaly_score for r in session_anomalies(df, "k", "us", "id", ["x", "y"], 1000).collect()}
-    assert len(whole) == len(rows) and {whole[i] for i in (901, 902, 903, 904)} == {0.0}
-    assert whole[900] > max(whole[i] for i in range(200)) and all(0 <= v <= 0.5 for v in whole.values())
-    pieces = {r.id: r.anomaly_score for r in session_anomalies(df, "k", "us", "id", ["x", "y"], 1000, piece=30).collect()}
-    assert pieces == whole  # a hot key's pieces share its history
+    shape = {"history": 60, "least": 10, "step": 20}
+    scores = lambda rows, **more: {r.id: r.anomaly_score for r in session_anomalies(rows, "k", "us", "id", ["x", "y"], **shape, **more).collect()}
+    whole = scores(df)
+    assert len(whole) == len(rows) and {whole[i] for i in (*range(10), 901, 902, 903, 904)} == {0.0}
+    assert whole[900] > max(whole[i] for i in range(200)) and all(0 <= v <= 0.5 for v in whole.values()) and whole[10] > 0
+    assert scores(df, parts=7) == whole
+    # later rows change nothing, not even those of the same block
+    for n in (5, 15, 70, 133):
+        earlier = scores(df.where(F.col("id") < n))
+        assert earlier == {i: whole[i] for i in range(n)}
+    # one key in one piece, row by row
+    x = np.array([r[3:] for r in rows[:201]])
+    alone = [causal_scores(x[max(0, p - 199) : p + 1], max(0, p - 199), p, **shape, trees=50, per_tree=64, seed=42)[0] for p in range(201)]
+    assert np.allclose(alone, [whole[i] for i in [*range(200), 900]])
     assert session_anomalies(df.limit(0), "k", "us", "id", ["x", "y"]).count() == 0
 
 
@@ -217,7 +227,7 @@ def test_sessions_reach_detection(spark):
     from palisade.plans.analyze import detections
     from palisade.sources.ingest import single_text
 
-    r = detections(single_text(spark, "1' union select 1"), PipelineOptions(sessions=True)).first()
+    r = detections(single_text(spark, "1' union select 1"), PipelineOptions()).first()
     assert r.anomaly_score == 0.0 and r.threat_types == ["sqli"]
 
 
