@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decoded, sanitized, stripped
@@ -24,13 +24,34 @@ def read_lines(spark: SparkSession, path: str, options: PipelineOptions = Pipeli
     return clean_lines(lines, options)
 
 
-def read_numbered_lines(spark: SparkSession, path: str, options: PipelineOptions = PipelineOptions()) -> DataFrame:
-    """As read_lines, with line_number (from 1, all physical lines count).
+#: Up to so many file ranges, their table is sent to all tasks (about 100 MB); beyond it the join is Spark's to choose.
+RANGES = 1_000_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, source, line_number (from 1; all physical lines count): large files are read and numbered by many tasks.
 
-    A file is read whole to number its lines, so files must fit a task.
+    Spark reads a file in byte ranges.  One pass counts the lines of each range;
+    the counts are summed up by file, and a second pass numbers the lines: those of
+    a range are in order in their task, so a line's number is that of its range's
+    first line and its distance from it.  Only the counts are shuffled.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("n", "value"))
-    return clean_lines(files.select(F.regexp_replace("value", "\r$", "").alias("value"), "source", (F.col("n") + 1).cast("long").alias("line_number")), options)
+    raw = spark.read.option("lineSep", "\n").text(path)
+    where = [F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_start")]
+    lines = raw.select("value", *where, F.monotonically_increasing_id().alias("_row"))
+    ranges = lines.groupBy("source", "_start").agg(F.count("*").alias("_lines"), F.min("_row").alias("_first"))
+    before = Window.partitionBy("source").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)  # ranges of one file
+    placed = ranges.select("source", "_start", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
+    size = int(str(raw._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    few = size // spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() + len(raw.inputFiles()) <= RANGES
+    joined = lines.join(F.broadcast(placed) if few else placed, ["source", "_start"])
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return joined.select(F.regexp_replace("value", "\r$", "").alias("value"), "source", number.alias("line_number"))
+
+
+def read_numbered_lines(spark: SparkSession, path: str, options: PipelineOptions = PipelineOptions()) -> DataFrame:
+    """As read_lines, with line_number (from 1, all physical lines count; see numbered_lines)."""
+    return clean_lines(numbered_lines(spark, path), options)
 
 
 def stream_lines(spark: SparkSession, path: str, options: PipelineOptions = PipelineOptions(), files_per_batch: int = 100) -> DataFrame:
