@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.net import IPV4, ip_number, normal_ip
+from .windows import settled
 
 
 @pandas_udf(StringType())
@@ -48,13 +49,13 @@ def network_rows(networks: DataFrame, column: str = "network") -> DataFrame:
     Bits beyond the prefix are ignored (10.1.2.3/8 is 10.0.0.0/8); without a slash it is one address.
     """
     text = F.trim(F.col(column))
-    ip = normal_ip(F.split_part(text, F.lit("/"), F.lit(1)))
-    family = F.when(ip.rlike(IPV4), 4).when(ip.isNotNull(), 6)
-    most = F.when(family == 4, 32).otherwise(128)
+    rows = settled(networks.withColumn("_ip", normal_ip(F.split_part(text, F.lit("/"), F.lit(1)))))
+    family = F.when(F.col("_ip").rlike(IPV4), 4).when(F.col("_ip").isNotNull(), 6)
+    most = F.when(F.col("_family") == 4, 32).otherwise(128)
     length = F.when(text.contains("/"), F.split_part(text, F.lit("/"), F.lit(-1)).try_cast("int")).otherwise(most)
-    rows = networks.withColumns({"_family": family, "_length": length, "_digits": F.upper(address_hex(ip))})
-    fine = F.col("_family").isNotNull() & F.col("_length").between(0, F.when(F.col("_family") == 4, 32).otherwise(128))
-    return rows.where(fine).withColumn("_bits", cut_hex(F.col("_digits"), F.col("_length"))).drop("_digits")
+    rows = rows.withColumn("_family", family).withColumn("_length", length).withColumn("_digits", F.upper(address_hex(F.col("_ip"))))
+    fine = settled(rows).where(F.col("_family").isNotNull() & F.col("_length").between(0, most))
+    return fine.withColumn("_bits", cut_hex(F.col("_digits"), F.col("_length"))).drop("_digits", "_ip")
 
 
 def with_network(df: DataFrame, ip_col: str, networks: DataFrame, network_col: str = "network") -> DataFrame:
@@ -70,9 +71,9 @@ def with_network(df: DataFrame, ip_col: str, networks: DataFrame, network_col: s
     one = table.groupBy("_family", "_length", "_bits").agg(F.min_by(facts, F.struct(F.col(network_col), *more)).alias("_facts"))
     lengths = one.groupBy("_family").agg(F.collect_set("_length").alias("_lengths"))  # two rows, 33 and 129 lengths at most
     # each distinct address once, whatever number of rows it has
-    addresses = df.select(F.col(ip_col).alias("_ip")).distinct().withColumn("_own", normal_ip(F.col("_ip"))).where("_own is not null")
+    addresses = settled(df.select(F.col(ip_col).alias("_ip")).distinct().withColumn("_own", normal_ip(F.col("_ip")))).where("_own is not null")
     known = addresses.withColumns({"_family": F.when(F.col("_own").rlike(IPV4), 4).otherwise(6), "_digits": F.upper(address_hex(F.col("_own")))})
-    each = known.join(F.broadcast(lengths), "_family").select("_ip", "_family", "_digits", F.explode("_lengths").alias("_length"))
+    each = settled(known).join(F.broadcast(lengths), "_family").select("_ip", "_family", "_digits", F.explode("_lengths").alias("_length"))
     cut = each.withColumn("_bits", cut_hex(F.col("_digits"), F.col("_length")))
     best = cut.join(one, ["_family", "_length", "_bits"]).groupBy("_ip").agg(F.max_by("_facts", "_length").alias("_facts"))
     joined = df.join(best, F.col(ip_col) == F.col("_ip"), "left")

@@ -16,7 +16,7 @@ def normalize_events(events: DataFrame) -> DataFrame:
     """
     decoded = F.col("decoded_query") if "decoded_query" in events.columns else F.lit(None).cast("string")
     message = F.coalesce(F.nullif(decoded, F.lit("")), F.when(F.col("format") != "json", F.col("query")), F.nullif("query", F.lit("")), F.col("message"), F.lit(""))
-    kept = [c for c in ("event_ts", "line_number", "source") if c in events.columns]
+    kept = [c for c in ("event_ts", "line_number", "source", "fields") if c in events.columns]
     has_http = F.col("method").isNotNull()
     out = events.select(
         "event_id", *kept, F.col("timestamp").alias("ts"), F.coalesce("tenant", F.lit("default")).alias("tenant"), normal_ip(F.col("source_ip")).alias("source_ip"),

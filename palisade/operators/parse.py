@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,19 @@ def _first(*columns: Column) -> Column:
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
-def parse_lines(lines: DataFrame, strict_formats: bool = False) -> DataFrame:
+def json_field(path: str, kind: str = "string", fields: str = "fields") -> Column:
+    """A value of the whole JSON object by its path, like ``$.request.headers.host``; null if it is not there or of no such type."""
+    return F.try_variant_get(fields, path, kind)
+
+
+def parse_lines(lines: DataFrame, strict_formats: bool = False, json_paths: Mapping[str, Sequence[str]] | None = None, whole_json: bool = False) -> DataFrame:
     """Raw events: all columns of ``lines`` and format, event_id and the parsed fields (null where a format has none).
 
     ``strict_formats`` tells container and database lines by their second token before cloud audit.
+    ``json_paths`` names further places of a field in JSON lines, tried in order after
+    the usual ones (``{"source_ip": ["$.network.client.ip"]}``).  ``whole_json`` adds
+    ``fields``, a VARIANT of the whole object (null for other formats; see json_field),
+    so that fields which no parser knows reach the event.
     """
     v = F.col("value")
     fmt = line_format(v)
@@ -95,12 +106,27 @@ def parse_lines(lines: DataFrame, strict_formats: bool = False) -> DataFrame:
         "tenant": F.when(f == "json", F.coalesce(_first(j("tenant"), j("organization")), F.lit("default"))).when(f != "raw", "default"),
         "parse_error": F.when(v.rlike(JSON_SHAPE) & (f != "json"), "invalid JSON"),
     }
+    if json_paths or whole_json:
+        df = df.withColumn("_whole", F.when(f == "json", F.try_parse_json(v)))
+    for name, paths in (json_paths or {}).items():
+        if name not in columns:
+            raise ValueError(f"no field {name}")
+        texts = [F.nullif(F.try_variant_get("_whole", path, "string"), F.lit("")) for path in paths]
+        kind = {"status_code": "int", "bytes_sent": "long"}.get(name)
+        if name == "timestamp":
+            stamp = F.when(f == "json", F.coalesce(_first(j("timestamp"), j("@timestamp"), j("time")), *texts)).otherwise(stamp)
+            columns[name] = parse_time(stamp)
+        elif name == "tenant":
+            columns[name] = F.when(f == "json", F.coalesce(_first(j("tenant"), j("organization")), *texts, F.lit("default"))).otherwise(columns[name])
+        else:
+            columns[name] = F.coalesce(columns[name], *(t.try_cast(kind) if kind else t for t in texts))
+    whole = [F.col("_whole").alias("fields")] if whole_json else []
     source = F.col("source") if "source" in lines.columns else F.lit("")
     number = F.col("line_number").cast("string") if "line_number" in lines.columns else F.lit("")
     event_id = [F.sha2(F.concat_ws("|", source, number, v), 256).alias("event_id")] if "event_id" not in lines.columns else []
-    kept = [c for c in lines.columns if c not in columns and c != "format"]
+    kept = [c for c in lines.columns if c not in columns and c != "format" and not (whole_json and c == "fields")]
     tenant_given = {"tenant": F.coalesce(F.col("tenant"), columns["tenant"])} if "tenant" in lines.columns else {}
-    parsed = df.select(*kept, f.alias("format"), *event_id, *((columns | tenant_given)[n].alias(n) for n in columns))
+    parsed = df.select(*kept, f.alias("format"), *event_id, *((columns | tenant_given)[n].alias(n) for n in columns), *whole)
     return parsed
 
 

@@ -204,6 +204,18 @@ ORACLES = {
       SELECT event_id, trim(regexp_replace(replace(v, '&#x3c;', '<'), '\s+', ' ', 'g')) AS value FROM b""",
     "cleaned_lines": f"WITH {LINES} SELECT event_id, md5(value) AS value_md5 FROM lines WHERE event_id % 9 <> 0",
     "category_rules": f"SELECT c AS category, count(*) AS rules FROM (SELECT unnest({CATEGORIES}) AS c) GROUP BY c",
+    "rule_table_hits": f"""WITH passages AS (SELECT (item_id + 1000)::INT AS rule, '(?i)' || array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:3], lambda w: lower(w)), '[^A-Za-z]+') AS pattern FROM benchmark),
+      h AS (SELECT unnest({hits_of('text')}) AS rule FROM documents)
+      SELECT rule::INT AS rule, ({CATEGORIES})[rule] AS category, count(*) AS hits FROM h GROUP BY ALL
+      UNION ALL SELECT p.rule, 'passage', count(*) FROM passages p JOIN documents d ON regexp_matches(d.text, p.pattern) GROUP BY ALL""",
+    "network_owners": """WITH n AS (SELECT DISTINCT s_suppkey % 256 AS c, s_suppkey % 7 + 1 AS d, [8, 16, 24, 30, 32][s_suppkey % 5 + 1] AS len FROM supplier),
+      nets AS (SELECT '203.0.' || c || '.' || d || '/' || len AS network, len, ((203 * 256 + 0) * 256 + c) * 256 + d AS num FROM n),
+      e AS (SELECT event_id, '203.0.' || (user_id % 256) || '.' || (event_id % 7 + 1) AS ip, ((203 * 256 + 0) * 256 + user_id % 256) * 256 + event_id % 7 + 1 AS num FROM events)
+      SELECT e.event_id, e.ip, nets.network, nets.len AS prefix_length FROM e LEFT JOIN nets ON e.num >> (32 - nets.len) = nets.num >> (32 - nets.len)
+      QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY nets.len DESC NULLS LAST, nets.network) = 1""",
+    "numbered_file": "SELECT event_id, row_number() OVER (ORDER BY event_id) AS position FROM events",
+    "json_objects": """SELECT event_id, epoch_us(date_trunc('second', ts)) AS ts_us, '203.0.113.' || (user_id % 256) AS source_ip, 'GET' AS http_method, '/' || event_type AS http_path,
+      'q=' || user_id AS message, (props->>'$.k')::INT AS k, NULL::VARCHAR AS missing FROM events""",
     "refused_texts": r"""SELECT CASE WHEN length(coalesce(text, '')) > 600 THEN 'too long' WHEN trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' THEN 'empty'
         WHEN regexp_matches(regexp_replace(text, ' ', '', 'g'), '[\p{C}\p{Z}]') THEN 'unprintable' END AS refused, count(*) AS n FROM documents GROUP BY 1""",
     "gbk_decode": f"WITH {LINES} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '你好' ELSE '' END || value AS value FROM lines",

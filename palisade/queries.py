@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .cluster import shared_folder, ship, spread
@@ -16,13 +16,16 @@ from .operators import evaluate as ev
 from .operators import respond as rs
 from .operators.detect import detect, rule_matches, rule_set, rule_statistics, rules_per_category, threats
 from .operators.ml import TextModel, cross_validated, isolation_scores, session_anomalies, training_report, training_samples, with_features
+from .operators.networks import with_network
 from .operators.normalize import normalize_events
-from .operators.parse import for_tenant, parse_lines, with_decoded_query
+from .operators.online import OnlineModel, online_learner
+from .operators.parse import for_tenant, json_field, parse_lines, with_decoded_query
+from .operators.rule_table import rule_rows, with_rule_matches
 from .operators.sessions import session_features, with_history
 from .operators.windows import micros, settled
 from .options import settings_diff, settings_table
 from .plans.analyze import analyze
-from .sources.ingest import acceptable, clean_lines
+from .sources.ingest import acceptable, clean_lines, numbered_lines
 from .sources.sinks import ACTIONS, SIGNALS, action_rows, read_json, signal_rows, write_json
 from .sources.synth import log_lines
 
@@ -317,6 +320,57 @@ def analyze_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, f"{folder}/signals", SIGNALS).select("event_id", "severity", "correlation_id").join(actions, "correlation_id", "left")
 
 
+def rule_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in rules and one for the first three words of every benchmark passage, as a table, over all documents."""
+    words = F.transform(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 3), F.lower)
+    passages = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).cast("int").alias("rule"), F.lit("passage").alias("category"), F.lit("low").alias("severity"), F.concat(F.lit("(?i)"), F.array_join(words, "[^A-Za-z]+")).alias("pattern"))
+    found = with_rule_matches(table(spark, sf_dir, "documents").select("text"), "text", rule_rows(spark, rule_set()).unionByName(passages))
+    return found.select(F.explode("matches").alias("m")).groupBy("m.rule", "m.category").agg(F.count("*").alias("hits"))
+
+
+def network_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of all events against a table of networks that the suppliers own."""
+    key = F.col("s_suppkey")
+    length = F.element_at(F.array(*(F.lit(x) for x in (8, 16, 24, 30, 32))), (key % 5 + 1).cast("int"))
+    ip = F.concat(F.lit("203.0."), (key % 256).cast("string"), F.lit("."), (key % 7 + 1).cast("string"))
+    networks = table(spark, sf_dir, "supplier").select(F.concat(ip, F.lit("/"), length.cast("string")).alias("network"))
+    address = F.concat(F.lit("203.0."), (F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 7 + 1).cast("string"))
+    return with_network(table(spark, sf_dir, "events").select("event_id", address.alias("ip")), "ip", networks).select("event_id", "ip", "network", "prefix_length")
+
+
+def numbered_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines written to text files in order, numbered by file, and the files put end to end."""
+    folder = f"{_scratch(spark)}/text"
+    ordered = lines(spark, sf_dir).repartitionByRange("event_id").sortWithinPartitions("event_id")
+    ordered.select(F.concat_ws(" ", F.col("event_id").cast("string"), "value").alias("value")).write.text(folder)
+    numbered = numbered_lines(spark, folder).withColumn("event_id", F.split_part("value", F.lit(" "), F.lit(1)).cast("long"))
+    sizes = numbered.groupBy("source").agg(F.max("line_number").alias("n"), F.min("event_id").alias("first"))
+    along = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = sizes.select("source", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"))
+    return numbered.join(before, "source").select("event_id", (F.col("before") + F.col("line_number")).alias("position"))
+
+
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines with nested and unknown fields, made from the events: a request object, an address by its path, labels that no parser knows."""
+    request = F.struct(F.lit("get").alias("method"), F.concat(F.lit("/"), F.col("event_type")).alias("path"), F.concat(F.lit("q="), F.col("user_id")).alias("query_string"))
+    client = F.struct(F.concat(F.lit("203.0.113."), F.col("user_id") % 256).alias("ip"))
+    line = F.to_json(F.struct(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), request.alias("request"), F.struct(client.alias("client")).alias("network"), F.parse_json("props").alias("labels"), F.lit("/other").alias("path")))
+    raw = table(spark, sf_dir, "events").select("event_id", line.alias("value"))
+    events = normalize_events(parse_lines(raw, json_paths={"source_ip": ["$.peer.ip", "$.network.client.ip"]}, whole_json=True))
+    return events.select("event_id", micros("ts").alias("ts_us"), "source_ip", "http_method", "http_path", "message", json_field("$.labels.k", "int").alias("k"), json_field("$.labels.none").alias("missing"))
+
+
+def online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of toxic documents, learned from the labels in three batches as a stream would, and the scores of all documents."""
+    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"))
+    folder = f"{_scratch(spark)}/model"
+    OnlineModel.start(labelled.where("part = 0")).save(spark, folder)
+    learn = online_learner(folder)
+    for number in (0, 1):
+        learn(labelled.where(F.col("part") == number + 1), number)
+    return OnlineModel.load(spark, folder, 1).score(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ml_score")
+
+
 def replayed(spark: SparkSession, table_rows: DataFrame, ts: str, triggers: int = 3) -> tuple[str, DataFrame]:
     """A folder below the scratch folder and a stream of a table in order of time: one file folder a trigger, and a last row far in the future.
 
@@ -365,6 +419,7 @@ _QUERIES = (
     rule_summary, parse_formats, parse_web, parse_json, parse_tokens, url_parts, mask_pii, severity_and_agent, rule_hits, detect_threats, tenant_threats, session_statistics, session_history, fingerprints,
     ttl_dedup, suppressed_events, correlate_stateless, correlate_feedback, active_correlations, correlation_totals, plan_actions, idempotent_actions, rate_limited, executed_actions, action_totals, top_actions,
     label_semi, label_anti, confusion_metrics, grades, run_metrics, latency_percentiles, config_diff, ml_features, lr_score, isolation_forest, deobfuscate, gbk_decode, cleaned_lines, evasion_free, analyze_signals, stream_correlation,
+    rule_table_hits, network_owners, numbered_file, json_objects, online_scores,
     session_anomaly, training_metrics, cross_validation, category_rules, refused_texts,
 )
 QUERIES: dict[str, Query] = {f.__name__: f for f in _QUERIES}

@@ -64,7 +64,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
@@ -83,7 +83,7 @@ def batch_writer(folder: str, tables: dict[str, Callable[[DataFrame], DataFrame]
         kept = batch.persist()
         for name, rows in tables.items():
             path = f"{folder}/{name}/query={query}/batch={number}"
-            if not _exists(spark, f"{path}/_SUCCESS"):
+            if not path_exists(spark, f"{path}/_SUCCESS"):
                 rows(kept).write.mode("overwrite").json(path)
         kept.unpersist()
 
