@@ -17,9 +17,10 @@ figures); the marks are about 2 / (window - seed) of all positions.
 Edge cases: a null text is empty; texts shorter than a window lose nothing;
 matches never cross documents; removed ranges may cut characters of several
 bytes, so ``kept`` is binary; documents with a null id lose nothing and remove
-nothing; ids should be unique, rows that share an id count as one document and
-lose the same positions; other columns are not looked at; an empty table gives
-an empty result.
+nothing; rows that share an id and a text count as one document, those that share
+an id only are documents of their own, neither before the other (the method
+"difference_cover" expects ids without such rows); very long texts are worked on
+in pieces; other columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import difference_cover
 from .common import BYTE_VALUE
-from .repeats import Settings, Spelling, range_arrays, repeated_ranges, unpack, with_ranges
+from .repeats import Settings, Spelling, identified, range_arrays, repeated_ranges, unpack, with_ranges
 
 
 def byte_symbols(texts: list[bytes]) -> Spelling:
@@ -48,10 +48,11 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smaller id, or in the same document before.  ``method`` is "sampled" (see
     ``repeats``) or "difference_cover" (all suffixes, see there): the same results.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = identified(docs, id_col, text_col)
     known = rows.where("doc is not null")
     if method == "difference_cover":
-        ranges = difference_cover.repeated_ranges(known, window)
+        ranges = difference_cover.repeated_ranges(known.drop("row"), window)
+        ranges = ranges.join(known.select("doc", "row").distinct(), "doc").select("doc", "row", "start", "end")
     else:
         ranges = repeated_ranges(known, Settings(window, seed, True, byte_symbols, True, group_rows))
 

@@ -1,10 +1,7 @@
-"""What the corpus operators share: shared-folder staging, text slicing and small hashes."""
+"""What the corpus operators share: tables, text slicing and small hashes (and staging, which is the cluster's)."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
@@ -14,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship, spread
+from ..cluster import drop_staged, shared_folder, ship, spread, staged  # noqa: F401
 
 #: A word: a run of anything but ASCII white space.  ``bytes.split()`` cuts the same words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,42 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master (tests) gets a temporary folder, which is
-    then set for the session; a cluster must name one.
-    """
-    key = "spark.checkpoint.dir"
-    folder = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(key, folder)
-    return folder.rstrip("/")
-
-
-def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder (with ``by``, a folder for each value) and read it back.
-
-    This cuts the lineage: what is read later survives lost executors and is
-    never computed twice.
-    """
-    path = f"{shared_folder(df.sparkSession)}/palisade-{uuid.uuid4().hex}/{label}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read again."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for name in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(re.sub(r"(/palisade-[0-9a-f]{32})/.*", r"\1", name))
-        path.getFileSystem(conf).delete(path, True)
-
-
 #: Texts go to Python in Arrow batches of at most this size, whatever their lengths.
 ARROW_BATCH = "8m"
 

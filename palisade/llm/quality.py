@@ -44,8 +44,8 @@ from .common import Words, mix64, staged, text_slices, utf8_list
 #: The symbols of the base rules.
 SYMBOLS = b"#*$%&|<>"
 ORDER, BITS = 3, 21
-#: The group of all languages together, and of a null language.
-ALL, NO_LANGUAGE = "*", "-"
+#: The group of all languages together, and of a null language; a language's own begins with LANGUAGE.
+ALL, NO_LANGUAGE, LANGUAGE = "*", "-", "l:"
 
 ENTRY_BYTES = 16
 
@@ -238,9 +238,9 @@ def judge_quality(
     prior_docs: int = 100,
     model_mb: int = 256,
 ) -> DataFrame:
-    """id, base features, base_failed, lang_group, log_ppl and all_ppl (thousandths), low, high, all_high (the bands), kept."""
+    """id, base features, base_failed, lang_group (the language; null is one of its own), log_ppl and all_ppl (thousandths), low, high, all_high (the bands), kept."""
     spark = docs.sparkSession
-    group = F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE))
+    group = F.coalesce(F.concat(F.lit(LANGUAGE), F.col(lang_col).cast("string")), F.lit(NO_LANGUAGE))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), group.alias("lang_group"))
     model = staged(kneser_ney(gram_counts(rows.select(F.col("lang_group").alias("grp"), "text"))), "model")
     sizes = {r.grp: r["count"] for r in model.groupBy("grp").count().collect()}  # a row for each language
@@ -299,6 +299,8 @@ def judge_quality(
     wider = F.least(F.greatest(F.lit(1.0), F.sqrt(full_chars / F.greatest(F.col("word_chars"), F.lit(1)))), F.lit(most_wider))
     limit = lambda column, width: F.col(f"{column}_middle") + width * F.col(f"{column}_spread") * wider
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
+    named = F.col("lang_group").startswith(LANGUAGE)
+    language = F.when(named, F.substr("lang_group", F.lit(len(LANGUAGE) + 1)))
     above = (F.col("log_ppl") > F.col("high")) & (F.col("all_ppl") > F.col("all_high"))
     return (
         judged.withColumn("low", limit("log_ppl", -low_width))
@@ -306,5 +308,5 @@ def judge_quality(
         .withColumn("all_high", limit("all_ppl", high_width))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & F.coalesce((F.col("log_ppl") >= F.col("low")) & ~above, F.lit(False)))
-        .select(F.col("id").alias(id_col), *names, "base_failed", "kept", "lang_group", "log_ppl", "all_ppl", "low", "high", "all_high")
+        .select(F.col("id").alias(id_col), *names, "base_failed", "kept", language.alias("lang_group"), "log_ppl", "all_ppl", "low", "high", "all_high")
     )

@@ -24,7 +24,8 @@ is told by 128-bit BLAKE2b digests of what the texts spell, and for windows of
 bytes that are fetched, by the bytes.
 
 "Earlier" is a smaller document id, or with ``within`` also a smaller start in
-the same document.  Equal bundles of the same slice of texts are merged before
+the same document.  A document is told by its id and a hash of its text (``row``),
+so texts that share an id are documents of their own, of which none is earlier.  Equal bundles of the same slice of texts are merged before
 the shuffle, so a passage that very many documents share is sent once for each
 slice.  Removed ranges are merged as early as possible.
 """
@@ -135,62 +136,63 @@ def firsts(heads: np.ndarray) -> np.ndarray:
     return np.flatnonzero(heads)[np.cumsum(heads) - 1]
 
 
-def later(heads: np.ndarray, doc: np.ndarray, start: np.ndarray, within: bool) -> np.ndarray:
-    """For rows sorted by group, doc and start: which are later than their group's first."""
-    first = firsts(heads)
-    return (doc > doc[first]) | (within & (doc == doc[first]) & (start > start[first]))
+def later(heads: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, within: bool) -> np.ndarray:
+    """For rows sorted by group, doc, row and start: which are later than their group's first, or than the group's first in their own text."""
+    gone = doc > doc[firsts(heads)]
+    return gone | (start > start[firsts(heads | changes(doc, row))]) if within else gone
 
 
-def merged_ranges(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merged_ranges(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Union of ranges of each document."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    number = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)]))
+        return doc, row, start, end
+    order = np.lexsort((start, row, doc))
+    doc, row, start, end = doc[order], row[order], start[order], end[order]
+    other = changes(doc, row)
+    number = np.cumsum(other) - 1
     wide = int(max(end.max(), start.max())) + 1
     if int(number[-1] + 1) * wide < 1 << 62:
         reach = np.maximum.accumulate(end + number * wide) - number * wide
     else:  # very long texts: one document at a time
-        reach = np.concatenate([np.maximum.accumulate(e) for e in np.split(end, np.flatnonzero(number[1:] != number[:-1]) + 1)])
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+        reach = np.concatenate([np.maximum.accumulate(e) for e in np.split(end, np.flatnonzero(other)[1:])])
+    new = other.copy()
+    new[1:] |= start[1:] > reach[:-1]
     last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
-    return doc[new], start[new], reach[last]
+    return doc[new], row[new], start[new], reach[last]
 
 
-MARK = "kind byte, h long, c long, d long, doc long, start long, off int, windows int"
+MARK = "kind byte, h long, c long, d long, doc long, row long, start long, off int, windows int"
 #: Kinds of rows: a bundle to be compared, a range to be removed.
 BUNDLE, RANGE = 0, 1
 
 
-def _rows(kind: int, h: np.ndarray, c: np.ndarray, d: np.ndarray, doc: np.ndarray, start: np.ndarray, off: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
-    columns = [np.full(len(h), kind, np.int8), *(x.view(np.int64) for x in (h, c, d)), doc, start, off.astype(np.int32), windows.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "h", "c", "d", "doc", "start", "off", "windows"])
+def _rows(kind: int, h: np.ndarray, c: np.ndarray, d: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, off: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(h), kind, np.int8), *(x.view(np.int64) for x in (h, c, d)), doc, row, start, off.astype(np.int32), windows.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in MARK.split(", ")])
 
 
-def _range_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+def _range_rows(doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
     """Ranges as rows: ``c`` holds the end."""
     none = np.zeros(len(doc), np.int64)
-    return _rows(RANGE, none, end, none, doc, start, none, none)
+    return _rows(RANGE, none, end, none, doc, row, start, none, none)
 
 
 def cover(docs: DataFrame, s: Settings) -> DataFrame:
-    """Rows of MARK over (doc, text): bundles, and ranges that repeat within a slice."""
+    """Rows of MARK over (doc, row, text): bundles, and ranges that repeat within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 texts = [t or b"" for t in utf8_list(part.column("text"))]
-                ids = part.column("doc").to_numpy()
+                ids, marks = part.column("doc").to_numpy(), part.column("row").to_numpy()
                 text, start, off, windows, h, c, d = bundles(s.spell(texts), s)
-                doc = ids[text]
-                order = np.lexsort((start, doc, d, c, h))
-                doc, start, off, windows, h, c, d = (x[order] for x in (doc, start, off, windows, h, c, d))
-                gone = later(changes(h, c, d), doc, start, s.within)
-                yield _range_rows(*merged_ranges(doc[gone], start[gone], (start + windows + s.length - 1)[gone]))
+                doc, row = ids[text], marks[text]
+                order = np.lexsort((start, row, doc, d, c, h))
+                doc, row, start, off, windows, h, c, d = (x[order] for x in (doc, row, start, off, windows, h, c, d))
+                gone = later(changes(h, c, d), doc, row, start, s.within)
+                yield _range_rows(*merged_ranges(doc[gone], row[gone], start[gone], (start + windows + s.length - 1)[gone]))
                 stay = ~gone
-                yield _rows(BUNDLE, *(x[stay] for x in (h, c, d, doc, start, off, windows)))
+                yield _rows(BUNDLE, *(x[stay] for x in (h, c, d, doc, row, start, off, windows)))
 
     return docs.mapInArrow(run, MARK)
 
@@ -204,22 +206,22 @@ def name(marks: DataFrame, s: Settings) -> DataFrame:
             columns = [x.to_numpy() for x in batch.columns]
             ready = columns[0] == RANGE
             if ready.any():
-                yield _range_rows(*merged_ranges(columns[4][ready], columns[5][ready], columns[2][ready]))
+                yield _range_rows(*merged_ranges(columns[4][ready], columns[5][ready], columns[6][ready], columns[2][ready]))
             rows = [x[~ready] for x in columns[1:]]
             live = np.ones(len(rows[0]), bool)
             if carry is not None:
                 live = np.concatenate([carry[-1], live])
                 rows = [np.concatenate([a, b]) for a, b in zip(carry[:-1], rows, strict=True)]
-            h, c, d, doc, start, off, windows = rows
+            h, c, d, doc, row, start, off, windows = rows
             if not len(h):
                 continue
             new_seed = changes(h)
             new_run = changes(h, c, d)
-            gone = later(new_run, doc, start, s.within)
+            gone = later(new_run, doc, row, start, s.within)
             seed_of = np.cumsum(new_seed) - 1
             runs = np.bincount(seed_of[new_run])
             emit = gone & live
-            yield _range_rows(*merged_ranges(doc[emit], start[emit], (start + windows + s.length - 1)[emit]))
+            yield _range_rows(*merged_ranges(doc[emit], row[emit], start[emit], (start + windows + s.length - 1)[emit]))
             keep = ~gone & live & (runs[seed_of] > 1)
             yield _rows(BUNDLE, *(x[keep] for x in rows))
             # The last seed may go on.  Its rows so far: heads that wait for a second content, or two that stand for it.
@@ -235,16 +237,16 @@ def name(marks: DataFrame, s: Settings) -> DataFrame:
             carry = [*(x[wait] for x in rows), alive]
 
     spread = F.when(F.col("kind") == BUNDLE, F.col("h")).otherwise(F.xxhash64("doc", "start"))
-    return marks.repartition(spread).sortWithinPartitions("kind", "h", "c", "d", "doc", "start").mapInArrow(run, MARK)
+    return marks.repartition(spread).sortWithinPartitions("kind", "h", "c", "d", "doc", "row", "start").mapInArrow(run, MARK)
 
 
-FOUND = "kind byte, doc long, start long, end long, w long, v long"
+FOUND = "kind byte, doc long, row long, start long, end long, w long, v long"
 
 
-def _found(kind: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray, v: np.ndarray | None = None, w: np.ndarray | None = None) -> pa.RecordBatch:
+def _found(kind: int, doc: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, v: np.ndarray | None = None, w: np.ndarray | None = None) -> pa.RecordBatch:
     none = np.zeros(len(doc), np.int64)
-    columns = [pa.array(np.full(len(doc), kind, np.int8)), pa.array(doc), pa.array(start), pa.array(end), pa.array(none if w is None else w.view(np.int64)), pa.array(none if v is None else v.view(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "doc", "start", "end", "w", "v"])
+    columns = [np.full(len(doc), kind, np.int8), doc, row, start, end, *(none if x is None else x.view(np.int64) for x in (w, v))]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def packed_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -280,51 +282,52 @@ def same_bytes(data: bytes, at: np.ndarray, first: np.ndarray, length: int) -> b
 
 def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> DataFrame:
     """FOUND rows: ranges of repeated windows, or (kind 1) single windows of very large seeds."""
-    wanted = open_bundles.groupBy("doc").agg(F.collect_list(F.struct("h", "start", "windows")).alias("wanted"))  # bounded by the text
-    met = packed_text(docs).join(wanted, "doc").select("doc", "packed", "wanted")
+    wanted = open_bundles.groupBy("doc", "row").agg(F.collect_list(F.struct("h", "start", "windows")).alias("wanted"))  # bounded by the text
+    met = packed_text(docs).join(wanted, ["doc", "row"]).select("doc", "row", "packed", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column("doc").to_numpy(), batch.column("wanted")
+            ids, marks, lists = batch.column("doc").to_numpy(), batch.column("row").to_numpy(), batch.column("wanted")
             bounds = lists.offsets.to_numpy()
             h, start, windows = (x.to_numpy().astype(np.int64) for x in lists.values.flatten())
             size = windows + s.length - 1
             fits, payload = np.zeros(len(h), bool), []
-            for row, text in enumerate(unpack(batch.column("packed").to_pylist())):
-                mine = slice(bounds[row], bounds[row + 1])
+            for at, text in enumerate(unpack(batch.column("packed").to_pylist())):
+                mine = slice(bounds[at], bounds[at + 1])
                 spelling = s.spell([text or b""])
-                for i, (a, n) in enumerate(zip(start[mine].tolist(), size[mine].tolist(), strict=True), bounds[row]):
-                    if a + n <= len(spelling.symbols):  # else a repeated id with another text
+                for i, (a, n) in enumerate(zip(start[mine].tolist(), size[mine].tolist(), strict=True), bounds[at]):
+                    if a + n <= len(spelling.symbols):  # else an id and a hash that are shared by two texts
                         fits[i] = True
                         if s.bytewise:
                             payload.append(spelling.buffer[a : a + n])
                         else:
                             each = np.arange(a, a + n - s.length + 1)
                             payload.append(digests(spelling.pieces(each, each + s.length), len(each)).tobytes())
-            doc = np.repeat(ids, np.diff(bounds))
-            columns = [pa.array(h[fits]), pa.array(doc[fits]), pa.array(start[fits]), pa.array(payload, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "start", "payload"])
+            doc, row = np.repeat(ids, np.diff(bounds)), np.repeat(marks, np.diff(bounds))
+            columns = [*(pa.array(x[fits]) for x in (h, doc, row, start)), pa.array(payload, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "row", "start", "payload"])
 
-    fetched = met.mapInArrow(fetch, "h long, doc long, start long, payload binary")
+    fetched = met.mapInArrow(fetch, "h long, doc long, row long, start long, payload binary")
 
     def windows_of(parts: list[pa.RecordBatch], digest: bool) -> tuple[np.ndarray, ...]:
-        """doc, start and a 128-bit key (or for bytes without ``digest``: a hash, place in the bytes, and the bytes) of all windows."""
+        """doc, row, start and a 128-bit key (or for bytes without ``digest``: a hash, place in the bytes, and the bytes) of all windows."""
         t = pa.Table.from_batches(parts)
         payload = t.column("payload").to_pylist()
         size = np.array([len(x) for x in payload], np.int64)
         n = size - s.length + 1 if s.bytewise else size // 16
-        row = np.repeat(np.arange(len(n)), n)
-        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        doc, start = t.column("doc").to_numpy()[row], t.column("start").to_numpy()[row] + k
+        place = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        doc, row, start = (t.column(c).to_numpy()[place] for c in ("doc", "row", "start"))
+        start = start + k
         joined = b"".join(payload)
         if not s.bytewise:
             words = np.frombuffer(joined, np.uint64).reshape(-1, 2)
-            return doc, start, words[:, 0].copy(), words[:, 1].copy(), b""
-        at = (np.cumsum(size) - size)[row] + k
+            return doc, row, start, words[:, 0].copy(), words[:, 1].copy(), b""
+        at = (np.cumsum(size) - size)[place] + k
         if digest:
             words = digests((joined[a : a + s.length] for a in at.tolist()), len(at))
-            return doc, start, words[:, 0].copy(), words[:, 1].copy(), b""
-        return doc, start, Rolling(BYTE_VALUE[np.frombuffer(joined, np.uint8)]).every(s.length)[at], at.view(np.uint64), joined
+            return doc, row, start, words[:, 0].copy(), words[:, 1].copy(), b""
+        return doc, row, start, Rolling(BYTE_VALUE[np.frombuffer(joined, np.uint8)]).every(s.length)[at], at.view(np.uint64), joined
 
     def closed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Repeated windows of whole seeds, some seeds at a time."""
@@ -340,21 +343,21 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
             at = to
 
     def compared(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        doc, start, v, w, joined = windows_of(parts, False)
-        order = np.lexsort((start, doc, v) if joined else (start, doc, w, v))
-        doc, start, v, w = (x[order] for x in (doc, start, v, w))
+        doc, row, start, v, w, joined = windows_of(parts, False)
+        order = np.lexsort((start, row, doc, v) if joined else (start, row, doc, w, v))
+        doc, row, start, v, w = (x[order] for x in (doc, row, start, v, w))
         heads = changes(v) if joined else changes(v, w)
         if joined and not same_bytes(joined, w.view(np.int64), firsts(heads), s.length):  # hashes met
             exact = pa.array([joined[a : a + s.length] for a in w.tolist()], pa.binary()).dictionary_encode().indices.to_numpy()
-            order = np.lexsort((start, doc, exact))
-            doc, start, heads = doc[order], start[order], changes(exact[order])
-        gone = later(heads, doc, start, s.within)
-        return _found(0, *merged_ranges(doc[gone], start[gone], start[gone] + s.length))
+            order = np.lexsort((start, row, doc, exact))
+            doc, row, start, heads = doc[order], row[order], start[order], changes(exact[order])
+        gone = later(heads, doc, row, start, s.within)
+        return _found(0, *merged_ranges(doc[gone], row[gone], start[gone], start[gone] + s.length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def single(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            doc, start, v, w, _ = windows_of(parts, True)
-            return _found(1, doc, start, start + s.length, v, w)
+            doc, row, start, v, w, _ = windows_of(parts, True)
+            return _found(1, doc, row, start, start + s.length, v, w)
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -388,25 +391,34 @@ def compare_windows(docs: DataFrame, open_bundles: DataFrame, s: Settings) -> Da
     return fetched.repartition("h").sortWithinPartitions("h").mapInArrow(run, FOUND)
 
 
+def identified(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, row, text (and ``keep``): a document is an id and a text."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"), *keep)
+
+
 def repeated_ranges(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc, start, end (in symbols) of ranges covered by windows that also start earlier.
+    """doc, row, start, end (in symbols) of ranges covered by windows that also start earlier.
 
-    ``docs`` has (doc long, text); a doc's ranges may overlap or touch.
+    ``docs`` has (doc long, row long, text); a doc's ranges may overlap or touch.
     """
     marks = staged(name(cover(docs, s), s), "bundles")
     found = staged(compare_windows(docs, marks.where(F.col("kind") == BUNDLE), s), "found")
     single = found.where("kind = 1")
-    first = single.groupBy("w", "v").agg(F.min(F.struct("doc", "start")).alias("first"))
-    after = (F.col("doc") > F.col("first.doc")) | (F.lit(s.within) & (F.col("doc") == F.col("first.doc")) & (F.col("start") > F.col("first.start")))
-    rest = single.join(first, ["w", "v"]).where(after)
-    ranges = marks.where(F.col("kind") == RANGE).select("doc", "start", F.col("c").alias("end"))
-    return ranges.union(found.where("kind = 0").select("doc", "start", "end")).union(rest.select("doc", "start", "end"))
+    rest = single.join(single.groupBy("w", "v").agg(F.min("doc").alias("first")), ["w", "v"])
+    after = F.col("doc") > F.col("first")
+    if s.within:  # the first of each text
+        own = single.groupBy("w", "v", "doc", "row").agg(F.min("start").alias("own"))
+        rest = rest.join(own, ["w", "v", "doc", "row"])
+        after = after | (F.col("start") > F.col("own"))
+    place = ["doc", "row", "start"]
+    ranges = marks.where(F.col("kind") == RANGE).select(*place, F.col("c").alias("end"))
+    return ranges.union(found.where("kind = 0").select(*place, "end")).union(rest.where(after).select(*place, "end"))
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every row of docs (doc, ..., packed text) with its sorted ranges (array of start, end; null if none)."""
-    held = ranges.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))  # bounded by the text
-    return packed_text(docs).join(held, "doc", "left")
+    """Every row of docs (doc, row, ..., packed text) with its sorted ranges (array of start, end; null if none)."""
+    held = ranges.groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("ranges"))  # bounded by the text
+    return packed_text(docs).join(held, ["doc", "row"], "left")
 
 
 def range_arrays(found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -415,5 +427,6 @@ def range_arrays(found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.array([r["start"] for r in found], np.int64)
     end = np.array([r["end"] for r in found], np.int64)
-    _, start, end = merged_ranges(np.zeros(len(start), np.int64), start, end)
+    one = np.zeros(len(start), np.int64)
+    _, _, start, end = merged_ranges(one, one, start, end)
     return start, end

@@ -13,10 +13,12 @@ part of the corpus; every repeated window is still found, since equal windows
 mark equal nodes.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing;
-documents with a null id lose nothing and remove nothing; ids should be unique,
-rows that share an id count as one document and lose the same word positions;
-a window that repeats only in its own document stays; other columns are not
-looked at; an empty table gives an empty result.
+documents with a null id lose nothing and remove nothing; rows that share an id
+and a text count as one document, those that share an id only are documents of
+their own, neither before the other (the method "de_bruijn" expects ids without
+such rows); a window that repeats only in its own document stays; very long texts
+are worked on in pieces; other columns are not looked at; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import de_bruijn
 from .common import Words
-from .repeats import Settings, Spelling, range_arrays, repeated_ranges, unpack, with_ranges
+from .repeats import Settings, Spelling, identified, range_arrays, repeated_ranges, unpack, with_ranges
 
 
 def word_symbols(texts: list[bytes]) -> Spelling:
@@ -38,16 +40,20 @@ def word_symbols(texts: list[bytes]) -> Spelling:
     return Spelling(w.hashes(), w.count, *w.spelled())
 
 
-def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, group_rows: int = 1 << 15, method: str = "sampled") -> DataFrame:
-    """id, n_words, n_removed, spans (removed word ranges), kept (other words joined by one space).
+def remove_repeated_words(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, group_rows: int = 1 << 15, method: str = "sampled", keep: tuple[str, ...] = (), as_they_are: bool = False
+) -> DataFrame:
+    """id, n_words, n_removed, spans (removed word ranges), kept (other words joined by one space), and ``keep``: columns of the row.
 
     A word goes if a window over it also starts in a document with a smaller id.
     ``method`` is "sampled" (see ``repeats``) or "de_bruijn" (every k-mer, see there): the same results.
+    With ``as_they_are``, texts that lose nothing are kept unchanged.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    known = rows.where("doc is not null")
+    rows = identified(docs, id_col, text_col, keep)
+    known = rows.where("doc is not null").select("doc", "row", "text")
     if method == "de_bruijn":
-        ranges = de_bruijn.repeated_ranges(known, window)
+        ranges = de_bruijn.repeated_ranges(known.drop("row"), window)
+        ranges = ranges.join(known.select("doc", "row").distinct(), "doc").select("doc", "row", "start", "end")
     else:
         ranges = repeated_ranges(known, Settings(window, seed, False, word_symbols, False, group_rows))
 
@@ -62,12 +68,14 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 removed.append(sum(end) - sum(start))
                 spans.append([{"start": a, "end": b} for a, b in zip(start, end, strict=True) if b > a])
                 parts = [w for a, b in zip([0, *end], [*start, len(words)], strict=True) for w in words[a:b]] if found else words
-                kept.append(b" ".join(parts).decode())
+                same = as_they_are and not removed[-1]
+                kept.append((None if text is None else text.decode()) if same else b" ".join(parts).decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string())],
-                names=["doc", "n_words", "n_removed", "spans", "kept"],
+                [batch.column("doc"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string()), *(batch.column(c) for c in keep)],
+                names=["doc", "n_words", "n_removed", "spans", "kept", *keep],
             )
 
     SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    out = with_ranges(rows, ranges).select("doc", "packed", "ranges")
-    return out.mapInArrow(apply, "doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string").withColumnRenamed("doc", id_col)
+    out = with_ranges(rows, ranges).select("doc", "packed", "ranges", *keep)
+    more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return out.mapInArrow(apply, f"doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string{more}").withColumnRenamed("doc", id_col)
