@@ -7,7 +7,7 @@ import warnings
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import LEVELS, RULES, RULES_CORRECTED
@@ -96,10 +96,9 @@ def rule_matches(text: Column, rules: Sequence[Rule]) -> Column:
     return F.array_compact(F.array(*hits))
 
 
-def rules_per_category(spark: SparkSession, rules: Sequence[Rule] | None = None) -> DataFrame:
-    """category, rules: how many rules there are of each."""
-    rows = [(c, p) for c, _, p in rules or rule_set()]
-    return spark.createDataFrame(rows, "category string, pattern string").groupBy("category").agg(F.count("*").alias("rules"))
+def rules_per_category(rules: DataFrame) -> DataFrame:
+    """category, rules: how many rules of a rule table there are of each."""
+    return rules.groupBy("category").agg(F.count("*").alias("rules"))
 
 
 def detect(events: DataFrame, rules: Sequence[Rule] | None = None, anomaly_threshold: float = 0.7) -> DataFrame:

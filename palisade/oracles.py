@@ -192,7 +192,7 @@ ORACLES = {
       SELECT quality, total, CASE WHEN total >= 90 THEN 'A' WHEN total >= 80 THEN 'B' WHEN total >= 70 THEN 'C' WHEN total >= 60 THEN 'D' ELSE 'F' END AS grade FROM t""",
     "run_metrics": f"WITH {ACTIONS}, d AS (SELECT count(*) AS n, count(*) FILTER (WHERE len(types) > 0) AS th, sum(len(hits))::BIGINT AS rh FROM detected), a AS (SELECT count(*) AS n FROM planned) SELECT d.n AS total_lines, th AS threat_events, rh AS rule_hits, a.n AS actions_taken, round(d.n / 2.0::DOUBLE, 2) AS throughput_lps FROM d, a",
     "latency_percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-    "config_diff": """WITH o(key, value) AS (VALUES ('system.mode', '"fast"'), ('system.workers', '4'), ('output.file', '"a"')), n(key, value) AS (VALUES ('system.mode', '"fast"'), ('system.workers', '8'), ('rules.set', '"v2"'))
+    "config_diff": """WITH o AS (SELECT 'account.' || s_suppkey AS key, s_nationkey::VARCHAR AS value FROM supplier), n AS (SELECT 'account.' || c_custkey AS key, c_nationkey::VARCHAR AS value FROM customer)
       SELECT coalesce(o.key, n.key) AS key, CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' ELSE 'modified' END AS change, o.value AS old_value, n.value AS new_value FROM o FULL JOIN n ON o.key = n.key WHERE o.value IS DISTINCT FROM n.value""",
     "ml_features": f"""WITH p AS (SELECT doc_id, coalesce({PLAIN}, '') AS t FROM documents)
       SELECT doc_id, length(t) AS length, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END::BIGINT AS words, round(coalesce((length(t) - length(replace(t, '_', ''))) / nullif(length(t), 0), 0), 9) AS special_ratio,
@@ -203,7 +203,7 @@ ORACLES = {
     "evasion_free": rf"""WITH {LINES}, a AS (SELECT event_id, lower('A/* x */ &#x3C;B  ' || value) AS v FROM lines), b AS (SELECT event_id, regexp_replace(regexp_replace(v, '(?s)/\*.*?\*/', '', 'g'), '(?m)--.*$', '', 'g') AS v FROM a)
       SELECT event_id, trim(regexp_replace(replace(v, '&#x3c;', '<'), '\s+', ' ', 'g')) AS value FROM b""",
     "cleaned_lines": f"WITH {LINES} SELECT event_id, md5(value) AS value_md5 FROM lines WHERE event_id % 9 <> 0",
-    "category_rules": f"SELECT c AS category, count(*) AS rules FROM (SELECT unnest({CATEGORIES}) AS c) GROUP BY c",
+    "category_rules": f"SELECT c AS category, count(*) AS rules FROM (SELECT unnest({CATEGORIES}) AS c UNION ALL SELECT 'passage' FROM benchmark) GROUP BY c",
     "rule_table_hits": f"""WITH passages AS (SELECT (item_id + 1000)::INT AS rule, '(?i)' || array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z]+')[1:3], lambda w: lower(w)), '[^A-Za-z]+') AS pattern FROM benchmark),
       h AS (SELECT unnest({hits_of('text')}) AS rule FROM documents)
       SELECT rule::INT AS rule, ({CATEGORIES})[rule] AS category, count(*) AS hits FROM h GROUP BY ALL

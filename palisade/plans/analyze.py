@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import staged
 from ..operators import correlate as co
 from ..operators import respond as re_
 from ..operators.detect import detect, rule_set, threats
@@ -32,9 +33,9 @@ SESSION_COLUMNS = ["event_count", "unique_ips", "unique_paths", "error_count", "
 
 def with_anomalies(events: DataFrame, seconds: int = 60) -> DataFrame:
     """Adds anomaly_score: the event's session of the last ``seconds`` against what its key did before (see session_anomalies)."""
-    keyed = events.withColumns({"_session": session_key(), "_ts": micros("ts")})
+    keyed = staged(events.withColumns({"_session": session_key(), "_ts": micros("ts")}), "events")  # read several times below
     error = F.coalesce(F.substring(F.col("http_status").cast("string"), 1, 1).isin("4", "5"), F.lit(False))
-    found = session_features(keyed, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, error, F.length("message"), seconds)
+    found = staged(session_features(keyed, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, error, F.length("message"), seconds), "sessions")
     return session_anomalies(found, "_session", "_ts", "event_id", SESSION_COLUMNS).select(*events.columns, "anomaly_score")
 
 
@@ -49,16 +50,19 @@ def detections(lines: DataFrame, options: PipelineOptions = PipelineOptions(), t
 
 
 def analyze(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tenant: str | None = None, model: TextModel | None = None, suppressions: DataFrame | None = None) -> Analysis:
-    """Threats with a time are suppressed, deduplicated, correlated and answered; those without pass uncorrelated."""
+    """Threats with a time are suppressed, deduplicated, correlated and answered; those without pass uncorrelated.
+
+    Threats and correlated events are staged, as several results come from each.
+    """
     detected = detections(settled(lines), options, tenant, model)
-    found = threats(detected)
+    found = staged(threats(detected), "threats")
     timed, untimed = found.where("ts_us is not null"), found.where("ts_us is null")
     if suppressions is not None:
         timed = co.suppress(timed, suppressions, "ts_us")
     marked = timed.withColumn("fingerprint", co.fingerprint())
     unique = co.leading_edge(marked, "fingerprint", "ts_us", "event_id", options.dedup_ttl).where("kept").drop("kept")
     correlated = co.correlate(unique, "ts_us", options.window_seconds, options.max_events_per_window)
-    correlated = correlated.unionByName(co.uncorrelated(untimed.withColumn("fingerprint", co.fingerprint())))
+    correlated = staged(correlated.unionByName(co.uncorrelated(untimed.withColumn("fingerprint", co.fingerprint()))), "correlated")
     planned = re_.idempotent_actions(re_.plan_actions(correlated, "ts_us"), options.idempotency_ttl)
     tied = planned.withColumn("_tenant", F.coalesce(F.col("target.tenant"), F.lit("")))
     limited = re_.rate_limited(tied, ["_tenant"], "ts_us", "action_id", options.max_actions_per_second).where("admitted").drop("_tenant", "admitted")

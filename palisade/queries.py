@@ -23,7 +23,7 @@ from .operators.parse import for_tenant, json_field, parse_lines, with_decoded_q
 from .operators.rule_table import rule_rows, with_rule_matches
 from .operators.sessions import session_features, with_history
 from .operators.windows import micros, settled
-from .options import settings_diff, settings_table
+from .options import settings_diff
 from .plans.analyze import analyze
 from .sources.ingest import acceptable, clean_lines, numbered_lines
 from .sources.sinks import ACTIONS, SIGNALS, action_rows, read_json, signal_rows, write_json
@@ -242,9 +242,9 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = settings_table(spark, {"system": {"mode": "fast", "workers": 4}, "output": {"file": "a"}})
-    new = settings_table(spark, {"system": {"mode": "fast", "workers": 8}, "rules": {"set": "v2"}})
-    return settings_diff(old, new)
+    """Two tables of settings: the suppliers' as the old one, the customers' as the new one."""
+    setting = lambda name, key, value: table(spark, sf_dir, name).select(F.concat(F.lit("account."), F.col(key).cast("string")).alias("key"), F.col(value).cast("string").alias("value"))
+    return settings_diff(setting("supplier", "s_suppkey", "s_nationkey"), setting("customer", "c_custkey", "c_nationkey"))
 
 
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,18 +270,23 @@ def session_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_anomalies(seen, "user_id", "ts_us", "event_id", features).select("event_id", "user_id", "anomaly_score")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"))
+
+
 def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The built-in samples, judged by the model that they train."""
-    samples = training_samples(spark)
+    """The labelled documents and the built-in samples, judged by the model that they train."""
+    samples = _labelled(spark, sf_dir).unionByName(training_samples(spark))
     return training_report(TextModel.fit(samples).score(samples, "text"))
 
 
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_validated(training_samples(spark))
+    return cross_validated(_labelled(spark, sf_dir), folds=3)
 
 
 def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules_per_category(spark)
+    """Rules of each category in the table of rules (see rule_table_hits)."""
+    return rules_per_category(_rule_table(spark, sf_dir))
 
 
 def refused_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,11 +325,16 @@ def analyze_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, f"{folder}/signals", SIGNALS).select("event_id", "severity", "correlation_id").join(actions, "correlation_id", "left")
 
 
-def rule_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Built-in rules and one for the first three words of every benchmark passage, as a table, over all documents."""
+def _rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built-in rules and one for the first three words of every benchmark passage."""
     words = F.transform(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 3), F.lower)
     passages = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).cast("int").alias("rule"), F.lit("passage").alias("category"), F.lit("low").alias("severity"), F.concat(F.lit("(?i)"), F.array_join(words, "[^A-Za-z]+")).alias("pattern"))
-    found = with_rule_matches(table(spark, sf_dir, "documents").select("text"), "text", rule_rows(spark, rule_set()).unionByName(passages))
+    return rule_rows(spark, rule_set()).unionByName(passages)
+
+
+def rule_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of rules over all documents."""
+    found = with_rule_matches(table(spark, sf_dir, "documents").select("text"), "text", _rule_table(spark, sf_dir))
     return found.select(F.explode("matches").alias("m")).groupBy("m.rule", "m.category").agg(F.count("*").alias("hits"))
 
 
@@ -362,7 +372,7 @@ def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of toxic documents, learned from the labels in three batches as a stream would, and the scores of all documents."""
-    labelled = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"))
+    labelled = _labelled(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3)))
     folder = f"{_scratch(spark)}/model"
     OnlineModel.start(labelled.where("part = 0")).save(spark, folder)
     learn = online_learner(folder)

@@ -154,10 +154,11 @@ def test_rules_per_category_and_bad_patterns(spark):
     import pytest
 
     from palisade.operators.detect import rule_set, rules_per_category
+    from palisade.operators.rule_table import rule_rows
 
     with pytest.warns(UserWarning):
         rules = rule_set("v1", [("xss", "low", "(unclosed"), ("xss", "low", "fine")])
-    assert {r.category: r.rules for r in rules_per_category(spark, rules).collect()}["xss"] == 6
+    assert {r.category: r.rules for r in rules_per_category(rule_rows(spark, rules)).collect()}["xss"] == 6
 
 
 def test_settings_file(spark, tmp_path):
