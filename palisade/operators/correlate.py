@@ -185,8 +185,10 @@ def correlate_exact(events: DataFrame, ts_us: str, window_seconds: int = 60, mos
         mark = "corr_" + hashlib.md5(key.encode()).hexdigest()[:12] if go else "single_" + str(event_id)[:8]
         return {"window_hits": prior + 1, "window_types": union, "correlated": bool(go), "final_severity": names[final], "best_key": key, "correlation_id": mark}
 
-    keyed = events.withColumn("_keys", correlation_keys())
-    return ordered_fold(keyed, ["tenant"], [ts_us, "event_id"], ["event_id", ts_us, "detected_severity", "threat_types", "_keys"], EXACT, dict, step).drop("_keys")
+    # only what the fold needs goes through Python; the rest is joined back
+    slim = events.select("event_id", "tenant", F.col(ts_us).alias("_us"), "detected_severity", "threat_types", correlation_keys().alias("_keys"))
+    folded = ordered_fold(slim, ["tenant"], ["_us", "event_id"], ["event_id", "_us", "detected_severity", "threat_types", "_keys"], EXACT, dict, step)
+    return events.join(folded.select("event_id", "exact"), "event_id")
 
 
 def active_correlations(correlated: DataFrame, ts_us: str) -> DataFrame:
