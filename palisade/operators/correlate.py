@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import staged
 from .detect import level_name, level_number
 from .folds import RUN_ROWS, first_passing
 from .windows import blocked, ordered_fold, own_rows, settled
@@ -185,6 +186,7 @@ def correlate_exact(events: DataFrame, ts_us: str, window_seconds: int = 60, mos
         mark = "corr_" + hashlib.md5(key.encode()).hexdigest()[:12] if go else "single_" + str(event_id)[:8]
         return {"window_hits": prior + 1, "window_types": union, "correlated": bool(go), "final_severity": names[final], "best_key": key, "correlation_id": mark}
 
+    events = staged(events, "threats")
     # only what the fold needs goes through Python; the rest is joined back
     slim = events.select("event_id", "tenant", F.col(ts_us).alias("_us"), "detected_severity", "threat_types", correlation_keys().alias("_keys"))
     folded = ordered_fold(slim, ["tenant"], ["_us", "event_id"], ["event_id", "_us", "detected_severity", "threat_types", "_keys"], EXACT, dict, step)
