@@ -36,6 +36,17 @@ def suppress(events: DataFrame, suppressions: DataFrame, ts_us: str) -> DataFram
     return ip.join(by, (F.concat(F.lit("tenant:"), F.col("tenant")) == F.col("target")) & covered, "left_anti")
 
 
+def suppressed(events: DataFrame, suppressions: DataFrame, ts_us: str) -> DataFrame:
+    """The events that ``suppress`` takes out."""
+    names = F.array(F.col("source_ip"), F.concat(F.lit("tenant:"), F.col("tenant")))
+    by = suppressions.groupBy("target").agg(F.max("expiry_us").alias("expiry_us"))  # the last entry of a target covers most
+    numbered = events.withColumn("_targets", F.array_compact(names))
+    rows = numbered.join(by.alias("one"), F.element_at("_targets", 1) == F.col("one.target"), "left").withColumnRenamed("expiry_us", "_first").drop("target")
+    rows = rows.join(by.alias("two"), F.try_element_at("_targets", F.lit(2)) == F.col("two.target"), "left").withColumnRenamed("expiry_us", "_second").drop("target")
+    covered = (F.col(ts_us) < F.coalesce("_first", F.lit(-(1 << 62)))) | (F.col(ts_us) < F.coalesce("_second", F.lit(-(1 << 62))))
+    return rows.where(covered).select(*events.columns)
+
+
 def leading_edge(df: DataFrame, key: str, ts_us: str, tie: str, ttl_seconds: int, inclusive: bool = False, run_rows: int = RUN_ROWS) -> DataFrame:
     """Adds ``kept``: no kept row of the key is younger than the TTL (with ``inclusive``, as old as it).
 
@@ -200,8 +211,13 @@ def active_correlations(correlated: DataFrame, ts_us: str) -> DataFrame:
     return out.orderBy(F.desc("event_count"), "best_key")
 
 
-def correlation_statistics(correlated: DataFrame, suppressed: int = 0, duplicates: int = 0) -> DataFrame:
-    total = F.count("*")
+def correlation_statistics(correlated: DataFrame, suppressed: DataFrame | None = None, duplicates: DataFrame | None = None) -> DataFrame:
+    """One row: events, how many correlated, how many were suppressed or dropped as duplicates (counted from those tables), and their rates."""
     n = F.coalesce(F.sum(F.col("correlated").cast("long")), F.lit(0))
-    rate = lambda x: F.coalesce(F.try_divide(x, total), F.lit(0.0))
-    return correlated.agg(total.alias("total_events"), n.alias("correlated_events"), F.lit(suppressed).cast("long").alias("suppressed_events"), F.lit(duplicates).cast("long").alias("duplicate_events"), rate(n).alias("correlation_rate"), rate(F.lit(suppressed)).alias("suppression_rate"), rate(F.lit(duplicates)).alias("duplicate_rate"))
+    parts = [correlated.agg(F.count("*").alias("total_events"), n.alias("correlated_events"))]
+    for name, rows in (("suppressed_events", suppressed), ("duplicate_events", duplicates)):
+        none = F.lit(0).cast("long").alias(name)
+        parts.append(correlated.sparkSession.range(1).select(none) if rows is None else rows.agg(F.count("*").alias(name)))
+    one = reduce(lambda x, y: x.join(y.withColumn("_one", F.lit(1)), "_one"), parts[1:], parts[0].withColumn("_one", F.lit(1)))  # a row each
+    rate = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("total_events")), F.lit(0.0))
+    return one.select("total_events", "correlated_events", "suppressed_events", "duplicate_events", rate("correlated_events").alias("correlation_rate"), rate("suppressed_events").alias("suppression_rate"), rate("duplicate_events").alias("duplicate_rate"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from ..cluster import staged
 from ..operators import correlate as co
 from ..operators import respond as re_
 from ..operators.detect import detect, rule_set, threats
+from ..operators.evaluate import run_metrics
 from ..operators.ml import TextModel, session_anomalies
 from ..operators.normalize import normalize_events
 from ..operators.parse import for_tenant, parse_lines, with_decoded_query
 from ..operators.sessions import session_features, session_key
 from ..operators.windows import micros, settled
 from ..options import PipelineOptions
+from ..sources.sinks import metric_rows
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,17 @@ class Analysis:
     detected: DataFrame
     correlated: DataFrame
     actions: DataFrame
+    suppressed: DataFrame | None
+    duplicates: DataFrame
+
+    def statistics(self) -> DataFrame:
+        """correlation_statistics of the run, its suppressed and duplicate events counted."""
+        return co.correlation_statistics(self.correlated, self.suppressed, self.duplicates)
+
+    def record(self, started: datetime, ended: datetime) -> DataFrame:
+        """The metrics row of the run (see metric_rows)."""
+        metrics = run_metrics(self.events, self.detected, self.actions, max((ended - started).total_seconds(), 1e-9))
+        return metric_rows(metrics, self.statistics(), re_.action_statistics(self.actions), started, ended)
 
 
 #: What a session's history is judged by.
@@ -57,13 +71,16 @@ def analyze(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tena
     detected = detections(settled(lines), options, tenant, model)
     found = staged(threats(detected), "threats")
     timed, untimed = found.where("ts_us is not null"), found.where("ts_us is null")
+    out = None
     if suppressions is not None:
+        out = co.suppressed(timed, suppressions, "ts_us")
         timed = co.suppress(timed, suppressions, "ts_us")
     marked = timed.withColumn("fingerprint", co.fingerprint())
-    unique = co.leading_edge(marked, "fingerprint", "ts_us", "event_id", options.dedup_ttl).where("kept").drop("kept")
+    edge = staged(co.leading_edge(marked, "fingerprint", "ts_us", "event_id", options.dedup_ttl), "edge")
+    unique = edge.where("kept").drop("kept")
     correlated = co.correlate(unique, "ts_us", options.window_seconds, options.max_events_per_window)
     correlated = staged(correlated.unionByName(co.uncorrelated(untimed.withColumn("fingerprint", co.fingerprint()))), "correlated")
     planned = re_.idempotent_actions(re_.plan_actions(correlated, "ts_us"), options.idempotency_ttl)
     tied = planned.withColumn("_tenant", F.coalesce(F.col("target.tenant"), F.lit("")))
     limited = re_.rate_limited(tied, ["_tenant"], "ts_us", "action_id", options.max_actions_per_second).where("admitted").drop("_tenant", "admitted")
-    return Analysis(detected, detected, correlated, re_.execute(limited))
+    return Analysis(detected, detected, correlated, re_.execute(limited), out, edge.where("not kept").drop("kept"))

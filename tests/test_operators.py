@@ -252,3 +252,19 @@ def test_metrics_record(spark, tmp_path):
     assert (r.throughput_lps, r.duration_seconds, r.total_lines, r.parsed_lines, r.correlation_stats, r.action_stats) == (2.5, 4.0, 10, 0, {"total_events": 4.0, "correlation_rate": 0.5}, {"executed": 3.0})
     df = spark.createDataFrame([("high", True), ("critical", False), ("low", True)], "level string, hit boolean")
     assert severe_confusion(df, "level", F.lit(True), F.col("hit")).select("tp", "fn").first() == (1, 1)
+
+
+def test_what_a_run_counts(spark):
+    from datetime import datetime
+
+    from palisade.plans.analyze import analyze
+
+    line = lambda ip, second, text: f'{{"timestamp": "2024-01-01T00:00:{second:02d}Z", "source_ip": "{ip}", "message": "{text}", "tenant": "t"}}'
+    texts = [line("10.9.9.1", 0, "<script>"), line("10.9.9.1", 5, "<script>"), line("10.9.9.2", 6, "drop table x"), line("10.9.9.3", 7, "<script>"), line("10.9.9.4", 8, "fine")]
+    listed = spark.createDataFrame([("10.9.9.3", 4_000_000_000_000_000), ("10.9.9.3", 5), ("tenant:t", 5)], "target string, expiry_us long")
+    found = analyze(spark.createDataFrame([(t,) for t in texts], "value string"), PipelineOptions(sessions=False), suppressions=listed)
+    s = found.statistics().first()
+    assert (s.total_events, s.suppressed_events, s.duplicate_events) == (2, 1, 1) and s.suppression_rate == 0.5
+    r = found.record(datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 5)).first()
+    assert (r.total_lines, r.threat_events, r.throughput_lps) == (5, 4, 1.0) and r.correlation_stats["duplicate_events"] == 1.0
+    assert co.correlation_statistics(found.correlated).first().suppressed_events == 0
