@@ -1,7 +1,7 @@
 """Suppression, deduplication and correlation over keyed windows of event time.
 
 Two correlations: ``correlate`` looks at the raw severities of earlier events
-(frames of the newest rows, any scale); ``correlate_exact`` feeds boosted severities back
+(running totals over the newest rows, any scale); ``correlate_exact`` feeds boosted severities back
 and appends each event to its best key only (an ordered fold for each tenant,
 so tenants are isolated from each other).
 """
@@ -10,15 +10,18 @@ from __future__ import annotations
 
 import hashlib
 from collections import deque
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import staged
 from .detect import level_name, level_number
 from .folds import RUN_ROWS, first_passing
-from .windows import blocked, ordered_fold, own_rows, settled
+from .windows import blocked, ordered_fold, settled
 
 RULE_CATEGORIES = ("sqli", "xss", "command_injection", "path_traversal", "ssrf", "log4shell", "ml_anomaly", "behavioral_anomaly")
 
@@ -62,21 +65,66 @@ def correlation_keys() -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{n}:"), c)) for n, c in named)))
 
 
-def _window_facts(history: Column, level: Column, mask: Column) -> Column:
-    """What a window shows: prior events, the highest level, categories (bits), and prior events by level."""
-    start = F.struct(level.alias("top"), mask.alias("mask"), *(F.lit(0).alias(n) for n in ("low", "high", "critical")))
+def window_facts(groups: np.ndarray, ts: np.ndarray, timed: np.ndarray, level: np.ndarray, mask: np.ndarray, width_us: int, most: int) -> dict[str, np.ndarray]:
+    """What the window of each row shows: prior events, the highest level, categories (bits), and prior events by level.
 
-    def step(held: Column, x: Column) -> Column:
-        count = lambda name, n: (held[name] + (x["level"] == n).cast("int")).alias(name)
-        return F.struct(
-            F.greatest(held["top"], x["level"]).alias("top"),
-            held["mask"].bitwiseOR(x["mask"]).alias("mask"),
-            count("low", 1),
-            count("high", 3),
-            count("critical", 4),
-        )
-
-    return F.aggregate(history, start, step)
+    Rows are in order of (group number, time).  A window begins at the row ``lo``; what
+    it holds are differences of running totals, so a row costs the same whatever its window holds.
+    """
+    n = len(ts)
+    at = np.arange(n)
+    _, rank = np.unique(np.concatenate([ts, ts - width_us]), return_inverse=True)
+    place = groups * (2 * n + 1)
+    lo = np.searchsorted(place + rank[:n], place + rank[n:])  # a row's own group begins before it, and so does the window
+    lo = np.where(timed, np.maximum(lo, at - most), at)
+    held = lambda hit: (total := np.concatenate([[0], np.cumsum(hit)]))[at] - total[lo]
+    by_level = {x: held(level == x) for x in (1, 2, 3, 4)}
+    top = level.copy()
+    for x, count in by_level.items():
+        top = np.where(count > 0, np.maximum(top, x), top)
+    types = mask.copy()
+    for i in range(len(RULE_CATEGORIES)):
+        types |= np.where(held(mask >> i & 1) > 0, 1 << i, 0)
+    return {"prior": at - lo, "top": top, "mask": types, "low": by_level[1], "high": by_level[3], "critical": by_level[4]}
+
+
+def _with_window_facts(slim: DataFrame, width_us: int, most: int) -> DataFrame:
+    """(event_id, fact) of each row (event_id, _ts, _level, _mask, _k, _key): blocks of a key in order, in Arrow batches.
+
+    A batch takes along the last ``most`` rows of the batch before.
+    """
+    rows = blocked(slim, "_ts", width_us)
+
+    def numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+        return batch.column(name).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, past = None, {}
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            names = {"ts": "_ts", "level": "_level", "mask": "_mask"}
+            now = {n: numbers(batch, c) for n, c in names.items()} | {"timed": batch.column("_ts").is_valid().to_numpy(zero_copy_only=False)}
+            key, block = batch.column("_key").dictionary_encode().indices.to_numpy(), numbers(batch, "_block")
+            starts = (np.diff(key, prepend=key[0]) != 0) | (np.diff(block, prepend=block[0]) != 0) | (np.diff(now["timed"].astype(np.int8), prepend=now["timed"][0]) != 0)
+            ident = lambda i: (batch.column("_key")[i].as_py(), batch.column("_block")[i].as_py())
+            held = len(past["ts"]) if last == ident(0) else 0
+            groups = np.concatenate([np.zeros(held, np.int64), np.cumsum(starts)])
+            whole = {n: np.concatenate([past[n], x]) if held else x for n, x in now.items()}
+            facts = window_facts(groups, **whole, width_us=width_us, most=most)
+            own = batch.column("_own")
+            found = {n: pa.array(x[held:].astype(np.int32)) for n, x in facts.items()}
+            found["top"] = pa.array(facts["top"][held:].astype(np.int32), mask=facts["top"][held:] == 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("event_id", "_k", "_key", "_level")), *found.values()], names=["event_id", "k", "key", "level", *found]).filter(own)
+            last, mine = ident(-1), groups == groups[-1]
+            past = {n: x[mine][-most:] for n, x in whole.items()}
+
+    kind = slim.schema["event_id"].dataType.simpleString()
+    schema = f"event_id {kind}, k int, key string, level int, prior int, top int, mask int, low int, high int, critical int"
+    # event_id tells rows of one time apart
+    ordered = rows.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_ts", "event_id")
+    shown = ordered.mapInArrow(run, schema)
+    return shown.select("event_id", F.struct(*(F.col(c) for c in shown.columns[1:])).alias("fact"))
 
 
 def correlate(events: DataFrame, ts_us: str, window_seconds: int = 60, most: int = 100) -> DataFrame:
@@ -85,18 +133,13 @@ def correlate(events: DataFrame, ts_us: str, window_seconds: int = 60, most: int
     A window holds the ``most`` newest events of a key before the event (in order
     of time and id), as far as they lie in the last ``window_seconds`` (far end
     included).  Of an event's keys the one with the most hits wins; on ties a
-    later one only if it correlates.
+    later one only if it correlates.  ``events`` are read twice: a table that is
+    long in the making should be staged.
     """
     width = window_seconds * 1_000_000
     base = events.withColumn("_level", level_number(F.col("detected_severity"))).withColumn("_keys", correlation_keys())
     slim = base.select("event_id", F.col(ts_us).alias("_ts"), "_level", category_mask("threat_types").alias("_mask"), F.posexplode("_keys").alias("_k", "_key"))
-    newest = Window.partitionBy("_key", "_block").orderBy("_ts", "event_id").rowsBetween(-most, -1)
-    held = F.collect_list(F.struct(F.col("_ts").alias("ts"), F.col("_level").alias("level"), F.col("_mask").alias("mask"))).over(newest)
-    seen = own_rows(blocked(slim, "_ts", width).withColumn("_held", held))
-    seen = seen.withColumn("_held", F.filter("_held", lambda x: x["ts"] >= F.col("_ts") - width))
-    seen = seen.withColumn("_w", _window_facts(F.col("_held"), F.col("_level"), F.col("_mask")))
-    facts = [F.col("_k").alias("k"), F.col("_key").alias("key"), F.col("_level").alias("level"), F.size("_held").alias("prior"), *(F.col(f"_w.{n}").alias(n) for n in ("top", "mask", "low", "high", "critical"))]
-    keys = seen.select("event_id", F.struct(*facts).alias("fact")).groupBy("event_id").agg(F.collect_list("fact").alias("_facts"))  # five at most
+    keys = _with_window_facts(slim, width, most).groupBy("event_id").agg(F.collect_list("fact").alias("_facts"))  # five at most
     return concluded(base.drop("_level", "_keys").join(keys, "event_id", "left"), "_facts", events.columns)
 
 

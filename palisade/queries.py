@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_folder, ship, spread
+from .cluster import shared_folder, ship, spread, staged
 from .functions.masking import masked
 from .functions.net import http_method, http_path, location, normal_ip, query_pairs, severity_level, user_agent
 from .functions.text import decoded, deobfuscated, without_evasion
@@ -54,8 +54,17 @@ def detected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(normal_events(spark, sf_dir)).withColumn("ts_us", micros("ts"))
 
 
+#: What correlation and the actions after it need of a threat.
+THREAT_COLUMNS = ("event_id", "ts", "ts_us", "source_ip", "tenant", "session_id", "remote_user", "http_user_agent", "threat_types", "detected_severity")
+
+
+def found_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threats, staged: lines are parsed and judged once, and only for the columns that are needed."""
+    return staged(threats(detected_events(spark, sf_dir).select(*THREAT_COLUMNS)), "threats")
+
+
 def correlated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.correlate(threats(detected_events(spark, sf_dir)), "ts_us", DAY)
+    return co.correlate(found_threats(spark, sf_dir), "ts_us", DAY)
 
 
 def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,3 +135,35 @@ def test_history_of_a_hot_key(spark, hot):
             else:
                 m = sum(past) / len(past)
                 assert abs(mean - m) < 1e-9 and abs(std - (sum((x - m) ** 2 for x in past) / len(past)) ** 0.5) < 1e-9
+
+
+def test_window_facts_across_batches(spark):
+    """A key of many rows, cut into Arrow batches of 7, against a plain loop; rows without a time have no history."""
+    rng = random.Random(5)
+    names = ("low", "medium", "high", "critical")
+    rows, us = [], 0
+    for i in range(300):
+        us += rng.choice([0, 0, 1, 2, 3, 15])
+        rows.append((f"{i:04d}", rng.choice(["hot"] * 6 + ["a", None]), None if i % 50 == 9 else us, rng.choice(names), rng.sample(co.RULE_CATEGORIES, rng.choice([1, 1, 2]))))
+    schema = "event_id string, source_ip string, us long, detected_severity string, threat_types array<string>, tenant string, session_id string, remote_user string, http_user_agent string"
+    df = spark.createDataFrame([(*r, None, None, None, None) for r in rows], schema)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for most, width in ((5, 12), (100, 40)):
+        spark.conf.set(key, "7")
+        slim = df.select("event_id", F.col("us").alias("_ts"), co.level_number(F.col("detected_severity")).alias("_level"), co.category_mask("threat_types").alias("_mask"), F.posexplode(co.correlation_keys()).alias("_k", "_key"))
+        got = {r.event_id: r.fact for r in co._with_window_facts(slim, width, most).where("fact.key is not null").collect() if r.fact.key}
+        spark.conf.set(key, before)
+        past = {}
+        for i, ip, at, severity, types in sorted((r for r in rows if r[1]), key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+            seen = [] if at is None else [x for x in past.get(ip, [])[-most:] if x[0] >= at - width]
+            level = names.index(severity) + 1
+            mask = sum(1 << co.RULE_CATEGORIES.index(t) for t in types)
+            levels = [x[1] for x in seen]
+            union = mask
+            for x in seen:
+                union |= x[2]
+            f = got[i]
+            assert (f.prior, f.top, f.mask, f.low, f.high, f.critical) == (len(seen), max([level, *levels]), union, levels.count(1), levels.count(3), levels.count(4))
+            if at is not None:
+                past.setdefault(ip, []).append((at, level, mask))
