@@ -211,39 +211,96 @@ def uncorrelated(events: DataFrame) -> DataFrame:
 EXACT = "exact struct<window_hits:int,window_types:array<string>,correlated:boolean,final_severity:string,best_key:string,correlation_id:string>"
 
 
+class _Held:
+    """The newest events that a key holds, and how many of each level and category: what leaves is subtracted."""
+
+    def __init__(self):
+        self.events: deque = deque()
+        self.levels = [0] * 5
+        self.types: dict[str, int] = {}
+
+    def drop(self) -> None:
+        _, level, types = self.events.popleft()
+        self.levels[level] -= 1
+        for t in types:
+            self.types[t] -= 1
+            if not self.types[t]:
+                del self.types[t]
+
+    def add(self, ts: int, level: int, types: tuple, most: int) -> None:
+        if len(self.events) == most:
+            self.drop()
+        self.events.append((ts, level, types))
+        self.levels[level] += 1
+        for t in types:
+            self.types[t] = self.types.get(t, 0) + 1
+
+    def since(self, start: int) -> None:
+        while self.events and self.events[0][0] < start:
+            self.drop()
+
+    def union(self, own: tuple) -> tuple:
+        """Own categories, then the others in order of the events; ends when all are seen."""
+        found = dict.fromkeys(own)
+        missing = len(self.types.keys() - found.keys())
+        for _, _, types in self.events if missing else ():
+            size = len(found)
+            found.update(dict.fromkeys(types))
+            missing -= len(found) - size
+            if not missing:
+                break
+        return tuple(found)
+
+
 def correlate_exact(events: DataFrame, ts_us: str, window_seconds: int = 60, most: int = 100) -> DataFrame:
-    """Adds struct ``exact``: as correlate, with feedback, in order of time within each tenant."""
+    """Adds struct ``exact``: as correlate, with feedback, in order of time within each tenant.
+
+    An event costs the same whatever its windows hold; keys without an event in
+    the window are forgotten whenever their number has doubled.
+    """
     width = window_seconds * 1_000_000
     number = {"critical": 4, "high": 3, "medium": 2, "low": 1}
     names = {v: k for k, v in number.items()}
 
-    def step(state: dict, values: tuple) -> dict:
+    class State:
+        def __init__(self):
+            self.keys: dict[str, _Held] = {}
+            self.bound = 10_000
+
+    def step(state: State, values: tuple) -> dict:
         event_id, ts, severity, types, keys = values
         if not len(keys):
             return {"window_hits": 1, "window_types": list(types), "correlated": False, "final_severity": severity, "best_key": None, "correlation_id": "single_" + str(event_id)[:8]}
+        own, level, types = number[severity], 0, tuple(dict.fromkeys(types))
         best = None
         for key in keys:
-            held = state.get(key, deque(maxlen=most))
-            now = [x for x in held if x[0] >= ts - width]
-            union = list(dict.fromkeys([*types, *(t for x in now for t in x[2])]))
-            levels = [x[1] for x in now]
-            high = sum(x >= 3 for x in [*levels, number[severity]])
-            go = len(union) >= 2 or len(now) >= 5 or high >= 2 or (len(now) >= 3 and ((1 in levels and 3 in levels) or 4 in levels))
-            if best is None or len(now) > best[1] or (len(now) == best[1] and go):
-                best = (key, len(now), union, go, max([*levels, number[severity]]))
-        key, prior, union, go, top = best
+            held = state.keys.get(key)
+            if held is None:
+                held = _Held()
+            else:
+                held.since(ts - width)
+            prior, levels = len(held.events), held.levels
+            high = levels[3] + levels[4] + (own >= 3)
+            several = len(types) >= 2 or len(held.types) >= 2 or len(held.types.keys() | set(types)) >= 2
+            go = several or prior >= 5 or high >= 2 or (prior >= 3 and ((levels[1] > 0 and levels[3] > 0) or levels[4] > 0))
+            if best is None or prior > best[1] or (prior == best[1] and go):
+                level = max([own, *(x for x in (1, 2, 3, 4) if levels[x])])
+                best = (key, prior, held, go, level)
+        key, prior, held, go, top = best
+        union = held.union(types)
         final = min(top + go, 4)
-        state.setdefault(key, deque(maxlen=most)).append((ts, final, union))
-        if len(state) > 10_000:
-            for old in [k for k, x in state.items() if x[-1][0] < ts - width]:
-                del state[old]
+        state.keys.setdefault(key, held).add(ts, final, union, most)
+        if len(state.keys) > state.bound:
+            for old in [k for k, x in state.keys.items() if not x.events or x.events[-1][0] < ts - width]:
+                del state.keys[old]
+            state.bound = max(10_000, 2 * len(state.keys))
         mark = "corr_" + hashlib.md5(key.encode()).hexdigest()[:12] if go else "single_" + str(event_id)[:8]
-        return {"window_hits": prior + 1, "window_types": union, "correlated": bool(go), "final_severity": names[final], "best_key": key, "correlation_id": mark}
+        return {"window_hits": prior + 1, "window_types": list(union), "correlated": bool(go), "final_severity": names[final], "best_key": key, "correlation_id": mark}
 
     events = staged(events, "threats")
     # only what the fold needs goes through Python; the rest is joined back
     slim = events.select("event_id", "tenant", F.col(ts_us).alias("_us"), "detected_severity", "threat_types", correlation_keys().alias("_keys"))
-    folded = ordered_fold(slim, ["tenant"], ["_us", "event_id"], ["event_id", "_us", "detected_severity", "threat_types", "_keys"], EXACT, dict, step)
+    folded = ordered_fold(slim, ["tenant"], ["_us", "event_id"], ["event_id", "_us", "detected_severity", "threat_types", "_keys"], EXACT, State, step)
     return events.join(folded.select("event_id", "exact"), "event_id")
 
 

@@ -167,3 +167,56 @@ def test_window_facts_across_batches(spark):
             assert (f.prior, f.top, f.mask, f.low, f.high, f.critical) == (len(seen), max([level, *levels]), union, levels.count(1), levels.count(3), levels.count(4))
             if at is not None:
                 past.setdefault(ip, []).append((at, level, mask))
+
+
+def _exact_by_loop(rows, width, most):
+    """correlate_exact of one tenant, with windows that are listed anew for each event."""
+    state, out = {}, {}
+    for i, ip, user, us, severity, types in sorted(rows, key=lambda r: (r[3], r[0])):
+        own, best = ("low", "medium", "high", "critical").index(severity) + 1, None
+        for key in ([f"ip:{ip}"] if ip else []) + ["tenant:t"] + ([f"user:{user}"] if user else []):
+            now = [x for x in state.get(key, [])[-most:] if x[0] >= us - width]
+            union = list(dict.fromkeys([*types, *(t for x in now for t in x[2])]))
+            levels = [x[1] for x in now]
+            high = sum(x >= 3 for x in [*levels, own])
+            go = len(union) >= 2 or len(now) >= 5 or high >= 2 or (len(now) >= 3 and ((1 in levels and 3 in levels) or 4 in levels))
+            if best is None or len(now) > best[1] or (len(now) == best[1] and go):
+                best = (key, len(now), union, go, max([*levels, own]))
+        key, prior, union, go, top = best
+        state.setdefault(key, []).append((us, min(top + go, 4), union))
+        out[i] = (prior + 1, union, go, min(top + go, 4), key)
+    return out
+
+
+def test_exact_correlation_against_a_loop(spark):
+    rng = random.Random(8)
+    rows, us = [], 0
+    for i in range(400):
+        us += rng.choice([0, 0, 1, 2_000_000, 5_000_000, 40_000_000])
+        rows.append((f"{i:04d}", rng.choice(["a", "b", "c", None]), rng.choice(["u", "v", None]), us, rng.choice(["low", "low", "medium", "high", "critical"]), rng.sample(["sqli", "xss", "ssrf"], rng.choice([1, 1, 1, 2]))))
+    schema = "event_id string, source_ip string, remote_user string, us long, detected_severity string, threat_types array<string>, tenant string, session_id string, http_user_agent string"
+    df = spark.createDataFrame([(*r, "t", None, None) for r in rows], schema)
+    for most, seconds in ((4, 60), (100, 20)):
+        got = {r.event_id: r.exact for r in co.correlate_exact(df, "us", seconds, most).collect()}
+        want = _exact_by_loop(rows, seconds * 1_000_000, most)
+        names = ("", "low", "medium", "high", "critical")
+        assert {i: (x.window_hits, list(x.window_types), x.correlated, names.index(x.final_severity), x.best_key) for i, x in got.items()} == want
+
+
+def test_exact_correlation_looks_through_its_keys_seldom(spark):
+    """40,000 users at once: it took a look at all of them for each event beyond 10,000."""
+    import time
+
+    df = spark.range(40_000).select(F.col("id").alias("event_id"), F.lit(None).cast("string").alias("source_ip"), F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("string").alias("http_user_agent"), F.concat(F.lit("u"), F.col("id")).alias("remote_user"), F.col("id").alias("us"), F.lit("low").alias("detected_severity"), F.array(F.lit("xss")).alias("threat_types"), F.lit("").alias("tenant"))
+    start = time.monotonic()
+    assert co.correlate_exact(df, "us").where("exact.window_hits = 1").count() == 40_000
+    assert time.monotonic() - start < 25
+
+
+def test_metrics_and_actions_parse_once(spark, data_dir):
+    """The lines are read by one job that stages threats; what follows reads only those."""
+    from palisade import queries as q
+
+    for query in (q.correlate_stateless, q.run_metrics, q.top_actions):
+        plan = query(spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "rlike" not in plan.lower()
