@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -155,34 +156,37 @@ def rate_limited(actions: DataFrame, key: str, tie: str, most: int = 100, second
 class Window(_Waiting):
     """What the newest ``most`` events of a key in the last ``width_us`` show, for the events of one block of time.
 
-    A group is a key and a block; the events of the block before are sent to it
-    as history, so a key's blocks are separate groups with a memory of at most
-    ``most`` events each, which ends with the block.
+    A group is a block of time and the keys of one hash, since state is paid for by the
+    group; the events of the block before are sent to it as history.  It
+    remembers at most ``most`` events of each key, until the block has ended.
     """
 
-    waiting = "us long, tie string, ts timestamp, payload string, level int, mask int, own boolean, k int, n int"
-    fields = ("us", "tie", "ts", "payload", "level", "mask", "own", "k", "n")
+    waiting = "us long, tie string, ts timestamp, payload string, level int, mask int, own boolean, k int, n int, key string"
+    fields = ("us", "tie", "ts", "payload", "level", "mask", "own", "k", "n", "key")
 
     def __init__(self, width_us: int, most: int):
         self.width, self.most = width_us, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.recent = handle.getListState("recent", "us long, level int, mask int")
+        self.recent = handle.getListState("recent", "key string, us long, level int, mask int")
 
     def settle(self, key: tuple, ready: list[tuple]) -> Iterator[Row]:
+        if not ready:
+            return
         past = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        for us, tie, ts, payload, level, mask, own, k, n in ready:
-            if own:
-                seen = [x for x in past if x[0] >= us - self.width]
-                top, types = level, mask
-                for _, x, m in seen:
-                    top, types = max(top, x), types | m
-                count = lambda v, seen=seen: sum(x == v for _, x, _ in seen)
-                yield Row(ts=ts, event_id=tie, k=k, n=n, key=key[0], level=level, prior=len(seen), top=top, mask=types, low=count(1), high=count(3), critical=count(4), payload=payload)
-            past = [*past, (us, level, mask)][-self.most :]
-        if past:
-            self.recent.put(past)
+        rows = [(r[0], r[1], r[2], r[3], None) for r in past] + [(r[9], r[0], r[4], r[5], r) for r in ready]
+        rows.sort(key=lambda r: r[0])  # stable: the past of a key, then what is ready, in order
+        ts, level, mask = np.array([r[1:4] for r in rows], np.int64).T
+        starts = np.array([True, *(x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False))])
+        facts = co.window_facts(np.cumsum(starts), ts, np.ones(len(ts), bool), level, mask, self.width, self.most)
+        columns = [facts[n].tolist() for n in ("prior", "top", "mask", "low", "high", "critical")]
+        for (name, _, _, _, row), prior, top, types, low, high, critical in zip(rows, *columns, strict=True):
+            if row is not None and row[6]:
+                yield Row(ts=row[2], event_id=row[1], k=row[7], n=row[8], key=name, level=row[4], prior=prior, top=top, mask=types, low=low, high=high, critical=critical, payload=row[3])
+        ends = np.append(np.flatnonzero(starts)[1:], len(rows))
+        newest = np.arange(len(rows)) >= np.repeat(ends, np.diff(ends, prepend=0)) - self.most
+        self.recent.put([r[:4] for r, kept in zip(rows, newest, strict=True) if kept])
 
     def remembered_until(self, key: tuple) -> int | None:
         return (key[1] + 1) * self.width if self.recent.exists() else None
@@ -195,21 +199,28 @@ SHOWN = "ts timestamp, event_id string, k int, n int, key string, level int, pri
 
 
 class Gather(StatefulProcessor):
-    """The rows of an event, one for each of its keys, as soon as all are there."""
+    """The rows of an event, one for each of its keys, as soon as all are there; a group is the events of one hash."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", SHOWN)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         names = [f.split()[0] for f in SHOWN.split(", ")]
-        found = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        found += [tuple(r[n] for n in names) for r in rows]
-        if len(found) < found[0][3]:
-            self.rows.put(found)
-            return
-        self.rows.clear()
-        payload = next((r[-1] for r in found if r[-1] is not None), None)
-        yield Row(ts=found[0][0], payload=payload, keys=[tuple(r[2:3]) + tuple(r[4:12]) for r in sorted(found, key=lambda r: r[2])])
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        events: dict[str, list[tuple]] = {}
+        for r in [*held, *(tuple(r[n] for n in names) for r in rows)]:
+            events.setdefault(r[1], []).append(r)
+        rest = []
+        for found in events.values():
+            if len(found) < found[0][3]:
+                rest += found
+                continue
+            payload = next((r[-1] for r in found if r[-1] is not None), None)
+            yield Row(ts=found[0][0], payload=payload, keys=[tuple(r[2:3]) + tuple(r[4:12]) for r in sorted(found, key=lambda r: r[2])])
+        if rest:
+            self.rows.put(rest)
+        elif held:
+            self.rows.clear()
 
     def close(self) -> None:
         pass
@@ -218,8 +229,11 @@ class Gather(StatefulProcessor):
 GATHERED = "ts timestamp, payload string, keys array<struct<k:int,key:string,level:int,prior:int,top:int,mask:int,low:int,high:int,critical:int>>"
 
 
-def correlate(events: DataFrame, window_seconds: int = 60, most: int = 100) -> DataFrame:
-    """As the batch operator ``correlate``, for events with a time: the same columns, in any order of arrival."""
+def correlate(events: DataFrame, window_seconds: int = 60, most: int = 100, groups: int = 128) -> DataFrame:
+    """As the batch operator ``correlate``, for events with a time: the same columns, in any order of arrival.
+
+    ``groups``: into how many groups of state the keys of a block of time, and the events, are dealt.
+    """
     width = window_seconds * 1_000_000
     schema = events.schema
     keys = correlation_keys()
@@ -231,7 +245,8 @@ def correlate(events: DataFrame, window_seconds: int = 60, most: int = 100) -> D
     block = F.floor(F.col("us") / width)
     sent = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))
     dealt = each.withColumn("_b", F.explode(sent)).select("us", "tie", "ts", "level", "mask", "k", "n", "key", F.col("_b.block").alias("block"), F.col("_b.own").alias("own"), F.when((F.col("k") == 0) & F.col("_b.own"), F.col("payload")).alias("payload"))
-    shown = dealt.groupBy("key", "block").transformWithState(Window(width, most), SHOWN, "Append", "EventTime", eventTimeColumnName="ts")
-    gathered = shown.groupBy("event_id").transformWithState(Gather(), GATHERED, "Append", "EventTime", eventTimeColumnName="ts")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    shown = dealt.withColumn("bucket", bucket("key")).groupBy("bucket", "block").transformWithState(Window(width, most), SHOWN, "Append", "EventTime", eventTimeColumnName="ts")
+    gathered = shown.withColumn("bucket", bucket("event_id")).groupBy("bucket").transformWithState(Gather(), GATHERED, "Append", "EventTime", eventTimeColumnName="ts")
     whole = _unpacked(gathered, schema, "keys")
     return co.concluded(whole, "keys", events.columns)

@@ -125,3 +125,25 @@ def test_a_replayed_batch_writes_nothing_twice(spark, tmp_path):
     assert read() == [0, 0, 1, 1, 2, 3, 4]
     m = sinks.read_batches(spark, str(tmp_path), "metrics", sinks.BATCH_METRICS).agg(F.sum("signals"), F.sum("correlated"), F.max("last_us")).first()
     assert tuple(m) == (7, 3, 4)
+
+
+def test_events_of_one_group_of_state_wait_for_all_their_keys():
+    """Gather holds an event until its last key has come, and lets go of the others of its group at once."""
+    from palisade.streaming.stateful import SHOWN, Gather
+
+    names = [f.split()[0] for f in SHOWN.split(", ")]
+    row = lambda event, k, n: dict(zip(names, (None, event, k, n, f"key{k}", 1, 0, 1, 1, 0, 0, 0, "p" if k == 0 else None), strict=True))
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        exists, get = (lambda self: bool(self.rows)), (lambda self: list(self.rows))
+        put, clear = (lambda self, rows: setattr(self, "rows", rows)), (lambda self: setattr(self, "rows", []))
+
+    gather = Gather()
+    gather.rows = Held()
+    first = list(gather.handleInputRows((0,), iter([row("a", 1, 2), row("b", 0, 1)]), None))
+    assert [(r.payload, len(r["keys"])) for r in first] == [("p", 1)] and len(gather.rows.rows) == 1
+    second = list(gather.handleInputRows((0,), iter([row("a", 0, 2)]), None))
+    assert [(r.payload, [x[1] for x in r["keys"]]) for r in second] == [("p", ["key0", "key1"])] and not gather.rows.rows
