@@ -40,6 +40,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(1, min(cores, size >> 14))) if size <= SMALL_BYTES and splits < cores else df
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The size of what a plan reads, as it estimates it (what it makes of joins would be their product); unknown sizes count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 50)
+
+
+def dealt(df: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """A table that costs much for its bytes (texts under many patterns), in tasks of about ``task_bytes``."""
+    tasks = plan_bytes(df) // task_bytes
+    return df.repartition(tasks) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def is_local(spark: SparkSession) -> bool:
     """One JVM: no executor elsewhere that would miss the driver's files."""
     master = spark.sparkContext.master

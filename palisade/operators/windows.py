@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import plan_bytes
+
 
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, each computed once before what follows.
@@ -35,7 +37,7 @@ def blocked(df: DataFrame, ts_us: str, width_us: int) -> DataFrame:
     return df.withColumn("_b", F.explode(F.array(F.struct(own.alias("block"), F.lit(True).alias("own")), F.struct((own + 1).alias("block"), F.lit(False).alias("own"))))).select(*df.columns, F.col("_b.block").alias("_block"), F.col("_b.own").alias("_own"))
 
 
-def sliding_totals(df: DataFrame, key: str, ts_us: str, width_us: int, sums: dict[str, Column], distinct: dict[str, str]) -> DataFrame:
+def sliding_totals(df: DataFrame, key: str, ts_us: str, width_us: int, sums: dict[str, Column], distinct: dict[str, str], task_bytes: int = 2 << 20) -> DataFrame:
     """Adds event_count, first_us, a sum for each of ``sums`` and a number of distinct values for each of ``distinct``.
 
     Of the last ``width_us`` (far end left out, the row's own time included) of
@@ -44,6 +46,9 @@ def sliding_totals(df: DataFrame, key: str, ts_us: str, width_us: int, sums: dic
     seen again or when its last row leaves.
     """
     rows = blocked(df.select(*df.columns, *(c.cast("double").alias(f"_s_{n}") for n, c in sums.items())), ts_us, width_us)
+    tasks = plan_bytes(df) // task_bytes  # a row becomes several changes, twice: tasks go by the input, not by the session's setting
+    many = tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, key, "_block") if many else rows
     rows = rows.withColumn("_next", F.lead(ts_us).over(Window.partitionBy(key, "_block").orderBy(ts_us)))
     for n, c in distinct.items():
         again = F.lead(ts_us).over(Window.partitionBy(key, "_block", c).orderBy(ts_us))
@@ -61,6 +66,7 @@ def sliding_totals(df: DataFrame, key: str, ts_us: str, width_us: int, sums: dic
     parts = [change(F.col(ts_us), plus | seen, F.when(F.col("_own"), payload)), leaves]
     parts += [change(F.coalesce(f"_d_{n}", F.col(ts_us)), {f"_d_{n}": -seen[f"_d_{n}"]}) for n in distinct]
     changes = rows.select(F.col(key).alias("_key"), "_block", F.col(ts_us).alias("_ts"), F.inline(F.array(*parts)))
+    changes = changes.repartition(tasks, "_key", "_block") if many else changes
     so_far = Window.partitionBy("_key", "_block").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     totals = changes.withColumns({f"_t_{n}": F.sum(n).over(so_far) for n in names} | {"_least": F.min("_ts").over(so_far), "_gone": F.max("gone").over(so_far)})
     kept = totals.where("row is not null")

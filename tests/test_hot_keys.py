@@ -220,3 +220,17 @@ def test_metrics_and_actions_parse_once(spark, data_dir):
     for query in (q.correlate_stateless, q.run_metrics, q.top_actions):
         plan = query(spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "rlike" not in plan.lower()
+
+
+def test_tasks_go_by_what_is_read(spark, data_dir):
+    """Texts are dealt by the bytes read, and the estimate of a join (a product) does not count; session totals stay the same in many tasks."""
+    from palisade.cluster import dealt, plan_bytes, staged
+    from palisade.operators.windows import sliding_totals
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    assert plan_bytes(docs.join(docs.withColumnRenamed("text", "t"), "doc_id")) <= 2 * plan_bytes(docs) + 1
+    assert dealt(docs, plan_bytes(docs) // 40).rdd.getNumPartitions() >= 40 and dealt(docs).rdd.getNumPartitions() == docs.rdd.getNumPartitions()
+    rows = staged(spark.createDataFrame(rows_of(), SCHEMA).where("k is not null"), "rows")
+    assert plan_bytes(spark.createDataFrame(rows_of(), SCHEMA)) == 0
+    few, many = (sliding_totals(rows, "k", "us", 20, {}, {"kinds": "extra"}, task_bytes=n) for n in (1 << 30, 100))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
