@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import staged
 from ..functions.fixed import TRAINING
 from ..functions.text import feature_names, text_features
 from .evaluate import confusion
@@ -49,7 +50,11 @@ class TextModel:
 
     @classmethod
     def fit(cls, samples: DataFrame, text_col: str = "text", label_col: str = "label", c: float = 1.0) -> TextModel:
-        features = with_features(samples, text_col)
+        return cls.fit_features(with_features(samples, text_col), label_col, c)
+
+    @classmethod
+    def fit_features(cls, features: DataFrame, label_col: str = "label", c: float = 1.0) -> TextModel:
+        """As ``fit``, of rows with their features; they are read several times."""
         scale = standardization(features)
         n = features.count()
         lr = LogisticRegression(featuresCol="features", labelCol=label_col, regParam=1 / (n * c), standardization=False, maxIter=1000)
@@ -57,8 +62,11 @@ class TextModel:
 
     def score(self, df: DataFrame, text_col: str) -> DataFrame:
         """Adds ml_score, the probability of class 1."""
-        scored = self.model.transform(standardized(with_features(df, text_col), self.scale))
-        return scored.select(*df.columns, vector_to_array("probability")[1].alias("ml_score"))
+        return self.score_features(with_features(df, text_col), df.columns)
+
+    def score_features(self, features: DataFrame, kept: list[str]) -> DataFrame:
+        scored = self.model.transform(standardized(features, self.scale))
+        return scored.select(*kept, vector_to_array("probability")[1].alias("ml_score"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
@@ -84,12 +92,13 @@ def cross_validated(samples: DataFrame, folds: int = 5, text_col: str = "text",
     A fold whose other folds hold a single label, or that is empty, is left out.
     """
     spark = samples.sparkSession
-    dealt = samples.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.pmod(F.xxhash64(text_col, F.lit(seed)), F.lit(folds)).alias("fold"))
+    folded = samples.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.pmod(F.xxhash64(text_col, F.lit(seed)), F.lit(folds)).alias("fold"))
+    featured = staged(with_features(folded, "text").drop("text"), "features")  # each text is looked at once, whatever the folds
     reports = []
     for fold in range(folds):  # a fit for each fold
-        rest, mine = dealt.where(F.col("fold") != fold), dealt.where(F.col("fold") == fold)
+        rest, mine = featured.where(F.col("fold") != fold), featured.where(F.col("fold") == fold)
         if rest.agg(F.count_distinct("label")).first()[0] > 1:
-            report = training_report(TextModel.fit(rest).score(mine, "text")).where("samples > 0")
+            report = training_report(TextModel.fit_features(rest).score_features(mine, ["label"])).where("samples > 0")
             reports.append(report.select(F.lit(fold).alias("fold"), "*"))
     none = spark.createDataFrame([], "fold int, samples long, accuracy double, precision double, recall double, f1 double")
     return reduce(DataFrame.unionByName, reports, none)
