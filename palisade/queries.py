@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import shared_folder, ship, spread, staged
+from .cluster import dealt, shared_folder, ship, spread, staged
 from .functions.masking import masked
 from .functions.net import http_method, http_path, location, normal_ip, query_pairs, severity_level, user_agent
 from .functions.text import decoded, deobfuscated, without_evasion
@@ -213,7 +213,7 @@ def top_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toxic_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     categories = F.array_distinct(F.transform(rule_matches(F.col("text"), rule_set()), lambda m: m["category"]))
     hits = settled(texts.select("doc_id", categories.alias("types"))).where(F.size("types") > 0)
     wanted = F.when(F.col("toxic") == 1, F.array(F.lit("command_injection"), F.lit("sqli"))).otherwise(F.array(F.lit("ssrf"), F.lit("command_injection")))
@@ -280,12 +280,12 @@ def session_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a day against what their user did before."""
     e = table(spark, sf_dir, "events").select("event_id", micros("ts").alias("ts_us"), "user_id")
     features = ["event_count", "unique_types", "error_count", "requests_per_second"]
-    seen = e.join(session_statistics(spark, sf_dir), "event_id")
+    seen = staged(e.join(session_statistics(spark, sf_dir), "event_id"), "sessions")  # sorted ranges read it twice
     return session_anomalies(seen, "user_id", "ts_us", "event_id", features).select("event_id", "user_id", "anomaly_score")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"))
+    return dealt(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"))
 
 
 def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
