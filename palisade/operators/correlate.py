@@ -236,7 +236,7 @@ class _Held:
             self.types[t] = self.types.get(t, 0) + 1
 
     def since(self, start: int) -> None:
-        while self.events and self.events[0][0] < start:
+        while self.events and not self.events[0][0] >= start:  # a missing time (NaN) is in no window
             self.drop()
 
     def union(self, own: tuple) -> tuple:

@@ -234,3 +234,11 @@ def test_tasks_go_by_what_is_read(spark, data_dir):
     assert plan_bytes(spark.createDataFrame(rows_of(), SCHEMA)) == 0
     few, many = (sliding_totals(rows, "k", "us", 20, {}, {"kinds": "extra"}, task_bytes=n) for n in (1 << 30, 100))
     assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+
+
+def test_events_without_a_time_are_in_no_window():
+    held = co._Held()
+    held.add(float("nan"), 4, ("sqli",), 100)
+    held.add(50, 1, ("xss",), 100)
+    held.since(40)
+    assert [e[0] for e in held.events] == [50] and held.types == {"xss": 1} and held.levels == [0, 1, 0, 0, 0]
