@@ -45,11 +45,20 @@ def in_network(ip: Column, network: str) -> Column:
     return ip.rlike(IPV4) & ip_number(ip).between(int(net.network_address), int(net.broadcast_address))
 
 
+def network_pattern(network: str) -> str:
+    """A pattern of the dotted quads of a network."""
+    net = ipaddress.ip_network(network)
+    whole, rest = divmod(net.prefixlen, 8)
+    octets = net.network_address.packed
+    parts = [str(x) for x in octets[:whole]]
+    if rest:
+        parts.append(f"(?:{'|'.join(str(x) for x in range(octets[whole], octets[whole] + (1 << (8 - rest))))})")
+    return r"\.".join([*parts, *[OCTET] * (4 - len(parts))])
+
+
 def location(ip: Column) -> Column:
     """Struct country, region, city: private networks are known, others are not; null without an address."""
-    private = F.lit(False)
-    for network in PRIVATE_NETWORKS:
-        private = private | in_network(ip, network)
+    private = ip.rlike(f"^(?:{'|'.join(network_pattern(n) for n in PRIVATE_NETWORKS)})$")  # one look at the address, whatever the networks
     place = lambda names: F.struct(*(F.lit(v).alias(k) for k, v in zip(("country", "region", "city"), names, strict=True)))
     return F.when(ip.isNotNull(), F.when(private, place(("Private", "Internal Network", "Local"))).otherwise(place(("Unknown",) * 3)))
 

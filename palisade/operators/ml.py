@@ -181,7 +181,8 @@ def joined_depths(past: np.ndarray, points: np.ndarray, rng: np.random.Generator
     what is expected adds up along the way.
     """
     width = past.shape[1]
-    rows = past[np.argsort(rng.random((trees, len(past))), axis=1)[:, :size]].reshape(-1, width)
+    draw = rng.random((trees, len(past)))
+    rows = past[np.argpartition(draw, size - 1, axis=1)[:, :size]].reshape(-1, width)  # those of the least draws; their order tells nothing
     tree = np.repeat(np.arange(trees), size)
     node = np.zeros(len(rows), np.int64)
     place = np.zeros((trees, len(points)), np.int64)
@@ -189,18 +190,23 @@ def joined_depths(past: np.ndarray, points: np.ndarray, rng: np.random.Generator
     usual = np.array([_average_path(n + 1) for n in range(size + 1)])
     for level in range(depth + 1):
         number = tree * (1 << level) + node
-        order = np.argsort(number, kind="stable")
+        order = np.argsort(number.astype(np.int16) if trees << level <= 1 << 15 else number, kind="stable")  # short numbers are sorted by digits
         starts = np.flatnonzero(np.diff(number[order], prepend=-1))
         held = number[order][starts]
-        low, high, count = (np.zeros((trees << level, width)), np.zeros((trees << level, width)), np.zeros(trees << level, np.int64))
-        low[held], high[held] = np.minimum.reduceat(rows[order], starts, axis=0), np.maximum.reduceat(rows[order], starts, axis=0)
+        low, high, count = (np.zeros((width, trees << level)), np.zeros((width, trees << level)), np.zeros(trees << level, np.int64))
+        low[:, held], high[:, held] = np.minimum.reduceat(rows[order], starts, axis=0).T, np.maximum.reduceat(rows[order], starts, axis=0).T
         count[held] = np.diff(starts, append=len(order))
-        uneven = high > low
+        uneven = (high > low).T
         leaf = (count <= 1) | ~uneven.any(axis=1) | (level == depth)
         at = np.arange(trees)[:, None] * (1 << level) + place
-        beyond = np.maximum(low[at] - points, 0) + np.maximum(points - high[at], 0)
-        span = beyond + (high[at] - low[at])
-        alone = (beyond / np.where(span > 0, span, 1)).sum(axis=2) / np.maximum((span > 0).sum(axis=2), 1)
+        alone, spans = np.zeros(place.shape), np.zeros(place.shape, np.int64)
+        for x, bottom, top in zip(points.T.copy(), low, high, strict=True):  # a feature at a time: its arrays stay in the cache
+            bottom, top = bottom.take(at), top.take(at)
+            beyond = np.maximum(bottom - x, 0) + np.maximum(x - top, 0)
+            span = beyond + (top - bottom)
+            alone += beyond / np.where(span > 0, span, 1)
+            spans += span > 0
+        alone /= np.maximum(spans, 1)
         total += np.where(going, left_over * alone * (level + 1), 0)
         left_over = np.where(going, left_over * (1 - alone), left_over)
         ends = going & leaf[at]
@@ -208,8 +214,8 @@ def joined_depths(past: np.ndarray, points: np.ndarray, rng: np.random.Generator
         going &= ~ends
         feature = np.where(uneven, rng.random(uneven.shape), -1).argmax(axis=1)
         each = np.arange(trees << level)
-        cut = low[each, feature] + rng.random(trees << level) * (high - low)[each, feature]
-        cut = np.where(cut < high[each, feature], cut, low[each, feature])  # neither side is empty
+        cut = low[feature, each] + rng.random(trees << level) * (high - low)[feature, each]
+        cut = np.where(cut < high[feature, each], cut, low[feature, each])  # neither side is empty
         kept = ~leaf[number]
         if not kept.any():
             break

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,13 @@ JSON_FIELDS = (
 
 
 def parse_time(text: Column) -> Column:
-    """Timestamp of the first format that fits; times without a zone are UTC (the session's zone)."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS))
+    """Timestamp of the first format that fits; times without a zone are UTC (the session's zone).
+
+    A format is only tried on texts that have its marks: a failure costs as much as many successes.
+    """
+    marks = lambda f: [m for m in ("/", "-", " ", "t") if m in re.sub(r"\[.*?\]", "", f).lower()]
+    may = lambda f: reduce(lambda x, y: x & y, (F.lower(text).contains(m) for m in marks(f)))
+    return F.coalesce(*(F.when(may(f), F.try_to_timestamp(text, F.lit(f))) for f in TIME_FORMATS))
 
 
 def line_format(line: Column) -> Column:

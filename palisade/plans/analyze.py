@@ -47,10 +47,14 @@ SESSION_COLUMNS = ["event_count", "unique_ips", "unique_paths", "error_count", "
 
 def with_anomalies(events: DataFrame, seconds: int = 60) -> DataFrame:
     """Adds anomaly_score: the event's session of the last ``seconds`` against what its key did before (see session_anomalies)."""
-    keyed = staged(events.withColumns({"_session": session_key(), "_ts": micros("ts")}), "events")  # read several times below
+    # read several times below; whole rows move once, when they get their score
+    keyed = staged(events.withColumns({"_row": F.monotonically_increasing_id(), "_session": session_key(), "_ts": micros("ts")}), "events")
     error = F.coalesce(F.substring(F.col("http_status").cast("string"), 1, 1).isin("4", "5"), F.lit(False))
-    found = staged(session_features(keyed, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, error, F.length("message"), seconds), "sessions")
-    return session_anomalies(found, "_session", "_ts", "event_id", SESSION_COLUMNS).select(*events.columns, "anomaly_score")
+    slim = keyed.select("_row", "event_id", "_session", "_ts", "source_ip", "http_path", error.alias("_error"), F.length("message").alias("_length"))
+    found = session_features(slim, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, F.col("_error"), F.col("_length"), seconds)
+    judged = staged(found.select("_row", "event_id", "_session", "_ts", *SESSION_COLUMNS), "sessions")
+    scores = session_anomalies(judged, "_session", "_ts", "event_id", SESSION_COLUMNS).select("_row", "anomaly_score")
+    return keyed.join(scores, "_row").select(*events.columns, "anomaly_score")
 
 
 def detections(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tenant: str | None = None, model: TextModel | None = None) -> DataFrame:
@@ -69,17 +73,19 @@ def analyze(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tena
     Threats and correlated events are staged, as several results come from each.
     """
     detected = detections(settled(lines), options, tenant, model)
-    found = staged(threats(detected), "threats")
+    found = staged(threats(detected).withColumn("_row", F.monotonically_increasing_id()), "threats")
     timed, untimed = found.where("ts_us is not null"), found.where("ts_us is null")
     out = None
     if suppressions is not None:
-        out = co.suppressed(timed, suppressions, "ts_us")
+        out = co.suppressed(timed, suppressions, "ts_us").drop("_row")
         timed = co.suppress(timed, suppressions, "ts_us")
     marked = timed.withColumn("fingerprint", co.fingerprint())
-    edge = staged(co.leading_edge(marked, "fingerprint", "ts_us", "event_id", options.dedup_ttl), "edge")
+    slim = staged(marked.select("_row", "fingerprint", "ts_us", "event_id"), "fingerprints")  # only this goes through sorted ranges
+    kept = co.leading_edge(slim, "fingerprint", "ts_us", "event_id", options.dedup_ttl).select("_row", "kept")
+    edge = staged(marked.join(kept, "_row").drop("_row"), "edge")
     unique = edge.where("kept").drop("kept")
     correlated = co.correlate(unique, "ts_us", options.window_seconds, options.max_events_per_window)
-    correlated = staged(correlated.unionByName(co.uncorrelated(untimed.withColumn("fingerprint", co.fingerprint()))), "correlated")
+    correlated = staged(correlated.unionByName(co.uncorrelated(untimed.drop("_row").withColumn("fingerprint", co.fingerprint()))), "correlated")
     planned = re_.idempotent_actions(re_.plan_actions(correlated, "ts_us"), options.idempotency_ttl)
     tied = planned.withColumn("_tenant", F.coalesce(F.col("target.tenant"), F.lit("")))
     limited = re_.rate_limited(tied, ["_tenant"], "ts_us", "action_id", options.max_actions_per_second).where("admitted").drop("_tenant", "admitted")

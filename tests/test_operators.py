@@ -268,3 +268,41 @@ def test_what_a_run_counts(spark):
     r = found.record(datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 5)).first()
     assert (r.total_lines, r.threat_events, r.throughput_lps) == (5, 4, 1.0) and r.correlation_stats["duplicate_events"] == 1.0
     assert co.correlation_statistics(found.correlated).first().suppressed_events == 0
+
+
+def test_anomalies_move_whole_rows_once(spark, data_dir, monkeypatch):
+    """Sorted ranges and windows get only what sessions need; equal ids of different rows keep a row each."""
+    from palisade.operators import ml, ranges
+    from palisade.plans import analyze as plan
+    from palisade.queries import normal_events
+
+    seen = []
+    for module in (ml, ranges, plan):
+        monkeypatch.setattr(module, "staged", lambda df, label, real=module.staged: (seen.append((label, set(df.columns))), real(df, label))[1])
+    events = normal_events(spark, data_dir).where("event_id < 200")
+    twice = events.unionByName(events)
+    out = plan.with_anomalies(twice, 86_400)
+    assert out.columns == [*events.columns, "anomaly_score"]
+    assert out.groupBy("event_id").count().where("count != 2").isEmpty() and out.count() == twice.count()
+    assert {label for label, _ in seen} == {"events", "sessions", "ranged"}
+    assert not any("message" in columns or "geolocation" in columns for label, columns in seen if label != "events")
+
+
+def test_times_are_read_as_by_trying_every_format(spark):
+    from palisade.functions.fixed import TIME_FORMATS
+    from palisade.operators.parse import parse_time
+
+    texts = ["01/Jan/2024:10:00:00 +0200", "01/Jan/2024:10:00:00", "2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.123456Z", "2024-01-02t03:04:05z", "2024-01-02T03:04:05.12", "01/jan/2024:10:00:00", "2024-01-02", "", "x/y", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*(F.try_to_timestamp("t", F.lit(f)) for f in TIME_FORMATS))
+    assert df.where(~parse_time(F.col("t")).eqNullSafe(plain)).isEmpty()
+
+
+def test_private_networks_by_pattern(spark):
+    from palisade.functions.fixed import PRIVATE_NETWORKS
+    from palisade.functions.net import in_network, network_pattern
+
+    texts = ["10.0.0.0", "10.255.255.255", "11.0.0.1", "172.15.255.255", "172.16.0.0", "172.31.9.9", "172.32.0.0", "192.168.1.1", "192.169.0.1", "127.0.0.1", "1.10.0.0", "10.0.0.256", "10.0.0", None]
+    df = spark.createDataFrame([(t,) for t in texts], "ip string")
+    for network in (*PRIVATE_NETWORKS, "203.0.113.4/30", "8.8.8.8/32"):
+        assert df.where(~F.col("ip").rlike(f"^{network_pattern(network)}$").eqNullSafe(in_network(F.col("ip"), network))).isEmpty()
