@@ -6,12 +6,13 @@ the patterns miss: numbers in other groupings, without a plus, with a digit
 mistyped; addresses spelled with brackets or blanks.
 
 Candidates are whole segments: runs of digit groups, and what stands around an
-at sign or a bracketed "at" (a run of more than 24 groups is a table of numbers, and
-left to the patterns).  Features look at a whole segment (digits, lengths of
+at sign or a bracketed "at".  Of a run every stretch of groups that fits is one, however
+long the run is, and of an address every start.  Features look at a whole segment (digits, lengths of
 its groups, separators, checksum, ranges, ending, what stands on either side and
 whether the run goes on), so a token model couldn't have them.  Between the
 candidates' boundaries a text can pass outside; segments have at most 19 digits
-or 80 characters, so the dynamic programme is linear in the text.  It runs
+or 80 characters, so the dynamic programme is linear in the text (a run of numbers holds
+some KB for each of its groups while it is judged).  It runs
 over (boundary, type of the last segment) and chooses boundaries and types
 together; a segment of the best path is added if its posterior is at least
 ``least``.  What base spans cover is never a candidate.
@@ -69,12 +70,11 @@ SPELLED = re.compile(rf"[A-Za-z0-9-]{{1,63}}(?:{DOT}[A-Za-z0-9-]{{1,63}}){{1,8}}
 LABEL = re.compile(rf"{DOT}[A-Za-z0-9-]+")
 
 MOST_DIGITS, MOST_LOCAL, MOST_CHARS = 19, 64, 80
-#: A run of more groups of digits is a table of numbers, and no candidate.
-MOST_GROUPS = 24
 #: Characters kept on either side of an example.
 AROUND = 16
 
 Span = tuple[int, int, str]  # start, end, kind
+Weights = dict[str, float]
 
 
 def luhn(digits: str) -> bool:
@@ -123,12 +123,14 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Arc:
     start: int
     end: int
     kind: str
     features: tuple[str, ...]
+    #: What the features weigh together; None: not weighed yet.
+    weight: float | None = None
 
 
 def _side(text: str, at: int) -> str:
@@ -143,6 +145,10 @@ def _size(n: int) -> str:
     return str(n) if n < 4 else "4-7" if n < 8 else "8-15" if n < 16 else "16+"
 
 
+def weighed(arc: Arc, w: Weights) -> float:
+    return sum(w.get(f, 0.0) for f in arc.features) if arc.weight is None else arc.weight
+
+
 class Cover:
     """The places that spans cover."""
 
@@ -163,7 +169,7 @@ class Cover:
 
 def _number_arcs(text: str, run: re.Match, taken: Cover) -> Iterator[Arc]:
     groups = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer("[0-9]+", run[0])]
-    for i, (first, _) in enumerate(groups if len(groups) <= MOST_GROUPS else []):
+    for i, (first, _) in enumerate(groups):
         start = first
         while start > run.start() and text[start - 1] in "+(" and first - start < 2:
             start -= 1
@@ -211,7 +217,7 @@ def _email_arcs(text: str, at: re.Match, taken: Cover) -> Iterator[Arc]:
     while m := LABEL.search(text, place, domain.end()):
         ends.append(m.end())
         place = m.end()
-    starts = [start, *(i + 1 for i in range(start, stop - 1) if text[i] in "._%+-")][:6]
+    starts = [start, *(i + 1 for i in range(start, stop - 1) if text[i] in "._%+-")]
     form = "plain" if at[0] == "@" else "blanks" if "@" in at[0] else "brackets"
     for s in starts:
         for n, e in enumerate(ends, 2):
@@ -231,14 +237,15 @@ def _email_arcs(text: str, at: re.Match, taken: Cover) -> Iterator[Arc]:
             yield Arc(s, e, "email", tuple(f"email:{f}" for f in facts))
 
 
-def segments(text: str, base: list[Span]) -> Iterator[Arc]:
-    """All candidate segments that no base span covers, by start."""
+def segments(text: str, base: list[Span], w: Weights | None = None) -> Iterator[Arc]:
+    """All candidate segments that no base span covers, by start; with ``w``, weighed, and without their features."""
     if not any(c in text for c in "0123456789@[({"):
         return iter(())
     taken = Cover(base)
     numbers = (arc for m in NUMBER.finditer(text) for arc in _number_arcs(text, m, taken))
     mails = (arc for m in AT.finditer(text) for arc in _email_arcs(text, m, taken))
-    return merge(numbers, mails, key=lambda x: x.start)
+    found = merge(numbers, mails, key=lambda x: x.start)
+    return found if w is None else (Arc(x.start, x.end, x.kind, (), weighed(x, w)) for x in found)
 
 
 def clusters(arcs: Iterator[Arc]) -> Iterator[list[Arc]]:
@@ -255,9 +262,6 @@ def clusters(arcs: Iterator[Arc]) -> Iterator[list[Arc]]:
         yield held
 
 
-Weights = dict[str, float]
-
-
 class Lattice:
     """Boundaries of a cluster's segments, and the ways through them: segments, or outside to the next boundary."""
 
@@ -266,26 +270,36 @@ class Lattice:
         number = {p: i for i, p in enumerate(places)}
         self.size = len(places)
         self.into: list[list[tuple[int, Arc]]] = [[] for _ in places]
+        self.out: list[list[tuple[int, Arc]]] = [[] for _ in places]
         for i in range(1, self.size):
             self.into[i].append((i - 1, Arc(places[i - 1], places[i], OUTSIDE, ())))
         for a in arcs:
             self.into[number[a.end]].append((number[a.start], a))
+        for to, found in enumerate(self.into):
+            for origin, a in found:
+                self.out[origin].append((to, a))
 
     @staticmethod
     def turn(before: str, kind: str) -> tuple[str, ...]:
         """The feature of two segments that touch."""
         return () if OUTSIDE in (before, kind) else (f"{before}>{kind}",)
 
-    def score(self, before: str, arc: Arc, w: Weights) -> float:
-        return sum(w.get(f, 0.0) for f in arc.features) + sum(w.get(f, 0.0) for f in self.turn(before, arc.kind))
-
     def steps(self, w: Weights) -> Iterator[tuple[int, int, str, Arc, float]]:
         """(to, from, kind before, segment, score), in order of where they end."""
         for to in range(1, self.size):
             for origin, arc in self.into[to]:
-                own = sum(w.get(f, 0.0) for f in arc.features)
-                for before in STATES if origin else (OUTSIDE,):
-                    yield to, origin, before, arc, own + sum(w.get(f, 0.0) for f in self.turn(before, arc.kind))
+                yield from self._ways(to, origin, arc, w)
+
+    def steps_back(self, w: Weights) -> Iterator[tuple[int, int, str, Arc, float]]:
+        """The same from the end, in order of where they start."""
+        for origin in range(self.size - 1, -1, -1):
+            for to, arc in self.out[origin]:
+                yield from self._ways(to, origin, arc, w)
+
+    def _ways(self, to: int, origin: int, arc: Arc, w: Weights) -> Iterator[tuple[int, int, str, Arc, float]]:
+        own = weighed(arc, w)
+        for before in STATES if origin else (OUTSIDE,):
+            yield to, origin, before, arc, own + sum(w.get(f, 0.0) for f in self.turn(before, arc.kind))
 
     def best(self, w: Weights) -> list[Arc]:
         """The segments of the best path (outside ones left out)."""
@@ -303,26 +317,25 @@ class Lattice:
                 out.append(arc)
         return out[::-1]
 
-    def posteriors(self, w: Weights) -> tuple[float, list[tuple[str, Arc, float]]]:
+    def posteriors(self, w: Weights) -> tuple[float, Iterator[tuple[str, Arc, float]]]:
         """Logarithm of the sum over all paths, and (kind before, segment, probability) by forward and backward sums."""
-        steps = list(self.steps(w))
         ahead: list[dict[str, float]] = [{OUTSIDE: 0.0}, *({} for _ in range(self.size - 1))]
-        for to, origin, before, arc, score in steps:
+        for to, origin, before, arc, score in self.steps(w):
             if before in ahead[origin]:
                 ahead[to][arc.kind] = _plus(ahead[to].get(arc.kind), ahead[origin][before] + score)
         back: list[dict[str, float]] = [{} for _ in range(self.size)]
         back[-1] = dict.fromkeys(STATES, 0.0)
-        for to, origin, before, arc, score in sorted(steps, key=lambda x: -x[1]):
+        for to, origin, before, arc, score in self.steps_back(w):
             if arc.kind in back[to]:
                 back[origin][before] = _plus(back[origin].get(before), back[to][arc.kind] + score)
         total = None
         for v in ahead[-1].values():
             total = _plus(total, v)
-        found = [
+        found = (
             (before, arc, exp(min(0.0, ahead[origin][before] + score + back[to][arc.kind] - total)))
-            for to, origin, before, arc, score in steps
+            for to, origin, before, arc, score in self.steps(w)
             if before in ahead[origin]
-        ]
+        )
         return total, found
 
 
@@ -336,13 +349,14 @@ def _plus(x: float | None, y: float) -> float:
 
 def added_spans(text: str, base: list[Span], w: Weights, least: float) -> list[Span]:
     out = []
-    for arcs in clusters(segments(text, base)):
+    for arcs in clusters(segments(text, base, w)):
         lattice = Lattice(arcs)
         chosen = lattice.best(w)
         if chosen:
-            sure: dict[Arc, float] = defaultdict(float)
+            sure = dict.fromkeys(chosen, 0.0)
             for _, arc, p in lattice.posteriors(w)[1]:
-                sure[arc] += p
+                if arc in sure:
+                    sure[arc] += p
             out += [(a.start, a.end, a.kind) for a in chosen if sure[a] >= least]
     return out
 

@@ -257,3 +257,25 @@ def test_matrix_pads():
     assert vectors.matrix(pa.array([[1.0], [], [2.0, 3.0]])).tolist() == [[1, 0], [0, 0], [2, 3]]
     assert [b.num_rows for b in vectors.blocks(iter([pa.RecordBatch.from_pydict({"x": list(range(5))})]), 2)] == [2, 2, 1]
     assert list(itertools.chain(pii.clusters(iter(())))) == []
+
+
+def test_personal_data_in_long_runs_of_numbers():
+    """No cap on the groups of a run or the starts of an address: every stretch that fits is a candidate, and long runs are judged alike."""
+    table = " ".join(str(i % 10) for i in range(60))
+    arcs = list(pii.segments(f"{table} 4111 1111 1111 1112", []))
+    assert any(a.kind == "card" and a.start == len(table) + 1 for a in arcs)
+    assert {a.start for a in arcs if a.kind == "card"} >= {2 * i for i in range(48)}
+    local = "a.b.c.d.e.f.g.h.i"
+    starts = {a.start for a in pii.segments(f"{local} (at) mail.example.org", [])}
+    assert starts == {2 * i for i in range(9)}
+    w = {"card:bias": 1.0, "card:digits=16": 6.0, "card:luhn=False": 1.0, "card:left=blank": 1.0, "card:right=edge": 3.0, "card:groups=4-4-4-4": 9.0}
+    short, long = (pii.added_spans(f"{x} 4111 1111 1111 1112", [], w, 0.5) for x in ("7 7 7", " ".join("7" * 3000)))
+    assert (6, 25, "card") in short and (6000, 6019, "card") in long
+
+
+def test_posteriors_add_up():
+    lattice = pii.Lattice(list(pii.segments("555 123 4567 89", [])))
+    w = {"phone:bias": 0.7, "card:bias": -0.3, "phone:digits=10": 0.5}
+    _, each = lattice.posteriors(w)
+    last = [(arc, p) for _, arc, p in each if arc.end == 15]
+    assert abs(sum(p for _, p in last) - 1) < 1e-9
