@@ -29,6 +29,7 @@ from .detect import Rule, usable_rules
 
 RULE = "rule int, category string, severity string, pattern string"
 CANDIDATES = "array<struct<rule:int,category:string,severity:string,level:int,pattern:string>>"
+CANDIDATE = pa.struct([("rule", pa.int32()), ("category", pa.string()), ("severity", pa.string()), ("level", pa.int32()), ("pattern", pa.string())])
 
 
 def needed_literals(pattern: str) -> tuple[str, ...]:
@@ -106,14 +107,37 @@ class Index:
         if places:
             self.machine.make_automaton()
 
-    def candidates(self, text: str | None) -> list[tuple]:
+    def candidates(self, text: str | None) -> list[int]:
+        """Places of the rules to try, in order."""
         if text is None:
             return []
         found = set(self.always)
         if len(self.machine):
             for _, places in self.machine.iter(text.lower()):
                 found.update(places)
-        return [self.rules[i] for i in sorted(found)]
+        return sorted(found)
+
+    def tried(self, batch: pa.RecordBatch, place: int, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        """The batch with the candidates of each text, in parts of about ``most`` candidates or 64 ``most`` characters of text."""
+        table = pa.array([dict(zip([f.name for f in CANDIDATE], r, strict=True)) for r in self.rules], CANDIDATE)
+        texts, begun = batch.column(place), 0
+        found, ends, size = [], [0], 0
+
+        def part(to: int) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), table.take(pa.array(found, pa.int32())))
+            rows = batch.slice(begun, to - begun)
+            return pa.RecordBatch.from_arrays([*rows.columns, lists], [*batch.schema.names, "_candidates"])
+
+        for i in range(batch.num_rows):  # one text at a time leaves Arrow
+            text = texts[i].as_py()
+            found += self.candidates(text)
+            ends.append(len(found))
+            size += len(text or "")
+            if len(found) >= most or size >= most << 6:
+                yield part(i + 1)
+                begun, found, ends, size = i + 1, [], [0], 0
+        if begun < batch.num_rows:
+            yield part(batch.num_rows)
 
 
 def with_rule_matches(df: DataFrame, text_col: str, rules: DataFrame, lot_bytes: int = 16 << 20) -> DataFrame:
@@ -136,11 +160,8 @@ def _with_lot(df: DataFrame, text_col: str, lot: list[tuple]) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(lot)
-        kind = pa.list_(pa.struct([("rule", pa.int32()), ("category", pa.string()), ("severity", pa.string()), ("level", pa.int32()), ("pattern", pa.string())]))
-        names = ["rule", "category", "severity", "level", "pattern"]
         for batch in parts:
-            found = [[dict(zip(names, c, strict=True)) for c in index.candidates(t)] for t in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "_candidates"])
+            yield from index.tried(batch, place)
 
     hits = F.filter("_candidates", lambda c: F.rlike(F.col(text_col), c["pattern"]))
     slim = F.transform(hits, lambda c: F.struct(c["rule"].alias("rule"), c["category"].alias("category"), c["severity"].alias("severity"), c["level"].alias("level")))

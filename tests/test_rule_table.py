@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,18 @@ def test_time_is_nearly_flat_in_rules(spark):
         assert [m.rule for m in r.matches] == [x.i for x in one]
         if got.index(r) >= 5:
             break
+
+
+def test_candidates_come_in_bounded_parts():
+    """What leaves Arrow at once is a few texts and places of rules, however large a batch is."""
+    from palisade.operators.rule_table import Index
+
+    index = Index([(i, "c", "low", 1, ".*") for i in range(10)] + [(10, "c", "low", 1, "needle")])
+    texts = [f"text {i}" for i in range(99)] + [None, "a needle"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(101)), "text": texts})
+    parts = list(index.tried(batch, 1, most=100))
+    assert len(parts) == 10 and max(len(p.column("_candidates").values) for p in parts) < 111
+    rows = pa.Table.from_batches(parts).to_pylist()
+    assert [r["id"] for r in rows] == list(range(101))
+    assert [[c["rule"] for c in r["_candidates"]] for r in rows] == [*([[*range(10)]] * 99), [], [*range(11)]]
+    assert len(list(index.tried(batch.slice(0, 0), 1))) == 0
