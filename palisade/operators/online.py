@@ -53,9 +53,20 @@ def batch_sums(features: DataFrame, weights: np.ndarray, means: np.ndarray, devi
     return out[:size], out[size:-1].reshape(size, size), float(out[-1])
 
 
+def _featured(df: DataFrame, text_col: str | None, *others: Column) -> DataFrame:
+    """The feature columns (those of ``df`` itself without ``text_col``) and others."""
+    if text_col is None:
+        return df.select(*(F.col(f"`{n}`") for n in feature_names()), *others)
+    return with_features(df.select(F.col(text_col).alias("_text"), *others), "_text").drop("_text")
+
+
 @dataclass(frozen=True)
 class OnlineModel:
-    """Weights over standardised features and the intercept, with the curvature of all that was learned."""
+    """Weights over standardised features and the intercept, with the curvature of all that was learned.
+
+    Where ``text_col`` is None, the rows have their features already (see with_features):
+    for tables that are read more than once.
+    """
 
     weights: np.ndarray
     curvature: np.ndarray
@@ -65,19 +76,18 @@ class OnlineModel:
     batch: int = -1
 
     @classmethod
-    def start(cls, samples: DataFrame, text_col: str = "text", label_col: str = "label", c: float = 1.0) -> OnlineModel:
+    def start(cls, samples: DataFrame, text_col: str | None = "text", label_col: str = "label", c: float = 1.0) -> OnlineModel:
         """A model that has learned its first samples, which also set the scale of the features (penalty 1 / (2 c), none on the intercept)."""
         names = feature_names()
-        scale = standardization(with_features(samples, text_col))
+        scale = standardization(_featured(samples, text_col))
         size = len(names) + 1
         penalty = np.diag([1 / c] * len(names) + [1e-9])
         empty = cls(np.zeros(size), penalty, np.array([scale[n][0] for n in names]), np.array([scale[n][1] for n in names]))
         return empty.learned(samples, text_col, label_col)
 
-    def learned(self, batch: DataFrame, text_col: str = "text", label_col: str = "label", most: int = 25) -> OnlineModel:
+    def learned(self, batch: DataFrame, text_col: str | None = "text", label_col: str = "label", most: int = 25) -> OnlineModel:
         """The model after one batch more; rows without a label are left out."""
-        known = batch.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("_text"), F.col(label_col).alias("label"))
-        features = with_features(known, "_text").drop("_text").persist()
+        features = _featured(batch.where(F.col(label_col).isNotNull()), text_col, F.col(label_col).alias("label")).persist()
         rows = features.count()
         if not rows:
             features.unpersist()
@@ -101,12 +111,13 @@ class OnlineModel:
         features.unpersist()
         return replace(self, weights=w, curvature=self.curvature + hessian, rows=self.rows + rows)
 
-    def score(self, df: DataFrame, text_col: str) -> DataFrame:
+    def score(self, df: DataFrame, text_col: str | None) -> DataFrame:
         """Adds ml_score, the probability of label 1: one expression."""
         terms: Column = F.lit(float(self.weights[-1]))
         for n, w, m, s in zip(feature_names(), self.weights, self.means, self.deviations, strict=False):
             terms = terms + (F.col(f"`{n}`") - F.lit(float(m))) * F.lit(float(w / s))
-        return with_features(df, text_col).withColumn("ml_score", 1 / (1 + F.exp(-terms))).select(*df.columns, "ml_score")
+        features = df if text_col is None else with_features(df, text_col)
+        return features.withColumn("ml_score", 1 / (1 + F.exp(-terms))).select(*df.columns, "ml_score")
 
     def save(self, spark: SparkSession, folder: str) -> None:
         row = (self.batch, self.rows, self.weights.tolist(), self.curvature.ravel().tolist(), self.means.tolist(), self.deviations.tolist())
@@ -119,8 +130,8 @@ class OnlineModel:
         return cls(np.array(r.weights), np.array(r.curvature).reshape(size, size), np.array(r.means), np.array(r.deviations), r.rows, batch)
 
 
-def online_learner(folder: str, text_col: str = "text", label_col: str = "label") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: learns from a batch of (text, label) and leaves the state of the batch in ``folder``.
+def online_learner(folder: str, text_col: str | None = "text", label_col: str = "label") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: learns from a batch of (text, label), or of features and label, and leaves the state of the batch in ``folder``.
 
     Save the model that the stream begins with there first (its batch is -1).
     A batch whose state is there, complete, is not learned again.

@@ -386,13 +386,15 @@ def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def online_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A model of toxic documents, learned from the labels in three batches as a stream would, and the scores of all documents."""
-    labelled = _labelled(spark, sf_dir).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3)))
+    texts = dealt(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(3)))
+    featured = staged(with_features(texts, "text").drop("text"), "features")  # texts are looked at once: to learn, to scale and to score
+    labelled = staged(featured.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id").drop("doc_id"), "labelled")
     folder = f"{_scratch(spark)}/model"
-    OnlineModel.start(labelled.where("part = 0")).save(spark, folder)
-    learn = online_learner(folder)
+    OnlineModel.start(labelled.where("part = 0"), None).save(spark, folder)
+    learn = online_learner(folder, None)
     for number in (0, 1):
         learn(labelled.where(F.col("part") == number + 1), number)
-    return OnlineModel.load(spark, folder, 1).score(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "ml_score")
+    return OnlineModel.load(spark, folder, 1).score(featured, None).select("doc_id", "ml_score")
 
 
 def replayed(spark: SparkSession, table_rows: DataFrame, ts: str, triggers: int = 3) -> tuple[str, DataFrame]:

@@ -129,3 +129,15 @@ def test_tfidf(spark):
     model = tfidf_pipeline(vocabulary=50).fit(df)
     rows = model.transform(df).select("tfidf_features").collect()
     assert len(rows) == df.count() and all(r.tfidf_features.size <= 50 for r in rows) and any(r.tfidf_features.numNonzeros() for r in rows)
+
+
+def test_online_scores_look_at_texts_once(spark, data_dir, monkeypatch):
+    """Features are made once for all documents: to learn, to scale and to score."""
+    from palisade import queries
+    from palisade.operators import online
+
+    made = []
+    for module in (queries, online):
+        monkeypatch.setattr(module, "with_features", lambda df, c, real=module.with_features: (made.append(c), real(df, c))[1])
+    out = queries.online_scores(spark, data_dir)
+    assert made == ["text"] and out.columns == ["doc_id", "ml_score"]
