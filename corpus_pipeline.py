@@ -52,10 +52,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that start in an earlier document go; documents left without a word go.
 
-    Texts that lose nothing stay as they are.
+    Windows are edges of a de Bruijn graph, joins compact its nonbranching paths, and a
+    path's spans are verified by their source coordinates (``de_bruijn``).  Texts that lose nothing stay as they are.
     """
     prepared(spark)
-    cleaned = word_repeats.remove_repeated_words(docs, keep=("lang", "source"), as_they_are=True)
+    cleaned = word_repeats.remove_repeated_words(docs, method="de_bruijn", keep=("lang", "source"), as_they_are=True)
     return with_text(cleaned.where("n_removed = 0 or n_removed < n_words"), "kept")
 
 

@@ -1,23 +1,26 @@
 """Repeated word windows by compacting a de Bruijn graph with Spark joins.
 
-1. Edges.  Every window of ``window`` words is an edge of the graph of
+0. Texts.  A window that two documents hold has the same seed of least hash in both.
+   Windows whose least seed is met in one document only are left out: none repeats.
+1. Edges.  Every other window of ``window`` words is an edge of the graph of
    (window - 1)-mers, named by a 128-bit digest.  Edges seen in two documents or
-   more stay, each with its first place (smallest doc, start).
+   more stay, each with its first place (smallest doc, start), its name from here on.
 2. Links.  From their coordinates, edge -> next edge of the same text.  A link
    does not branch if its left edge has no other next one, its right edge no other
    one before, and their first places are consecutive.
-3. Compaction.  Nonbranching paths shrink to their heads by pointer doubling, a
-   self-join each round, so a path of n edges takes log2(n) rounds.  First places
-   grow along a path, so there are no cycles.
+3. Compaction.  Nonbranching paths shrink to their heads: inside blocks of
+   ``BLOCK`` consecutive first places at once, from block to block by pointer
+   doubling, a self-join each round, so a path of n blocks takes log2(n) rounds.
+   First places grow along a path, so there are no cycles.
 4. Spans.  Occurrences of a path's edges along a text merge into one span.  Each
    span of a later document is verified against the path's first place: the words
    at both source coordinates must have the same digest.
 
-It is the named method in full, with a row for each word: the README has its
-measured cost, which is why the registered query uses ``repeats`` instead.
+A place is a document's id, its number among the texts that share the id (``n``),
+and a word; none of texts that share an id is earlier than another.
 
-Edge cases: as in ``word_repeats``, but ids must be unique; an empty table gives
-no ranges.
+Edge cases: as in ``word_repeats``; rows that share an id and a text count once; an
+empty table gives no ranges.
 """
 
 from __future__ import annotations
@@ -26,83 +29,186 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digests, drop_staged, staged, text_slices, utf8_list
-from .repeats import packed_text, unpack
+from .common import Rolling, Words, digests, drop_staged, staged, text_slices, utf8_list
+from .repeats import SYMBOLS_AT_ONCE, packed_text, sliding_least, unpack
 
-#: Windows in one Arrow batch.
+#: Windows in one Arrow batch (or those of one text's stretch, if more).
 AT_ONCE = 1 << 15
+#: First places that are compacted at once.
+BLOCK = 64
 
 
-def edges(docs: DataFrame, window: int) -> DataFrame:
-    """doc, p, e: a row for each window of each text."""
+def stretches(docs: DataFrame, window: int) -> DataFrame:
+    """h, doc, row, start, windows: consecutive windows of a text with the same least hash of a seed (a third of a window)."""
+    seed = max(1, window // 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for doc, text in zip(part.column("doc").to_pylist(), utf8_list(part.column("text")), strict=True):
-                    words = (text or b"").split()
-                    for at in range(0, len(words) - window + 1, AT_ONCE):
-                        places = range(at, min(at + AT_ONCE, len(words) - window + 1))
-                        e = digests((b" ".join(words[a : a + window]) for a in places), len(places)).tobytes()
-                        columns = [pa.array(np.full(len(places), doc)), pa.array(np.arange(places.start, places.stop)), pa.array([e[i : i + 16] for i in range(0, len(e), 16)], pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["doc", "p", "e"])
-
-    return docs.mapInArrow(run, "doc long, p long, e binary")
-
-
-def paths(seen: DataFrame) -> DataFrame:
-    """e, head, off: the nonbranching path of each edge and its place on it; ``seen`` has (doc, p, e, first)."""
-    along = Window.partitionBy("doc").orderBy("p")
-    follows = F.lead("p").over(along) == F.col("p") + 1
-    steps = seen.select("e", "first", *(F.when(follows, F.lead(c).over(along)).alias(f"next_{c}") for c in ("e", "first")))
-    pairs = steps.where("next_e is not null").distinct()
-    consecutive = (F.col("next_first.doc") == F.col("first.doc")) & (F.col("next_first.p") == F.col("first.p") + 1)
-    outs = pairs.groupBy("e").agg(F.count("*").alias("outs"), F.first("next_e").alias("next_e"), F.first(consecutive).alias("consecutive"))
-    ins = pairs.groupBy("next_e").agg(F.count("*").alias("ins"))
-    links = outs.where("outs = 1 and consecutive").join(ins.where("ins = 1"), "next_e").select(F.col("next_e").alias("e"), F.col("e").alias("prior"))
-    jumps = seen.select("e").distinct().join(links, "e", "left").select("e", F.coalesce("prior", "e").alias("head"), F.col("prior").isNotNull().cast("long").alias("off"))
-    jumps = staged(jumps, "jumps")
-    while True:  # log2 of the longest path
-        far = jumps.select(F.col("e").alias("head"), F.col("head").alias("_head"), F.col("off").alias("_off"))
-        after = staged(jumps.join(far, "head").select("e", F.col("_head").alias("head"), (F.col("off") + F.col("_off")).alias("off"), (F.col("_head") != F.col("head")).alias("open")), "jumps")
+                words = Words(utf8_list(part.column("text")))
+                doc, row = part.column("doc").to_numpy(), part.column("row").to_numpy()
+                symbols, ends = words.hashes(), np.cumsum(words.count)
+                for at in range(0, max(len(symbols) - window + 1, 0), SYMBOLS_AT_ONCE):
+                    piece = symbols[at : at + SYMBOLS_AT_ONCE + window - 1]
+                    least = sliding_least(Rolling(piece).every(seed), window - seed + 1)
+                    inside = np.ones(len(least), bool)
+                    for e in ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + len(piece), side="right")] - at:
+                        inside[max(0, e - window + 1) : e] = False
+                    head = np.ones(len(least), bool)
+                    head[1:] = (least[1:] != least[:-1]) | ~inside[:-1]
+                    heads = np.flatnonzero(head & inside)
+                    stops = np.append(np.flatnonzero(head | ~inside), len(least))
+                    windows = stops[np.searchsorted(stops, heads, side="right")] - heads
+                    text = np.searchsorted(ends, heads + at, side="right")
+                    columns = [least[heads].view(np.int64), doc[text], row[text], heads + at - (ends - words.count)[text], windows]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "doc", "row", "start", "windows"])
+
+    return docs.mapInArrow(run, "h long, doc long, row long, start long, windows long")
+
+
+def texts_of(docs: DataFrame, window: int) -> DataFrame:
+    """doc, n, row, packed, wanted (stretches): the texts with windows whose least seed is met in two documents or more."""
+    every = staged(stretches(docs, window), "stretches")
+    met = every.groupBy("h").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("last > least").select("h")
+    wanted = every.join(met.hint("merge"), "h").groupBy("doc", "row").agg(F.array_sort(F.collect_list(F.struct("start", "windows"))).alias("wanted"))  # bounded by the text
+    numbered = wanted.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("row")))
+    texts = packed_text(docs).join(numbered.hint("merge"), ["doc", "row"]).dropDuplicates(["doc", "row"])
+    texts = staged(texts.select("doc", "n", "row", "packed", F.array_distinct("wanted").alias("wanted")), "texts")
+    drop_staged(every)
+    return texts
+
+
+def binary16(d: np.ndarray) -> pa.Array:
+    """Digests as a binary column."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(d), [None, pa.py_buffer(d.tobytes())]).cast(pa.binary())
+
+
+def spelled(text: bytes | None) -> tuple[bytes, np.ndarray]:
+    """A text's words joined by one space, and where each begins (one past the end last)."""
+    words = (text or b"").split()
+    return b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+
+
+def word_digests(joined: bytes, begins: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return digests((joined[a:b] for a, b in zip(begins[start].tolist(), (begins[end] - 1).tolist(), strict=True)), len(start))
+
+
+def edges(texts: DataFrame, window: int) -> DataFrame:
+    """doc, n, p, e: a row for each wanted window of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            doc, n, p, e = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n), pa.array(p), binary16(e)], names=["doc", "n", "p", "e"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            for doc, n, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "packed", "wanted")), strict=True):
+                joined, begins = spelled(unpack([packed])[0])
+                for x in wanted:
+                    p = np.arange(x["start"], x["start"] + x["windows"])
+                    held.append((np.full(len(p), doc), np.full(len(p), n, np.int32), p, word_digests(joined, begins, p, p + window)))
+                    size += len(p)
+                    if size >= AT_ONCE:
+                        yield rows(held)
+                        held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return texts.select("doc", "n", "packed", "wanted").mapInArrow(run, "doc long, n int, p long, e binary")
+
+
+#: The place where an edge is met first, its name.
+FIRST = ["fd", "fn", "fp"]
+
+
+def next_to(c: str, step: int, along: Window) -> Column:
+    """A column of the row before (-1) or after (1) in a window."""
+    return F.lag(c).over(along) if step < 0 else F.lead(c).over(along)
+
+
+def links(seen: DataFrame) -> DataFrame:
+    """``seen`` (doc, n, p, FIRST) with ``before`` and ``after``: whether the text's edge before or after is the one of the first place before or after (or there is none)."""
+    along = Window.partitionBy("doc", "n").orderBy("p")
+
+    def single(step: int) -> Column:
+        near = {c: next_to(c, step, along) for c in ("p", *FIRST)}
+        same = (near["fd"] == F.col("fd")) & (near["fn"] == F.col("fn")) & (near["fp"] == F.col("fp") + step)
+        return F.coalesce((near["p"] != F.col("p") + step) | same, F.lit(True))
+
+    return seen.select("*", single(-1).alias("before"), single(1).alias("after"))
+
+
+def paths(graph: DataFrame) -> DataFrame:
+    """FIRST and head (a first place's word in the same text): the nonbranching path of each edge; ``graph`` has FIRST, before, after."""
+    inside = Window.partitionBy("fd", "fn", "block").orderBy("fp")
+    graph = graph.withColumn("block", F.floor(F.col("fp") / BLOCK))
+    linked = F.coalesce((F.lag("fp").over(inside) == F.col("fp") - 1) & F.lag("after").over(inside) & F.col("before"), F.lit(False))
+    graph = graph.withColumn("own", F.when(~linked, F.col("fp")))
+    parts = staged(graph.withColumn("part", F.max("own").over(inside)).drop("own"), "parts")
+    first = parts.where(f"fp % {BLOCK} = 0 and before").select("fd", "fn", "block", "part")
+    last = parts.where(f"fp % {BLOCK} = {BLOCK - 1} and after").select("fd", "fn", (F.col("block") + 1).alias("block"), F.col("part").alias("head"))
+    jumps = staged(first.join(last.hint("merge"), ["fd", "fn", "block"]).select("fd", "fn", "part", "head"), "jumps")
+    while True:  # log2 of the blocks of the longest path
+        far = jumps.select("fd", "fn", F.col("part").alias("head"), F.col("head").alias("far"))
+        after = jumps.join(far.hint("merge"), ["fd", "fn", "head"], "left").select("fd", "fn", "part", F.coalesce("far", "head").alias("head"), F.col("far").isNotNull().alias("moved"))
+        after = staged(after, "jumps")
         drop_staged(jumps)
-        jumps = after.drop("open")
-        if after.where("open").isEmpty():
-            return jumps
+        jumps = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return parts.join(jumps.hint("merge"), ["fd", "fn", "part"], "left").select(*FIRST, F.coalesce("head", "part").alias("head"))
+
+
+def spans_of(placed: DataFrame, window: int) -> DataFrame:
+    """doc, n, start, end, source: the edges of one path that follow each other in a text as on the path; ``placed`` has doc, n, p, FIRST, head."""
+    along = Window.partitionBy("doc", "n").orderBy("p")
+    goes_on = F.lit(True)
+    for c, step in (("p", 1), ("fd", 0), ("fn", 0), ("fp", 1), ("head", 0)):
+        goes_on = goes_on & (F.lag(c).over(along) == F.col(c) - step)
+    begun = placed.withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    runs = begun.withColumn("run", F.sum("begins").over(along)).groupBy("doc", "n", "run")
+    spans = runs.agg(F.min("p").alias("start"), (F.max("p") + window).alias("end"), *(F.min(c).alias(c) for c in FIRST))
+    source = F.struct(F.col("fd").alias("doc"), F.col("fn").alias("n"), F.col("fp").alias("start"), (F.col("fp") + F.col("end") - F.col("start")).alias("end"))
+    return spans.select("doc", "n", "start", "end", source.alias("source"))
 
 
-def span_digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc, start, end, d: the digest of the words there."""
-    wanted = spans.select("doc", "start", "end").distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("wanted"))  # bounded by the text
+def span_digests(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc, n, start, end, d: the digest of the words there."""
+    wanted = spans.distinct().groupBy("doc", "n").agg(F.collect_list(F.struct("start", "end")).alias("wanted"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, listed in zip(batch.column("doc").to_pylist(), unpack(batch.column("packed").to_pylist()), batch.column("wanted").to_pylist(), strict=True):
-                words = (text or b"").split()
-                d = digests((b" ".join(words[x["start"] : x["end"]]) for x in listed), len(listed)).tobytes()
-                columns = [pa.array([doc] * len(listed), pa.int64()), *(pa.array([x[c] for x in listed], pa.int64()) for c in ("start", "end")), pa.array([d[i : i + 16] for i in range(0, len(d), 16)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "start", "end", "d"])
+            for doc, n, packed, listed in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "packed", "wanted")), strict=True):
+                joined, begins = spelled(unpack([packed])[0])
+                start, end = (np.array([x[c] for x in listed], np.int64) for c in ("start", "end"))
+                columns = [pa.array(np.full(len(start), doc)), pa.array(np.full(len(start), n, np.int32)), pa.array(start), pa.array(end), binary16(word_digests(joined, begins, start, end))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "start", "end", "d"])
 
-    return packed_text(docs).join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(run, "doc long, start long, end long, d binary")
+    met = texts.select("doc", "n", "packed").join(wanted.hint("merge"), ["doc", "n"]).select("doc", "n", "packed", "wanted")
+    return met.mapInArrow(run, "doc long, n int, start long, end long, d binary")
 
 
 def repeated_ranges(docs: DataFrame, window: int) -> DataFrame:
-    """doc, start, end (in words) of ranges covered by windows that also start in an earlier document; ``docs`` has (doc long, text) with unique ids."""
-    every = staged(edges(docs, window), "edges")
-    firsts = every.groupBy("e").agg(F.min(F.struct("doc", "p")).alias("first"), F.max("doc").alias("last")).where("last > first.doc").drop("last")
-    seen = staged(every.join(firsts, "e"), "seen")
+    """doc, row, start, end (in words) of ranges covered by windows that also start in an earlier document; ``docs`` has (doc long, row long, text)."""
+    texts = texts_of(docs, window)
+    every = staged(edges(texts, window), "edges")
+    firsts = every.groupBy("e").agg(F.min(F.struct("doc", "n", "p")).alias("first"), F.max("doc").alias("last")).where("last > first.doc")
+    firsts = firsts.select("e", F.col("first.doc").alias("fd"), F.col("first.n").alias("fn"), F.col("first.p").alias("fp"))
+    seen = staged(links(every.join(firsts.hint("merge"), "e").select("doc", "n", "p", *FIRST)), "seen")
     drop_staged(every)
-    placed = seen.join(paths(seen), "e").withColumn("from", F.col("p") - F.col("off"))
-    place = ["doc", "head", "from"]
-    island = F.col("p") - F.row_number().over(Window.partitionBy(*place).orderBy("p"))  # a text can leave a path and come back to it
-    runs = placed.withColumn("run", island).groupBy(*place, "run")
-    spans = runs.agg(F.min("p").alias("start"), (F.max("p") + window).alias("end"), F.min_by("first", "p").alias("first"))
-    source = F.struct(F.col("first.doc").alias("doc"), F.col("first.p").alias("start"), (F.col("first.p") + F.col("end") - F.col("start")).alias("end"))
-    later = staged(spans.where("doc > first.doc").select("doc", "start", "end", source.alias("source")), "spans")
-    told = staged(span_digests(docs, later.select("doc", "start", "end").union(later.select("source.*"))), "told")
-    mine = later.join(told, ["doc", "start", "end"])
-    there = told.select(F.struct("doc", "start", "end").alias("source"), F.col("d").alias("source_d"))
-    return mine.join(there, "source").where("d = source_d").select("doc", "start", "end")
+    graph = seen.groupBy(*FIRST).agg(F.bool_and("before").alias("before"), F.bool_and("after").alias("after"))
+    heads = paths(graph)
+    later = seen.where("doc > fd").select("doc", "n", "p", *FIRST)
+    spans = staged(spans_of(later.join(heads.hint("merge"), FIRST), window), "spans")
+    place = ["doc", "n", "start", "end"]
+    told = staged(span_digests(texts, spans.select(*place).union(spans.select("source.*"))), "told")
+    there = told.select(F.struct(*place).alias("source"), F.col("d").alias("source_d"))
+    same = spans.join(told.hint("merge"), place).join(there.hint("merge"), "source").where("d = source_d")
+    ranges = staged(same.join(texts.select("doc", "n", "row").hint("merge"), ["doc", "n"]).select("doc", "row", "start", "end"), "ranges")
+    for table in (texts, seen, spans, told):
+        drop_staged(table)
+    return ranges

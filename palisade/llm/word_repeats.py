@@ -15,8 +15,7 @@ mark equal nodes.
 Edge cases: a null text has no words; texts shorter than a window lose nothing;
 documents with a null id lose nothing and remove nothing; rows that share an id
 and a text count as one document, those that share an id only are documents of
-their own, neither before the other (the method "de_bruijn" expects ids without
-such rows); a window that repeats only in its own document stays; very long texts
+their own, neither before the other; a window that repeats only in its own document stays; very long texts
 are worked on in pieces; other columns are not looked at; an empty table gives
 an empty result.
 """
@@ -46,14 +45,13 @@ def remove_repeated_words(
     """id, n_words, n_removed, spans (removed word ranges), kept (other words joined by one space), and ``keep``: columns of the row.
 
     A word goes if a window over it also starts in a document with a smaller id.
-    ``method`` is "sampled" (see ``repeats``) or "de_bruijn" (every k-mer, see there): the same results.
+    ``method`` is "sampled" (see ``repeats``) or "de_bruijn" (the graph of every k-mer that can repeat, see there): the same results.
     With ``as_they_are``, texts that lose nothing are kept unchanged.
     """
     rows = identified(docs, id_col, text_col, keep)
     known = rows.where("doc is not null").select("doc", "row", "text")
     if method == "de_bruijn":
-        ranges = de_bruijn.repeated_ranges(known.drop("row"), window)
-        ranges = ranges.join(known.select("doc", "row").distinct(), "doc").select("doc", "row", "start", "end")
+        ranges = de_bruijn.repeated_ranges(known, window)
     else:
         ranges = repeated_ranges(known, Settings(window, seed, False, word_symbols, False, group_rows))
 

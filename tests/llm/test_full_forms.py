@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from palisade.llm import byte_repeats, word_repeats
+from palisade.llm import byte_repeats, de_bruijn, word_repeats
 from palisade.llm.difference_cover import levels_for
 
 
@@ -74,3 +75,90 @@ def test_full_forms_of_empty_tables(spark):
     assert word_repeats.remove_repeated_words(empty, method="de_bruijn").count() == 0
     assert byte_repeats.remove_repeated_bytes(empty, window=9, method="difference_cover").count() == 0
     assert [levels_for(w) for w in (3, 9, 10, 100)] == [0, 1, 2, 4]
+
+
+def shared_and_long(window):
+    """Rows of shared, repeated and null ids with passages of several blocks, and the words that each (id, text) loses by brute force."""
+    rng = random.Random(window)
+    base = [f"w{rng.randrange(5000)}" for _ in range(420)]
+    other = [f"v{k}" for k in range(60)]
+    cuts = [(3, 0, 420), (3, 100, 300), (5, 20, 400), (5, 20, 400), (5, 250, 420), (9, 0, 64), (None, 0, 420), (-4, 63, 130), (8, 10, 10 + window - 1)]
+    rows = [(i, " ".join(base[a:b])) for i, a, b in cuts]
+    rows += [(10, " ".join(base[:200] + other + base[180:])), (11, " ".join(other + base[200:260] + other)), (12, " ".join(["x"] * 300)), (13, " ".join(["x"] * 200)), (14, None)]
+    firsts, lost = {}, {}
+    for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
+        words = t.split()
+        for p in range(len(words) - window + 1):
+            firsts.setdefault(tuple(words[p : p + window]), i)
+    for i, t in rows:
+        words, gone = (t or "").split(), set()
+        for p in range(len(words) - window + 1 if i is not None else 0):
+            if firsts[tuple(words[p : p + window])] < i:
+                gone.update(range(p, p + window))
+        lost[i, t] = gone
+    return rows, lost
+
+
+@pytest.mark.parametrize("window", [12, 50])
+def test_de_bruijn_of_shared_ids_and_long_paths(spark, window):
+    rows, lost = shared_and_long(window)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = word_repeats.remove_repeated_words(df.withColumn("whole", F.col("text")), window=window, method="de_bruijn", keep=("whole",)).collect()
+    assert sorted((str(r.doc_id), str(r.whole)) for r in found) == sorted((str(i), str(t)) for i, t in rows)
+    for r in found:
+        gone = lost[r.doc_id, r.whole]
+        assert r.n_removed == len(gone) and r.kept == " ".join(w for p, w in enumerate((r.whole or "").split()) if p not in gone)
+
+
+def test_pipeline_goes_through_the_graph(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    def never(*args):
+        raise AssertionError("the stage left its method")
+
+    monkeypatch.setattr(word_repeats, "repeated_ranges", never)
+    rows, lost = shared_and_long(50)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = []
+    for i, t in rows:
+        words, gone = (t or "").split(), lost[i, t]
+        if not gone or len(gone) < len(words):
+            want.append((i, " ".join(w for p, w in enumerate(words) if p not in gone) if gone else t))
+    got = cp.remove_repeated_passages(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_paths_are_compacted_to_their_heads(spark):
+    """Across many blocks, with links that branch on either side, at block ends too, and places left out."""
+    rng = random.Random(3)
+    rows, heads = [], {}
+    for doc, n, size in [(1, 1, 2000), (1, 2, 130), (2, 1, 64), (3, 1, 1)]:
+        cuts = {rng.randrange(size) for _ in range(4)} | {128, 640}
+        gaps = {rng.randrange(size) for _ in range(3)} if size > 64 else set()
+        ok = False
+        for p in range(size):
+            if p in gaps:
+                ok = False
+                continue
+            before, after = p not in cuts, p + 1 not in {700, 1024}
+            heads[doc, n, p] = heads[doc, n, p - 1] if ok and before else p
+            ok = after
+            rows.append((doc, n, p, before, after))
+    graph = spark.createDataFrame(rows, "fd long, fn int, fp long, before boolean, after boolean").repartition(3)
+    assert {(r.fd, r.fn, r.fp): r["head"] for r in de_bruijn.paths(graph).collect()} == heads
+
+
+def test_texts_hold_every_repeated_window(spark):
+    rng = random.Random(5)
+    texts = {i: [rng.choice("abcdef") for _ in range(rng.randrange(400))] for i in range(12)}
+    for i in range(1, 12, 2):
+        texts[i][30:30] = texts[i - 1][10:90]
+    df = spark.createDataFrame([(i, 0, " ".join(x)) for i, x in texts.items()], "doc long, row long, text string")
+    wanted = {(r.doc, p) for r in de_bruijn.texts_of(df, 12).collect() for x in r.wanted for p in range(x["start"], x["start"] + x["windows"])}
+    where = {}
+    for i, x in texts.items():
+        for p in range(len(x) - 11):
+            where.setdefault(tuple(x[p : p + 12]), set()).add((i, p))
+    repeated = {at for places in where.values() if len({i for i, _ in places}) > 1 for at in places}
+    assert repeated and repeated <= wanted and len(wanted) < sum(len(x) for x in texts.values())
