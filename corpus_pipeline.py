@@ -20,6 +20,8 @@ from palisade.llm import bpe, langid, mixing, near_copies, word_repeats
 from palisade.llm.common import prepared, shared_folder, table, word_count
 from palisade.llm.queries import tokenizer_file
 
+#: Arrow batches of the stages: executors hold a few of them, unpacked and packed, for each core.
+BATCH = "2m"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -33,7 +35,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Documents without a letter (or with a null text) have no language and go.
     """
-    prepared(spark)
+    prepared(spark, BATCH)
     known = docs.where(F.col("lang").isNotNull()).select("text", "lang")
     found = langid.identify(docs, known, keep=("doc_id", "text", "source", "n_chars"))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
@@ -41,7 +43,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash candidates, linked by a Jaccard similarity of their five-word shingles of 0.8 or more: the smallest id stays."""
-    prepared(spark)
+    prepared(spark, BATCH)
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("mark"))  # null ids come last
     docs = docs.withColumn("row", row)
     groups = near_copies.near_copies(docs, "row")
@@ -55,14 +57,14 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Windows are edges of a de Bruijn graph, joins compact its nonbranching paths, and a
     path's spans are verified by their source coordinates (``de_bruijn``).  Texts that lose nothing stay as they are.
     """
-    prepared(spark)
+    prepared(spark, BATCH)
     cleaned = word_repeats.remove_repeated_words(docs, method="de_bruijn", keep=("lang", "source"), as_they_are=True)
     return with_text(cleaned.where("n_removed = 0 or n_removed < n_words"), "kept")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (none, once or twice)."""
-    prepared(spark)
+    prepared(spark, BATCH)
     mark = F.hex(F.xxhash64("text", "lang", "source"))
     docs = docs.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), mark))
     sized = docs.select("row", word_count(F.col("text")).alias("size"), F.array("source").alias("sources"))
@@ -73,7 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, a row for each time a text is taken."""
-    prepared(spark)
+    prepared(spark, BATCH)
     return bpe.round_trip(docs, tokenizer_file(), cache=30_000)  # small: workers of the other stages share the memory
 
 

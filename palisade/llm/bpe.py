@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import lean, text_slices, worker_table
 
 #: The byte-level pattern and alphabet of public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -174,7 +174,7 @@ class PrefixBpe:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_loaded: dict[tuple[str, int], PrefixBpe] = {}
+_loaded: dict[tuple[str, int], PrefixBpe] = worker_table()
 
 
 def tokenizer(file: str, cache: int = CACHE) -> PrefixBpe:
@@ -190,7 +190,7 @@ def _mapped(docs: DataFrame, columns: list[str], text_col: str, schema: str, wor
             for part in text_slices(batch, text_col):
                 yield work(part)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run, drop=False), schema)
 
 
 def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

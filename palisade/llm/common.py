@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -24,9 +25,9 @@ SLICE_BYTES = 1 << 20
 ARROW_BATCH = "8m"
 
 
-def prepared(spark: SparkSession) -> SparkSession:
+def prepared(spark: SparkSession, batch: str = ARROW_BATCH) -> SparkSession:
     """The session with the package sent to its executors and bounded Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     return ship(spark)
 
 
@@ -34,6 +35,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+_tables: list[dict] = []
+
+
+def worker_table() -> dict:
+    """A dict of what a Python worker keeps from one task to the next; tasks that don't need it may empty it (``lean``)."""
+    _tables.append({})
+    return _tables[-1]
+
+
+def drop_worker_tables() -> None:
+    for x in _tables:
+        x.clear()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, which Arrow's and the C library's allocators else keep for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if give_back is not None:
+        give_back(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], drop: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` whose worker stays small: workers serve all stages of an application.
+
+    With ``drop``, what other stages' tasks keep there goes first.
+    """
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if drop:
+            drop_worker_tables()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return small
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into consecutive slices of about ``most`` bytes of ``column`` (one row at least)."""
     if not batch.num_rows:

@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, digests, drop_staged, staged, text_slices, utf8_list
+from .common import Rolling, Words, digests, drop_staged, lean, staged, text_slices, utf8_list
 from .repeats import SYMBOLS_AT_ONCE, packed_text, sliding_least, unpack
 
 #: Windows in one Arrow batch (or those of one text's stretch, if more).
 AT_ONCE = 1 << 15
+#: Bytes of texts that are cut into stretches at once; numpy's temporaries take about 60 times that.
+STRETCH_BYTES = 256 << 10
 #: First places that are compacted at once.
 BLOCK = 64
 
@@ -47,7 +49,7 @@ def stretches(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", STRETCH_BYTES):
                 words = Words(utf8_list(part.column("text")))
                 doc, row = part.column("doc").to_numpy(), part.column("row").to_numpy()
                 symbols, ends = words.hashes(), np.cumsum(words.count)
@@ -66,7 +68,7 @@ def stretches(docs: DataFrame, window: int) -> DataFrame:
                     columns = [least[heads].view(np.int64), doc[text], row[text], heads + at - (ends - words.count)[text], windows]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "doc", "row", "start", "windows"])
 
-    return docs.mapInArrow(run, "h long, doc long, row long, start long, windows long")
+    return docs.mapInArrow(lean(run), "h long, doc long, row long, start long, windows long")
 
 
 def texts_of(docs: DataFrame, window: int) -> DataFrame:
@@ -96,6 +98,15 @@ def word_digests(joined: bytes, begins: np.ndarray, start: np.ndarray, end: np.n
     return digests((joined[a:b] for a, b in zip(begins[start].tolist(), (begins[end] - 1).tolist(), strict=True)), len(start))
 
 
+def listed_texts(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """doc, n, text and the fields ``names`` (arrays) of what is wanted of it, a text at a time."""
+    wanted = batch.column("wanted")
+    bounds, fields = wanted.offsets.to_numpy(), [wanted.values.field(c).to_numpy() for c in names]
+    doc, n, packed = (batch.column(c) for c in ("doc", "n", "packed"))
+    for k in range(batch.num_rows):
+        yield doc[k].as_py(), n[k].as_py(), unpack([packed[k].as_py()])[0], *(x[bounds[k] : bounds[k + 1]] for x in fields)
+
+
 def edges(texts: DataFrame, window: int) -> DataFrame:
     """doc, n, p, e: a row for each wanted window of each text."""
 
@@ -107,19 +118,20 @@ def edges(texts: DataFrame, window: int) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for batch in batches:
-            for doc, n, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "packed", "wanted")), strict=True):
-                joined, begins = spelled(unpack([packed])[0])
-                for x in wanted:
-                    p = np.arange(x["start"], x["start"] + x["windows"])
-                    held.append((np.full(len(p), doc), np.full(len(p), n, np.int32), p, word_digests(joined, begins, p, p + window)))
-                    size += len(p)
-                    if size >= AT_ONCE:
-                        yield rows(held)
-                        held, size = [], 0
+            for doc, n, text, start, windows in listed_texts(batch, "start", "windows"):
+                joined, begins = spelled(text)
+                for a, m in zip(start.tolist(), windows.tolist(), strict=True):
+                    for at in range(a, a + m, AT_ONCE):
+                        p = np.arange(at, min(a + m, at + AT_ONCE))
+                        held.append((np.full(len(p), doc), np.full(len(p), n, np.int32), p, word_digests(joined, begins, p, p + window)))
+                        size += len(p)
+                        if size >= AT_ONCE:
+                            yield rows(held)
+                            held, size = [], 0
         if held:
             yield rows(held)
 
-    return texts.select("doc", "n", "packed", "wanted").mapInArrow(run, "doc long, n int, p long, e binary")
+    return texts.select("doc", "n", "packed", "wanted").mapInArrow(lean(run), "doc long, n int, p long, e binary")
 
 
 #: The place where an edge is met first, its name.
@@ -182,14 +194,13 @@ def span_digests(texts: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, n, packed, listed in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "packed", "wanted")), strict=True):
-                joined, begins = spelled(unpack([packed])[0])
-                start, end = (np.array([x[c] for x in listed], np.int64) for c in ("start", "end"))
+            for doc, n, text, start, end in listed_texts(batch, "start", "end"):
+                joined, begins = spelled(text)
                 columns = [pa.array(np.full(len(start), doc)), pa.array(np.full(len(start), n, np.int32)), pa.array(start), pa.array(end), binary16(word_digests(joined, begins, start, end))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n", "start", "end", "d"])
 
     met = texts.select("doc", "n", "packed").join(wanted.hint("merge"), ["doc", "n"]).select("doc", "n", "packed", "wanted")
-    return met.mapInArrow(run, "doc long, n int, start long, end long, d binary")
+    return met.mapInArrow(lean(run), "doc long, n int, start long, end long, d binary")
 
 
 def repeated_ranges(docs: DataFrame, window: int) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, text_slices
+from .common import lean, mix64, text_slices
 
 UNKNOWN = "und"
 BLANK = 32
@@ -128,7 +128,7 @@ def prototypes(docs: DataFrame, text_col: str, lang_col: str, dim: int, n: int,
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(total)], names=["lang", "d", "x"])
 
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col)
-    partial = rows.mapInArrow(run, "lang string, d int, x long")
+    partial = rows.mapInArrow(lean(run), "lang string, d int, x long")
     summed = partial.groupBy("lang", "d").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
     found = summed.limit(max_languages + 1).collect()
     if len(found) > max_languages:
@@ -167,4 +167,4 @@ def identify(
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(np.where(sure, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*dict.fromkeys((*keep, text_col))).mapInArrow(lean(run), f"{kinds}, lang_pred string, score double")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, drop_staged, mix64, staged, text_slices, utf8_list
+from .common import Words, drop_staged, lean, mix64, staged, text_slices, utf8_list
 from .components import connected_components
 from .simhash import segment_counts
 
@@ -157,7 +157,7 @@ def cell_rows(reps: DataFrame, masks: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(cells).view(np.int64), *rest)], names=names)
 
     columns = ["id", "n", *(f"f{k}" for k in range(WORDS))]
-    return reps.select(*columns).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return reps.select(*columns).mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
 
 
 def _mapped(docs: DataFrame, columns: list[str], schema: str, shingle: int, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
@@ -166,7 +166,7 @@ def _mapped(docs: DataFrame, columns: list[str], schema: str, shingle: int, work
             for part in text_slices(batch, "text"):
                 yield work(part, *shingle_sets(utf8_list(part.column("text")), shingle))
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(lean(run), schema)
 
 
 def _distance(f: np.ndarray, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
@@ -303,7 +303,7 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
             none = pa.nulls(pairs.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*pairs.columns, *[none] * (2 + CARRIED)], names=names)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), ", ".join(f"{x} long" for x in names))
 
 
 def large_pairs(sets: DataFrame, turn: int, whole: bool) -> DataFrame:
@@ -329,7 +329,7 @@ def large_pairs(sets: DataFrame, turn: int, whole: bool) -> DataFrame:
                         held, size = [], 0
             yield _pair_batch(held)
 
-    return rows.repartition("key").sortWithinPartitions("key", F.xxhash64("id", F.lit(turn))).mapInArrow(run, "a long, b long, d long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key", F.xxhash64("id", F.lit(turn))).mapInArrow(lean(run), "a long, b long, d long").distinct()
 
 
 def long_words(sets: DataFrame) -> DataFrame:
@@ -343,7 +343,7 @@ def long_words(sets: DataFrame) -> DataFrame:
             fp = fingerprints(lists.values.to_numpy()[at[0] : at[-1]].view(np.uint64), at - at[0], range(WORDS, LONG)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], names=["id", *names])
 
-    return sets.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in names))
+    return sets.mapInArrow(lean(run), "id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def id_filter(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()])], names=["bits"])
 
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for row in ids.mapInArrow(run, "bits binary").toLocalIterator():
+    for row in ids.mapInArrow(lean(run), "bits binary").toLocalIterator():
         bits |= np.frombuffer(row.bits, np.uint8)
     return bits
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Rolling, digests, mix64, staged, text_slices, utf8_list
+from .common import BYTE_VALUE, Rolling, digests, lean, mix64, staged, text_slices, utf8_list
 
 U = np.uint64
 #: Symbols that are hashed, and bytes of fetched bundles that are compared, at once (more for one seed).
@@ -261,7 +261,7 @@ def packed_text(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     others = [c for c in docs.columns if c != text_col]
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return docs.select(*others, text_col).mapInArrow(run, f"{kinds}packed binary")
+    return docs.select(*others, text_col).mapInArrow(lean(run), f"{kinds}packed binary")
 
 
 def unpack(packed: list[bytes | None]) -> list[bytes | None]:

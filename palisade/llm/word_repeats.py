@@ -22,7 +22,7 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import de_bruijn
-from .common import Words
+from .common import Words, lean
 from .repeats import Settings, Spelling, identified, range_arrays, repeated_ranges, unpack, with_ranges
 
 
@@ -39,6 +39,44 @@ def word_symbols(texts: list[bytes]) -> Spelling:
     return Spelling(w.hashes(), w.count, *w.spelled())
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+#: Bytes of unpacked texts in one Arrow batch of results (or one text).
+TEXTS_AT_ONCE = 1 << 20
+
+
+def without_ranges(keep: tuple[str, ...], as_they_are: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes the rows of ``remove_repeated_words`` of packed texts and their ranges: a text at a time, however small it is packed."""
+    names = ["doc", "n_words", "n_removed", "spans", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(held: list[tuple], rest: pa.RecordBatch) -> pa.RecordBatch:
+            made = [pa.array(x, kind) for x, kind in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), SPANS, pa.string()), strict=True)]
+            return pa.RecordBatch.from_arrays([rest.column("doc"), *made, *(rest.column(c) for c in keep)], names=[*names, *keep])
+
+        for batch in batches:
+            held: list[tuple] = []
+            size = at = 0
+            for k in range(batch.num_rows):
+                text, found = unpack([batch.column("packed")[k].as_py()])[0], batch.column("ranges")[k].as_py()
+                words = (text or b"").split()
+                start, end = range_arrays(found)
+                start, end = np.minimum(start, len(words)).tolist(), np.minimum(end, len(words)).tolist()
+                removed = sum(end) - sum(start)
+                spans = [{"start": a, "end": b} for a, b in zip(start, end, strict=True) if b > a]
+                if as_they_are and not removed:
+                    kept = None if text is None else text.decode()
+                else:
+                    parts = [w for a, b in zip([0, *end], [*start, len(words)], strict=True) for w in words[a:b]] if found else words
+                    kept = b" ".join(parts).decode()
+                held.append((len(words), removed, spans, kept))
+                size += len(text or b"")
+                if size >= TEXTS_AT_ONCE or k + 1 == batch.num_rows:
+                    yield rows(held, batch.slice(at, k + 1 - at))
+                    held, size, at = [], 0, k + 1
+
+    return run
+
+
 def remove_repeated_words(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed: int = 16, group_rows: int = 1 << 15, method: str = "sampled", keep: tuple[str, ...] = (), as_they_are: bool = False
 ) -> DataFrame:
@@ -55,25 +93,6 @@ def remove_repeated_words(
     else:
         ranges = repeated_ranges(known, Settings(window, seed, False, word_symbols, False, group_rows))
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, removed, spans, kept = [], [], [], []
-            for text, found in zip(unpack(batch.column("packed").to_pylist()), batch.column("ranges").to_pylist(), strict=True):
-                words = (text or b"").split()
-                start, end = range_arrays(found)
-                start, end = np.minimum(start, len(words)).tolist(), np.minimum(end, len(words)).tolist()
-                counts.append(len(words))
-                removed.append(sum(end) - sum(start))
-                spans.append([{"start": a, "end": b} for a, b in zip(start, end, strict=True) if b > a])
-                parts = [w for a, b in zip([0, *end], [*start, len(words)], strict=True) for w in words[a:b]] if found else words
-                same = as_they_are and not removed[-1]
-                kept.append((None if text is None else text.decode()) if same else b" ".join(parts).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string()), *(batch.column(c) for c in keep)],
-                names=["doc", "n_words", "n_removed", "spans", "kept", *keep],
-            )
-
-    SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     out = with_ranges(rows, ranges).select("doc", "packed", "ranges", *keep)
     more = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return out.mapInArrow(apply, f"doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string{more}").withColumnRenamed("doc", id_col)
+    return out.mapInArrow(lean(without_ranges(keep, as_they_are)), f"doc long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string{more}").withColumnRenamed("doc", id_col)

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from palisade.llm import byte_repeats, de_bruijn, word_repeats
+from palisade.llm import bpe, byte_repeats, de_bruijn, word_repeats
 from palisade.llm.difference_cover import levels_for
 
 
@@ -162,3 +164,69 @@ def test_texts_hold_every_repeated_window(spark):
             where.setdefault(tuple(x[p : p + 12]), set()).add((i, p))
     repeated = {at for places in where.values() if len({i for i, _ in places}) > 1 for at in places}
     assert repeated and repeated <= wanted and len(wanted) < sum(len(x) for x in texts.values())
+
+
+class Held:
+    """Stands for a table: keeps the function that mapInArrow gets."""
+
+    def select(self, *columns):
+        return self
+
+    where = withColumnRenamed = select
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def packed_batch(texts, ranges):
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    packed = [None if t is None else zstandard.ZstdCompressor().compress(t.encode()) for t in texts]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(packed, pa.binary()), pa.array(ranges, kind)], names=["doc", "packed", "ranges"])
+
+
+def test_results_leave_in_bounded_batches(monkeypatch):
+    """Texts that pack well: one Arrow batch of them is many times as large unpacked, and must not be unpacked whole."""
+    held = Held()
+    monkeypatch.setattr(word_repeats, "identified", lambda *args: held)
+    monkeypatch.setattr(word_repeats, "with_ranges", lambda *args: held)
+    monkeypatch.setattr(de_bruijn, "repeated_ranges", lambda *args: None)
+    word_repeats.remove_repeated_words(held, method="de_bruijn", as_they_are=True)
+    texts = [None, "", *(f"{i} " + "word  " * 40_000 for i in range(40))]
+    ranges = [None, None, *([{"start": 1, "end": 40_000}] if i % 2 else None for i in range(40))]
+    batch = packed_batch(texts, ranges).slice(1)
+    assert batch.nbytes < 1 << 18
+    found = list(held.run(iter([batch])))
+    assert max(x.nbytes for x in found) < 3 << 20  # before: all 5 MB of results (10 MB of texts) in one
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert [r["doc"] for r in rows] == list(range(1, 42))
+    assert [r["kept"] for r in rows] == ["", *(f"{i} word" if i % 2 else texts[i + 2] for i in range(40))]
+    assert [r["n_removed"] for r in rows] == [0, *(39_999 if i % 2 else 0 for i in range(40))]
+
+
+def test_workers_hold_no_tables_of_other_stages():
+    held = Held()
+    de_bruijn.stretches(held, 12)
+    bpe._loaded["file", 1] = object()
+    text = " ".join("abcdefgh" * 8)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([text])], names=["doc", "row", "text"])
+    given = list(held.run(iter([batch])))
+    assert sum(x.column("windows").to_numpy().sum() for x in given) == 64 - 12 + 1
+    assert not bpe._loaded  # before: a tokenizer stayed in every worker that had run bpe
+
+
+def test_edges_of_long_stretches_come_in_parts():
+    """A stretch of one text with more windows than go into one batch."""
+    held = Held()
+    de_bruijn.edges(held, 50)
+    count = 3 * de_bruijn.AT_ONCE
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int64())]))
+    packed = zstandard.ZstdCompressor().compress(("x " * (count + 60)).encode())
+    wanted = pa.array([[], [{"start": 7, "windows": count}], [{"start": 0, "windows": 1}, {"start": 3, "windows": 2}]], kind)
+    arrays = [pa.array([5, 6, 7]), pa.array([1, 1, 2], pa.int32()), pa.array([packed] * 3, pa.binary()), wanted]
+    batch = pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "packed", "wanted"]).slice(1)
+    found = list(held.run(iter([batch])))
+    assert max(x.num_rows for x in found) <= de_bruijn.AT_ONCE
+    rows = pa.Table.from_batches(found).to_pydict()
+    assert list(zip(rows["doc"], rows["n"], rows["p"], strict=True)) == [*((6, 1, 7 + k) for k in range(count)), (7, 2, 0), (7, 2, 3), (7, 2, 4)]
+    assert len(set(rows["e"])) == 1
