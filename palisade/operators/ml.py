@@ -226,10 +226,11 @@ def joined_depths(past: np.ndarray, points: np.ndarray, rng: np.random.Generator
     return total.mean(axis=0)
 
 
-def causal_scores(x: np.ndarray, offset: int, first: int, history: int, least: int, step: int, trees: int, per_tree: int, seed: int) -> np.ndarray:
+def causal_scores(x: np.ndarray, offset: int, first: int, history: int, least: int, step: int, trees: int, per_tree: int, seed: int, neutral: float = 0.5) -> np.ndarray:
     """Scores of a key's rows from number ``first`` on; ``x`` has the rows from number ``offset`` on (numbers from 0).
 
     A row is judged by the ``history`` rows before the last refit at or before it.
+    A score is the distance of 2 ** (-depth / usual depth) from ``neutral``.
     """
     stop = offset + len(x)
     close = [least << i for i in range(max(0, (step - 1) // least).bit_length())]  # while the history is short
@@ -243,18 +244,19 @@ def causal_scores(x: np.ndarray, offset: int, first: int, history: int, least: i
             size = min(per_tree, len(past))
             depth = int(np.ceil(np.log2(max(size, 2))))
             mean = joined_depths(past, x[rows - offset], rng, trees, size, depth)
-            out[rows - first] = np.abs(2 ** (-mean / max(_average_path(size), 1e-9)) - 0.5)
+            out[rows - first] = np.abs(2 ** (-mean / max(_average_path(size), 1e-9)) - neutral)
     return out
 
 
-def session_anomalies(df: DataFrame, key: str, ts_us: str, order: str, columns: list[str], history: int = 1000, least: int = 10, step: int = 100, trees: int = 50, per_tree: int = 64, seed: int = 42, parts: int | None = None) -> DataFrame:
+def session_anomalies(df: DataFrame, key: str, ts_us: str, order: str, columns: list[str], history: int = 1000, least: int = 10, step: int = 100, trees: int = 50, per_tree: int = 64, seed: int = 42, parts: int | None = None, neutral: float = 0.5) -> DataFrame:
     """Adds anomaly_score: how far a row is from what its key did before, by an isolation forest of the key.
 
     A row is judged by rows before it only: the forest of the ``history`` rows up to
     the last refit, which comes every ``step`` rows of the key (and after ``least``, twice and
     four times as many, until the first ``step``), as if it had been grown with the row.  Later rows change no score.  Before ``least`` rows, or with a null
     key, time or column, the score is 0.  Otherwise it is 2 ** (-depth / usual depth) -
-    1/2 as an absolute value (0 to 1/2), the distance from the forest's neutral score.
+    1/2 as an absolute value (0 to 1/2), the distance from the forest's neutral score;
+    with 0 as ``neutral`` the forest's score itself (0 to 1, about 1/2 for usual rows).
 
     Rows are numbered within their key over sorted ranges; a block of ``history``
     numbers, with the block before as its past, is one group: a hot key is many.
@@ -274,7 +276,7 @@ def session_anomalies(df: DataFrame, key: str, ts_us: str, order: str, columns:
         out = part.loc[own, ["_key", "_p"]]
         if not len(out):
             return out.assign(anomaly_score=0.0)
-        score = causal_scores(part[xs].to_numpy(float), int(part["_p"].iloc[0]), int(out["_p"].iloc[0]), history, least, step, trees, per_tree, seed)
+        score = causal_scores(part[xs].to_numpy(float), int(part["_p"].iloc[0]), int(out["_p"].iloc[0]), history, least, step, trees, per_tree, seed, neutral)
         return out.assign(anomaly_score=score)
 
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups are heavy for their bytes: not to be coalesced by size

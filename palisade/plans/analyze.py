@@ -46,14 +46,17 @@ SESSION_COLUMNS = ["event_count", "unique_ips", "unique_paths", "error_count", "
 
 
 def with_anomalies(events: DataFrame, seconds: int = 60) -> DataFrame:
-    """Adds anomaly_score: the event's session of the last ``seconds`` against what its key did before (see session_anomalies)."""
+    """Adds anomaly_score (0 to 1): the event's session of the last ``seconds`` against what its key did before (see session_anomalies).
+
+    It is the forest's score, of which detection's thresholds (0.7, 0.8) are; a distance from 1/2 never reaches them.
+    """
     # read several times below; whole rows move once, when they get their score
     keyed = staged(events.withColumns({"_row": F.monotonically_increasing_id(), "_session": session_key(), "_ts": micros("ts")}), "events")
     error = F.coalesce(F.substring(F.col("http_status").cast("string"), 1, 1).isin("4", "5"), F.lit(False))
     slim = keyed.select("_row", "event_id", "_session", "_ts", "source_ip", "http_path", error.alias("_error"), F.length("message").alias("_length"))
     found = session_features(slim, "_session", "_ts", {"unique_ips": "source_ip", "unique_paths": "http_path"}, F.col("_error"), F.col("_length"), seconds)
     judged = staged(found.select("_row", "event_id", "_session", "_ts", *SESSION_COLUMNS), "sessions")
-    scores = session_anomalies(judged, "_session", "_ts", "event_id", SESSION_COLUMNS).select("_row", "anomaly_score")
+    scores = session_anomalies(judged, "_session", "_ts", "event_id", SESSION_COLUMNS, neutral=0.0).select("_row", "anomaly_score")
     return keyed.join(scores, "_row").select(*events.columns, "anomaly_score")
 
 

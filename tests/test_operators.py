@@ -232,6 +232,18 @@ def test_sessions_reach_detection(spark):
     assert r.anomaly_score == 0.0 and r.threat_types == ["sqli"]
 
 
+def test_odd_sessions_are_threats(spark):
+    from palisade.plans.analyze import detections
+
+    line = lambda i, text, status: f'{{"timestamp": "2024-01-01T{i // 60:02d}:{i % 60:02d}:00Z", "source_ip": "10.9.9.1", "message": "{text}", "path": "/a", "status": {status}}}'
+    texts = [line(i, "fine", 200) for i in range(120)] + [line(120, "fine " * 40, 500)]
+    rows = detections(spark.createDataFrame([(t,) for t in texts], "value string"), PipelineOptions()).orderBy("ts").collect()
+    assert all(0 <= r.anomaly_score < 0.7 and not r.threat_types for r in rows[:-1])
+    odd = rows[-1]
+    assert odd.threat_types == ["behavioral_anomaly"] and 0.8 < odd.anomaly_score < 1 and odd.reason.startswith("anomaly_score=0.")
+    assert abs(odd.confidence - 0.8 * odd.anomaly_score) < 1e-9 and odd.detected_severity == "low"
+
+
 def test_limits_of_a_service(spark):
     from palisade.sources.ingest import acceptable
 
