@@ -27,6 +27,14 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def compiled(spark: SparkSession) -> SparkSession:
+    """HotSpot never compiles a method of more than 8,000 bytes: expressions that would fill one are cut into several (unless the session says otherwise)."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":  # Spark's default
+        spark.conf.set(key, "8000")
+    return spark
+
+
 #: Tables up to this size are dealt to the cores; beyond it they stay as they are read.
 SMALL_BYTES = 256 << 20
 

@@ -76,24 +76,45 @@ def usable_rules(rules: Sequence[Rule]) -> list[Rule]:
     return kept
 
 
-def rule_matches(text: Column, rules: Sequence[Rule]) -> Column:
-    """Array of (rule, category, severity, level) of the rules that hit, in rule order: one pass, no join.
+#: The words of a pattern (see HINTS).
+NEEDS = {r[2]: HINTS[i] for i, r in enumerate(RULES)} | {r[2]: HINTS[i] for i, r in RULES_CORRECTED.items()}
 
-    A built-in pattern runs only on texts that have one of the words that it needs.
-    """
+
+def _hit(text: Column, low: Column, pattern: str) -> Column:
+    """A built-in pattern runs only on texts that have one of the words that it needs."""
+    words = NEEDS.get(pattern, ())
+    found = text.rlike(pattern)
+    return reduce(lambda x, y: x | y, (low.contains(w) for w in words)) & found if words else found
+
+
+def _rule_struct(i: int, rule: Rule) -> Column:
+    return F.struct(F.lit(i + 1).alias("rule"), F.lit(rule[0]).alias("category"), F.lit(rule[1]).alias("severity"), F.lit(LEVELS[rule[1]]).alias("level"))
+
+
+def rule_matches(text: Column, rules: Sequence[Rule]) -> Column:
+    """Array of (rule, category, severity, level) of the rules that hit, in rule order: one pass, no join."""
     low = F.lower(text)
-    needs = {r[2]: HINTS[i] for i, r in enumerate(RULES)} | {r[2]: HINTS[i] for i, r in RULES_CORRECTED.items()}
+    return F.array_compact(F.array(*(F.when(_hit(text, low, r[2]), _rule_struct(i, r)) for i, r in enumerate(rules))))
+
 
-    def hit(pattern: str) -> Column:
-        words = needs.get(pattern, ())
-        found = text.rlike(pattern)
-        return reduce(lambda x, y: x | y, (low.contains(w) for w in words)) & found if words else found
+MATCHES = "array<struct<rule:int,category:string,severity:string,level:int>>"
 
-    hits = [
-        F.when(hit(p), F.struct(F.lit(i + 1).alias("rule"), F.lit(c).alias("category"), F.lit(s).alias("severity"), F.lit(LEVELS[s]).alias("level")))
-        for i, (c, s, p) in enumerate(rules)
-    ]
-    return F.array_compact(F.array(*hits))
+
+def with_rule_hits(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
+    """Adds ``matches``, as ``rule_matches`` tells them, for many rows of which few have any.
+
+    The text is put in lower case once, hits are bits of numbers in compiled code, and
+    arrays (whose functions are interpreted) are made only where there is a bit.
+    """
+    low, size = F.col("_low"), 60
+    lots = range(0, len(rules), size)
+    bit = lambda i: F.when(_hit(F.col(text_col), low, rules[i][2]), F.lit(1 << i % size)).otherwise(F.lit(0)).cast("long")
+    bits = {f"_hits{k}": reduce(lambda x, y: x + y, (bit(i) for i in range(k, min(k + size, len(rules))))) for k in lots}
+    marked = df.withColumn("_low", F.lower(text_col)).withColumns(bits)
+    found = lambda i: F.col(f"_hits{i // size * size}").bitwiseAND(F.lit(1 << i % size)) != 0
+    every = F.array_compact(F.array(*(F.when(found(i), _rule_struct(i, rules[i])) for i in range(len(rules)))))
+    some = reduce(lambda x, y: x | y, (F.col(name) != 0 for name in bits))
+    return marked.withColumn("matches", F.when(some, every).otherwise(F.array().cast(MATCHES))).drop("_low", *bits)
 
 
 def rules_per_category(rules: DataFrame) -> DataFrame:
@@ -109,7 +130,7 @@ def detect(events: DataFrame, rules: Sequence[Rule] | None = None, anomaly_thres
     ml = F.col("ml_score") if "ml_score" in events.columns else F.lit(None).cast("double")
     anomaly = F.col("anomaly_score") if "anomaly_score" in events.columns else F.lit(None).cast("double")
     score, odd = F.coalesce(ml, F.lit(0.0)), F.coalesce(anomaly, F.lit(0.0))
-    df = events.withColumn("detection_text", detection_text()).withColumn("matches", rule_matches(F.col("detection_text"), rules or rule_set()))
+    df = with_rule_hits(events.withColumn("detection_text", detection_text()), "detection_text", rules or rule_set())
     categories = F.array_distinct(F.transform("matches", lambda m: m["category"]))
     more = F.array_compact(F.array(F.when(score > 0.8, F.lit("ml_anomaly")), F.when(odd > anomaly_threshold, F.lit("behavioral_anomaly"))))
     rule_level = F.coalesce(F.array_max(F.transform("matches", lambda m: m["level"])), F.lit(0)).cast("double")

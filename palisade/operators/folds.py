@@ -1,22 +1,24 @@
-"""Folds over the rows of a key in order of time, on as many tasks as the key has pauses.
+"""Folds over the rows of a key in order of time, on as many tasks as the key needs.
 
-What a fold remembers fades: after a pause as long as its memory, it starts
-anew.  Keys are therefore cut into runs at such pauses (``ranges.with_runs``),
-and runs are folded side by side.  A run of more than ``run_rows`` rows, that is a
-key which never pauses, is cut further: see ``leading_times`` and ``block_states``.
+Dedup folds keys side by side; a key of more than ``run_rows`` rows is cut into
+sorted ranges (see ``passing_by_parts``).  Limits fold only times at which a key is crowded.
+What they remember fades: after a pause as long as their memory, they start
+anew, so that keys are cut into runs at such pauses (``ranges.with_runs``).  A run
+of more than ``run_rows`` rows is cut further: see ``block_states``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
-from ..cluster import drop_staged, staged
-from .ranges import PART, handed_on, inside, numbered, ranged, with_handed, with_runs
+from ..cluster import staged
+from .ranges import PART, numbered, ranged, with_runs
 
 #: Takes the times that are remembered (changed in place) and a row's time: does the row pass?
 Step = Callable[[list[int], int], bool]
@@ -32,6 +34,17 @@ def leading(ttl_us: int) -> Step:
         times[:] = [us]
         return True
 
+    def whole(times: list[int], us: np.ndarray) -> np.ndarray:
+        """As ``step`` over many times in order, in as many steps as pass."""
+        out = np.zeros(len(us), bool)
+        i = int(np.searchsorted(us, times[-1] + ttl_us)) if times else 0
+        while i < len(us):
+            out[i] = True
+            times[:] = [int(us[i])]
+            i = max(i + 1, int(np.searchsorted(us, us[i] + ttl_us)))
+        return out
+
+    step.whole = whole
     return step
 
 
@@ -57,12 +70,22 @@ def _and(schema: StructType, flag: str) -> StructType:
 
 def _changes(batch: pa.RecordBatch, groups: list[str]) -> list[int]:
     """Where a group begins, but for the batch's first row."""
-    keys = list(zip(*(batch.column(g).to_pylist() for g in groups), strict=True))
-    return [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+    new = np.zeros(batch.num_rows, bool)
+    for g in groups:
+        codes = batch.column(g).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new).tolist()
+
+
+def _passed(step: Step, times: list[int], us: pa.Array) -> np.ndarray:
+    """What ``step`` says of a group's times in order; rows without a time pass."""
+    if len(us) >= 64 and not us.null_count and hasattr(step, "whole"):
+        return step.whole(times, us.to_numpy())
+    return np.array([t is None or step(times, t) for t in us.to_pylist()], bool)
 
 
 def folded(rows: DataFrame, groups: list[str], order: list[str], ts_us: str, step: Step, result: str) -> DataFrame:
-    """Adds boolean ``result``: ``step`` over the rows of each group in order.
+    """Adds boolean ``result``: ``step`` over the rows of each group in order; rows without a time pass.
 
     Rows stream through sorted partitions; other columns pass by as Arrow arrays, untouched.
     """
@@ -76,90 +99,144 @@ def folded(rows: DataFrame, groups: list[str], order: list[str], ts_us: str, ste
             first = tuple(batch.column(g)[0].as_py() for g in groups)
             if first != last:
                 times = []
-            cuts = {*_changes(batch, groups)}
-            out = []
-            for i, us in enumerate(batch.column(ts_us).to_pylist()):
-                if i in cuts:
-                    times = []
-                out.append(step(times, us))
+            cuts = [0, *_changes(batch, groups), batch.num_rows]
+            out = np.zeros(batch.num_rows, bool)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                times = [] if a else times
+                out[a:b] = _passed(step, times, batch.column(ts_us).slice(a, b - a))
             last = tuple(batch.column(g)[-1].as_py() for g in groups)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, result])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, result])
 
     return rows.repartition(*groups).sortWithinPartitions(*groups, *order).mapInArrow(run, schema)
 
 
-def split_runs(rows: DataFrame, keys: list[str], run_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of short runs, and of long ones (None if there is none)."""
-    groups = [*keys, "_run"]
+def split_long(rows: DataFrame, groups: list[str], run_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of up to ``run_rows`` rows, and of longer ones (None if there is none)."""
     sizes = rows.groupBy(*groups).agg(F.count("*").alias("_size")).where(F.col("_size") > run_rows)
-    if sizes.isEmpty():
-        return rows, None
     long = staged(sizes.drop("_size"), "long")
+    if long.isEmpty():
+        return rows, None
     same = [F.col(f"r.{g}").eqNullSafe(F.col(f"l.{g}")) for g in groups]
     pick = lambda how: rows.alias("r").join(long.alias("l"), same, how)
     return pick("left_anti"), pick("left_semi")
 
 
 def first_passing(df: DataFrame, key: str, ts_us: str, tie: str, ttl_us: int, run_rows: int = RUN_ROWS, parts: int | None = None) -> DataFrame:
-    """Adds ``kept``: no kept row of the key is younger than ``ttl_us``; dropped rows do not extend it."""
-    rows = staged(with_runs(df, [key], ts_us, tie, ttl_us, parts), "runs")
-    short, long = split_runs(rows, [key], run_rows)
-    out = folded(short, [key, "_run"], [ts_us, tie], ts_us, leading(ttl_us), "kept")
-    if long is not None:
-        times = leading_times(long, [key, "_run"], ts_us, ttl_us, parts)
-        groups = [key, "_run", ts_us]
-        firsts = long.groupBy(*groups).agg(F.min(tie).alias("_first"))
-        passing = firsts.join(times.withColumnRenamed("at", ts_us), [ts_us, "_run"]).where(F.col(key).eqNullSafe(F.col("_key"))).select(*groups, "_first")
-        same = [F.col(f"r.{g}").eqNullSafe(F.col(f"f.{g}")) for g in groups] + [F.col(f"r.{tie}").eqNullSafe(F.col("f._first"))]
-        marked = long.alias("r").join(passing.alias("f"), same, "left").select("r.*", F.col("f._run").isNotNull().alias("_hit"))
-        # rows that are equal in key, time and tie: one of them
-        again = F.row_number().over(Window.partitionBy(*groups, tie, "_hit").orderBy(F.lit(0)))
-        chosen = marked.where("_hit").withColumn("kept", again == 1).unionByName(marked.where("not _hit").withColumn("kept", F.lit(False)))
-        out = out.unionByName(chosen.drop("_hit"))
-    return out.drop("_run")
+    """Adds ``kept``: no kept row of the key is younger than ``ttl_us``; dropped rows do not extend it; rows without a time are kept.
+
+    Keys of up to ``run_rows`` rows are folded side by side, longer ones by parts
+    (see ``passing_by_parts``).  ``df`` is read twice: a table that is long in the making should be staged.
+    """
+    if ttl_us <= 0:
+        return df.withColumn("kept", F.lit(True))
+    short, long = split_long(df, [key], run_rows)
+    out = folded(short, [key], [ts_us, tie], ts_us, leading(ttl_us), "kept")
+    return out if long is None else out.unionByName(passing_by_parts(long, key, ts_us, tie, ttl_us, parts))
 
 
-def leading_times(rows: DataFrame, keys: list[str], ts_us: str, ttl_us: int, parts: int | None = None) -> DataFrame:
-    """(_key, _run, at): the times of rows that pass, for runs of any length, in a number of joins that grows with its logarithm.
+def passing_by_parts(rows: DataFrame, key: str, ts_us: str, tie: str, ttl_us: int, parts: int | None = None) -> DataFrame:
+    """``first_passing`` for keys of any length: sorted ranges are folded side by side, whatever a key's length.
 
-    Every time points to the first time at least ``ttl_us`` later: found by one sorted
-    merge of the times and the times so much later.  Those that pass are the
-    ones reached from the run's first: pointers are doubled, and what is reached
-    doubles with them.  Only times that something points to are carried.
+    The last time that passes in a part hangs on the first that passes there, which is
+    known only when the parts before are done.  Each part tells it for every first
+    time that is possible, those of its first TTL; neighbours soon share their
+    chain, so that these are few.  A walk over them, part by part, tells what each part
+    is handed, and the parts are folded from that.
     """
-    key, run = keys
-    points = rows.select(F.col(key).alias("_key"), F.col(run).alias("_run"), F.col(ts_us).alias("at")).distinct()
-    wanted = points.select("_key", "_run", (F.col("at") + ttl_us).alias("at"), F.lit(0).alias("kind"), F.col("at").alias("origin"))
-    both = points.select("_key", "_run", "at", F.lit(1).alias("kind"), F.col("at").alias("origin")).unionByName(wanted)
-    group, order = ["_key", "_run"], ["at", "kind"]
-    cut = ranged(both, group, order, parts)
-    time = F.when(F.col("kind") == 1, F.col("at"))
-    handed = handed_on(cut, group, {"_next": F.min(time)}, {"_next": "last"}, backwards=True)
-    merged = with_handed(cut, group, handed, ["_next"])
-    ahead = inside(group).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    pointers = merged.withColumn("to", F.coalesce(F.min(time).over(ahead), "_next")).where("kind = 0 and to is not null").select("_key", "_run", F.col("origin").alias("at"), "to")
-    targets = pointers.select("_key", "_run", F.col("to").alias("at")).distinct()
-    same = lambda a, b, x, y: [F.col(f"{a}._key").eqNullSafe(F.col(f"{b}._key")), F.col(f"{a}._run") == F.col(f"{b}._run"), F.col(f"{a}.{x}") == F.col(f"{b}.{y}")]
-    firsts = pointers.where("at = _run")
-    useful = pointers.where("at <> _run").alias("p").join(targets.alias("t"), same("p", "t", "at", "at"), "left_semi")
-    jumps = staged(firsts.unionByName(useful), "jumps")
-    drop_staged(cut)
-    reached = points.where("at = _run")
-    while True:
-        ahead_of = reached.alias("r").join(jumps.alias("j"), same("r", "j", "at", "at")).select("r._key", "r._run", F.col("j.to").alias("at"))
-        new = staged(ahead_of, "reached")
-        if new.isEmpty():
-            return reached
-        reached = staged(reached.unionByName(new), "reached")
-        doubled = jumps.alias("a").join(jumps.alias("b"), same("a", "b", "to", "at")).select("a._key", "a._run", "a.at", "b.to")
-        jumps = staged(doubled, "jumps")
+    full = [key, "_block"]
+    cut = ranged(rows, [key], [ts_us, tie], parts).withColumnRenamed(PART, "_block")
+    starts = staged(handed_times(part_exits(cut, full, ts_us, ttl_us), full, ttl_us), "starts")
+    return folded_from(cut, starts, full, ts_us, tie, leading(ttl_us)).withColumnRenamed("admitted", "kept").drop("_block")
+
+
+def exits_of(times: np.ndarray, ttl_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a part's times: up to which first passing time which time passes last."""
+    t = np.unique(times)
+    to = np.searchsorted(t, t + ttl_us)
+    jump = np.where(to < len(t), to, np.arange(len(t)))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
+    firsts = jump[: np.searchsorted(t, t[0] + ttl_us) + 1]  # what passed before is no later than the part's first time
+    ends = np.flatnonzero(np.diff(firsts, append=-1))
+    return t[ends], t[firsts[ends]]
+
+
+def part_exits(rows: DataFrame, full: list[str], ts_us: str, ttl_us: int) -> DataFrame:
+    """(key, _block, _upto, _exit): ``exits_of`` each part of a key; a part without a time has one row of nulls."""
+    slim = rows.select(*full, ts_us).repartition(*full).sortWithinPartitions(*full, ts_us)
+    schema = StructType([*slim.select(*full).schema.fields, StructField("_upto", LongType()), StructField("_exit", LongType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ident, kinds = [], None, None
+
+        def told() -> pa.RecordBatch:
+            times = np.concatenate(held)
+            upto, last = exits_of(times, ttl_us) if len(times) else ([None], [None])
+            columns = [pa.array([x] * len(upto), k) for x, k in zip(ident, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(upto, pa.int64()), pa.array(last, pa.int64())], [*full, "_upto", "_exit"])
+
+        for batch in parts:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(g).type for g in full]
+            cuts = [0, *_changes(batch, full), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                mine = tuple(batch.column(g)[a].as_py() for g in full)
+                if held and mine != ident:
+                    yield told()
+                    held = []
+                ident = mine
+                held.append(batch.column(ts_us).slice(a, b - a).drop_null().to_numpy())
+        if held:
+            yield told()
+
+    return slim.mapInArrow(run, schema)
+
+
+def handed_times(exits: DataFrame, full: list[str], ttl_us: int) -> DataFrame:
+    """(key, _block, _times): the time that passed last before each part, from ``part_exits``."""
+    key = full[0]
+    schema = StructType([*exits.select(*full).schema.fields, StructField("_times", ArrayType(LongType()))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, block, given, last, found = object(), None, None, None, False
+        for batch in parts:
+            out = []
+            for k, b, upto, end in zip(*(batch.column(c).to_pylist() for c in (*full, "_upto", "_exit")), strict=True):
+                if k != mine:
+                    mine, block, last = k, None, None
+                if b != block:
+                    block, given, found = b, last, False
+                    out.append((k, b, [] if given is None else [given]))
+                if not found and upto is not None and (given is None or upto >= given + ttl_us):
+                    last, found = end, True
+            kinds = [*(batch.schema.field(c).type for c in full), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [*full, "_times"])
+
+    return exits.repartition(key).sortWithinPartitions(*full, "_upto").mapInArrow(run, schema)
 
 
 def limited(df: DataFrame, keys: list[str], ts_us: str, tie: str, most: int, width_us: int, run_rows: int = RUN_ROWS, parts: int | None = None) -> DataFrame:
-    """Adds ``admitted``: at most ``most`` admitted rows of a key in any ``width_us``; rejected rows don't count."""
+    """Adds ``admitted``: at most ``most`` admitted rows of a key in any ``width_us``; rejected rows don't count; rows without a time are admitted.
+
+    Only crowded times are folded: a row whose block of ``width_us`` holds, with the block
+    before, ``most`` rows of the key at most is admitted whatever else is.  ``df`` is read several times.
+    """
+    cell = F.floor(F.col(ts_us) / F.lit(width_us + 1))
+    told = df.select(*keys, cell.alias("_cell")).groupBy(*keys, "_cell").agg(F.count("*").alias("_n")).where("_cell is not null")
+    both = told.unionByName(told.withColumn("_cell", F.col("_cell") + 1)).groupBy(*keys, "_cell").agg(F.sum("_n").alias("_n"))
+    crowded = staged(both.where(F.col("_n") > most).select(*keys, F.explode(F.array(F.col("_cell") - 1, "_cell")).alias("_cell")).distinct(), "crowded")
+    if crowded.isEmpty():
+        return df.withColumn("admitted", F.lit(True))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*keys, "_cell")]
+    pick = lambda how: df.withColumn("_cell", cell).alias("r").join(crowded.alias("c"), same, how).drop("_cell")
+    return pick("left_anti").withColumn("admitted", F.lit(True)).unionByName(_limited(pick("left_semi"), keys, ts_us, tie, most, width_us, run_rows, parts))
+
+
+def _limited(df: DataFrame, keys: list[str], ts_us: str, tie: str, most: int, width_us: int, run_rows: int, parts: int | None) -> DataFrame:
     rows = staged(with_runs(df, keys, ts_us, tie, width_us + 1, parts), "runs")
     step = limiting(most, width_us)
-    short, long = split_runs(rows, keys, run_rows)
+    short, long = split_long(rows, [*keys, "_run"], run_rows)
     out = folded(short, [*keys, "_run"], [ts_us, tie], ts_us, step, "admitted")
     if long is not None:
         group = [*keys, "_run"]
@@ -236,15 +313,13 @@ def folded_from(rows: DataFrame, starts: DataFrame, full: list[str], ts_us: str,
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times: list[int] = []
         for batch in parts:
-            out = []
-            for lead, given, us in zip(*(batch.column(c).to_pylist() for c in ("_lead", "_times", ts_us)), strict=True):
-                if lead:
-                    times = list(given)
-                    out.append(None)
-                else:
-                    out.append(step(times, us))
-            mask = pa.array([x is not None for x in out])
-            kept = batch.select(names).filter(mask)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x for x in out if x is not None], pa.bool_())], [*names, "admitted"])
+            lead = batch.column("_lead").to_numpy(zero_copy_only=False).astype(bool)
+            out = np.zeros(batch.num_rows, bool)
+            cuts = [-1, *np.flatnonzero(lead).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                times = list(batch.column("_times")[a].as_py()) if a >= 0 else times
+                out[a + 1 : b] = _passed(step, times, batch.column(ts_us).slice(a + 1, b - a - 1))
+            kept = batch.select(names).filter(pa.array(~lead))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out[~lead])], [*names, "admitted"])
 
     return led.mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .cluster import dealt, shared_folder, ship, spread, staged
+from .cluster import compiled, dealt, shared_folder, ship, spread, staged
 from .functions.masking import masked
 from .functions.net import http_method, http_path, location, normal_ip, query_pairs, severity_level, user_agent
 from .functions.text import decoded, deobfuscated, without_evasion
@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines(table(spark, sf_dir, "events"))
+    return log_lines(table(compiled(spark), sf_dir, "events"))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:

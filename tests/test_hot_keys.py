@@ -100,6 +100,34 @@ def test_leading_edge_of_rows_that_are_the_same(spark):
         assert first_passing(df.limit(0), "k", "us", "id", 10, run_rows).count() == 0
 
 
+@pytest.mark.parametrize("run_rows", [10**6, 5])
+def test_rows_without_a_time_pass(spark, hot, run_rows):
+    untimed = spark.createDataFrame([(x, k, None, "x") for x, k in (("u1", "hot"), ("u2", "hot"), ("u3", "a"), ("u4", None))], SCHEMA)
+    both = hot.unionByName(untimed)
+    more = {"u1", "u2", "u3", "u4"}
+    assert {r.id for r in first_passing(both, "k", "us", "id", 50, run_rows, 12).where("kept").collect()} == kept_ids(rows_of(), 50) | more
+    assert {r.id for r in limited(both, ["k"], "us", "id", 2, 3, run_rows, 12).where("admitted").collect()} == admitted_ids(rows_of(), 2, 3) | more
+
+
+def test_a_long_key_is_told_by_its_parts():
+    """What passes last in a part, for every time that may pass first there: few, as chains meet."""
+    import numpy as np
+
+    from palisade.operators.folds import exits_of
+
+    rng = np.random.default_rng(5)
+    for spread, ttl in ((3, 7), (40, 7), (1, 1000), (2, 100)):
+        times = np.cumsum(rng.integers(0, spread + 1, 3000))
+        upto, last = exits_of(times, ttl)
+        t = np.unique(times)
+        for first in t[t < t[0] + ttl]:
+            end = first
+            while (later := t[t >= end + ttl]).size:
+                end = later[0]
+            assert last[np.searchsorted(upto, first)] == end
+    assert len(exits_of(np.cumsum(rng.integers(0, 3, 100_000)), 50)[0]) == 1
+
+
 def test_one_key_for_the_whole_table(spark):
     """No pause at all: doubled pointers, as many rounds as the logarithm of what passes."""
     df = spark.range(5000).select(F.format_string("%05d", "id").alias("id"), F.lit("hot").alias("k"), (F.col("id") * 3).alias("us"), F.lit("x").alias("extra"))
@@ -115,6 +143,19 @@ def test_limits_of_hot_keys(spark, hot, most, width, run_rows):
     assert len(rows) == 600 and {r.id for r in rows if r.admitted} == admitted_ids(rows_of(), most, width)
 
 
+def test_only_crowded_times_are_folded(spark, hot, monkeypatch):
+    from palisade.operators import folds
+
+    seen = []
+    real = folds._limited
+    monkeypatch.setattr(folds, "_limited", lambda df, *more: (seen.append(df.count()), real(df, *more))[1])
+    for most in (2, 12):
+        rows = limited(hot, ["k"], "us", "id", most, 3, 40, 12).collect()
+        assert {r.id for r in rows if r.admitted} == admitted_ids(rows_of(), most, 3) and len(rows) == 600
+    assert limited(hot, ["k"], "us", "id", 600, 3).where("not admitted").isEmpty()
+    assert len(seen) == 1 or seen[1] < seen[0]
+
+
 def test_rate_limit_by_two_keys_and_of_nothing(spark, hot):
     out = rs.rate_limited(hot.withColumn("k2", F.lit(None).cast("int")), ["k", "k2"], "us", "id", 2, 3e-6, 10)
     assert {r.id for r in out.where("admitted").collect()} == admitted_ids(rows_of(), 2, 3)

@@ -161,6 +161,16 @@ def test_rules_per_category_and_bad_patterns(spark):
     assert {r.category: r.rules for r in rules_per_category(rule_rows(spark, rules)).collect()}["xss"] == 6
 
 
+def test_rule_hits_by_bits(spark):
+    from palisade.operators.detect import rule_matches, rule_set, with_rule_hits
+
+    texts = [(t,) for t in ("1' UNION  Select 1", "drop TABLE x; ls", "<SCRIPT>alert(1)", "nothing", "", None, "w7 w63 w70", "${JNDI:ldap://x} ../../etc/shadow")]
+    rules = rule_set() + [("xss", "low", f"\\bw{i}\\b") for i in range(80)]
+    df = spark.createDataFrame(texts, "text string")
+    for some in (rules, rules[:18]):
+        assert with_rule_hits(df, "text", some).where(~F.col("matches").eqNullSafe(rule_matches(F.col("text"), some))).isEmpty()
+
+
 def test_settings_file(spark, tmp_path):
     from palisade.options import configured_rules, load_settings, reloaded, save_settings, setting_errors
 
