@@ -8,15 +8,18 @@ only ones missing.  A row that is let go in a trigger is newer than the trigger'
 watermark for late rows, so these operators can stand one after the other in one
 query; each needs its input's event time in column ``ts``.
 
-State is a list for each key (what waits) and a short value (what is
-remembered), with a timer at the first waiting row and one at the end of
+State is a list for each key (what waits, many rows packed into an entry, since state
+is paid for by the entry) and a value (what is remembered), with a timer at the first waiting row and one at the end of
 the memory, which deletes it.  The state store must be RocksDB's
 (``use_rocksdb``), which keeps state on disk and checkpoints what has changed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -54,15 +57,28 @@ def _unpacked(df: DataFrame, schema: str | object, *more: str) -> DataFrame:
     return df.withColumn("_row", row).select(*(F.col("ts") if n == "ts" else F.col(f"_row.`{n}`").alias(n) for n in names), *more)
 
 
+PACKED_ROWS = 10_000
+
+
+def _packs(rows: Iterable[tuple]) -> Iterator[tuple[bytes]]:
+    """Entries of a list state: at most ``PACKED_ROWS`` rows (tuples of plain values) each."""
+    rows = iter(rows)
+    while part := list(islice(rows, PACKED_ROWS)):
+        yield (pickle.dumps(part, 5),)
+
+
+def _unpack(packs: Iterable[tuple[bytes]]) -> list[tuple]:
+    return [row for (pack,) in packs for row in pickle.loads(pack)]
+
+
 class _Waiting(StatefulProcessor):
     """Rows wait for the watermark; subclasses say what happens to them then."""
 
-    waiting = "us long, tie string, ts timestamp, payload string"
     fields: tuple[str, ...] = ("us", "tie", "ts", "payload")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.waiting)
+        self.rows = handle.getListState("rows", "packed binary")
         self.timer = handle.getValueState("timer", "at long")
 
     def _call(self, at_us: int) -> None:
@@ -76,19 +92,31 @@ class _Waiting(StatefulProcessor):
             self.timer.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        new = [tuple(r[f] for f in self.fields) for r in rows]
-        self.rows.appendList(new)
-        self._call(min(r[0] for r in new))
+        first = next(rows)
+        values = itemgetter(*(first.__fields__.index(f) for f in self.fields))
+        least = first["us"]
+
+        def told() -> Iterator[tuple]:
+            nonlocal least
+            yield values(tuple(first))
+            for r in rows:
+                row = values(tuple(r))
+                least = min(least, row[0])
+                yield row
+
+        for pack in _packs(told()):
+            self.rows.appendValue(pack)
+        self._call(least)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        ready = sorted((r for r in held if r[0] <= mark), key=lambda r: r[:2])
+        held = _unpack(self.rows.get()) if self.rows.exists() else []
+        ready = sorted((r for r in held if r[0] <= mark), key=itemgetter(0, 1))
         rest = [r for r in held if r[0] > mark]
         if ready:
-            self.rows.put(rest) if rest else self.rows.clear()
+            self.rows.put(list(_packs(rest))) if rest else self.rows.clear()
         yield from self.settle(key, ready)
         ends = self.remembered_until(key)
         if ends is not None and ends <= mark and not rest:
@@ -153,6 +181,10 @@ def rate_limited(actions: DataFrame, key: str, tie: str, most: int = 100, second
     return _admitted(actions, F.col(key), tie, limiting(most, width), width + 1).withColumnRenamed("passed", "admitted")
 
 
+SHOWN = "ts timestamp, event_id string, k int, n int, key string, level int, prior int, top int, mask int, low int, high int, critical int, payload string"
+_SHOWN_ROW = Row(*(f.split()[0] for f in SHOWN.split(", ")))
+
+
 class Window(_Waiting):
     """What the newest ``most`` events of a key in the last ``width_us`` show, for the events of one block of time.
 
@@ -161,7 +193,6 @@ class Window(_Waiting):
     remembers at most ``most`` events of each key, until the block has ended.
     """
 
-    waiting = "us long, tie string, ts timestamp, payload string, level int, mask int, own boolean, k int, n int, key string"
     fields = ("us", "tie", "ts", "payload", "level", "mask", "own", "k", "n", "key")
 
     def __init__(self, width_us: int, most: int):
@@ -169,24 +200,25 @@ class Window(_Waiting):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.recent = handle.getListState("recent", "key string, us long, level int, mask int")
+        self.recent = handle.getListState("recent", "packed binary")
 
     def settle(self, key: tuple, ready: list[tuple]) -> Iterator[Row]:
         if not ready:
             return
-        past = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+        past = _unpack(self.recent.get()) if self.recent.exists() else []
         rows = [(r[0], r[1], r[2], r[3], None) for r in past] + [(r[9], r[0], r[4], r[5], r) for r in ready]
-        rows.sort(key=lambda r: r[0])  # stable: the past of a key, then what is ready, in order
+        rows.sort(key=itemgetter(0))  # stable: the past of a key, then what is ready, in order
         ts, level, mask = np.array([r[1:4] for r in rows], np.int64).T
-        starts = np.array([True, *(x[0] != y[0] for x, y in zip(rows, rows[1:], strict=False))])
+        names = [r[0] for r in rows]
+        starts = np.array([True, *(x != y for x, y in zip(names, names[1:], strict=False))])
         facts = co.window_facts(np.cumsum(starts), ts, np.ones(len(ts), bool), level, mask, self.width, self.most)
         columns = [facts[n].tolist() for n in ("prior", "top", "mask", "low", "high", "critical")]
         for (name, _, _, _, row), prior, top, types, low, high, critical in zip(rows, *columns, strict=True):
             if row is not None and row[6]:
-                yield Row(ts=row[2], event_id=row[1], k=row[7], n=row[8], key=name, level=row[4], prior=prior, top=top, mask=types, low=low, high=high, critical=critical, payload=row[3])
+                yield _SHOWN_ROW(row[2], row[1], row[7], row[8], name, row[4], prior, top, types, low, high, critical, row[3])
         ends = np.append(np.flatnonzero(starts)[1:], len(rows))
         newest = np.arange(len(rows)) >= np.repeat(ends, np.diff(ends, prepend=0)) - self.most
-        self.recent.put([r[:4] for r, kept in zip(rows, newest, strict=True) if kept])
+        self.recent.put(list(_packs(r[:4] for r, kept in zip(rows, newest, strict=True) if kept)))
 
     def remembered_until(self, key: tuple) -> int | None:
         return (key[1] + 1) * self.width if self.recent.exists() else None
@@ -195,8 +227,6 @@ class Window(_Waiting):
         self.recent.clear()
 
 
-SHOWN = "ts timestamp, event_id string, k int, n int, key string, level int, prior int, top int, mask int, low int, high int, critical int, payload string"
-
 
 class Gather(StatefulProcessor):
     """The rows of an event, one for each of its keys, as soon as all are there; a group is the events of one hash."""
