@@ -89,7 +89,7 @@ def analyze(lines: DataFrame, options: PipelineOptions = PipelineOptions(), tena
     unique = edge.where("kept").drop("kept")
     correlated = co.correlate(unique, "ts_us", options.window_seconds, options.max_events_per_window)
     correlated = staged(correlated.unionByName(co.uncorrelated(untimed.drop("_row").withColumn("fingerprint", co.fingerprint()))), "correlated")
-    planned = re_.idempotent_actions(re_.plan_actions(correlated, "ts_us"), options.idempotency_ttl)
+    planned = staged(re_.idempotent_actions(re_.plan_actions(correlated, "ts_us"), options.idempotency_ttl), "planned")  # limits read them twice
     tied = planned.withColumn("_tenant", F.coalesce(F.col("target.tenant"), F.lit("")))
     limited = re_.rate_limited(tied, ["_tenant"], "ts_us", "action_id", options.max_actions_per_second).where("admitted").drop("_tenant", "admitted")
     return Analysis(detected, detected, correlated, re_.execute(limited), out, edge.where("not kept").drop("kept"))
