@@ -18,10 +18,12 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterable, Iterator
+from datetime import timezone
 from itertools import islice
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,23 +94,16 @@ class _Waiting(StatefulProcessor):
             self.timer.update((at,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        first = next(rows)
-        values = itemgetter(*(first.__fields__.index(f) for f in self.fields))
-        least = first["us"]
-
-        def told() -> Iterator[tuple]:
-            nonlocal least
-            yield values(tuple(first))
-            for r in rows:
-                row = values(tuple(r))
-                least = min(least, row[0])
-                yield row
-
-        for pack in _packs(told()):
-            self.rows.appendValue(pack)
-        self._call(least)
+        self._wait(tuple(r[f] for f in self.fields) for r in rows)
         yield from ()
 
+    def _wait(self, rows: Iterable[tuple]) -> None:
+        rows, least = iter(rows), []
+        while part := list(islice(rows, PACKED_ROWS)):
+            self.rows.appendValue(*_packs(part))
+            least.append(min(map(itemgetter(0), part)))
+        self._call(min(least))
+
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
@@ -182,7 +177,7 @@ def rate_limited(actions: DataFrame, key: str, tie: str, most: int = 100, second
 
 
 SHOWN = "ts timestamp, event_id string, k int, n int, key string, level int, prior int, top int, mask int, low int, high int, critical int, payload string"
-_SHOWN_ROW = Row(*(f.split()[0] for f in SHOWN.split(", ")))
+SHOWN_NAMES = [f.split()[0] for f in SHOWN.split(", ")]
 
 
 class Window(_Waiting):
@@ -191,9 +186,11 @@ class Window(_Waiting):
     A group is a block of time and the keys of one hash, since state is paid for by the
     group; the events of the block before are sent to it as history.  It
     remembers at most ``most`` events of each key, until the block has ended.
+    Rows come and go as data frames, which cost less than a ``Row`` each; times are told by
+    ``us``, since a frame's have no zone.
     """
 
-    fields = ("us", "tie", "ts", "payload", "level", "mask", "own", "k", "n", "key")
+    fields = ("us", "tie", "payload", "level", "mask", "own", "k", "n", "key")
 
     def __init__(self, width_us: int, most: int):
         self.width, self.most = width_us, most
@@ -202,20 +199,29 @@ class Window(_Waiting):
         super().init(handle)
         self.recent = handle.getListState("recent", "packed binary")
 
-    def settle(self, key: tuple, ready: list[tuple]) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        self._wait(row for df in rows for row in zip(*(df[f].tolist() for f in self.fields), strict=True))
+        yield from ()
+
+    def settle(self, key: tuple, ready: list[tuple]) -> Iterator[pd.DataFrame]:
         if not ready:
             return
         past = _unpack(self.recent.get()) if self.recent.exists() else []
-        rows = [(r[0], r[1], r[2], r[3], None) for r in past] + [(r[9], r[0], r[4], r[5], r) for r in ready]
+        rows = [(r[0], r[1], r[2], r[3], None) for r in past] + [(r[8], r[0], r[3], r[4], r) for r in ready]
         rows.sort(key=itemgetter(0))  # stable: the past of a key, then what is ready, in order
         ts, level, mask = np.array([r[1:4] for r in rows], np.int64).T
         names = [r[0] for r in rows]
         starts = np.array([True, *(x != y for x, y in zip(names, names[1:], strict=False))])
         facts = co.window_facts(np.cumsum(starts), ts, np.ones(len(ts), bool), level, mask, self.width, self.most)
         columns = [facts[n].tolist() for n in ("prior", "top", "mask", "low", "high", "critical")]
-        for (name, _, _, _, row), prior, top, types, low, high, critical in zip(rows, *columns, strict=True):
-            if row is not None and row[6]:
-                yield _SHOWN_ROW(row[2], row[1], row[7], row[8], name, row[4], prior, top, types, low, high, critical, row[3])
+        shown = [
+            (row[0], row[1], row[6], row[7], name, row[3], *found, row[2])
+            for (name, _, _, _, row), found in zip(rows, zip(*columns, strict=True), strict=True)
+            if row is not None and row[5]
+        ]
+        for at in range(0, len(shown), PACKED_ROWS):
+            df = pd.DataFrame(shown[at : at + PACKED_ROWS], columns=SHOWN_NAMES)
+            yield df.assign(ts=pd.to_datetime(df["ts"], unit="us", utc=True))
         ends = np.append(np.flatnonzero(starts)[1:], len(rows))
         newest = np.arange(len(rows)) >= np.repeat(ends, np.diff(ends, prepend=0)) - self.most
         self.recent.put(list(_packs(r[:4] for r, kept in zip(rows, newest, strict=True) if kept)))
@@ -235,10 +241,9 @@ class Gather(StatefulProcessor):
         self.rows = handle.getListState("rows", SHOWN)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        names = [f.split()[0] for f in SHOWN.split(", ")]
         held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
         events: dict[str, list[tuple]] = {}
-        for r in [*held, *(tuple(r[n] for n in names) for r in rows)]:
+        for r in [*held, *(tuple(r[n] for n in SHOWN_NAMES) for r in rows)]:
             events.setdefault(r[1], []).append(r)
         rest = []
         for found in events.values():
@@ -256,6 +261,19 @@ class Gather(StatefulProcessor):
         pass
 
 
+class GatherFrames(Gather):
+    """The same, with rows that come and go as data frames (with ``us``, their time)."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        zoned = (df.assign(ts=pd.to_datetime(df["us"], unit="us", utc=True)) for df in rows)
+        each = (dict(zip(SHOWN_NAMES, row, strict=True)) for df in zoned for row in df[SHOWN_NAMES].itertuples(index=False, name=None))
+        found = super().handleInputRows(key, each, timerValues)
+        while part := list(islice(found, PACKED_ROWS)):
+            keys = [[dict(zip(GATHERED_KEY, x, strict=True)) for x in r["keys"]] for r in part]
+            yield pd.DataFrame({"ts": pd.to_datetime([r["ts"].astimezone(timezone.utc) for r in part], utc=True), "payload": [r["payload"] for r in part], "keys": keys})
+
+
+GATHERED_KEY = ("k", "key", "level", "prior", "top", "mask", "low", "high", "critical")
 GATHERED = "ts timestamp, payload string, keys array<struct<k:int,key:string,level:int,prior:int,top:int,mask:int,low:int,high:int,critical:int>>"
 
 
@@ -276,7 +294,7 @@ def correlate(events: DataFrame, window_seconds: int = 60, most: int = 100, grou
     sent = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own")))
     dealt = each.withColumn("_b", F.explode(sent)).select("us", "tie", "ts", "level", "mask", "k", "n", "key", F.col("_b.block").alias("block"), F.col("_b.own").alias("own"), F.when((F.col("k") == 0) & F.col("_b.own"), F.col("payload")).alias("payload"))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
-    shown = dealt.withColumn("bucket", bucket("key")).groupBy("bucket", "block").transformWithState(Window(width, most), SHOWN, "Append", "EventTime", eventTimeColumnName="ts")
-    gathered = shown.withColumn("bucket", bucket("event_id")).groupBy("bucket").transformWithState(Gather(), GATHERED, "Append", "EventTime", eventTimeColumnName="ts")
+    shown = dealt.withColumn("bucket", bucket("key")).groupBy("bucket", "block").transformWithStateInPandas(Window(width, most), SHOWN, "Append", "EventTime", eventTimeColumnName="ts")
+    gathered = shown.withColumn("bucket", bucket("event_id")).withColumn("us", F.unix_micros("ts")).groupBy("bucket").transformWithStateInPandas(GatherFrames(), GATHERED, "Append", "EventTime", eventTimeColumnName="ts")
     whole = _unpacked(gathered, schema, "keys")
     return co.concluded(whole, "keys", events.columns)

@@ -147,3 +147,43 @@ def test_events_of_one_group_of_state_wait_for_all_their_keys():
     assert [(r.payload, len(r["keys"])) for r in first] == [("p", 1)] and len(gather.rows.rows) == 1
     second = list(gather.handleInputRows((0,), iter([row("a", 0, 2)]), None))
     assert [(r.payload, [x[1] for x in r["keys"]]) for r in second] == [("p", ["key0", "key1"])] and not gather.rows.rows
+
+
+class _State:
+    """A list, a value or the timers of a group, without Spark."""
+
+    def __init__(self):
+        self.held, self.timers = [], []
+
+    exists, get, clear = (lambda self: bool(self.held)), (lambda self: list(self.held)), (lambda self: self.held.clear())
+    put, appendValue = (lambda self, rows: setattr(self, "held", list(rows))), (lambda self, row: self.held.append(row))
+    update = put
+    getListState = getValueState = lambda self, *_: _State()
+    deleteTimer, registerTimer = (lambda self, at: self.timers.remove(at)), (lambda self, at: self.timers.append(at))
+
+
+def test_waiting_rows_are_packed_and_keep_their_instant(monkeypatch):
+    """Entries of state hold many rows; times of frames without a zone (an hour that comes twice) don't count."""
+    import pandas as pd
+
+    from palisade.streaming.stateful import SHOWN_NAMES, GatherFrames, Window
+
+    monkeypatch.setattr(stateful, "PACKED_ROWS", 4)
+    first = 1_698_541_200_000_000  # 2023-10-29 01:00 UTC: 02:30 comes twice that night in Berlin
+    n = 10
+    df = pd.DataFrame({"us": [first + i * 600_000_000 for i in range(n)], "tie": [f"{i:03d}" for i in range(n)], "payload": "p", "level": 3, "mask": 1, "own": True, "k": 0, "n": 1, "key": "ip:1"})
+    df["ts"] = pd.to_datetime(df["us"], unit="us", utc=True).dt.tz_convert("Europe/Berlin").dt.tz_localize(None)
+    window, handle = Window(3_600_000_000, 100), _State()
+    window.init(handle)
+    window.rows, window.timer, window.recent, window.handle = _State(), _State(), _State(), handle
+    assert list(window.handleInputRows((0, 0), iter([df[:7], df[7:]]), None)) == []
+    assert len(window.rows.held) == 3 and handle.timers == [first // 1000]
+    timers = type("T", (), {"getCurrentWatermarkInMs": lambda self: (first + 4 * 600_000_000) // 1000})()
+    out = pd.concat(window.handleExpiredTimer((0, first // 3_600_000_000), timers, None))
+    assert list(out.columns) == SHOWN_NAMES and out["prior"].tolist() == [0, 1, 2, 3, 4]
+    assert (out["ts"].astype("int64") // (10 ** (9 if out["ts"].dt.unit == "ns" else 6) // 10**6)).tolist() == df["us"].tolist()[:5]
+    assert sum(len(stateful._unpack([x])) for x in window.rows.held) == 5
+    gather = GatherFrames()
+    gather.rows = _State()
+    found = pd.concat(gather.handleInputRows((0,), iter([out.assign(us=df["us"][:5].tolist(), ts=df["ts"][:5].tolist())]), None))
+    assert [t.timestamp() * 1e6 for t in found["ts"]] == df["us"].tolist()[:5] and found["keys"].iloc[4][0]["prior"] == 4
